@@ -7,20 +7,134 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The vocabulary file that packing counts tokens with, by name.
+VOCABULARY = "byte_bpe_50k.json"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.jaccard_join import shingle_components
 
     return shingle_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.line_dedup import drop_repeated_lines
+
+    out = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.url_filter import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.packing import pack_documents
+
+    out = pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.quality_rules import quality_report
+
+    return quality_report(_table(spark, sf_dir, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _op4_sql() -> str:
+    return f"""
+WITH l AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+k AS (SELECT *, translate(trim(line, {_SPACE}), '{_UPPER}', '{_LOWER}') AS key FROM l),
+o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key),
+d AS (SELECT k.*, owner IS NOT NULL AND owner <> doc_id AS gone FROM k LEFT JOIN o USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id"""
+
+
+def _op5_sql() -> str:
+    from lorewell.llm.url_filter import BLOCK_GLOBS, HOST_RULES
+
+    ruled = sorted(HOST_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda h, p: f"(('.' || host) LIKE '%.{h}' AND starts_with(path, '{p}'))"
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ruled)
+    says = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ruled)
+    globs = " OR ".join(f"('.' || host || chr(1) || path) GLOB '{g.replace('|', '')}'" if "|" not in g else "(" + " AND ".join((f"('.' || host) GLOB '{g.split('|')[0]}'", f"path GLOB '{g.split('|')[1]}'")) + ")" for g in BLOCK_GLOBS)
+    return f"""
+WITH u AS (
+  SELECT page_id, strpos(url, '://') AS place, url FROM pages),
+p AS (
+  SELECT page_id, CASE WHEN place > 0 THEN substr(url, place + 3) ELSE '' END AS rest FROM u),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+  CASE {says} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict
+FROM h"""
+
+
+def _op9_sql() -> str:
+    from lorewell.llm.quality_rules import CLOSING, FURNITURE, SYMBOLS, Rules
+
+    r = Rules()
+    quote = lambda b: b.decode().replace("'", "''")
+    furniture = " OR ".join(f"contains(low, '{quote(p)}')" for p in FURNITURE)
+    closing = "".join(f"\\{c}" for c in CLOSING.decode()).replace("'", "''")
+    symbols = "".join(f"\\{c}" for c in SYMBOLS.decode())
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, coalesce(text, '') AS text FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM x),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM c, range(5) AS t(j) WHERE n > 1 GROUP BY doc_id),
+l AS (
+  SELECT doc_id, line, pos, len(regexp_extract_all(line, '{_WORD}')) AS n,
+    length(array_to_string(regexp_extract_all(line, '{_WORD}'), '')) AS chars,
+    length(regexp_replace(line, '[^{symbols}]', '', 'g')) AS sym,
+    length(regexp_replace(line, '[^A-Z]', '', 'g')) AS cap,
+    length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS let,
+    translate(line, '{_UPPER}', '{_LOWER}') AS low,
+    regexp_matches(line, '([{closing}]|[^\x00-\x7F])[\x20\x09-\x0D]*$') AS closed
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM w)),
+f AS (
+  SELECT *, n > 0 AND (sym > {r.symbols_per_word} * n OR (let >= {r.capital_letters} AND cap > {r.capital_share} * let)
+    OR (n < {r.unclosed_words} AND NOT closed) OR (n <= {r.furniture_words} AND ({furniture}))) AS failed FROM l),
+s AS (
+  SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, count(*) AS n_lines,
+    count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(chars) FILTER (NOT failed), 0)::BIGINT AS kept_chars,
+    sum(n)::BIGINT AS n_words, sum(chars)::BIGINT AS word_chars, sum(sym)::BIGINT AS n_symbols
+  FROM f GROUP BY doc_id),
+b AS (
+  SELECT s.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    n_words < {r.min_words} OR 100 * coalesce(n_repeat_words, 0) > {r.max_repeat_percent} * n_words AS base_failed
+  FROM s LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND kept_chars >= {r.kept_share} * word_chars AS kept, n_lines, n_failed_lines, kept_chars
+FROM b"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join,)}
+    return {f.__name__: f for f in (op1_jaccard_join, op4_line_dedup, op5_url_filter, op6_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": _op4_sql(), "op5_url_filter": _op5_sql(), "op9_quality_rules": _op9_sql()}
