@@ -13,10 +13,12 @@ Two documents link when their sets of n-word shingles have a Jaccard similarity
    cost 1, and their pairs are indexed.  Linked documents share an index entry: if they
    shared none, their prefixes would differ in p shingles at least.  Entries carry a
    size class, and lengths within the threshold meet in a common one.
-4. In each entry the document with the fewest shingles of its own is the hub; members
-   are verified against it.  Members that remain in different components are then
-   verified with each other (in blocks, after exact bounds on length and own shingles),
-   which leaves no link out and does not make all pairs of a group.
+4. In each entry the document with the fewest shingles of its own is the hub, and every
+   member is verified against it.  What a member lacks of its hub and has beyond it is
+   kept: |x & y| = |h| - |lacks x or y| + |beyond in both| verifies any two members of a
+   hub without their texts.  Where links to the hubs leave members of a hub in different
+   components, those outside its largest one are verified with all others, in blocks.  So
+   no link between components is left out, and no pairs of a group are made as rows.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from lorewell.llm.graph import components, saved
 RARE = 16
 #: Prefix shingles that a sub-class of frequent shingles has, about.
 SUBCLASS = 4
-#: Rows of a block of a large index entry.
-BLOCK = 512
+#: Members of a block of a hub (more for large ones, so that copies of rows grow with the root of its size).
+BLOCK = 128
 #: Rows up to which a table of ids is broadcast (16 bytes each); beyond, it is shuffled.
 BROADCAST_ROWS = 2_000_000
 _U = np.uint64
@@ -115,7 +117,7 @@ def signatures(size: int, tokens: np.ndarray, df: np.ndarray, percent: int, rare
 
 def _entries(n: int, percent: int, bits: int):
     def run(docs: pa.Table, other: pa.Table) -> pa.Table:
-        cols: list[list] = [[], [], [], []]
+        cols: list[list] = [[], [], []]
         if docs.num_rows and other.num_rows:
             reps = _representatives(docs, other.filter(pa.compute.is_valid(other["key"])), n)
             answers = other.filter(pa.compute.is_valid(other["seen"]))
@@ -128,40 +130,107 @@ def _entries(n: int, percent: int, bits: int):
                     sig, u = signatures(len(s), s, df[at : at + len(s)], percent)
                     at += len(s)
                     cols[0].append(sig.view(np.int64))
-                    for c, v in zip(cols[1:], (d, len(s), u), strict=True):
+                    for c, v in zip(cols[1:], (d, u), strict=True):
                         c.append(np.full(len(sig), v, np.int64))
         whole = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("sig", "rep", "n", "u"), whole, strict=True)})
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("sig", "rep", "u"), whole, strict=True)})
 
     return run
 
 
+def _linked(both, size, percent: int):
+    """Do sets link that have ``both`` members in common and ``size`` in all, counted twice where common?"""
+    return 100 * both >= percent * (size - both)
+
+
+_DIFFS = "a long, h long, n_a long, n_h long, linked boolean, lacks binary, beyond binary"
+
+
 def _verify(n: int, percent: int):
+    """Rows (a, h, text_a, text_h) to (a, h), their sizes, whether they link, and their differences."""
+
     def run(batches):
         for batch in batches:
-            a = list(spans.shingle_sets(batch.column("text_a"), n))
-            b = list(spans.shingle_sets(batch.column("text_b"), n))
-            both = np.array([len(x) + len(y) - len(np.union1d(x, y)) for x, y in zip(a, b, strict=True)], np.int64)
-            size = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(100 * both >= percent * (size - both)))
+            one, hub = (list(spans.shingle_sets(batch.column(k), n)) for k in ("text_a", "text_h"))
+            lacks = [np.flatnonzero(~np.isin(h, a, assume_unique=True)).astype("<u4") for a, h in zip(one, hub, strict=True)]
+            beyond = [np.setdiff1d(a, h, assume_unique=True) for a, h in zip(one, hub, strict=True)]
+            n_a, n_h = (np.array([len(x) for x in sets], np.int64) for sets in (one, hub))
+            linked = _linked(n_h - np.array([len(x) for x in lacks], np.int64), n_a + n_h, percent)
+            arrays = [batch.column("a"), batch.column("h"), pa.array(n_a), pa.array(n_h), pa.array(linked), pa.array([x.tobytes() for x in lacks], pa.binary()), pa.array([x.tobytes() for x in beyond], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["a", "h", "n_a", "n_h", "linked", "lacks", "beyond"])
 
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the (saved) pairs (a, b) that link, from the texts of both."""
-    text = docs.select("doc_id", "text")
-    one = text.join(_small(pairs), F.col("doc_id") == F.col("a")).select("a", "b", F.col("text").alias("text_a"))
-    hubs = saved(pairs.select("b").distinct())
-    other = text.join(_small(hubs), F.col("doc_id") == F.col("b")).select("b", F.col("text").alias("text_b"))
-    both = one.join(other, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify(n, percent), "a long, b long").distinct()
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y, by products of bit rows."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    own, others = (np.concatenate(s) if s else np.zeros(0, _U) for s in (x, y))
+    shared = np.intersect1d(own, others)
+    rows = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)]
+    marks = [np.searchsorted(shared, v) for v in (own, others)]
+    real = [(m < len(shared)) & (shared[np.minimum(m, max(0, len(shared) - 1))] == v) if len(shared) else np.zeros(len(v), bool) for m, v in zip(marks, (own, others), strict=True)]
+    for at in range(0, len(shared), 2048):
+        tiles = []
+        for s, r, m, ok in zip((x, y), rows, marks, real, strict=True):
+            on = ok & (m >= at) & (m < at + 2048)
+            tile = np.zeros((len(s), min(2048, len(shared) - at)), np.float32)
+            tile[r[on], m[on] - at] = 1
+            tiles.append(tile)
+        out += tiles[0] @ tiles[1].T
+    return out
+
+
+def _across(percent: int):
+    """Links between members of a hub that are in different components: one a member and component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found: set[tuple[int, int]] = set()
+        cells: dict[tuple, tuple[list, list]] = {}
+        for row in table.to_pylist():
+            cells.setdefault((row["h"], row["i"], row["j"]), ([], []))[row["right"]].append(row)
+        for (_, _, _), (left, right) in cells.items():
+            for at in range(0, len(left), 512):
+                x = left[at : at + 512]
+                for start in range(0, len(right), 512):
+                    y = right[start : start + 512]
+                    sets = [[np.frombuffer(r[k], kind) for r in side] for k, kind in (("lacks", "<u4"), ("beyond", "<u8")) for side in (x, y)]
+                    size = [np.array([r["n_a"] for r in side], np.int64) for side in (x, y)]
+                    lost = [np.array([len(v) for v in s], np.int64) for s in sets[:2]]
+                    both = x[0]["n_h"] - lost[0][:, None] - lost[1][None] + _common(*sets[:2]).astype(np.int64) + _common(*sets[2:]).astype(np.int64)
+                    apart = np.array([r["component"] for r in x])[:, None] != np.array([r["component"] for r in y])[None]
+                    for i, js in enumerate(apart & _linked(both, size[0][:, None] + size[1][None], percent)):
+                        first = {y[j]["component"]: y[j]["a"] for j in np.flatnonzero(js)[::-1]}
+                        found |= {(x[i]["a"], b) for b in first.values()}
+        a, b = zip(*sorted(found), strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
-def _possible(percent: int, x: str, y: str):
-    """An exact bound: what is in one document alone cannot be shared."""
-    most = F.least(F.col(f"n{x}") - F.col(f"u{x}"), F.col(f"n{y}") - F.col(f"u{y}"))
-    return (100 + percent) * most >= percent * (F.col(f"n{x}") + F.col(f"n{y}"))
+def _differences(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The (saved) pairs (a, h) with what :func:`_verify` finds, from the texts of both."""
+    text = docs.select("doc_id", "text")
+    one = text.join(_small(pairs), F.col("doc_id") == F.col("a")).select("a", "h", F.col("text").alias("text_a"))
+    hubs = saved(pairs.select(F.col("h").alias("hub")).distinct())
+    other = text.join(_small(hubs), F.col("doc_id") == F.col("hub")).select(F.col("hub").alias("h"), F.col("text").alias("text_h"))
+    return one.join(other, "h").select("a", "h", "text_a", "text_h").mapInArrow(_verify(n, percent), _DIFFS)
+
+
+def _links_across(diffs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the members of each hub."""
+    itself = diffs.groupBy("h").agg(F.max("n_h").alias("n_h")).select(F.col("h").alias("a"), "h", F.col("n_h").alias("n_a"), "n_h", F.lit(True).alias("linked"), F.lit(b"").alias("lacks"), F.lit(b"").alias("beyond"))
+    members = diffs.union(itself).join(groups.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    sizes = members.groupBy("h", "component").count()
+    hubs = sizes.groupBy("h").agg(F.sum("count").alias("size"), F.count("*").alias("parts"), F.max_by("component", F.struct("count", "component")).alias("main"))
+    hubs = hubs.where("parts > 1").withColumn("blocks", F.ceil(F.col("size") / F.greatest(F.lit(BLOCK), 2.5 * F.sqrt("size"))))
+    open_ = members.join(hubs.select("h", "main", "blocks"), "h").withColumn("block", F.pmod(F.xxhash64("a"), "blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = open_.where("component <> main").withColumn("j", every).withColumn("i", F.col("block")).withColumn("right", F.lit(0))
+    right = open_.withColumn("i", every).withColumn("j", F.col("block")).withColumn("right", F.lit(1))
+    cells = left.unionByName(right).select("h", "i", "j", "right", "a", "n_a", "n_h", "component", "lacks", "beyond")
+    tasks = 8 * counts.partitions(diffs.sparkSession)
+    return cells.groupBy(F.pmod(F.xxhash64("h", "i", "j"), F.lit(tasks)).alias("task")).applyInArrow(_across(percent), "a long, b long")
 
 
 def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,27 +266,17 @@ def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     sent = text_b.groupBy("b").cogroup(reps.groupBy("b")).applyInArrow(send, "r int, b long, k binary, n binary")
     answers = sent.groupBy("r").applyInArrow(counts._add, counts.COUNTS)
     other = reps.unionByName(answers, allowMissingColumns=True)
-    entries = saved(text_b.groupBy("b").cogroup(other.groupBy("b")).applyInArrow(_entries(n, percent, bits), "sig long, rep long, n long, u long"))
-
-    hubs = entries.groupBy("sig").agg(F.min(F.struct("u", F.col("rep").alias("b"), "n")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    hubs = hubs.select("sig", F.col("h.b").alias("b"), F.col("h.n").alias("n_b"), F.col("h.u").alias("u_b"))
-    near = entries.select("sig", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"))
-    pairs = saved(near.join(hubs, "sig").where((F.col("a") != F.col("b")) & _possible(percent, "_a", "_b")).select("a", "b").distinct())
-    links = saved(_links(text, pairs, n, percent))
-    groups = components(links)
-
-    known = entries.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = known.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x <> y")
-    left = saved(known.join(open_.select("sig", F.ceil(F.col("c") / BLOCK).alias("blocks")), "sig"))
-    a = left.select("sig", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("component").alias("c_a"), F.pmod(F.xxhash64("rep"), "blocks").alias("k"))
-    b = left.select("sig", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("component").alias("c_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
-    # a has the lower bound of own shingles, so that each pair is met once and b, the more frequent, is the hub.
-    once = (F.col("u_a") > F.col("u_b")) | ((F.col("u_a") == F.col("u_b")) & (F.col("a") < F.col("b")))
-    more = saved(a.join(b, ["sig", "k"]).where(once & (F.col("c_a") != F.col("c_b")) & _possible(percent, "_a", "_b")).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    entries = saved(text_b.groupBy("b").cogroup(other.groupBy("b")).applyInArrow(_entries(n, percent, bits), "sig long, rep long, u long"))
+
+    hubs = entries.groupBy("sig").agg(F.min(F.struct("u", F.col("rep").alias("h"))).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    near = entries.select("sig", F.col("rep").alias("a")).join(hubs.select("sig", F.col("hub.h").alias("h")), "sig")
+    pairs = saved(near.where("a <> h").select("a", "h").distinct())
+    diffs = saved(_differences(text, pairs, n, percent))
+    links = diffs.where("linked").select("a", F.col("h").alias("b"))
+    across = _links_across(diffs, components(links), percent)
     # Rows of one id with different texts are one node.
     same = rows.where("doc_id is not null and n_shingles > 0").join(classes.select("key", "rep"), "key").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    links = links.union(_links(text, more, n, percent)).union(same)
-    groups = components(links)
+    groups = components(links.union(across).union(same))
     reach = classes.join(groups, F.col("rep") == F.col("node"), "left").where("copies > 1 or component is not null").select("key", F.col("rep").alias("class"), F.coalesce("component", "rep").alias("component"))
     return (
         rows.join(reach, "key", "left")
