@@ -1,16 +1,66 @@
-"""A corpus pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``: clean, deduplicate, decontaminate, pack.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept; its
+result is written and read again.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorewell.llm.decontaminate import drop_contaminated
+from lorewell.llm.graph import saved
+from lorewell.llm.jaccard_join import shingle_components
+from lorewell.llm.line_dedup import drop_repeated_lines
+from lorewell.llm.packing import pack_documents
+from lorewell.llm.quality_rules import keep_clean
+from lorewell.llm.queries import vocabulary_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that fail the rules go, and so do the documents that are rejected."""
+    return keep_clean(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, and so do documents that lost lines and have no word left."""
+    out = drop_repeated_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that shares five-word shingles at a similarity of 0.8, the smallest id stays."""
+    groups = shingle_components(docs, n=5, percent=80)
+    lost = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(lost.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids, dealt to sequences."""
+    return pack_documents(docs, vocabulary_path())
+
 
-STAGES: list = []
-#: Packing works on token ids, which SQL cannot make.
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
+#: Packing works on token ids, which SQL cannot make; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = saved(docs)
     return docs

@@ -27,6 +27,18 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.quality_model import classify_quality
+
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.lm_scoring import score_language_model
+
+    return score_language_model(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.line_dedup import drop_repeated_lines
 
@@ -47,12 +59,31 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.language_id import identify_language
+
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.decontaminate import mark_contaminated
+
+    return mark_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.quality_rules import quality_report
 
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.pii import find_pii
+
+    out = find_pii(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -133,7 +164,7 @@ FROM b"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op4_line_dedup, op5_url_filter, op6_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op5_url_filter, op6_packing, op7_language_id, op8_decontamination, op9_quality_rules, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
