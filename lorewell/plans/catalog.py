@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lorewell.plans import search_queries, text_queries
+from lorewell.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+AREAS = (search_queries.R, text_queries.R)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for r in AREAS for k, f in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for r in AREAS for k, s in r.sql.items()}
