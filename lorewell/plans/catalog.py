@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lorewell.plans import search_queries, text_queries
+from lorewell.plans import graph_queries, search_queries, text_queries
 from lorewell.plans.registry import Query
 
-AREAS = (search_queries.R, text_queries.R)
+AREAS = (search_queries.R, text_queries.R, graph_queries.R)
 
 
 def queries() -> dict[str, Query]:
