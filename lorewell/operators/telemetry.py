@@ -18,7 +18,7 @@ def history(samples: DataFrame, now: float, minutes: float, step: float = 0) ->
     start = now - span
     rows = samples.where(F.col("ts") >= start).withColumn("b", F.floor((F.col("ts") - start) / bucket))
     mean = rows.groupBy("series", "b").agg(F.avg("value").alias("v"))
-    return mean.select("series", F.round(F.lit(start) + (F.col("b") + 0.5) * bucket, 1).alias("at"), F.round("v", 3).alias("value"))
+    return mean.select("series", F.round(F.lit(start) + (F.col("b") + 0.5) * bucket, 1).alias("at"), (F.floor(F.round("v", 9) * 1000 + 0.5) / 1000).alias("value"))
 
 
 def prune(samples: DataFrame, now: float, keep_days: float) -> DataFrame:

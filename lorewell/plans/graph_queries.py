@@ -250,7 +250,7 @@ _NOW = 1706659200.0  # 2024-01-31
 
 
 @R.query(f"""WITH s AS (SELECT epoch(ts) AS ts, event_type AS series, value FROM events), b AS (SELECT series, floor((ts - ({_NOW} - 2592000)) / 4320) AS b, avg(value) AS v FROM s WHERE ts >= {_NOW} - 2592000 GROUP BY 1, 2)
-SELECT series, round({_NOW} - 2592000 + (b + 0.5) * 4320, 1) AS at, round(v, 3) AS value FROM b""")
+SELECT series, round({_NOW} - 2592000 + (b + 0.5) * 4320, 1) AS at, floor(round(v, 9) * 1000 + 0.5) / 1000 AS value FROM b""")
 def metric_history(spark, d):
     s = table(spark, d, "events").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_type").alias("series"), "value")
     return telemetry.history(s, _NOW, 30 * 24 * 60)
