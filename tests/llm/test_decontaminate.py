@@ -33,7 +33,7 @@ def test_matches_brute_force_on_the_small_table(spark):
     docs = spark.read.parquet(f"{fixtures.SMALL}/documents.parquet")
     bench = spark.read.parquet(f"{fixtures.SMALL}/benchmark.parquet")
     words = lambda t: [w.lower() for w in re.findall(r"[^\W_]+", t)]
-    windows = lambda t: {i: tuple(w) for i in range(len(words(t)) - 7) for w in [words(t)[i : i + 8]]}
+    windows = lambda t: dict(enumerate(zip(*[words(t)[k:] for k in range(8)], strict=False)))
     items = {r.item_id: windows(r.text) for r in bench.collect()}
     want = {}
     for r in docs.collect():
