@@ -135,3 +135,9 @@ def chunk_documents(blocks: DataFrame, key: str, target: int = TARGET, most: int
     pieces = blocks.select(key, "path", "blocks").mapInPandas(run, f"{key} {kind}, path string, seq int, section string, raw string, tokens int")
     cleaned = pieces.withColumn("text", T.clean(F.col("raw"))).where("text <> ''")
     return cleaned.select(key, "seq", T.chunk_id(F.col("path"), F.col("section"), F.col("text")).alias("id"), "section", "text", "tokens")
+
+
+def recard_pending(chunks: DataFrame, done: DataFrame, version: int, source: str, key: str = "doc_id") -> DataFrame:
+    """Per source, distilled chunks whose cards (key, version) are of an older version."""
+    old = done.where(F.coalesce("version", F.lit(0)) < version).select(key)
+    return chunks.join(old, key, "left_semi").groupBy(source).agg(F.count("*").alias("n"))

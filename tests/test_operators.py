@@ -140,3 +140,13 @@ def test_lexical_decisions(spark):
     frame = spark.createDataFrame(rows, "a string, b string, s double")
     got = [r[0] for r in frame.select(graph.lexical_decision(graph.stems(F.col("a")), graph.stems(F.col("b")), F.col("s"))).collect()]
     assert got == ["same", "a_is_a_b", "b_is_a_a", "same", None, None]
+
+
+def test_ivf_recall(spark):
+    from pyspark.sql import functions as F
+
+    from lorewell.operators import ann, search
+
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    assert ann.recall(ann.ivf_search(v, q), search.vector_search(v, q, 10)) >= 0.9
