@@ -35,7 +35,7 @@ def nearest_cells(vectors: DataFrame, centre: np.ndarray, n: int) -> DataFrame:
     return top.select("id", "vec", F.explode("c.cell").alias("cell"))
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int = 8) -> DataFrame:
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int = 12) -> DataFrame:
     """(query_id, id, score, rank): the k best of the cells that a query (query_id, qvec) probes."""
     centre = centroids(vectors, cells)
     index = nearest_cells(vectors.select("id", "vec"), centre, 1)
