@@ -89,6 +89,22 @@ _SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _op1_sql() -> str:
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' ')))) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
+q AS (SELECT node, min(reached) AS component FROM r GROUP BY node),
+i AS (SELECT min(doc_id) AS class_id, s FROM (SELECT doc_id, list_sort(list(s)) AS s FROM s GROUP BY doc_id) GROUP BY s),
+k AS (SELECT doc_id, class_id FROM (SELECT doc_id, list_sort(list(s)) AS s FROM s GROUP BY doc_id) JOIN i USING (s))
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(class_id, d.doc_id) AS class_id, coalesce(component, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN q ON q.node = d.doc_id"""
+
+
 def _op4_sql() -> str:
     return f"""
 WITH l AS (
@@ -168,4 +184,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _op4_sql(), "op5_url_filter": _op5_sql(), "op9_quality_rules": _op9_sql()}
+    return {"op1_jaccard_join": _op1_sql(), "op4_line_dedup": _op4_sql(), "op5_url_filter": _op5_sql(), "op9_quality_rules": _op9_sql()}
