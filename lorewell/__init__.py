@@ -1,0 +1 @@
+"""A Spark-native engine for knowledge corpora and training text."""

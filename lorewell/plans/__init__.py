@@ -1,0 +1 @@
+"""Queries by name over the driver's tables, each with its SQL where SQL can express it."""
