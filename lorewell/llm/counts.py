@@ -52,6 +52,22 @@ def unplanes(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def squeeze(x: np.ndarray, width: int) -> bytes:
+    """Whole numbers below 256^width, small ones in few bytes: their count, then compressed planes."""
+    return len(x).to_bytes(4, "little") + pa.compress(planes(x, width), codec="zstd", asbytes=True)
+
+
+def unsqueeze(raw: bytes, width: int) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    return unplanes(pa.decompress(raw[4:], decompressed_size=n * width, codec="zstd", asbytes=True), width)
+
+
+def gaps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys of one range as steps from one to the next (the running sum gives them back)."""
+    keys = keys & _U((1 << 40) - 1)
+    return np.diff(keys, prepend=_U(0))
+
+
 def cut(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct cut keys, their counts, and the place of each given key among them."""
     keys, where = np.unique(keys >> _U(24 - bits), return_inverse=True)
@@ -60,15 +76,15 @@ def cut(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np
 
 def _send(b: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.Table:
     edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=_U) << _U(40))
-    rows = [(i, b, planes(keys[x:y], 5), planes(counts[x:y], 4)) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+    rows = [(i, b, squeeze(gaps(keys[x:y]), 5), squeeze(counts[x:y], 4)) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
     r, bs, k, n = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.table({"r": pa.array(r, pa.int32()), "b": pa.array(bs, pa.int64()), "k": pa.array(k, pa.binary()), "n": pa.array(n, pa.binary())})
 
 
 def _add(table: pa.Table) -> pa.Table:
     r, batch = table["r"][0].as_py(), table["b"].to_pylist()
-    keys = [unplanes(x, 5) for x in table["k"].to_pylist()]
-    counts = np.concatenate([unplanes(x, 4) for x in table["n"].to_pylist()]).astype(np.int64)
+    keys = [np.cumsum(unsqueeze(x, 5), dtype=_U) for x in table["k"].to_pylist()]
+    counts = np.concatenate([unsqueeze(x, 4) for x in table["n"].to_pylist()]).astype(np.int64)
     sizes = [len(x) for x in keys]
     keys = np.concatenate(keys)
     order = np.argsort(keys, kind="stable")
@@ -79,7 +95,7 @@ def _add(table: pa.Table) -> pa.Table:
     total[order] = np.add.reduceat(counts[order], first)[group]
     seen = total > np.minimum(counts, 1)
     ends = np.cumsum(sizes)
-    out = [(np.packbits(seen[e - s : e]).tobytes(), planes(total[e - s : e][seen[e - s : e]], 5)) for s, e in zip(sizes, ends, strict=True)]
+    out = [(np.packbits(seen[e - s : e]).tobytes(), squeeze(total[e - s : e][seen[e - s : e]], 5)) for s, e in zip(sizes, ends, strict=True)]
     return pa.table({"b": pa.array(batch, pa.int64()), "r": pa.array([r] * len(out), pa.int32()), "seen": pa.array([x for x, _ in out], pa.binary()), "n": pa.array([x for _, x in out], pa.binary())})
 
 
@@ -90,11 +106,11 @@ def totals(answers: pa.Table, keys: np.ndarray, bits: int) -> np.ndarray:
     for r, seen, n in zip(answers["r"].to_pylist(), answers["seen"].to_pylist(), answers["n"].to_pylist(), strict=True):
         x, y = edges[r], edges[r + 1]
         on = np.unpackbits(np.frombuffer(seen, np.uint8), count=y - x).astype(bool)
-        out[x:y][on] = unplanes(n, 5).astype(np.int64)
+        out[x:y][on] = unsqueeze(n, 5).astype(np.int64)
     return out
 
 
-def shared_counts(docs: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], bits: int, ranges_per_task: int = 1) -> DataFrame:
+def shared_counts(docs: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
     """The answers, a row for each batch and range, for documents with a batch column ``b``.
 
     ``keys_of`` gives the uint64 keys of a batch with their counts (keys may repeat).
