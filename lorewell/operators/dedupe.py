@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from lorewell.functions import text as T
+from lorewell.session import saved
 
 #: Words of a shingle, permutations of a signature, bands of it.
 SHINGLE, PERMS, BANDS = 5, 32, 8
@@ -60,9 +61,10 @@ def hash64(text: str) -> int:
 
 def signature(grams) -> list[int]:
     """Minima of PERMS permutations of the shingles' hashes, modulo 2^61."""
-    if not len(grams):
-        return []
-    x = np.array([hash64(g) for g in grams], np.uint64)
+    return minima(np.array([hash64(g) for g in grams], np.uint64)) if len(grams) else []
+
+
+def minima(x: np.ndarray) -> list[int]:
     out = []
     for i in range(PERMS):
         a, b = (i * 0x9E3779B97F4A7C15) | 1, (i * 0xC2B2AE3D27D4EB4F) | 1
@@ -76,24 +78,40 @@ def band_keys(sig: list[int], bands: int = BANDS) -> list[str]:
     return [f"{b}:{hash64(','.join(map(str, sig[b * rows : (b + 1) * rows])))}" for b in range(bands)] if sig else []
 
 
-@F.pandas_udf(types.ArrayType(types.StringType()))
-def minhash_bands(grams: pd.Series) -> pd.Series:
-    return grams.map(lambda g: band_keys(signature(g)))
+@F.pandas_udf(types.StructType([types.StructField(c, types.ArrayType(types.LongType())) for c in "sk"]))
+def minhash(texts: pd.Series) -> pd.DataFrame:
+    """Of comparable forms: the hashes of their distinct word k-grams, and one key a band; both null without words."""
+    s, k = [], []
+    for text in texts:
+        words = text.split()
+        if not words:
+            s.append(None)
+            k.append(None)
+            continue
+        grams = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+        x = np.array([hash64(g) for g in grams], np.uint64)
+        s.append(x.view(np.int64))
+        k.append(np.array([hash64(key) for key in band_keys(minima(x))], np.uint64).view(np.int64))
+    return pd.DataFrame({"s": pd.Series(s, dtype=object), "k": pd.Series(k, dtype=object)})
 
 
 def near_pairs(chunks: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(first, later, similarity) of pairs that share a band and reach the threshold.
 
     Equal texts are paired through their first id alone, so that a large group of copies makes
-    a row each instead of all pairs.
+    a row each instead of all pairs; only first ids are hashed.  Pairs whose sizes alone rule
+    the threshold out are left before their shingles are fetched.  Hashes are made once and
+    kept in the shared folder, as three branches read them.
     """
-    plain = chunks.select(F.col(id_col).alias("id"), T.text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    rows = with_shingles(plain, "text", "s").drop("text")
+    plain = chunks.select(F.col(id_col).alias("id"), T.norm(F.col(text_col)).alias("t")).where("t <> ''")
+    rows = plain.withColumn("h", T.short_hash(F.col("t")))
     firsts = rows.groupBy("h").agg(F.min("id").alias("first"))
-    copies = rows.join(firsts, "h").where("id <> first").select("first", F.col("id").alias("later"), F.lit(1.0).alias("similarity"))
-    reps = rows.join(firsts, [rows.h == firsts.h, rows.id == firsts["first"]], "left_semi").select("id", "s")
-    banded = reps.select("id", F.explode(minhash_bands("s")).alias("k"))
-    pairs = banded.alias("a").join(banded.alias("b"), "k").where("a.id < b.id").select(F.col("a.id").alias("first"), F.col("b.id").alias("later")).distinct()
+    copies = rows.select("id", "h").join(firsts, "h").where("id <> first").select("first", F.col("id").alias("later"), F.lit(1.0).alias("similarity"))
+    reps = rows.select("id", "t").join(firsts.select(F.col("first").alias("id")), "id", "left_semi").repartition("id").select("id", minhash("t").alias("m"))
+    reps = saved(reps.select("id", "m.s", "m.k").withColumn("n", F.size("s")).where("n > 0"))
+    banded = reps.select("id", "n", F.explode("k").alias("k"))
+    sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold - 1e-4)
+    pairs = banded.alias("a").join(banded.alias("b"), "k").where((F.col("a.id") < F.col("b.id")) & sized).select(F.col("a.id").alias("first"), F.col("b.id").alias("later")).distinct()
     both = pairs.join(reps.select(F.col("id").alias("first"), F.col("s").alias("sa")), "first").join(reps.select(F.col("id").alias("later"), F.col("s").alias("sb")), "later")
     near = both.withColumn("similarity", F.round(jaccard(F.col("sa"), F.col("sb")), 4)).where(F.col("similarity") >= threshold).select("first", "later", "similarity")
     return near.unionByName(copies)

@@ -1,10 +1,10 @@
-"""A local session with the settings that the library is tested and measured with."""
+"""A local session with the settings that the library is tested and measured with, and tables kept between plans."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, app: str = "lorewell") -> SparkSession:
@@ -20,3 +20,11 @@ def local_session(cores: int | None = None, app: str = "lorewell") -> SparkSessi
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def saved(frame: DataFrame) -> DataFrame:
+    """The rows, written once to the folder that all executors share; later plans start from there."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+    return frame.checkpoint(eager=True)
