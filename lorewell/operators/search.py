@@ -36,11 +36,14 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 10, stop: DataFrame | No
     """(query_id, id, score, rank): the k best of each query (query_id, query) by BM25.
 
     Scores are rounded to 9 digits before they are ranked; ties go to the smaller id.  Only
-    postings of the queries' terms are scored; the rest is read for lengths alone.
+    postings of the queries' terms are scored; the rest is read for lengths alone.  Words of
+    the stoplist are not asked for, unless a query has no others.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(F.transform(T.search_terms(F.col("query")), lambda t: F.lower(t)))).alias("term"))
     if stop is not None:
-        asked = asked.join(F.broadcast(stop.select("term")), "term", "left_anti")
+        marked = asked.join(stop.select("term", F.lit(True).alias("_stop")), "term", "left").withColumn("_stop", F.coalesce("_stop", F.lit(False)))
+        plain = F.max((~F.col("_stop")).cast("int")).over(Window.partitionBy("query_id"))
+        asked = marked.withColumn("_plain", plain).where((F.col("_plain") == 0) | ~F.col("_stop")).select("query_id", "term")
     lengths = index.groupBy("id").agg(F.sum("tf").alias("len"))
     total = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
     wanted = index.join(asked.select("term").distinct(), "term", "left_semi")

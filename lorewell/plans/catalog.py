@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lorewell.plans import graph_queries, record_queries, search_queries, text_queries
+from lorewell.plans import graph_queries, library_queries, record_queries, search_queries, text_queries
 from lorewell.plans.registry import Query
 
-AREAS = (search_queries.R, text_queries.R, graph_queries.R, record_queries.R)
+AREAS = (search_queries.R, text_queries.R, graph_queries.R, record_queries.R, library_queries.R)
 
 
 def queries() -> dict[str, Query]:
