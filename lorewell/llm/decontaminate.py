@@ -3,15 +3,18 @@
 Words come in two views: literal (lower-cased) and template, in which names (capitalised
 inside a sentence), numbers and units after numbers are typed placeholders.  Hashed windows
 of both views are joined with those of the benchmark items.  Where a template window of a
-document fits an item, the values in its slots are compared: in a re-parameterised question,
-each value of the item stands for one value of the document and the other way round.
+document fits an item, the values in its slots are compared, copy by copy: in a
+re-parameterised question, each value of the item stands for one value of the document and
+the other way round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.llm.graph import saved
+
 #: Words of a window, a power of two.
 WINDOW = 8
 #: A document has an item if so many windows, or so large a share of the item's windows, fit.
@@ -82,12 +85,28 @@ def _slots(frame: DataFrame, key: str) -> DataFrame:
     return out.select(key, "pos", F.col("w.literal").alias("word"), F.col("w.template").alias("kind"))
 
 
+def _copies(templates: DataFrame) -> DataFrame:
+    """(doc, item, copy, place, pos): the template windows by the copies of the item that they may be of.
+
+    Windows are of one copy if they have one alignment (pos - place), if they follow each other
+    in the document with gaps of under two windows (a copy with words put in or left out), or
+    if each is the first of its place (a copy in parts).  A window is in one copy of each kind.
+    """
+    near = Window.partitionBy("doc", "item").orderBy("pos")
+    start = F.col("pos") - F.coalesce(F.lag("pos").over(near), F.col("pos")) >= 2 * WINDOW
+    runs = templates.withColumn("start", start.cast("int")).withColumn("run", F.sum("start").over(near))
+    firsts = templates.groupBy("doc", "item", "place").agg(F.min("pos").alias("pos"))
+    copy = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n")).alias("copy")
+    aligned = templates.select("doc", "item", copy("a", F.col("pos") - F.col("place")), "place", "pos")
+    return aligned.unionByName(runs.select("doc", "item", copy("r", F.col("run")), "place", "pos")).unionByName(firsts.select("doc", "item", copy("f", F.lit(0)), "place", "pos"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(``id_col``, text_hash, items): the documents that hold benchmark items, and which.
 
     An item is in a document if windows at MIN_WINDOWS places of the item, or at a share
-    MIN_SHARE of its places, fit: by their words, or by template with slots that stand for
-    each other one to one.  Cases: a null or empty text and one of under WINDOW words hold
+    MIN_SHARE of its places, fit: by their words anywhere, or by template in one copy of the
+    item whose slots stand for each other one to one.  Cases: a null or empty text and one of under WINDOW words hold
     nothing; an item of under WINDOW words is in no document; repeated rows (equal id and
     text) are one document; a null id is a document of its own text; empty tables give no
     row; further columns are ignored.
@@ -101,21 +120,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # A document is its id and text; the key stands for both.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", F.struct("id", F.xxhash64("text").alias("text_hash")).alias("doc"))
     fits = _views(texts, "doc").join(hint(places.withColumnRenamed("view", "item_view")), "h").where("view = item_view")
-    hits = fits.groupBy("doc", "item", "view", "place").agg(F.min("pos").alias("pos"))
-    # Template windows count if the slots of the document and the item agree one to one.
-    templates = hits.where("view = 't'")
+    hits = saved(fits.select("doc", "item", "view", "place", "pos").distinct())
+    literal = hits.where("view = 'l'").select("doc", "item", "place").distinct()
+    enough = lambda n: (n >= MIN_WINDOWS) | (n >= MIN_SHARE * F.col("n_places"))
+    n_fit = hits.groupBy("doc", "item", "view", "place").agg(F.lit(1).alias("one")).groupBy("doc", "item").agg(F.countDistinct("place").alias("n_all"), F.count(F.when(F.col("view") == "l", 1)).alias("n_literal"))
+    n_fit = n_fit.join(hint(n_windows), "item").where(enough(F.col("n_all")))
+    # Words alone decide these; of the others, slots are looked at.
+    sure = n_fit.where(enough(F.col("n_literal"))).select("doc", "item")
+    unsure = n_fit.where(~enough(F.col("n_literal"))).select("doc", "item", "n_literal", "n_places")
+    # Template windows count if the slots of one copy and the item agree one to one.
+    templates = _copies(hits.where("view = 't'").join(unsure, ["doc", "item"], "left_semi"))
     span = F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k")
-    pairs = templates.select("doc", "item", "place", "pos", span).select("doc", "item", (F.col("place") + F.col("k")).alias("item_pos"), (F.col("pos") + F.col("k")).alias("pos")).distinct()
-    wanted = templates.select("doc").distinct()
+    pairs = templates.select("doc", "item", "copy", "place", "pos", span).select("doc", "item", "copy", (F.col("place") + F.col("k")).alias("item_pos"), (F.col("pos") + F.col("k")).alias("pos")).distinct()
+    wanted = unsure.select("doc").distinct()
     doc_words = _slots(texts.join(wanted, "doc", "left_semi"), "doc").select("doc", "pos", F.col("word").alias("doc_word"), F.col("kind").alias("doc_kind"))
     item_words = _slots(items, "item").select("item", F.col("pos").alias("item_pos"), F.col("word").alias("item_word"))
     slots = pairs.join(hint(item_words), ["item", "item_pos"]).join(doc_words, ["doc", "pos"]).where(F.col("doc_kind").isin(_NAME, _NUM, _UNIT))
-    values = slots.select("doc", "item", "item_word", "doc_word", "doc_kind").distinct()
-    odd = values.groupBy("doc", "item", "item_word", "doc_kind").agg(F.count("*").alias("c")).where("c > 1").select("doc", "item")
-    odd = odd.union(values.groupBy("doc", "item", "doc_word", "doc_kind").agg(F.count("*").alias("c")).where("c > 1").select("doc", "item")).distinct()
-    good = hits.where("view = 'l'").unionByName(templates.join(odd, ["doc", "item"], "left_anti"))
-    found = good.groupBy("doc", "item").agg(F.countDistinct("place").alias("n")).join(hint(n_windows), "item")
-    held = found.where((F.col("n") >= MIN_WINDOWS) | (F.col("n") >= MIN_SHARE * F.col("n_places")))
+    values = slots.select("doc", "item", "copy", "item_word", "doc_word", "doc_kind").distinct()
+    odd = values.groupBy("doc", "item", "copy", "item_word", "doc_kind").agg(F.count("*").alias("c")).where("c > 1").select("doc", "item", "copy")
+    odd = odd.union(values.groupBy("doc", "item", "copy", "doc_word", "doc_kind").agg(F.count("*").alias("c")).where("c > 1").select("doc", "item", "copy")).distinct()
+    more = templates.join(odd, ["doc", "item", "copy"], "left_anti").join(literal, ["doc", "item", "place"], "left_anti")
+    found = more.groupBy("doc", "item", "copy").agg(F.countDistinct("place").alias("n")).join(unsure, ["doc", "item"])
+    held = sure.unionByName(found.where(enough(F.col("n") + F.col("n_literal"))).select("doc", "item").distinct())
     out = held.groupBy("doc").agg(F.sort_array(F.collect_list("item")).alias("items"))
     return out.select(F.col("doc.id").alias(id_col), F.col("doc.text_hash").alias("text_hash"), "items")
 

@@ -22,6 +22,16 @@ def test_exact_reparameterised_and_clean(spark):
     assert got == {0: [1], 1: [1], 2: [], 3: [2], 4: [], 5: [], 6: [], 7: [], 8: []}
 
 
+def test_one_consistent_copy_beside_others(spark):
+    new = ITEM.replace("Anna", "Clara").replace("Boris", "David").replace("12", "40").replace("5 apples", "7 apples").replace("3 km", "9 miles")
+    other = ITEM.replace("Anna", "Emma").replace("Boris", "Frank").replace("12", "31").replace("5 apples", "8 apples").replace("3 km", "6 yards")
+    gap = " and so on for a long while, until nothing else was left to say about any of it at all, as we know "
+    start = lambda t, n: " ".join(t.split()[:n])
+    inserted = new.replace("to the market", "over to the old market")
+    docs = ["See: " + start(other, 12) + gap + new, "See: " + start(ITEM, 10) + gap + new, "See: " + new + gap + other, "See: " + start(other, 12) + gap + inserted, "See: " + start(other, 12) + gap + start(new, 10)]
+    assert run(spark, docs) == {0: [1], 1: [1], 2: [1], 3: [1], 4: []}
+
+
 def test_both_items_and_part_of_one(spark):
     part = " ".join(OTHER.split()[:14])
     assert run(spark, [ITEM + ". " + OTHER, part, " ".join(OTHER.split()[:9])]) == {0: [1, 2], 1: [2], 2: []}
