@@ -83,8 +83,9 @@ def page_furniture(pages: DataFrame) -> DataFrame:
     return left.where(~number).select("doc", "page", "line_no", "line")
 
 
-def slices(sections: DataFrame, chars: int, least: int = 40, most: int = 8) -> DataFrame:
-    """(id, off, piece) of (id, text): cut every ``chars`` characters, short pieces dropped, ``most`` at most."""
+def slices(sections: DataFrame, chars: int, least: int = 40, most: int | None = None) -> DataFrame:
+    """(id, off, piece) of (id, text): cut every ``chars`` characters, short pieces dropped; to the end, or ``most`` at most."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.char_length("text") / chars).cast("int") - 1))
-    cut = sections.select("id", F.explode_outer(F.slice(F.transform(starts, lambda i: i * chars), 1, most)).alias("off"), "text")
+    offs = F.transform(starts, lambda i: i * chars)
+    cut = sections.select("id", F.explode_outer(offs if most is None else F.slice(offs, 1, most)).alias("off"), "text")
     return cut.select("id", "off", F.substring("text", F.col("off") + 1, F.lit(chars)).alias("piece")).where(F.char_length("piece") >= least)

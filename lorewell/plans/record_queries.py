@@ -66,6 +66,14 @@ def stripped_pages(spark, d):
 @R.query("""WITH s AS (SELECT doc_id AS id, i * 300 AS off, substr(text, i * 300 + 1, 300) AS piece FROM documents, range(8) t(i) WHERE i = 0 OR i * 300 < length(text))
 SELECT id, off, piece FROM s WHERE length(piece) >= 40""")
 def text_slices(spark, d):
+    out = records.slices(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 300, most=8)
+    return out.withColumn("off", F.col("off").cast("long"))
+
+
+@R.query("""WITH s AS (SELECT id, i * 300 AS off, substr(text, i * 300 + 1, 300) AS piece FROM (SELECT doc_id AS id, text, unnest(range(greatest(1, (length(text) + 299) // 300))) AS i FROM documents))
+SELECT id, off, piece FROM s WHERE length(piece) >= 40""")
+def whole_text_slices(spark, d):
+    """As text_slices, to the end of each text."""
     out = records.slices(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 300)
     return out.withColumn("off", F.col("off").cast("long"))
 

@@ -150,3 +150,10 @@ def test_ivf_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
     assert ann.recall(ann.ivf_search(v, q), search.vector_search(v, q, 10)) >= 0.9
+
+
+def test_slices_reach_the_end(spark):
+    from lorewell.operators import records
+
+    got = records.slices(spark.createDataFrame([(1, "x" * 1050), (2, None)], "id long, text string"), 100).collect()
+    assert sorted((r.id, r.off, len(r.piece)) for r in got) == [(1, i * 100, 100) for i in range(10)] + [(1, 1000, 50)]
