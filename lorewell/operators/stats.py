@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-K_COOC, MIN_COOC = 12, 2
+#: The reference's defaults.
+K_COOC, MIN_COOC = 20, 3
 
 
 def _round6(x):

@@ -121,3 +121,9 @@ SELECT concept_a, concept_b, cooc_count, CASE WHEN cooc_count >= 2 THEN floor(ln
 FROM c JOIN sdf x ON x.concept_id = concept_a JOIN sdf y ON y.concept_id = concept_b""")
 def cooccurrence(spark, d):
     return stats.cooccurrence(_postings(spark, d), 4, 2)
+
+
+@R.query(R.sql["cooccurrence"].replace("k <= 4", "k <= 20").replace("cooc_count >= 2", "cooc_count >= 3").replace("cooc_count < 2", "cooc_count < 3"))
+def whole_cooccurrence(spark, d):
+    """As cooccurrence, by the reference's defaults."""
+    return stats.cooccurrence(_postings(spark, d))

@@ -157,3 +157,12 @@ def test_slices_reach_the_end(spark):
 
     got = records.slices(spark.createDataFrame([(1, "x" * 1050), (2, None)], "id long, text string"), 100).collect()
     assert sorted((r.id, r.off, len(r.piece)) for r in got) == [(1, i * 100, 100) for i in range(10)] + [(1, 1000, 50)]
+
+
+def test_cooccurrence_keeps_the_references_salient_sets(spark):
+    from lorewell.operators import stats
+
+    rows = spark.createDataFrame([(card, c, 1) for card in range(3) for c in range(22)] + [(9, 50, 1)], "card_id long, concept_id long, local_count long")
+    got = stats.cooccurrence(rows).collect()
+    assert len(got) == 20 * 19 // 2 and {r.cooc_count for r in got} == {3} and {r.outcome for r in got} == {"kept"}
+    assert {r.outcome for r in stats.cooccurrence(rows.where("card_id <> 2")).collect()} == {"floor"}
