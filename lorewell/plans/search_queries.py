@@ -127,3 +127,24 @@ def cooccurrence(spark, d):
 def whole_cooccurrence(spark, d):
     """As cooccurrence, by the reference's defaults."""
     return stats.cooccurrence(_postings(spark, d))
+
+
+@R.query(R.sql["vector_top10"].replace("b.vec_id < 20", "b.vec_id % 50 = 0"))
+def whole_vector_top10(spark, d):
+    """As vector_top10, for every vector whose id 50 divides."""
+    v = _vectors(spark, d)
+    return _rounded(search.vector_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10))
+
+
+@R.query(R.sql["vector_prefiltered"].replace("b.vec_id < 20", "b.vec_id % 50 = 0"))
+def whole_vector_prefiltered(spark, d):
+    """As vector_prefiltered, for every vector whose id 50 divides."""
+    v = _vectors(spark, d)
+    return _rounded(search.vector_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10, F.col("label") == 1))
+
+
+@R.query(R.sql["vector_postfiltered"].replace("b.vec_id < 20", "b.vec_id % 50 = 0"))
+def whole_vector_postfiltered(spark, d):
+    """As vector_postfiltered, for every vector whose id 50 divides."""
+    v = _vectors(spark, d)
+    return _rounded(search.vector_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10, F.col("label") == 1, prefilter=False))

@@ -17,3 +17,9 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, SMALL).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["whole_vector_top10", "whole_vector_prefiltered", "whole_vector_postfiltered"])
+def test_vector_queries_are_every_fiftieth_id(spark, name):
+    ids = [r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id % 50 = 0").collect()]
+    assert {r.query_id for r in catalog.queries()[name](spark, SMALL).select("query_id").distinct().collect()} == set(ids)
