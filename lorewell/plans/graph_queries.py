@@ -138,6 +138,14 @@ def feature_overlap(spark, d):
     return ask.feature_overlap(e.where("user_id < 20").select(*rows("query_id")).distinct(), e.where("user_id >= 20 and event_id % 5 = 0").select(*rows("id")).distinct())
 
 
+@R.query(R.sql["feature_overlap"].replace("user_id < 20", "user_id % 50 = 0").replace(" WHERE user_id >= 20 AND event_id % 5 = 0", ""))
+def whole_feature_overlap(spark, d):
+    """As feature_overlap, of every user whose id 50 divides against all rows."""
+    e = table(spark, d, "events")
+    rows = lambda k: (F.col("user_id").alias(k), F.col("event_type").alias("feature"), (F.col("event_id") % 3).alias("value"))
+    return ask.feature_overlap(e.where("user_id % 50 = 0").select(*rows("query_id")).distinct(), e.select(*rows("id")).distinct())
+
+
 @R.query("""WITH f AS (SELECT DISTINCT doc_id AS id, lang AS value FROM documents WHERE doc_id % 3 <> 0)
 SELECT doc_id AS id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = d.doc_id AND value NOT IN ('en', 'fr')) AND source <> 'src7'""")
 def facet_filtered(spark, d):
@@ -165,6 +173,13 @@ def combined_licences(spark, d):
     return ask.combine_licences(rows, "source", ["commercial"], ["attribution"])
 
 
+@R.query(R.sql["combined_licences"].replace(" WHERE doc_id % 13 < 3", ""))
+def whole_combined_licences(spark, d):
+    """As combined_licences, of all documents."""
+    rows = table(spark, d, "documents").select("source", F.expr("CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END").alias("commercial"), F.expr("CASE WHEN doc_id % 50 = 3 THEN NULL ELSE doc_id % 40 = 5 END").alias("attribution"), F.col("lang").alias("licence"))
+    return ask.combine_licences(rows, "source", ["commercial"], ["attribution"])
+
+
 @R.query("""WITH r AS (SELECT label AS query_id, 'all' AS section, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS n FROM embeddings)
 SELECT query_id, section, list(vec_id ORDER BY n) AS ids FROM r WHERE n <= 6 GROUP BY 1, 2""")
 def answer_frames(spark, d):

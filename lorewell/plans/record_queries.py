@@ -63,6 +63,13 @@ def stripped_pages(spark, d):
     return records.page_furniture(table(spark, d, "orders").where("o_orderkey % 40 = 1").select((F.col("o_custkey") % 40).alias("doc"), F.col("o_orderkey").alias("page"), text.alias("text")))
 
 
+@R.query(R.sql["stripped_pages"].replace(" WHERE o_orderkey % 40 = 1)", ")"))
+def whole_stripped_pages(spark, d):
+    """As stripped_pages, of all orders."""
+    text = F.concat_ws("\n", F.concat(F.lit("Journal "), F.col("o_orderkey").cast("string")), "o_orderpriority", F.concat(F.lit("body "), F.col("o_totalprice").cast("string")), F.lit(""), F.lit("more text"), (F.col("o_orderkey") % 900).cast("string"))
+    return records.page_furniture(table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("doc"), F.col("o_orderkey").alias("page"), text.alias("text")))
+
+
 @R.query("""WITH s AS (SELECT doc_id AS id, i * 300 AS off, substr(text, i * 300 + 1, 300) AS piece FROM documents, range(8) t(i) WHERE i = 0 OR i * 300 < length(text))
 SELECT id, off, piece FROM s WHERE length(piece) >= 40""")
 def text_slices(spark, d):
