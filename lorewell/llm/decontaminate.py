@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Words come in two views: literal (lower-cased) and template, in which names (capitalised
-inside a sentence), numbers and units after numbers are typed placeholders.  Hashed windows
-of both views are joined with those of the benchmark items.  Where a template window of a
+Words come in three views: literal (lower-cased), template, in which names (capitalised
+inside a sentence), numbers and units after numbers are typed placeholders, and wide template,
+in which all capitalised words are names and 1,500 or 2.5 is one number.  Hashed windows
+of these views are joined with those of the benchmark items.  Where a template window of a
 document fits an item, the values in its slots are compared, copy by copy: in a
 re-parameterised question, each value of the item stands for one value of the document and
 the other way round.
@@ -10,6 +11,8 @@ the other way round.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,19 +22,25 @@ from lorewell.llm.graph import saved
 WINDOW = 8
 #: A document has an item if so many windows, or so large a share of the item's windows, fit.
 MIN_WINDOWS, MIN_SHARE = 6, 0.5
+#: Words besides placeholders that an item of under WINDOW words needs to be found by template.
+MIN_FIXED = 4
 #: Rows of item windows up to which they are broadcast (under 40 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Units that become a placeholder after a number.
 UNITS = "mm cm m km in ft yd mi miles mile meters metres meter metre kilometers kilometres g mg kg lb lbs oz grams kilograms pounds ounces l ml liters litres gallons s sec seconds second min minutes minute h hr hours hour days day weeks week months month years year c f k degrees percent dollars dollar cents euros euro eur usd gbp mph kmh kph hz khz mhz ghz w kw v a j kj cal kcal".split()
 
 _NAME, _NUM, _UNIT = "<name>", "<num>", "<unit>"
-_MARK = "\u0001"
-_BREAK = r"[^\p{L}\p{N}\x01]+"
+_MARK, _POINT = "\u0001", "\u0002"
+_BREAK = r"[^\p{L}\p{N}\x01\x02]+"
 
 
-def _marked(text: Column) -> Column:
-    """The text with a mark before each capitalised word inside a sentence."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _MARK, " "), r"(?<=[\p{L}\p{N},] )(?=\p{Lu}\p{Ll})", _MARK)
+def _marked(text: Column, wide: bool = False) -> Column:
+    """The text with a mark before each capitalised word inside a sentence; wide: before all, and with whole numbers such as 1,500 and 2.5."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{_MARK}{_POINT}]", " ")
+    if not wide:
+        return F.regexp_replace(text, r"(?<=[\p{L}\p{N},] )(?=\p{Lu}\p{Ll})", _MARK)
+    joined = F.regexp_replace(F.regexp_replace(text, "(?<=[0-9])[.](?=[0-9])", _POINT), "(?<=[0-9]),(?=[0-9])", "")
+    return F.regexp_replace(joined, r"(?<![\p{L}\p{N}])(?=\p{Lu}\p{Ll})", _MARK)
 
 
 def _words(text: Column) -> Column:
@@ -57,90 +66,112 @@ def _typed_words(frame: DataFrame) -> DataFrame:
     return literal.withColumn("template", F.transform("words", typed))
 
 
-def _with_windows(frame: DataFrame, words: str, name: str) -> DataFrame:
-    """A column of the hashes of the windows of WINDOW words; empty if there are too few words."""
+def _with_windows(frame: DataFrame, words: str, name: str, size: int) -> DataFrame:
+    """A column of the hashes of the windows of ``size`` words; empty if there are too few words."""
     hashed = frame.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
-    heads = F.slice("_h", F.lit(1), F.greatest(F.size("_h") - (WINDOW - 1), F.lit(0)))
-    return hashed.withColumn(name, F.transform(heads, lambda _, i: F.xxhash64(F.slice("_h", i + 1, F.lit(WINDOW))))).drop("_h")
+    heads = F.slice("_h", F.lit(1), F.greatest(F.size("_h") - (size - 1), F.lit(0)))
+    return hashed.withColumn(name, F.transform(heads, lambda _, i: F.xxhash64(F.slice("_h", i + 1, F.lit(size))))).drop("_h")
 
 
-def _views(frame: DataFrame, key: str) -> DataFrame:
-    """(key, view, pos, h): every window of both views (of the template, where it differs)."""
-    marked = frame.select(key, _marked(F.col("text")).alias("marked"))
+def _views(frame: DataFrame, key: str, size: int = WINDOW, base: str = "lu") -> DataFrame:
+    """(key, view, pos, h): every window of the views l and t (where it differs from l), and of u, the wide template."""
     # Without a mark or a digit, no word has a placeholder.
     some = F.col("marked").rlike("[\x01\\p{N}]")
-    literal = marked.select(key, _words(F.lower(F.replace("marked", F.lit(_MARK), F.lit("")))).alias("literal"))
-    typed = _typed_words(marked.where(some))
-    one = _with_windows(literal, "literal", "hs").select(key, F.lit("l").alias("view"), F.posexplode_outer("hs").alias("pos", "h")).where("h is not null")
-    both = _with_windows(_with_windows(typed, "literal", "l"), "template", "t")
-    # A template window equal to the literal one says nothing more.
-    two = both.select(key, F.lit("t").alias("view"), F.posexplode_outer(F.arrays_zip("l", "t")).alias("pos", "w")).where("w.l <> w.t").select(key, "view", "pos", F.col("w.t").alias("h"))
-    return one.unionByName(two)
+
+    def typed(wide: bool) -> DataFrame:
+        words = _typed_words(frame.select(key, _marked(F.col("text"), wide).alias("marked")).where(some))
+        fixed = F.size(F.filter("template", lambda w: ~w.isin(_NAME, _NUM, _UNIT)))
+        return words if size == WINDOW else words.where(fixed >= MIN_FIXED)
+
+    parts = []
+    if "l" in base:
+        literal = frame.select(key, _words(F.lower(F.replace(_marked(F.col("text")), F.lit(_MARK), F.lit("")))).alias("literal"))
+        parts.append(_with_windows(literal, "literal", "hs", size).select(key, F.lit("l").alias("view"), F.posexplode_outer("hs").alias("pos", "h")).where("h is not null"))
+        both = _with_windows(_with_windows(typed(False), "literal", "l", size), "template", "t", size)
+        # A template window equal to the literal one says nothing more.
+        parts.append(both.select(key, F.lit("t").alias("view"), F.posexplode_outer(F.arrays_zip("l", "t")).alias("pos", "w")).where("w.l <> w.t").select(key, "view", "pos", F.col("w.t").alias("h")))
+    if "u" in base:
+        parts.append(_with_windows(typed(True), "template", "hs", size).select(key, F.lit("u").alias("view"), F.posexplode_outer("hs").alias("pos", "h")).where("h is not null"))
+    return reduce(DataFrame.unionByName, parts).withColumn("size", F.lit(size))
 
 
 def _slots(frame: DataFrame, key: str) -> DataFrame:
-    """(key, pos, word, kind): the words of a few texts with the placeholder of each, or itself."""
-    both = _typed_words(frame.select(key, _marked(F.col("text")).alias("marked")))
-    out = both.select(key, F.posexplode_outer(F.arrays_zip("literal", "template")).alias("pos", "w"))
-    return out.select(key, "pos", F.col("w.literal").alias("word"), F.col("w.template").alias("kind"))
+    """(key, base, pos, word, kind): the words of a few texts with the placeholder of each, or itself, in both templates."""
+    marked = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), _marked(F.col("text"), b == "u").alias("marked")) for b in "lu"])).alias("m")
+    both = _typed_words(frame.select(key, marked).select(key, "m.base", "m.marked"))
+    out = both.select(key, "base", F.posexplode_outer(F.arrays_zip("literal", "template")).alias("pos", "w"))
+    return out.select(key, "base", "pos", F.col("w.literal").alias("word"), F.col("w.template").alias("kind"))
+
+
+def _short_items(items: DataFrame) -> list[tuple[int, str, DataFrame]]:
+    """(size, base, items) of the items of under WINDOW words, by their words in a view."""
+    size = lambda wide: F.size(_words(_marked(F.col("text"), wide)))
+    sized = items.select("item", "text", size(False).alias("l"), size(True).alias("u"))
+    found = sized.where(F.least("l", "u") < WINDOW).select("l", "u").distinct().collect()
+    return [(n, b, sized.where(F.col(b) == n).select("item", "text")) for b in "lu" for n in sorted({r[b] for r in found}) if 0 < n < WINDOW]
 
 
 def _copies(templates: DataFrame) -> DataFrame:
-    """(doc, item, copy, place, pos): the template windows by the copies of the item that they may be of.
+    """(doc, item, base, copy, place, pos, size): the template windows by the copies of the item that they may be of.
 
     Windows are of one copy if they have one alignment (pos - place), if they follow each other
     in the document with gaps of under two windows (a copy with words put in or left out), or
     if each is the first of its place (a copy in parts).  A window is in one copy of each kind.
     """
-    near = Window.partitionBy("doc", "item").orderBy("pos")
+    near = Window.partitionBy("doc", "item", "base").orderBy("pos")
     start = F.col("pos") - F.coalesce(F.lag("pos").over(near), F.col("pos")) >= 2 * WINDOW
     runs = templates.withColumn("start", start.cast("int")).withColumn("run", F.sum("start").over(near))
-    firsts = templates.groupBy("doc", "item", "place").agg(F.min("pos").alias("pos"))
+    firsts = templates.groupBy("doc", "item", "base", "place", "size").agg(F.min("pos").alias("pos"))
     copy = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n")).alias("copy")
-    aligned = templates.select("doc", "item", copy("a", F.col("pos") - F.col("place")), "place", "pos")
-    return aligned.unionByName(runs.select("doc", "item", copy("r", F.col("run")), "place", "pos")).unionByName(firsts.select("doc", "item", copy("f", F.lit(0)), "place", "pos"))
+    aligned = templates.select("doc", "item", "base", copy("a", F.col("pos") - F.col("place")), "place", "pos", "size")
+    return aligned.unionByName(runs.select("doc", "item", "base", copy("r", F.col("run")), "place", "pos", "size")).unionByName(firsts.select("doc", "item", "base", copy("f", F.lit(0)), "place", "pos", "size"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short_items: bool = False) -> DataFrame:
     """(``id_col``, text_hash, items): the documents that hold benchmark items, and which.
 
     An item is in a document if windows at MIN_WINDOWS places of the item, or at a share
     MIN_SHARE of its places, fit: by their words anywhere, or by template in one copy of the
-    item whose slots stand for each other one to one.  Cases: a null or empty text and one of under WINDOW words hold
-    nothing; an item of under WINDOW words is in no document; repeated rows (equal id and
+    item whose slots stand for each other one to one.  With ``short_items``, an item of under WINDOW words is one window
+    of its own length (by template if MIN_FIXED of its words are no placeholders), else it is
+    in no document.  Cases: a null or empty text holds nothing; repeated rows (equal id and
     text) are one document; a null id is a document of its own text; empty tables give no
     row; further columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
-    places = _views(items, "item").select("item", "view", F.col("pos").alias("place"), "h")
-    n_windows = places.where("view = 'l'").groupBy("item").agg(F.count("*").alias("n_places"))
+    short = _short_items(items) if short_items else []
+    windows = reduce(DataFrame.unionByName, [_views(few, "item", n, b) for n, b, few in short], _views(items, "item"))
+    base = F.when(F.col("view") == "u", "u").otherwise("l").alias("base")
+    places = windows.select("item", "view", base, F.col("pos").alias("place"), "size", "h")
+    n_windows = places.where("view <> 't'").groupBy("item", "base").agg(F.count("*").alias("n_places"))
     small = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col))).alias("s")).first()["s"] or 0
     bounded = small <= BROADCAST_ROWS  # two windows a word at most, and a word has two bytes with its space
     hint = F.broadcast if bounded else (lambda x: x)
     # A document is its id and text; the key stands for both.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", F.struct("id", F.xxhash64("text").alias("text_hash")).alias("doc"))
-    fits = _views(texts, "doc").join(hint(places.withColumnRenamed("view", "item_view")), "h").where("view = item_view")
-    hits = saved(fits.select("doc", "item", "view", "place", "pos").distinct())
-    literal = hits.where("view = 'l'").select("doc", "item", "place").distinct()
+    own = reduce(DataFrame.unionByName, [_views(texts, "doc", n, b) for n, b, _ in short], _views(texts, "doc"))
+    fits = own.drop("size").join(hint(places.withColumnRenamed("view", "item_view")), "h").where("view = item_view")
+    hits = saved(fits.select("doc", "item", "base", "view", "place", "pos", "size").distinct())
+    literal = hits.where("view = 'l'").select("doc", "item", "base", "place").distinct()
     enough = lambda n: (n >= MIN_WINDOWS) | (n >= MIN_SHARE * F.col("n_places"))
-    n_fit = hits.groupBy("doc", "item", "view", "place").agg(F.lit(1).alias("one")).groupBy("doc", "item").agg(F.countDistinct("place").alias("n_all"), F.count(F.when(F.col("view") == "l", 1)).alias("n_literal"))
-    n_fit = n_fit.join(hint(n_windows), "item").where(enough(F.col("n_all")))
+    n_fit = hits.groupBy("doc", "item", "base", "view", "place").agg(F.lit(1).alias("one")).groupBy("doc", "item", "base").agg(F.countDistinct("place").alias("n_all"), F.count(F.when(F.col("view") == "l", 1)).alias("n_literal"))
+    n_fit = n_fit.join(hint(n_windows), ["item", "base"]).where(enough(F.col("n_all")))
     # Words alone decide these; of the others, slots are looked at.
     sure = n_fit.where(enough(F.col("n_literal"))).select("doc", "item")
-    unsure = n_fit.where(~enough(F.col("n_literal"))).select("doc", "item", "n_literal", "n_places")
+    unsure = n_fit.where(~enough(F.col("n_literal"))).join(sure, ["doc", "item"], "left_anti").select("doc", "item", "base", "n_literal", "n_places")
     # Template windows count if the slots of one copy and the item agree one to one.
-    templates = _copies(hits.where("view = 't'").join(unsure, ["doc", "item"], "left_semi"))
-    span = F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k")
-    pairs = templates.select("doc", "item", "copy", "place", "pos", span).select("doc", "item", "copy", (F.col("place") + F.col("k")).alias("item_pos"), (F.col("pos") + F.col("k")).alias("pos")).distinct()
+    templates = _copies(hits.where("view <> 'l'").join(unsure, ["doc", "item", "base"], "left_semi"))
+    span = F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k")
+    pairs = templates.select("doc", "item", "base", "copy", "place", "pos", span).select("doc", "item", "base", "copy", (F.col("place") + F.col("k")).alias("item_pos"), (F.col("pos") + F.col("k")).alias("pos")).distinct()
     wanted = unsure.select("doc").distinct()
-    doc_words = _slots(texts.join(wanted, "doc", "left_semi"), "doc").select("doc", "pos", F.col("word").alias("doc_word"), F.col("kind").alias("doc_kind"))
-    item_words = _slots(items, "item").select("item", F.col("pos").alias("item_pos"), F.col("word").alias("item_word"))
-    slots = pairs.join(hint(item_words), ["item", "item_pos"]).join(doc_words, ["doc", "pos"]).where(F.col("doc_kind").isin(_NAME, _NUM, _UNIT))
-    values = slots.select("doc", "item", "copy", "item_word", "doc_word", "doc_kind").distinct()
-    odd = values.groupBy("doc", "item", "copy", "item_word", "doc_kind").agg(F.count("*").alias("c")).where("c > 1").select("doc", "item", "copy")
-    odd = odd.union(values.groupBy("doc", "item", "copy", "doc_word", "doc_kind").agg(F.count("*").alias("c")).where("c > 1").select("doc", "item", "copy")).distinct()
-    more = templates.join(odd, ["doc", "item", "copy"], "left_anti").join(literal, ["doc", "item", "place"], "left_anti")
-    found = more.groupBy("doc", "item", "copy").agg(F.countDistinct("place").alias("n")).join(unsure, ["doc", "item"])
+    doc_words = _slots(texts.join(wanted, "doc", "left_semi"), "doc").select("doc", "base", "pos", F.col("word").alias("doc_word"), F.col("kind").alias("doc_kind"))
+    item_words = _slots(items, "item").select("item", "base", F.col("pos").alias("item_pos"), F.col("word").alias("item_word"))
+    slots = pairs.join(hint(item_words), ["item", "base", "item_pos"]).join(doc_words, ["doc", "base", "pos"]).where(F.col("doc_kind").isin(_NAME, _NUM, _UNIT))
+    values = slots.select("doc", "item", "base", "copy", "item_word", "doc_word", "doc_kind").distinct()
+    odd = values.groupBy("doc", "item", "base", "copy", "item_word", "doc_kind").agg(F.count("*").alias("c")).where("c > 1").select("doc", "item", "base", "copy")
+    odd = odd.union(values.groupBy("doc", "item", "base", "copy", "doc_word", "doc_kind").agg(F.count("*").alias("c")).where("c > 1").select("doc", "item", "base", "copy")).distinct()
+    more = templates.join(odd, ["doc", "item", "base", "copy"], "left_anti").join(literal, ["doc", "item", "base", "place"], "left_anti")
+    found = more.groupBy("doc", "item", "base", "copy").agg(F.countDistinct("place").alias("n")).join(unsure, ["doc", "item", "base"])
     held = sure.unionByName(found.where(enough(F.col("n") + F.col("n_literal"))).select("doc", "item").distinct())
     out = held.groupBy("doc").agg(F.sort_array(F.collect_list("item")).alias("items"))
     return out.select(F.col("doc.id").alias(id_col), F.col("doc.text_hash").alias("text_hash"), "items")

@@ -32,6 +32,15 @@ def test_one_consistent_copy_beside_others(spark):
     assert run(spark, docs) == {0: [1], 1: [1], 2: [1], 3: [1], 4: []}
 
 
+def test_short_items_sentence_names_and_whole_numbers(spark):
+    items = [(1, "What is the capital of France?"), (2, "Ann has 3 pens. Ann buys 4. Ben has 5 pens. Ben sells 2. Ann wins."), (3, "A shop sold 750 cups at a price of 3 euros and then 20 plates"), (4, "Paris")]
+    docs = ["Quiz: what is the capital of France? Nobody knew.", "So: Eve has 7 pens. Eve buys 9. Tom has 6 pens. Tom sells 1. Eve wins.", "So: Eve has 7 pens. Tom buys 9. Eve has 6 pens. Tom sells 1. Amy wins.", "Then a shop sold 1,500 cups at a price of 2.5 euros and then 40 plates.", "The capital of France is a city", "in Rome", "to paris"]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in contaminated(frame, bench, short_items=True).collect()}
+    assert got == {0: [1], 1: [2], 3: [3], 6: [4]}
+
+
 def test_both_items_and_part_of_one(spark):
     part = " ".join(OTHER.split()[:14])
     assert run(spark, [ITEM + ". " + OTHER, part, " ".join(OTHER.split()[:9])]) == {0: [1, 2], 1: [2], 2: []}
