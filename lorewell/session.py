@@ -23,8 +23,17 @@ def local_session(cores: int | None = None, app: str = "lorewell") -> SparkSessi
 
 
 def saved(frame: DataFrame) -> DataFrame:
-    """The rows, written once to the folder that all executors share; later plans start from there."""
+    """The rows, written once to the folder that all executors share; later plans start from there.
+
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, a session within
+    one process (as in tests) has a folder of its own, and a cluster's raises an error.
+    """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = "/tmp/checkpoints"
+        context.setCheckpointDir(folder)
     return frame.checkpoint(eager=True)
