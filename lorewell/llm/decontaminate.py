@@ -1,12 +1,12 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Words come in three views: literal (lower-cased), template, in which names (capitalised
-inside a sentence), numbers and units after numbers are typed placeholders, and wide template,
-in which all capitalised words are names and 1,500 or 2.5 is one number.  Hashed windows
-of these views are joined with those of the benchmark items.  Where a template window of a
-document fits an item, the values in its slots are compared, copy by copy: in a
-re-parameterised question, each value of the item stands for one value of the document and
-the other way round.
+A text is cut into words once (``1,500`` and ``2.5`` are one number each) and read in two
+views: literal (lower-cased), and template, in which capitalised words, numbers and units
+after numbers are typed placeholders.  The hashed windows of both views are made by the
+generated code of one scan, joined with those of the benchmark items, and only hits leave
+it.  Where template windows of a document fit an item, the values in their slots are
+compared copy by copy: in a re-parameterised question, each value of the item stands for
+one value of the document and the other way round.
 """
 
 from __future__ import annotations
@@ -16,178 +16,163 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.llm.graph import saved
+from lorewell.llm.graph import fresh, hinted, saved
 
-#: Words of a window, a power of two.
+#: Words of a window.
 WINDOW = 8
 #: A document has an item if so many windows, or so large a share of the item's windows, fit.
 MIN_WINDOWS, MIN_SHARE = 6, 0.5
 #: Words besides placeholders that an item of under WINDOW words needs to be found by template.
 MIN_FIXED = 4
-#: Rows of item windows up to which they are broadcast (under 40 bytes each); beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of benchmark text up to which its windows are broadcast (two a word at most, under 40 bytes each); beyond, both sides are shuffled.
+BROADCAST_BYTES = 1_000_000
 #: Units that become a placeholder after a number.
 UNITS = "mm cm m km in ft yd mi miles mile meters metres meter metre kilometers kilometres g mg kg lb lbs oz grams kilograms pounds ounces l ml liters litres gallons s sec seconds second min minutes minute h hr hours hour days day weeks week months month years year c f k degrees percent dollars dollar cents euros euro eur usd gbp mph kmh kph hz khz mhz ghz w kw v a j kj cal kcal".split()
 
-_NAME, _NUM, _UNIT = "<name>", "<num>", "<unit>"
-_MARK, _POINT = "\u0001", "\u0002"
-_BREAK = r"[^\p{L}\p{N}\x01\x02]+"
+#: The point inside a number, and the placeholders of names, numbers and units; texts have blanks for these characters.
+_POINT, _NAME, _NUM, _UNIT = _MARKS = "\u0001\u0002\u0003\u0004"
+_LETTER = r"[\p{L}\p{N}\x01]"
+_KEY = ("id", "text_hash")
 
 
-def _marked(text: Column, wide: bool = False) -> Column:
-    """The text with a mark before each capitalised word inside a sentence; wide: before all, and with whole numbers such as 1,500 and 2.5."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{_MARK}{_POINT}]", " ")
-    if not wide:
-        return F.regexp_replace(text, r"(?<=[\p{L}\p{N},] )(?=\p{Lu}\p{Ll})", _MARK)
-    joined = F.regexp_replace(F.regexp_replace(text, "(?<=[0-9])[.](?=[0-9])", _POINT), "(?<=[0-9]),(?=[0-9])", "")
-    return F.regexp_replace(joined, r"(?<![\p{L}\p{N}])(?=\p{Lu}\p{Ll})", _MARK)
+def _words(texts: DataFrame) -> DataFrame:
+    """Columns literal and template (arrays of words, place by place) instead of ``text``, and low and high: words are at low <= pos < high.
 
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, _BREAK), lambda w: w != "")
-
-
-def _typed_words(frame: DataFrame) -> DataFrame:
-    """Columns literal and template (arrays of words) beside ``marked``.
-
-    Arrays that a lambda looks into are columns of their own (each named twice at least) and are
-    exploded by outer generators (to others, the optimizer adds a filter that it pushes below
-    those columns), so that they are not made anew for every element.
+    Columns that are used twice are projected before they are, so that they are not made anew for each use.
     """
-    words = frame.withColumn("words", _words(F.col("marked")))
-    literal = words.withColumn("literal", F.transform("words", lambda w: F.lower(F.replace(w, F.lit(_MARK), F.lit("")))))
-    number = lambda w: w.rlike("^[0-9]")
-
-    def typed(w: Column, i: Column) -> Column:
-        low = F.get("literal", i)
-        unit = low.isin(UNITS) & F.coalesce(number(F.get("words", i - 1)), F.lit(False))
-        return F.when(w.startswith(_MARK), F.lit(_NAME)).when(number(w), F.lit(_NUM)).when(unit, F.lit(_UNIT)).otherwise(low)
-
-    return literal.withColumn("template", F.transform("words", typed))
-
-
-def _with_windows(frame: DataFrame, words: str, name: str, size: int) -> DataFrame:
-    """A column of the hashes of the windows of ``size`` words; empty if there are too few words."""
-    hashed = frame.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
-    heads = F.slice("_h", F.lit(1), F.greatest(F.size("_h") - (size - 1), F.lit(0)))
-    return hashed.withColumn(name, F.transform(heads, lambda _, i: F.xxhash64(F.slice("_h", i + 1, F.lit(size))))).drop("_h")
-
-
-def _views(frame: DataFrame, key: str, size: int = WINDOW, base: str = "lu") -> DataFrame:
-    """(key, view, pos, h): every window of the views l and t (where it differs from l), and of u, the wide template."""
-    # Without a mark or a digit, no word has a placeholder.
-    some = F.col("marked").rlike("[\x01\\p{N}]")
+    rest = [c for c in texts.columns if c != "text"]
+    text = F.coalesce("text", F.lit(""))
+    marked = reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in _MARKS])
+    clean = texts.select(*rest, F.when(marked, F.regexp_replace(text, r"[\x01-\x04]", " ")).otherwise(text).alias("clean"))
+    joined = F.regexp_replace(F.regexp_replace(F.col("clean"), r"[.](?=[0-9])(?<=[0-9][.])", _POINT), r",(?=[0-9])(?<=[0-9],)", "")
+    plain = clean.select(*rest, F.when(F.col("clean").rlike("[0-9][.,][0-9]"), joined).otherwise(F.col("clean")).alias("plain"))
+    names = F.regexp_replace("plain", rf"\p{{Lu}}(?<!{_LETTER}\p{{Lu}})\p{{Ll}}{_LETTER}*", _NAME)
+    numbers = F.regexp_replace(names, rf"[0-9](?<!{_LETTER}[0-9]){_LETTER}*", _NUM)
+    units = F.regexp_replace(numbers, rf"(?iu)\x03[^\p{{L}}\p{{N}}\x01-\x04]+(?:{'|'.join(UNITS)})(?!{_LETTER})", f"{_NUM} {_UNIT}")
+    # Each word is one token of its view, so that the two split alike; a split at either end leaves an empty word there.
+    out = plain.select(*rest, F.split(F.lower("plain"), r"[^\p{L}\p{N}\x01]+").alias("literal"), F.split(F.lower(units), r"[^\p{L}\p{N}\x01-\x04]+").alias("template"))
+    edge = lambda i: (F.element_at("literal", i) == "").cast("int")
+    return out.select(*rest, "literal", "template", edge(1).alias("low"), (F.size("literal") - edge(-1)).alias("high"))
+
+
+def _hash(view: str, n: int, pos: Column) -> Column:
+    """The hash of the window of ``n`` words at ``pos`` of a view; it tells size and view."""
+    return F.xxhash64(F.lit(f"{view}{n}"), *[F.get(view, pos + k) for k in range(n)])
+
+
+def _windows(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """(the other columns, pos, h): every window of these sizes in both views.
+
+    The arrays are exploded by position and windows are read from them in the same generated
+    code; the generators are outer ones, as to others the optimizer adds a filter that it pushes
+    below the arrays, which would then be made twice.
+    """
+    rest = [c for c in texts.columns if c != "text"]
+    at = _words(texts).select(*rest, "literal", "template", "low", "high", F.posexplode_outer("literal").alias("pos", "word"))
+    pos = F.col("pos")
+    inside = lambda n: (pos >= F.col("low")) & (pos + n <= F.col("high"))
+    hashes = F.array(*[F.when(inside(n), _hash(view, n, pos)) for n in sizes for view in ("literal", "template")])
+    return at.select(*rest, "pos", F.explode_outer(hashes).alias("h")).where("h is not null")
 
-    def typed(wide: bool) -> DataFrame:
-        words = _typed_words(frame.select(key, _marked(F.col("text"), wide).alias("marked")).where(some))
-        fixed = F.size(F.filter("template", lambda w: ~w.isin(_NAME, _NUM, _UNIT)))
-        return words if size == WINDOW else words.where(fixed >= MIN_FIXED)
 
-    parts = []
-    if "l" in base:
-        literal = frame.select(key, _words(F.lower(F.replace(_marked(F.col("text")), F.lit(_MARK), F.lit("")))).alias("literal"))
-        parts.append(_with_windows(literal, "literal", "hs", size).select(key, F.lit("l").alias("view"), F.posexplode_outer("hs").alias("pos", "h")).where("h is not null"))
-        both = _with_windows(_with_windows(typed(False), "literal", "l", size), "template", "t", size)
-        # A template window equal to the literal one says nothing more.
-        parts.append(both.select(key, F.lit("t").alias("view"), F.posexplode_outer(F.arrays_zip("l", "t")).alias("pos", "w")).where("w.l <> w.t").select(key, "view", "pos", F.col("w.t").alias("h")))
-    if "u" in base:
-        parts.append(_with_windows(typed(True), "template", "hs", size).select(key, F.lit("u").alias("view"), F.posexplode_outer("hs").alias("pos", "h")).where("h is not null"))
-    return reduce(DataFrame.unionByName, parts).withColumn("size", F.lit(size))
+def _item_windows(items: DataFrame, short_items: bool) -> tuple[DataFrame, list[int]]:
+    """(item, literal, place, size, n_places, h) of the items' windows, saved, and their sizes."""
+    size = F.col("high") - F.col("low")
+    words = saved(_words(items).withColumn("size", F.least(size, F.lit(WINDOW))).where((F.col("size") == WINDOW) | (F.lit(short_items) & (F.col("size") > 0))))
+    sizes = sorted(r["size"] for r in words.select("size").distinct().collect())
 
+    def part(view: str, n: int) -> DataFrame:
+        ends = F.sequence(F.col("low"), F.col("high") - n)
+        at = words.where(F.col("size") == n).select("item", view, (size - n + 1).alias("n_places"), F.explode(ends).alias("place"))
+        fixed = F.size(F.filter(F.slice(view, F.col("place") + 1, n), lambda w: ~w.isin(_NAME, _NUM, _UNIT)))
+        told = F.lit(view == "literal" or n == WINDOW) | (fixed >= MIN_FIXED)
+        return at.where(told).select("item", F.lit(view == "literal").alias("literal"), "place", F.lit(n).alias("size"), "n_places", _hash(view, n, F.col("place")).alias("h"))
 
-def _slots(frame: DataFrame, key: str) -> DataFrame:
-    """(key, base, pos, word, kind): the words of a few texts with the placeholder of each, or itself, in both templates."""
-    marked = F.explode(F.array(*[F.struct(F.lit(b).alias("base"), _marked(F.col("text"), b == "u").alias("marked")) for b in "lu"])).alias("m")
-    both = _typed_words(frame.select(key, marked).select(key, "m.base", "m.marked"))
-    out = both.select(key, "base", F.posexplode_outer(F.arrays_zip("literal", "template")).alias("pos", "w"))
-    return out.select(key, "base", "pos", F.col("w.literal").alias("word"), F.col("w.template").alias("kind"))
+    parts = [part(view, n) for n in sizes or [WINDOW] for view in ("literal", "template")]
+    return saved(reduce(DataFrame.unionByName, parts)), sizes
 
 
-def _short_items(items: DataFrame) -> list[tuple[int, str, DataFrame]]:
-    """(size, base, items) of the items of under WINDOW words, by their words in a view."""
-    size = lambda wide: F.size(_words(_marked(F.col("text"), wide)))
-    sized = items.select("item", "text", size(False).alias("l"), size(True).alias("u"))
-    found = sized.where(F.least("l", "u") < WINDOW).select("l", "u").distinct().collect()
-    return [(n, b, sized.where(F.col(b) == n).select("item", "text")) for b in "lu" for n in sorted({r[b] for r in found}) if 0 < n < WINDOW]
+def _slots(texts: DataFrame, key: str) -> DataFrame:
+    """(key, pos, word, kind): the words of a few texts, with the placeholder of each or itself."""
+    out = _words(texts).select(key, F.posexplode_outer(F.arrays_zip("literal", "template")).alias("pos", "w"))
+    return out.select(key, "pos", F.col("w.literal").alias("word"), F.col("w.template").alias("kind"))
 
 
 def _copies(templates: DataFrame) -> DataFrame:
-    """(doc, item, base, copy, place, pos, size): the template windows by the copies of the item that they may be of.
+    """(doc, item, copy, place, pos, size): the template windows by the copies of the item that they may be of.
 
     Windows are of one copy if they have one alignment (pos - place), if they follow each other
     in the document with gaps of under two windows (a copy with words put in or left out), or
     if each is the first of its place (a copy in parts).  A window is in one copy of each kind.
     """
-    near = Window.partitionBy("doc", "item", "base").orderBy("pos")
+    near = Window.partitionBy("doc", "item").orderBy("pos")
     start = F.col("pos") - F.coalesce(F.lag("pos").over(near), F.col("pos")) >= 2 * WINDOW
     runs = templates.withColumn("start", start.cast("int")).withColumn("run", F.sum("start").over(near))
-    firsts = templates.groupBy("doc", "item", "base", "place", "size").agg(F.min("pos").alias("pos"))
+    firsts = templates.groupBy("doc", "item", "place", "size").agg(F.min("pos").alias("pos"))
     copy = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n")).alias("copy")
-    aligned = templates.select("doc", "item", "base", copy("a", F.col("pos") - F.col("place")), "place", "pos", "size")
-    return aligned.unionByName(runs.select("doc", "item", "base", copy("r", F.col("run")), "place", "pos", "size")).unionByName(firsts.select("doc", "item", "base", copy("f", F.lit(0)), "place", "pos", "size"))
+    aligned = templates.select("doc", "item", copy("a", F.col("pos") - F.col("place")), "place", "pos", "size")
+    return aligned.unionByName(runs.select("doc", "item", copy("r", F.col("run")), "place", "pos", "size")).unionByName(firsts.select("doc", "item", copy("f", F.lit(0)), "place", "pos", "size"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short_items: bool = False) -> DataFrame:
-    """(``id_col``, text_hash, items): the documents that hold benchmark items, and which.
+    """(``id_col``, text_hash, items), saved: the documents that hold benchmark items, and which.
 
     An item is in a document if windows at MIN_WINDOWS places of the item, or at a share
     MIN_SHARE of its places, fit: by their words anywhere, or by template in one copy of the
-    item whose slots stand for each other one to one.  With ``short_items``, an item of under WINDOW words is one window
-    of its own length (by template if MIN_FIXED of its words are no placeholders), else it is
-    in no document.  Cases: a null or empty text holds nothing; repeated rows (equal id and
-    text) are one document; a null id is a document of its own text; empty tables give no
-    row; further columns are ignored.
+    item whose slots stand for each other one to one.  With ``short_items``, an item of under
+    WINDOW words is one window of its own length (by template if MIN_FIXED of its words are no
+    placeholders), else it is in no document.  Cases: a null or empty text holds nothing; a very
+    long text costs its words, one row at a time; repeated rows (equal id and text) are one
+    document; a null id is a document of its own text; several texts of one item id are each
+    looked for, and null ones are left out; there are no ties, as every item held is listed;
+    empty tables give no row; further columns are ignored, whatever their names.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
-    short = _short_items(items) if short_items else []
-    windows = reduce(DataFrame.unionByName, [_views(few, "item", n, b) for n, b, few in short], _views(items, "item"))
-    base = F.when(F.col("view") == "u", "u").otherwise("l").alias("base")
-    places = windows.select("item", "view", base, F.col("pos").alias("place"), "size", "h")
-    n_windows = places.where("view <> 't'").groupBy("item", "base").agg(F.count("*").alias("n_places"))
-    small = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col))).alias("s")).first()["s"] or 0
-    bounded = small <= BROADCAST_ROWS  # two windows a word at most, and a word has two bytes with its space
+    item = F.struct(F.col(item_col).alias("id"), F.xxhash64(F.col(item_text_col)).alias("text_hash")).alias("item")
+    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(item, F.col(item_text_col).alias("text")).dropDuplicates(["item"])
+    places, sizes = _item_windows(items, short_items)
+    bounded = (items.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0) <= BROADCAST_BYTES
     hint = F.broadcast if bounded else (lambda x: x)
     # A document is its id and text; the key stands for both.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", "text", F.struct("id", F.xxhash64("text").alias("text_hash")).alias("doc"))
-    own = reduce(DataFrame.unionByName, [_views(texts, "doc", n, b) for n, b, _ in short], _views(texts, "doc"))
-    fits = own.drop("size").join(hint(places.withColumnRenamed("view", "item_view")), "h").where("view = item_view")
-    hits = saved(fits.select("doc", "item", "base", "view", "place", "pos", "size").distinct())
-    literal = hits.where("view = 'l'").select("doc", "item", "base", "place").distinct()
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")).alias("doc"), F.col(text_col).alias("text"))
+    fits = _windows(texts, sizes or [WINDOW]).join(hint(places), "h")
+    # Where a literal window is in the document does not matter.
+    hits = saved(fits.select("doc", "item", "n_places", "literal", "place", "size", F.when(~F.col("literal"), F.col("pos")).alias("pos")).distinct())
     enough = lambda n: (n >= MIN_WINDOWS) | (n >= MIN_SHARE * F.col("n_places"))
-    n_fit = hits.groupBy("doc", "item", "base", "view", "place").agg(F.lit(1).alias("one")).groupBy("doc", "item", "base").agg(F.countDistinct("place").alias("n_all"), F.count(F.when(F.col("view") == "l", 1)).alias("n_literal"))
-    n_fit = n_fit.join(hint(n_windows), ["item", "base"]).where(enough(F.col("n_all")))
+    by_place = hits.groupBy("doc", "item", "n_places", "place").agg(F.max(F.col("literal").cast("int")).alias("literal"))
+    n_fit = saved(by_place.groupBy("doc", "item", "n_places").agg(F.count("*").alias("n_all"), F.sum("literal").alias("n_literal")).where(enough(F.col("n_all"))))
     # Words alone decide these; of the others, slots are looked at.
     sure = n_fit.where(enough(F.col("n_literal"))).select("doc", "item")
-    unsure = n_fit.where(~enough(F.col("n_literal"))).join(sure, ["doc", "item"], "left_anti").select("doc", "item", "base", "n_literal", "n_places")
+    unsure = n_fit.where(~enough(F.col("n_literal"))).select("doc", "item", "n_literal", "n_places")
     # Template windows count if the slots of one copy and the item agree one to one.
-    templates = _copies(hits.where("view <> 'l'").join(unsure, ["doc", "item", "base"], "left_semi"))
+    templates = saved(_copies(hits.where("not literal").join(unsure, ["doc", "item"], "left_semi")))
     span = F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k")
-    pairs = templates.select("doc", "item", "base", "copy", "place", "pos", span).select("doc", "item", "base", "copy", (F.col("place") + F.col("k")).alias("item_pos"), (F.col("pos") + F.col("k")).alias("pos")).distinct()
-    wanted = unsure.select("doc").distinct()
-    doc_words = _slots(texts.join(wanted, "doc", "left_semi"), "doc").select("doc", "base", "pos", F.col("word").alias("doc_word"), F.col("kind").alias("doc_kind"))
-    item_words = _slots(items, "item").select("item", "base", F.col("pos").alias("item_pos"), F.col("word").alias("item_word"))
-    slots = pairs.join(hint(item_words), ["item", "base", "item_pos"]).join(doc_words, ["doc", "base", "pos"]).where(F.col("doc_kind").isin(_NAME, _NUM, _UNIT))
-    values = slots.select("doc", "item", "base", "copy", "item_word", "doc_word", "doc_kind").distinct()
-    odd = values.groupBy("doc", "item", "base", "copy", "item_word", "doc_kind").agg(F.count("*").alias("c")).where("c > 1").select("doc", "item", "base", "copy")
-    odd = odd.union(values.groupBy("doc", "item", "base", "copy", "doc_word", "doc_kind").agg(F.count("*").alias("c")).where("c > 1").select("doc", "item", "base", "copy")).distinct()
-    more = templates.join(odd, ["doc", "item", "base", "copy"], "left_anti").join(literal, ["doc", "item", "base", "place"], "left_anti")
-    found = more.groupBy("doc", "item", "base", "copy").agg(F.countDistinct("place").alias("n")).join(unsure, ["doc", "item", "base"])
-    held = sure.unionByName(found.where(enough(F.col("n") + F.col("n_literal"))).select("doc", "item").distinct())
-    out = held.groupBy("doc").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    return out.select(F.col("doc.id").alias(id_col), F.col("doc.text_hash").alias("text_hash"), "items")
+    pairs = templates.select("doc", "item", "copy", "place", "pos", span).select("doc", "item", "copy", (F.col("place") + F.col("k")).alias("item_pos"), (F.col("pos") + F.col("k")).alias("pos")).distinct()
+    wanted = hinted(saved(unsure.select("doc").distinct()))
+    doc_words = _slots(texts.join(wanted, "doc", "left_semi"), "doc").where(F.col("kind").isin(_NAME, _NUM, _UNIT)).select("doc", "pos", F.col("word").alias("doc_word"), "kind")
+    item_words = _slots(items, "item").select("item", F.col("pos").alias("item_pos"), F.col("word").alias("item_word"))
+    values = saved(pairs.join(hint(item_words), ["item", "item_pos"]).join(doc_words, ["doc", "pos"]).select("doc", "item", "copy", "item_word", "doc_word", "kind").distinct())
+    odd = values.groupBy("doc", "item", "copy", "item_word", "kind").agg(F.count("*").alias("c")).where("c > 1").select("doc", "item", "copy")
+    odd = odd.union(values.groupBy("doc", "item", "copy", "doc_word", "kind").agg(F.count("*").alias("c")).where("c > 1").select("doc", "item", "copy")).distinct()
+    literal = hits.where("literal").select("doc", "item", "place")
+    more = templates.join(odd, ["doc", "item", "copy"], "left_anti").join(literal, ["doc", "item", "place"], "left_anti")
+    found = more.groupBy("doc", "item", "copy").agg(F.countDistinct("place").alias("n")).join(unsure, ["doc", "item"])
+    held = sure.unionByName(found.where(enough(F.col("n") + F.col("n_literal"))).select("doc", "item"))
+    out = held.groupBy("doc").agg(F.sort_array(F.collect_set("item.id")).alias("items"))
+    return saved(out.select(F.col("doc.id").alias(id_col), F.col("doc.text_hash").alias("text_hash"), "items"))
 
 
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """Per row of ``docs``: (``id_col``, contaminated, n_items, items); cases as in :func:`contaminated`."""
-    found = contaminated(docs, benchmark, id_col, text_col, **names).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), "items")
-    own = docs.select(id_col, F.xxhash64(text_col).alias("_own"))
-    both = own.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    found = contaminated(docs, benchmark, id_col, text_col, **names).select(F.col(id_col).alias("found_id"), F.col("text_hash").alias("found_hash"), "items")
+    own = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash"))
+    both = own.join(hinted(found), F.col("own_id").eqNullSafe(F.col("found_id")) & (F.col("own_hash") == F.col("found_hash")), "left")
     items = F.coalesce("items", F.array().cast(found.schema["items"].dataType))
-    return both.select(id_col, F.col("items").isNotNull().alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"))
+    return both.select(F.col("own_id").alias(id_col), F.col("items").isNotNull().alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    found = contaminated(docs, benchmark, id_col, text_col, **names).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash"))
-    return docs.join(found.hint("shuffle_hash"), same, "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with all their columns; cases as in :func:`contaminated`."""
+    found_id, found_hash = fresh(docs.columns, "found_id", "found_hash")
+    found = contaminated(docs, benchmark, id_col, text_col, **names).select(F.col(id_col).alias(found_id), F.col("text_hash").alias(found_hash))
+    same = F.col(id_col).eqNullSafe(F.col(found_id)) & (F.xxhash64(F.col(text_col)) == F.col(found_hash))
+    return docs.join(hinted(found), same, "left_anti")
