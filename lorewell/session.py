@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,13 +24,13 @@ def local_session(cores: int | None = None, app: str = "lorewell") -> SparkSessi
     )
 
 
-def saved(frame: DataFrame) -> DataFrame:
-    """The rows, written once to the folder that all executors share; later plans start from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, a session within
-    one process (as in tests) has a folder of its own, and a cluster's raises an error.
+    Where that is unset, a session within one process (as in tests) has a folder of its own, and
+    a cluster's raises an error.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -36,4 +38,21 @@ def saved(frame: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "/tmp/checkpoints"
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def saved(frame: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder; later plans start from there."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def written(frame: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The rows as a Parquet table in the shared folder, read again, and what deletes it (the session's end does, too)."""
+    spark = frame.sparkSession
+    folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(path)
+    return spark.read.parquet(folder), lambda: store.delete(path, True)
