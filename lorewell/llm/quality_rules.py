@@ -10,14 +10,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lorewell.llm import spans
 
 SYMBOLS = b"#*$%&|<>"
-#: Bytes that end a sentence or a clause; any byte of a longer character may.
-CLOSING = b".!?:;,\"')]"
-#: Lower-cased phrases of page furniture.
-FURNITURE = (b"javascript", b"cookie policy", b"privacy policy", b"terms of use", b"terms of service", b"all rights reserved", b"subscribe to our", b"sign up for", b"click here", b"lorem ipsum", b"skip to content")
+#: Characters that end a sentence or a clause.
+CLOSING = ".!?:;,\"')]»”’…。！？；：、）」』"
+#: Lower-cased phrases of page furniture, by language (A-Z alone are lower-cased in a text).
+FURNITURE_PHRASES = {
+    "en": ("javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "subscribe to our", "sign up for", "click here", "lorem ipsum", "skip to content"),
+    "fr": ("politique de confidentialité", "tous droits réservés", "conditions d'utilisation", "cliquez ici", "abonnez-vous à", "aller au contenu", "mentions légales"),
+    "de": ("datenschutzerklärung", "alle rechte vorbehalten", "nutzungsbedingungen", "klicken sie hier", "newsletter abonnieren", "zum inhalt springen"),
+    "es": ("política de privacidad", "todos los derechos reservados", "términos de uso", "haga clic aquí", "suscríbete a", "saltar al contenido", "aviso legal"),
+}
+FURNITURE = tuple(p.encode() for phrases in FURNITURE_PHRASES.values() for p in phrases)
 _U = np.uint64
 
 
@@ -46,12 +54,26 @@ def _table(members: bytes) -> np.ndarray:
     return out
 
 
-_SYMBOL, _CLOSING = _table(SYMBOLS), _table(CLOSING)
-_CLOSING[128:] = True
+_SYMBOL, _CLOSING = _table(SYMBOLS), _table("".join(c for c in CLOSING if c.isascii()).encode())
+#: Those of more bytes, as numbers, by their size.
+_WIDE = {n: np.array([int.from_bytes(b, "big") for c in CLOSING if len(b := c.encode()) == n], np.int64) for n in (2, 3)}
 _CAPITAL = _table(bytes(range(65, 91)))
 _LETTER = _CAPITAL | _table(bytes(range(97, 123)))
 
 
+def _closed(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Is the character before each end (with a word there) one of CLOSING?"""
+    out = _CLOSING[raw[ends - 1]]
+    wide = np.flatnonzero(raw[ends - 1] >= 128)
+    for n, members in _WIDE.items():
+        at = wide[ends[wide] >= n]
+        code = np.zeros(len(at), np.int64)
+        for k in range(n, 0, -1):
+            code = code << 8 | raw[ends[at] - k]
+        out[at] |= np.isin(code, members)
+    return out
+
+
 def measure(raw: np.ndarray, at: np.ndarray, rules: Rules) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Counts for each document; starts, ends, documents and verdicts of the lines."""
     docs = len(at) - 1
@@ -91,7 +113,7 @@ def measure(raw: np.ndarray, at: np.ndarray, rules: Rules) -> tuple[dict[str, np
     failed = symbols[l1] - symbols[l0] > rules.symbols_per_word * n
     failed |= (many >= rules.capital_letters) & (capitals[l1] - capitals[l0] > rules.capital_share * many)
     closed = np.ones(len(n), bool)
-    closed[full] = _CLOSING[raw[ends[w1[full] - 1] - 1]]
+    closed[full] = _closed(raw, ends[w1[full] - 1])
     failed |= (n < rules.unclosed_words) & ~closed
     low = spans.LOWER[raw].tobytes()
     for phrase in FURNITURE:
@@ -122,9 +144,10 @@ def quality_report(docs: DataFrame, rules: Rules | None = None, id_col: str = "d
 
     The base fails a document of few words or of many words in repeated 5-word windows.
     Else its lines are judged (symbols, capitals, missing punctuation, page furniture) and
-    it is kept if the lines that pass hold ``kept_share`` of its word characters.  Cases: a
-    null or blank text has no words and fails; a null id passes through; repeated rows are
-    judged alike; an empty table gives no row; further columns are ignored.
+    it is kept if the lines that pass hold ``kept_share`` of its word characters (as many is
+    enough).  Cases: a null or blank text has no words and fails; a very long text is a pass of
+    its own, in memory that grows with it alone; a null id passes through; repeated rows are
+    judged alike; an empty table gives no row; further columns are ignored, whatever their names.
     """
     rules = rules or Rules()
 
@@ -137,17 +160,19 @@ def quality_report(docs: DataFrame, rules: Rules | None = None, id_col: str = "d
 
     kind = docs.schema[id_col].dataType.simpleString()
     longs = lambda names: ", ".join(f"{k} long" for k in names)
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, {longs(_COUNTS)}, base_failed boolean, kept boolean, {longs(_MORE)}").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {longs(_COUNTS)}, base_failed boolean, kept boolean, {longs(_MORE)}").withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, rules: Rules | None = None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns, without the lines that failed.
 
-    An n_chars column follows the text.  Cases as in :func:`quality_report`.
+    A column n_chars of whole numbers follows the text; one of another type is passed through,
+    as are all further columns.  Cases as in :func:`quality_report`.
     """
     rules = rules or Rules()
     names = docs.columns
     at_text = names.index(text_col)
+    sized = "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, IntegralType)
 
     def run(batches):
         for batch in batches:
@@ -165,7 +190,7 @@ def keep_clean(docs: DataFrame, rules: Rules | None = None, text_col: str = "tex
                         texts[k] = b"\n".join(data[a:b] for a, b, bad in zip(l0[own], l1[own], failed[own], strict=True) if not bad).decode()
                 columns = list(table.columns)
                 columns[at_text] = pa.array(texts, pa.string())
-                if "n_chars" in names:
+                if sized:
                     columns[names.index("n_chars")] = pa.array([len(x) for x in texts], table.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

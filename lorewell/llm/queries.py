@@ -145,7 +145,7 @@ def _op9_sql() -> str:
     r = Rules()
     quote = lambda b: b.decode().replace("'", "''")
     furniture = " OR ".join(f"contains(low, '{quote(p)}')" for p in FURNITURE)
-    closing = "".join(f"\\{c}" for c in CLOSING.decode()).replace("'", "''")
+    closing = "".join(f"\\{c}" if c.isascii() else c for c in CLOSING).replace("'", "''")
     symbols = "".join(f"\\{c}" for c in SYMBOLS.decode())
     return rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, coalesce(text, '') AS text FROM documents),
@@ -160,7 +160,7 @@ l AS (
     length(regexp_replace(line, '[^A-Z]', '', 'g')) AS cap,
     length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS let,
     translate(line, '{_UPPER}', '{_LOWER}') AS low,
-    regexp_matches(line, '([{closing}]|[^\x00-\x7F])[\x20\x09-\x0D]*$') AS closed
+    regexp_matches(line, '[{closing}][\x20\x09-\x0D]*$') AS closed
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM w)),
 f AS (
   SELECT *, n > 0 AND (sym > {r.symbols_per_word} * n OR (let >= {r.capital_letters} AND cap > {r.capital_share} * let)

@@ -17,7 +17,7 @@ def passes(line):
     letters, capitals = len(re.findall("[A-Za-z]", line)), len(re.findall("[A-Z]", line))
     low = re.sub("[A-Z]", lambda m: m[0].lower(), line)
     bad = sum(line.count(c) for c in "#*$%&|<>") > 0.3 * len(w) or letters >= 12 and capitals > 0.7 * letters
-    bad |= bool(w) and len(w) < 4 and not re.search(r"([.!?:;,\"')\]]|[^\x00-\x7f])$", w[-1])
+    bad |= bool(w) and len(w) < 4 and not re.search(r"[.!?:;,\"')\]»”’…。！？；：、）」』]$", w[-1])
     bad |= len(w) <= 40 and any(p.decode() in low for p in quality_rules.FURNITURE)
     return not (w and bad)
 
