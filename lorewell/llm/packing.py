@@ -9,6 +9,7 @@ pool of bounded size, so that no row moves and no task waits for another.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Examples that a task chooses from at once.
 POOL = 256
@@ -152,15 +154,32 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: (``id_col``, start, length, ids, doc_tokens, sequence_id, offset).
+def _examples(batch: pa.RecordBatch, vocabulary: str, end_id: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(row, ids, ids of the prompt) of the rows of a batch of id, text and perhaps prompt."""
+    code = encoder(vocabulary).encode
+    for first, got, at in code(batch.column(1)):
+        n = len(at) - 1
+        asked: list[np.ndarray] = []
+        if batch.num_columns > 2:
+            for _, ids, cuts in code(batch.column(2).slice(first, n)):
+                asked += [ids[a:b] for a, b in itertools.pairwise(cuts)]
+        for i in range(n):
+            head = asked[i] if asked else got[:0]
+            yield first + i, np.concatenate([head, got[at[i] : at[i + 1]], np.array([end_id], got.dtype)]).astype("<u4"), len(head)
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
+    """Per piece: (``id_col``, start, length, ids, doc_tokens, loss_tokens, sequence_id, offset).
 
     A document is the ids of its text under the vocabulary file (which every executor has
     at the same path) and then ``end_id``; ids is a piece's part of them as little-endian
-    32-bit words.  All ids of a document bear loss.  Each id is in one piece, offsets of a
-    sequence have no gap, and no sequence exceeds the limits.  Cases: a null or empty text
-    is the end id alone; rows of one id are packed each on its own; a null id passes
-    through; an empty table gives no row; further columns are ignored.
+    32-bit words.  With ``prompt_col``, the ids of the prompt come before them and bear no
+    loss; all others do, and loss_tokens counts them in a piece.  Each id is in one piece,
+    offsets of a sequence have no gap, and no sequence exceeds the limits.  Cases: a null or
+    empty text is the end id alone, a null prompt is none; a very long text is cut, and its ids
+    are held until its last piece is placed; of examples with equal dot products, the
+    first of the pool is taken; rows of one id are packed each on its own; a null id
+    passes through; an empty table gives no row; further columns are ignored, whatever their names.
     """
     limits = limits or Limits()
 
@@ -168,14 +187,14 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Li
         packer, ids, names = Packer(limits), {}, {}
         sequence = TaskContext.get().partitionId() << 33
         open_: dict[int, int] = {}
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(8)]
 
         def put(pieces: list[Piece]) -> None:
             nonlocal sequence
             offset = 0
             for p in pieces:
                 whole = ids[p.item]
-                for c, v in zip(cols, (names[p.item], p.start, p.length, whole[p.start : p.start + p.length].tobytes(), len(whole), sequence, offset), strict=True):
+                for c, v in zip(cols, (names[p.item], p.start, p.length, whole[p.start : p.start + p.length].tobytes(), len(whole), p.loss, sequence, offset), strict=True):
                     c.append(v)
                 offset += p.length
                 open_[p.item] -= p.length
@@ -184,8 +203,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Li
             sequence += bool(pieces)
 
         def flush() -> pa.RecordBatch:
-            kinds = (kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            kinds = (kind, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4)
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset"])
             for c in cols:
                 c.clear()
             return out
@@ -194,21 +213,23 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Li
         for batch in batches:
             kind = batch.column(0).type
             own = batch.column(0).to_pylist()
-            row = 0
-            for _, got, at in encoder(vocabulary).encode(batch.column(1)):
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    ids[item] = np.append(got[a:b], np.uint32(end_id)).astype("<u4")
-                    names[item], open_[item] = own[row], int(b - a + 1)
-                    for pieces in packer.feed(item, int(b - a + 1)):
-                        put(pieces)
-                    item, row = item + 1, row + 1
+            for row, whole, asked in _examples(batch, vocabulary, end_id):
+                ids[item], names[item], open_[item] = whole, own[row], len(whole)
+                before = np.maximum(np.arange(len(whole) + 1) - asked, 0) if batch.num_columns > 2 else None
+                for pieces in packer.feed(item, len(whole), before):
+                    put(pieces)
+                item += 1
                 if len(cols[0]) > 1000:
                     yield flush()
         for pieces in packer.finish():
             put(pieces)
+            if len(cols[0]) > 1000:
+                yield flush()
         if item:
             yield flush()
 
     kind_sql = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind_sql}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    columns = {"id": id_col, "text": text_col} | ({"prompt": prompt_col} if prompt_col else {})
+    chosen = docs.select(*[F.col(c).alias(k) for k, c in columns.items()])
+    out = chosen.mapInArrow(run, f"id {kind_sql}, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
