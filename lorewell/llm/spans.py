@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one pass of the kernels looks at (one longer document is a pass of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -121,6 +121,27 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return h
 
 
+def equal_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Has each span the bytes of the span of index ``other``?"""
+    size = ends - starts
+    same = size == size[other]
+    if not len(starts) or not len(raw):
+        return same
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    lanes = np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))
+    todo, offset = np.flatnonzero(same & (other != np.arange(len(starts)))), 0
+    while len(todo):
+        left = size[todo] - offset
+        todo, left = todo[left > 0], left[left > 0]
+        differ = lanes[starts[todo] + offset] ^ lanes[starts[other[todo]] + offset]
+        part = left < 8
+        differ[part] &= (_U(1) << (left[part].astype(_U) * _U(8))) - _U(1)
+        same[todo[differ != 0]] = False
+        todo, offset = todo[differ == 0], offset + 8
+    return same
+
+
 def ngrams(h: np.ndarray, doc: np.ndarray, n: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word windows of each document, and their documents.
 

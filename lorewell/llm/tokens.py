@@ -17,8 +17,8 @@ import pyarrow as pa
 
 from lorewell.llm import spans
 
-#: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers before it starts anew, and bytes of a longer piece that it does not remember.
+REMEMBERED, LONGEST = 100_000, 256
 _U = np.uint64
 
 # Classes of characters: letter, digit, white space, other; the apostrophe is told apart.
@@ -109,7 +109,11 @@ class Encoder:
 
         import tiktoken
 
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if any(a >= b for a, b in itertools.pairwise(merged)):
+            raise ValueError(f"the merges of {path} are not in the order of their ids")
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(letters))}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte_of for c in token)}
@@ -118,20 +122,20 @@ class Encoder:
         return core.encode_single_piece
 
     def _clear(self) -> None:
-        self.seen: dict[int, int] = {}
+        self.seen: dict[bytes, int] = {}
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _places(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: bytes) -> np.ndarray:
-        """Where the memory has each piece; new ones are encoded first."""
+    def _places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where the memory has each of some distinct pieces; new ones are encoded first."""
         if len(self.seen) > REMEMBERED:
             self._clear()
-        place = np.fromiter(map(self.seen.get, keys.tolist(), itertools.repeat(-1)), np.int64, len(keys))
+        place = np.fromiter(map(self.seen.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(place < 0)
         if len(new):
-            found = [self.piece(whole[a:b]) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            found = [self.piece(pieces[i]) for i in new]
             place[new] = len(self.begin) + np.arange(len(new))
-            self.seen.update(zip(keys[new].tolist(), place[new].tolist(), strict=True))
+            self.seen.update((pieces[i], at) for i, at in zip(new, place[new].tolist(), strict=True) if len(pieces[i]) <= LONGEST)
             size = np.fromiter(map(len, found), np.int64, len(found))
             self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(size) - size]
             self.size = np.r_[self.size, size]
@@ -167,8 +171,12 @@ class Encoder:
         starts, ends, doc = cut_pieces(raw, at)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        keys, where, back = np.unique(spans.hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
-        place = self._places(keys, starts[where], ends[where], whole)[back]
+        _, where, back = np.unique(spans.hash_spans(raw, starts, ends), return_index=True, return_inverse=True)
+        if not spans.equal_spans(raw, starts, ends, where[back]).all():  # two pieces of one hash
+            first: dict[bytes, int] = {}
+            back = np.array([first.setdefault(whole[a:b], len(first)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+            where = np.unique(back, return_index=True)[1]
+        place = self._places([whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])[back]
         n = self.size[place]
         ends_at = np.cumsum(n)
         index = np.repeat(self.begin[place] - (ends_at - n), n) + np.arange(ends_at[-1])
