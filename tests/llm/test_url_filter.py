@@ -3,7 +3,10 @@ import random
 
 import pytest
 
-from lorewell.llm.url_filter import HOST_RULES, Automaton, judge_urls, parts
+from lorewell.llm.queries import oracle_sql
+from lorewell.llm.url_filter import BLOCK_GLOBS, HOST_RULES, Automaton, canonical, judge_urls, parts
+
+from ..oracle import normal
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -13,7 +16,8 @@ def test_automaton_matches_fnmatch(seed):
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(200)]
     got = Automaton([g.encode() for g in globs]).match([t.encode() for t in texts])
     for t, row in zip(texts, got, strict=True):
-        assert row.tolist() == [fnmatch.fnmatchcase(t, g) if g else t == "" and False for g in globs] or row.tolist() == [fnmatch.fnmatchcase(t, g) and bool(g) for g in globs]
+        # A rule without characters fits nothing.
+        assert row.tolist() == [bool(g) and fnmatch.fnmatchcase(t, g) for g in globs]
 
 
 def test_parts():
@@ -40,5 +44,32 @@ def test_rules_against_plain_python(spark):
     assert sorted(got, key=key) == sorted([(i, *plain(u)) for i, u in rows], key=key)
 
 
+def test_canonical():
+    assert canonical("me@www.spam.com:8080", "/A//b/%43%2f%7Ex%zz%") == ("www.spam.com", "/a/b/c%2f~x%zz%")
+    assert canonical("host..", "") == ("host", "") and canonical("", "//") == ("", "/")
+    assert canonical("h", "/%2541%%341") == ("h", "/%2541%41")
+
+
+def test_odd_urls_equal_the_sql(spark):
+    import duckdb
+
+    rng = random.Random(8)
+    hosts = ["com", "u:p@ads.x.com:80", "Casino.net.", "a.banner12.org", "h", "x.spam-y.z", "my-poker.io:"]
+    paths = ["", "/", "/LOGIN", "/%6cogin/x", "//wp%2dlogin", "/a.EXE", "/a.ex%65", "/%", "/%4", "/%2541", "/cart//", "/en/7", "/é%C3%A9.png"]
+    rows = [(i, f"http://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?x.exe', '#y'])}") for i in range(300)] + [(300, None), (301, "://"), (302, "a://b")]
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    want = [normal(r) for r in con.sql(oracle_sql()["op5_url_filter"]).fetchall()]
+    assert sorted(map(list, got)) == sorted(want)
+    assert {v for *_, v in got} == {"allow", "block"} and len(BLOCK_GLOBS) > 40
+    # Against each glob alone, in plain Python.
+    for (_, url), (_, host, path, rule, verdict) in zip(rows, sorted(got), strict=True):
+        h, p = canonical(*parts(url))
+        fits = any(fnmatch.fnmatchcase("." + h, a) and fnmatch.fnmatchcase(p, b) for a, b in (g.split("|") for g in BLOCK_GLOBS))
+        assert (host, path) == parts(url) and (rule is not None or verdict == ("block" if fits else "allow"))
+
+
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
