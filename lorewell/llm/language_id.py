@@ -13,15 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.llm import sampling, spans
+from lorewell.llm.graph import saved
 
 #: Bytes of context.
 ORDER = 4
-#: Training documents of each language, about: those whose hash of the id is small enough.
-DOCS_PER_LANGUAGE = 300
+#: Training documents of each language and of all languages, at most: those of the smallest hash of the id.
+DOCS_PER_LANGUAGE, TRAINING_DOCS = 300, 30_000
 #: Bits of difference in code length that a factor e in the score stands for.
 TEMPERATURE = 8.0
 UNKNOWN = "und"
@@ -149,18 +150,19 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
 
 
 def _training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> dict[str, list[str]]:
-    """About ``most`` texts of each language, by hash of the id."""
-    usable = docs.where(~sampling.held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["k"]: r["count"] for r in usable.groupBy(F.col(lang_col).alias("k")).count().collect()}
-    if len(sizes) > 1000:
-        raise ValueError(f"{lang_col} has {len(sizes)} values")
-    if not sizes:
-        return {}
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1_000_000, int(1_000_000 * most / n) + 1)))])
-    chosen = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share[F.col(lang_col)])
+    """``most`` texts of each language at most, and TRAINING_DOCS in all, by hash of the id.
+
+    Ids are chosen first, without their texts; tasks send on no more than they may keep.
+    """
+    usable = docs.where(~sampling.held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & sampling.short_enough(text_col))
+    keys = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text_hash")
+    chosen = saved(keys.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= most))
+    languages = chosen.select("lang").distinct().count()
+    few = saved(chosen.where(F.col("place") <= max(1, TRAINING_DOCS // max(1, languages))))
     out: dict[str, list[str]] = {}
-    for r in chosen.select(F.col(lang_col).alias("k"), F.col(text_col).alias("t")).toLocalIterator():
-        out.setdefault(r["k"], []).append(r["t"])
+    for r in sampling.texts_of(docs, few, id_col, text_col).orderBy("lang", "place").toLocalIterator():
+        out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 
@@ -177,12 +179,15 @@ def _lettered(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """Per row of ``docs``: (``id_col``, held_out, lang_pred, score).
 
-    The model learns from about ``docs_per_language`` documents of each language that are not
-    held out.  score is the share of the shortest code among all, with differences in bits
-    divided by TEMPERATURE.  Cases: a null text, one without a letter, or a table without a
-    labelled row gives ``und`` with score 0; equal code lengths go to the first language in
-    order; a null id is not held out and not learnt from; an empty table gives no row; further
-    columns are ignored.
+    The model learns from ``docs_per_language`` documents of each language at most that are not
+    held out (and from TRAINING_DOCS in all, fewer of each where there are many languages), of
+    texts up to ``sampling.LONGEST_TEXT`` bytes.  score is the share of the shortest code among
+    all, with differences in bits divided by TEMPERATURE.  Cases: a null text, one without a
+    letter, or a table without a labelled row gives ``und`` with score 0; a very long text is
+    scored whole, as a pass of its own; equal code lengths go to the first language in order;
+    repeated rows are scored alike, and equal rows are learnt from as often as they are chosen;
+    a null id is not held out and not learnt from; an empty table gives no row; further
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     texts = _training_texts(docs, id_col, text_col, lang_col, docs_per_language)
@@ -191,7 +196,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         m = model.value
         for batch in batches:
-            for first, stop, raw, at in spans.passes(batch.column(2), 1 << 20):
+            for first, stop, raw, at in spans.passes(batch.column(2)):
                 sure = _lettered(raw, at)
                 names, score = [UNKNOWN] * (stop - first), np.zeros(stop - first)
                 if m is not None and sure.any():

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.llm import sampling, spans
+from lorewell.llm.graph import saved
 
 #: Labelled documents that the model is fitted on, at most (those of the smallest hash of the id).
 TRAINING_DOCS = 3000
@@ -150,31 +151,29 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", training_docs: int = TRAINING_DOCS) -> DataFrame:
     """Per row of ``docs``: (``id_col``, held_out, score, predicted).
 
-    The model is fitted on ``training_docs`` labelled documents at most, none held out; a document
-    with several labels has their mean, halves as 1.  Cases: a null or empty text has a score as
-    any other; without labelled documents, or with labels of one kind, the score is the share of
-    that kind (0.5 without any); a null id is not held out and not learnt from; rows of one id
-    are scored by their own text; an empty table gives no row; further columns are ignored.
+    The model is fitted on ``training_docs`` labelled documents at most, none held out, of texts
+    up to ``sampling.LONGEST_TEXT`` bytes; a document with several labels has their mean, halves
+    as 1.  Cases: a null or empty text has a score as any other; a very long text is scored whole,
+    as a pass of its own; without labelled documents, or with labels of one kind, the score is
+    the share of that kind (0.5 without any); a score of 0.5 is predicted as 1; a null id is not
+    held out and not learnt from; rows of one id are scored by their own text, and the text of
+    the smallest hash is learnt from; repeated rows are scored alike; an empty table gives no
+    row; further columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
-    chosen = sampling.sample_by_hash(marked.where(~sampling.held_out("_id")), "_id", training_docs).collect()
-    known = {r["_id"]: r["_label"] for r in chosen}
-    texts, y = [], []
-    if known:
-        ids = spark.createDataFrame([(k,) for k in known], f"_id {marked.schema['_id'].dataType.simpleString()}")
-        for r in docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("t")).toLocalIterator():
-            texts.append(r["t"] or "")
-            y.append(known[r["_id"]])
-    order = sorted(range(len(y)), key=lambda i: texts[i])
-    texts, y = [texts[i] for i in order], [y[i] for i in order]
+    marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
+    chosen = saved(sampling.sample_by_hash(marked.where(~sampling.held_out("id")), "id", training_docs))
+    own = docs.where(sampling.short_enough(text_col)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    keys = saved(own.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text_hash").alias("text_hash")))
+    rows = sampling.texts_of(docs, keys, id_col, text_col).select(F.coalesce("text", F.lit("")).alias("text"), "label").orderBy("text", "label").collect()
+    texts, y = [r["text"] for r in rows], [r["label"] for r in rows]
     constant = float(np.mean(y)) if y else 0.5
     model = spark.sparkContext.broadcast(train(texts, np.array(y)) if 0 < constant < 1 and len(y) > 1 else None)
 
     def run(batches):
         m = model.value
         for batch in batches:
-            for first, stop, raw, at in spans.passes(batch.column(2), 1 << 20):
+            for first, stop, raw, at in spans.passes(batch.column(2)):
                 score = np.full(stop - first, constant) if m is None else m.score(raw, at)
                 part = batch.slice(first, stop - first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["id", "held_out", "score", "predicted"])

@@ -1,10 +1,15 @@
-"""Training rows for the classifiers: which documents may be learnt from, and a bounded sample of them."""
+"""Training rows for the classifiers: which documents may be learnt from, and bounded samples of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorewell.llm.graph import hinted
+
+#: Bytes of a text that a model learns from, at most: longer ones are left out of the samples (they are scored like all others).
+LONGEST_TEXT = 100_000
+
 
 def held_out(id_col: str = "doc_id") -> Column:
     """The documents that no model learns from: crc32 of the id as text leaves 1 when divided by 3."""
@@ -14,3 +19,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 def sample_by_hash(labelled: DataFrame, id_col: str, most: int) -> DataFrame:
     """``most`` rows at most, those of the smallest hash of the id: the same whatever the partitions."""
     return labelled.orderBy(F.xxhash64(id_col), id_col).limit(most)
+
+
+def texts_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(the columns of ``keys``, text): a text of each row of a small saved table of (``id``, text_hash, ...)."""
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return own.join(hinted(keys), ["id", "text_hash"]).dropDuplicates(keys.columns).select(*keys.columns, "text")
+
+
+def short_enough(text_col: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) <= LONGEST_TEXT

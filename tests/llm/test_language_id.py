@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
-from lorewell.llm import spans
-from lorewell.llm.language_id import FOLD, identify_language, train
+from pyspark.sql import functions as F
+
+from lorewell.llm import sampling, spans
+from lorewell.llm.language_id import FOLD, TEMPERATURE, _training_texts, identify_language, train
 
 from . import fixtures
 
@@ -52,6 +54,37 @@ def test_held_out_accuracy_and_inputs(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_predictions_equal_brute_force(spark):
+    """The query's whole answer from context trees in plain Python over all rows that it may learn from."""
+    rows = [(d, t if t is None else t[:400], k) for d, t, k, *_ in fixtures.rows()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = identify_language(docs.withColumn("row", F.monotonically_increasing_id()), id_col="row").collect()
+    table = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "text", "lang", sampling.held_out("row").alias("held")).collect()
+    training = defaultdict(list)
+    for r in table:
+        if not r.held and r.lang is not None and r.text is not None:
+            training[r.lang].append(r.text)
+    found = {r.row: r for r in out}
+    for r in table:
+        got = found[r.row]
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        bits = {k: brute_bits(v, r.text) for k, v in training.items()}
+        best = min(bits.values())
+        assert bits[got.lang_pred] < best + 1e-2
+        assert abs(got.score - 1 / sum(2 ** (-(b - best) / TEMPERATURE) for b in bits.values())) < 1e-3
+
+
+def test_samples_are_bounded_by_language_and_in_all(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "cast(pmod(id, 40) AS string) AS lang")
+    whole = _training_texts(docs, "doc_id", "text", "lang", 5)
+    assert len(whole) == 40 and all(len(v) == 5 for v in whole.values())
+    many = docs.selectExpr("doc_id", "text", "cast(doc_id AS string) AS lang").unionByName(docs.selectExpr("doc_id", "repeat('x', 200000) AS text", "'long' AS lang"))
+    found = _training_texts(many, "doc_id", "text", "lang", 300)
+    assert len(found) > 1000 and "long" not in found and all(len(v) == 1 for v in found.values())
+
+
 def test_cases(spark):
     got = [(r.doc_id, r.lang_pred) for r in identify_language(fixtures.docs(spark)).collect()]
     texts = {r[0]: r[1] for r in fixtures.rows()}
