@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.llm import counts, spans
-from lorewell.llm.graph import components, saved
+from lorewell.llm.graph import components, hinted, saved
 
 #: Up to so many documents, a shingle is rare.
 RARE = 16
@@ -39,16 +39,9 @@ RARE = 16
 SUBCLASS = 4
 #: Members of a block of a hub (more for large ones, so that copies of rows grow with the root of its size).
 BLOCK = 128
-#: Rows up to which a table of ids is broadcast (16 bytes each); beyond, it is shuffled.
-BROADCAST_ROWS = 2_000_000
 _U = np.uint64
 
 
-def _small(frame: DataFrame) -> DataFrame:
-    """A hint to broadcast, behind a count of the (saved) rows."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
-
-
 def set_key(s: np.ndarray) -> bytes:
     """128 bits that stand for a set of hashes (sorted, distinct)."""
     with np.errstate(over="ignore"):
@@ -181,29 +174,53 @@ def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _cell_links(left: list[dict], right: list[dict], percent: int) -> set[tuple[int, int]]:
+    """Links between two blocks of members of a hub, one a left member and component."""
+    found: set[tuple[int, int]] = set()
+    for at in range(0, len(left), 512):
+        x = left[at : at + 512]
+        for start in range(0, len(right), 512):
+            y = right[start : start + 512]
+            sets = [[np.frombuffer(r[k], kind) for r in side] for k, kind in (("lacks", "<u4"), ("beyond", "<u8")) for side in (x, y)]
+            size = [np.array([r["n_a"] for r in side], np.int64) for side in (x, y)]
+            lost, more = ([np.array([len(v) for v in s], np.int64) for s in pair] for pair in (sets[:2], sets[2:]))
+            total = size[0][:, None] + size[1][None]
+            may = np.array([r["component"] for r in x])[:, None] != np.array([r["component"] for r in y])[None]
+            # No more can be in common than the hub has left of both and both have beyond it.
+            may &= _linked(x[0]["n_h"] - np.maximum(lost[0][:, None], lost[1][None]) + np.minimum(more[0][:, None], more[1][None]), total, percent)
+            may &= _linked(np.minimum(size[0][:, None], size[1][None]), total, percent)
+            rows, cols = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+            if not len(rows):
+                continue
+            part = np.ix_(rows, cols)
+            common = [_common([s[0][i] for i in rows], [s[1][i] for i in cols]).astype(np.int64) for s in (sets[:2], sets[2:])]
+            both = x[0]["n_h"] - lost[0][rows, None] - lost[1][None, cols] + common[0] + common[1]
+            for i, js in zip(rows, may[part] & _linked(both, total[part], percent), strict=True):
+                first = {y[cols[j]]["component"]: y[cols[j]]["a"] for j in np.flatnonzero(js)[::-1]}
+                found |= {(x[i]["a"], b) for b in first.values()}
+    return found
+
+
 def _across(percent: int):
-    """Links between members of a hub that are in different components: one a member and component."""
-
-    def run(table: pa.Table) -> pa.Table:
-        found: set[tuple[int, int]] = set()
-        cells: dict[tuple, tuple[list, list]] = {}
-        for row in table.to_pylist():
-            cells.setdefault((row["h"], row["i"], row["j"]), ([], []))[row["right"]].append(row)
-        for (_, _, _), (left, right) in cells.items():
-            for at in range(0, len(left), 512):
-                x = left[at : at + 512]
-                for start in range(0, len(right), 512):
-                    y = right[start : start + 512]
-                    sets = [[np.frombuffer(r[k], kind) for r in side] for k, kind in (("lacks", "<u4"), ("beyond", "<u8")) for side in (x, y)]
-                    size = [np.array([r["n_a"] for r in side], np.int64) for side in (x, y)]
-                    lost = [np.array([len(v) for v in s], np.int64) for s in sets[:2]]
-                    both = x[0]["n_h"] - lost[0][:, None] - lost[1][None] + _common(*sets[:2]).astype(np.int64) + _common(*sets[2:]).astype(np.int64)
-                    apart = np.array([r["component"] for r in x])[:, None] != np.array([r["component"] for r in y])[None]
-                    for i, js in enumerate(apart & _linked(both, size[0][:, None] + size[1][None], percent)):
-                        first = {y[j]["component"]: y[j]["a"] for j in np.flatnonzero(js)[::-1]}
-                        found |= {(x[i]["a"], b) for b in first.values()}
-        a, b = zip(*sorted(found), strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    """Links between members of a hub that are in different components, from cells (h, i, j) in order: one cell is held at a time."""
+
+    def run(batches):
+        cell, sides = None, ([], [])
+
+        def links():
+            found = sorted(_cell_links(*sides, percent))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for row in batch.slice(at, 256).to_pylist():
+                    if (own := (row["h"], row["i"], row["j"])) != cell:
+                        if all(sides):
+                            yield links()
+                        cell, sides = own, ([], [])
+                    sides[row["right"]].append(row)
+        if all(sides):
+            yield links()
 
     return run
 
@@ -211,9 +228,9 @@ def _across(percent: int):
 def _differences(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The (saved) pairs (a, h) with what :func:`_verify` finds, from the texts of both."""
     text = docs.select("doc_id", "text")
-    one = text.join(_small(pairs), F.col("doc_id") == F.col("a")).select("a", "h", F.col("text").alias("text_a"))
+    one = text.join(hinted(pairs), F.col("doc_id") == F.col("a")).select("a", "h", F.col("text").alias("text_a"))
     hubs = saved(pairs.select(F.col("h").alias("hub")).distinct())
-    other = text.join(_small(hubs), F.col("doc_id") == F.col("hub")).select(F.col("hub").alias("h"), F.col("text").alias("text_h"))
+    other = text.join(hinted(hubs), F.col("doc_id") == F.col("hub")).select(F.col("hub").alias("h"), F.col("text").alias("text_h"))
     return one.join(other, "h").select("a", "h", "text_a", "text_h").mapInArrow(_verify(n, percent), _DIFFS)
 
 
@@ -229,8 +246,7 @@ def _links_across(diffs: DataFrame, groups: DataFrame, percent: int) -> DataFram
     left = open_.where("component <> main").withColumn("j", every).withColumn("i", F.col("block")).withColumn("right", F.lit(0))
     right = open_.withColumn("i", every).withColumn("j", F.col("block")).withColumn("right", F.lit(1))
     cells = left.unionByName(right).select("h", "i", "j", "right", "a", "n_a", "n_h", "component", "lacks", "beyond")
-    tasks = 8 * counts.partitions(diffs.sparkSession)
-    return cells.groupBy(F.pmod(F.xxhash64("h", "i", "j"), F.lit(tasks)).alias("task")).applyInArrow(_across(percent), "a long, b long")
+    return cells.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_across(percent), "a long, b long")
 
 
 def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,9 +254,11 @@ def shingle_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     n_shingles: size of the row's set.  class_id: smallest id among documents of equal
     sets.  component_id: smallest id that links reach.  Cases: a null or blank text has no
-    shingle, links with nothing and is its own class; fewer than n words are one shingle;
-    rows of one id are one node, whatever their texts; a null id links with nothing and has
-    null class and component; an empty table gives no row; further columns are ignored.
+    shingle, links with nothing and is its own class; fewer than n words are one shingle; a
+    very long text is a pass of its own, in memory that grows with it; a similarity of exactly
+    the threshold links; rows of one id are one node, whatever their texts; a null id links with
+    nothing and has null class and component; an empty table gives no row; further columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
