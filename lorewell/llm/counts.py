@@ -8,8 +8,9 @@ key of a third of all documents costs one entry a batch, so that no range can
 grow hot, and the batch finds its answers by position, so that no key travels
 back.
 
-Keys are cut to ``40 + range_bits`` bits.  Two keys that agree there are
-counted together; with RANGE_KEYS keys a range, that befalls one key in 500,000.
+Keys are cut to ``KEY_BITS + range_bits`` bits (64 at most).  Two keys that agree there are
+counted together; with RANGE_KEYS keys a range, that befalls one key in eight million,
+whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a batch and keys in a range, which bound what one task holds.
 BATCH_BYTES, RANGE_KEYS = 4 << 20, 1 << 21
+#: Bits of a key within its range.
+KEY_BITS = 44
 COUNTS = "b long, r int, seen binary, n binary"
 _U = np.uint64
 
@@ -64,26 +67,31 @@ def unsqueeze(raw: bytes, width: int) -> np.ndarray:
 
 def gaps(keys: np.ndarray) -> np.ndarray:
     """Sorted keys of one range as steps from one to the next (the running sum gives them back)."""
-    keys = keys & _U((1 << 40) - 1)
+    keys = keys & _U((1 << KEY_BITS) - 1)
     return np.diff(keys, prepend=_U(0))
 
 
 def cut(keys: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct cut keys, their counts, and the place of each given key among them."""
-    keys, where = np.unique(keys >> _U(24 - bits), return_inverse=True)
+    keys, where = np.unique(keys >> _U(max(0, 64 - KEY_BITS - bits)), return_inverse=True)
     return keys, np.bincount(where, weights=counts, minlength=len(keys)).astype(np.int64), where
 
 
+def _edges(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each range begins among sorted cut keys, and their end."""
+    return np.r_[np.searchsorted(keys, np.arange(1 << bits, dtype=_U) << _U(min(KEY_BITS, 64 - bits))), len(keys)]
+
+
 def _send(b: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.Table:
-    edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=_U) << _U(40))
-    rows = [(i, b, squeeze(gaps(keys[x:y]), 5), squeeze(counts[x:y], 4)) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+    edges = _edges(keys, bits)
+    rows = [(i, b, squeeze(gaps(keys[x:y]), 6), squeeze(counts[x:y], 4)) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
     r, bs, k, n = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.table({"r": pa.array(r, pa.int32()), "b": pa.array(bs, pa.int64()), "k": pa.array(k, pa.binary()), "n": pa.array(n, pa.binary())})
 
 
 def _add(table: pa.Table) -> pa.Table:
     r, batch = table["r"][0].as_py(), table["b"].to_pylist()
-    keys = [np.cumsum(unsqueeze(x, 5), dtype=_U) for x in table["k"].to_pylist()]
+    keys = [np.cumsum(unsqueeze(x, 6), dtype=_U) for x in table["k"].to_pylist()]
     counts = np.concatenate([unsqueeze(x, 4) for x in table["n"].to_pylist()]).astype(np.int64)
     sizes = [len(x) for x in keys]
     keys = np.concatenate(keys)
@@ -102,7 +110,7 @@ def _add(table: pa.Table) -> pa.Table:
 def totals(answers: pa.Table, keys: np.ndarray, bits: int) -> np.ndarray:
     """The corpus-wide count of each of a batch's sorted cut keys; a key with count one in the corpus has 1."""
     out = np.ones(len(keys), np.int64)
-    edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=_U) << _U(40))
+    edges = _edges(keys, bits)
     for r, seen, n in zip(answers["r"].to_pylist(), answers["seen"].to_pylist(), answers["n"].to_pylist(), strict=True):
         x, y = edges[r], edges[r + 1]
         on = np.unpackbits(np.frombuffer(seen, np.uint8), count=y - x).astype(bool)

@@ -53,9 +53,11 @@ def score_language_model(docs: DataFrame, order: int = ORDER, backoff: float = B
     context there, times ``backoff`` for each order given up; the first words of a text have
     shorter contexts at no cost.  A word in no other document scores as half an occurrence
     below order 1.  n_order_K counts the words scored at order K, and log_score sums natural
-    logarithms.  Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Cases: a text without
-    words has log_score 0 and no mean; each row is a document, so that a repeated row supports
-    its twin; a null id passes through; an empty table gives no row; further columns are ignored.
+    logarithms.  Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Cases: a null text or one
+    without words has log_score 0 and no mean; a very long text is in one batch, in memory that
+    grows with it; each row is a document, so that a repeated row supports its twin; there are no
+    ties; a null id passes through; an empty table gives no row; further columns are ignored,
+    whatever their names.
     """
     spark = docs.sparkSession
     size = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_sizes, "n_bytes long, n_words long").agg(F.sum("n_bytes").alias("b"), F.sum("n_words").alias("w")).first()

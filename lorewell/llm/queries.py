@@ -36,7 +36,9 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.lm_scoring import score_language_model
 
-    return score_language_model(_table(spark, sf_dir, "documents"))
+    out = score_language_model(_table(spark, sf_dir, "documents"))
+    # Sums of doubles differ in their last digits by the order of the words.
+    return out.withColumn("log_score", F.round("log_score", 4)).withColumn("mean_log_score", F.round("mean_log_score", 6))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.pii import find_pii
 
     out = find_pii(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_base", "n_spans")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,6 +107,30 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(class_id, d.doc_id) AS c
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN q ON q.node = d.doc_id"""
 
 
+def _op3_sql() -> str:
+    from lorewell.llm.lm_scoring import BACKOFF
+
+    others = lambda gram: f"count(*) OVER (PARTITION BY {gram}) - count(*) OVER (PARTITION BY r, {gram})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+p AS (SELECT r, len(w) AS n, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT r, n, i, w[i] AS g1, w[i - 1] || ' ' || w[i] AS g2, w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] AS g3 FROM p),
+c AS (SELECT r, n, i, {others("g1")} AS c1, CASE WHEN i > 1 THEN {others("g2")} ELSE 0 END AS c2, CASE WHEN i > 2 THEN {others("g3")} ELSE 0 END AS c3 FROM g),
+x AS (
+  SELECT *, greatest(1, (SELECT count(*) FROM p) - n) AS rest, greatest(1, lag(c1) OVER (PARTITION BY r ORDER BY i)) AS b1,
+    greatest(1, lag(c2) OVER (PARTITION BY r ORDER BY i)) AS b2, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS k
+  FROM c),
+v AS (
+  SELECT r, k, CASE k WHEN 3 THEN ln(c3 / b2) WHEN 2 THEN ln(c2 / b1) WHEN 1 THEN ln(c1 / rest) ELSE ln(0.5 / rest) END
+    + (least(3, i) - greatest(k, 1) + (k = 0)::INT) * ln({BACKOFF}) AS value FROM x),
+s AS (
+  SELECT r, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k = 3) AS n3, count(*) FILTER (k = 0) AS n0, sum(value) AS value
+  FROM v GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n1, 0) AS n_order_1, coalesce(n2, 0) AS n_order_2, coalesce(n3, 0) AS n_order_3, coalesce(n0, 0) AS n_unseen,
+  round(coalesce(value, 0), 4) AS log_score, round(value / len(w), 6) AS mean_log_score
+FROM d LEFT JOIN s USING (r)"""
+
+
 def _op4_sql() -> str:
     return f"""
 WITH l AS (
@@ -119,24 +145,33 @@ FROM d GROUP BY doc_id"""
 
 
 def _op5_sql() -> str:
-    from lorewell.llm.url_filter import BLOCK_GLOBS, HOST_RULES
+    from lorewell.llm.url_filter import BLOCK_GLOBS, HOST_RULES, UNRESERVED
 
     ruled = sorted(HOST_RULES, key=lambda r: -len(r[1] + r[2]))
     fits = lambda h, p: f"(('.' || host) LIKE '%.{h}' AND starts_with(path, '{p}'))"
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ruled)
     says = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ruled)
-    globs = " OR ".join(f"('.' || host || chr(1) || path) GLOB '{g.replace('|', '')}'" if "|" not in g else "(" + " AND ".join((f"('.' || host) GLOB '{g.split('|')[0]}'", f"path GLOB '{g.split('|')[1]}'")) + ")" for g in BLOCK_GLOBS)
+    halves = [g.split("|") for g in BLOCK_GLOBS]
+    globs = " OR ".join(f"(('.' || own_host) GLOB '{h}' AND own_path GLOB '{p}')" for h, p in halves)
+    lower = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
+    code = "chr(('0x' || substr(x, 1, 2))::INT)"
+    plain = f"CASE WHEN NOT regexp_matches(x, '^[0-9a-f]{{2}}') THEN '%' || x WHEN contains('{UNRESERVED}', {lower(code)}) THEN {lower(code)} || substr(x, 3) ELSE '%' || x END"
     return f"""
 WITH u AS (
   SELECT page_id, strpos(url, '://') AS place, url FROM pages),
 p AS (
   SELECT page_id, CASE WHEN place > 0 THEN substr(url, place + 3) ELSE '' END AS rest FROM u),
 h AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p)
+  SELECT page_id, {lower("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+s AS (SELECT *, string_split({lower("path")}, '%') AS pieces FROM h),
+c AS (
+  SELECT page_id, host, path,
+    {lower(r"regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '')")} AS own_host,
+    regexp_replace(pieces[1] || array_to_string(list_transform(pieces[2:], lambda x: {plain}), ''), '/+', '/', 'g') AS own_path
+  FROM s)
 SELECT page_id, host, path, CASE {rule} END AS rule,
   CASE {says} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict
-FROM h"""
+FROM c"""
 
 
 def _op9_sql() -> str:
@@ -184,4 +219,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": _op1_sql(), "op4_line_dedup": _op4_sql(), "op5_url_filter": _op5_sql(), "op9_quality_rules": _op9_sql()}
+    return {"op1_jaccard_join": _op1_sql(), "op3_lm_scoring": _op3_sql(), "op4_line_dedup": _op4_sql(), "op5_url_filter": _op5_sql(), "op9_quality_rules": _op9_sql()}
