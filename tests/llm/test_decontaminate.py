@@ -1,6 +1,9 @@
 import random
+from collections import defaultdict
 
-from lorewell.llm.decontaminate import contaminated, drop_contaminated, mark_contaminated
+import regex
+
+from lorewell.llm.decontaminate import MIN_FIXED, MIN_SHARE, MIN_WINDOWS, UNITS, WINDOW, contaminated, drop_contaminated, mark_contaminated
 
 from . import fixtures
 
@@ -41,6 +44,72 @@ def test_short_items_sentence_names_and_whole_numbers(spark):
     assert got == {0: [1], 1: [2], 3: [3], 6: [4]}
 
 
+def views(text):
+    """(words, placeholders or words) of a text, in plain Python."""
+    text = regex.sub(r"(?<=[0-9]),(?=[0-9])", "", regex.sub(r"(?<=[0-9])\.(?=[0-9])", "\x01", text))
+    out = []
+    for w in regex.findall(r"[\p{L}\p{N}\x01]+", text):
+        kind = "N" if regex.match(r"\p{Lu}\p{Ll}", w) else "#" if w[0] in "0123456789" else "U" if out and out[-1][1] == "#" and w.lower() in UNITS else None
+        out.append((w.lower(), kind or w.lower()))
+    return out
+
+
+def held(doc, item):
+    """Is an item in a document, by the docstring of the operator."""
+    a, b = views(doc), views(item)
+    n = min(WINDOW, len(b))
+    windows = lambda v, k: [tuple(x[k] for x in v[i : i + n]) for i in range(len(v) - n + 1)]
+    own = [windows(a, k) for k in (0, 1)]
+    places = [windows(b, k) for k in (0, 1)]
+    if not b or n < WINDOW and sum(x[1] not in ("N", "#", "U") for x in b) < MIN_FIXED:
+        places[1] = []
+    enough = lambda c: c >= MIN_WINDOWS or c >= MIN_SHARE * max(1, len(b) - n + 1)
+    literal = {p for p, w in enumerate(places[0]) if w in own[0]}
+    if enough(len(literal)) and literal:
+        return True
+    hits = sorted((q, p) for p, w in enumerate(places[1]) for q, x in enumerate(own[1]) if w == x)
+    copies, run = defaultdict(set), 0
+    for i, (q, p) in enumerate(hits):
+        run += i > 0 and q - hits[i - 1][0] >= 2 * WINDOW
+        copies["a", q - p].add((q, p))
+        copies["r", run].add((q, p))
+    for p in {p for _, p in hits}:
+        copies["f", 0].add((min(q for q, x in hits if x == p), p))
+    for copy in copies.values():
+        slots = {(b[p + k][0], a[q + k][0], a[q + k][1]) for q, p in copy for k in range(n) if a[q + k][1] in ("N", "#", "U")}
+        if len({s[0::2] for s in slots}) == len(slots) == len({s[1:] for s in slots}) and enough(len({p for _, p in copy} - literal) + len(literal)):
+            return True
+    return False
+
+
+def test_template_copies_match_brute_force(spark):
+    rng = random.Random(11)
+    items = [ITEM, "Tom buys 3 pens at 2.50 dollars each and Ann buys 1,200 pens at 2 dollars each. How much do Tom and Ann pay in all?", "Ann has 3 pens. Ann buys 4. Ben has 5 pens. Ben sells 2. Ann wins.", "Walk 5 km to see Rome today"]
+    names, others = ["Anna", "Boris", "Tom", "Ann", "Ben", "Rome", "Eve", "Kim", "Zoe"], ["so it was", "and then", "nobody knew, of course, what else", "In the end"]
+
+    def copy(item):
+        swap = {n: rng.choice(names) for n in names} if rng.random() < 0.4 else dict(zip(names, rng.sample(names, len(names)), strict=True))
+        number = defaultdict(lambda: str(rng.randint(1, 3000)))
+        out = regex.sub(r"\p{Lu}\p{Ll}+", lambda m: swap.get(m[0], m[0]), item)
+        out = regex.sub(r"[0-9][0-9.,]*[0-9]|[0-9]", lambda m: number[m[0]], out)
+        w = out.split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            w.insert(rng.randrange(len(w)), rng.choice(["old", "again", "7", "Max"]))
+        a = rng.choice([0, 0, 4])
+        return " ".join(w[a : rng.choice([len(w), len(w), 14])])
+
+    docs = []
+    for _ in range(160):
+        parts = [rng.choice([copy(rng.choice(items)), rng.choice(others), " ".join(rng.choice(items).split()[: rng.randint(3, 15)])]) for _ in range(rng.randint(1, 5))]
+        docs.append(" . ".join(parts))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in contaminated(frame, bench, short_items=True).collect()}
+    want = {d: own for d, t in enumerate(docs) if (own := [i for i, x in enumerate(items) if held(t, x)])}
+    assert got == want and 20 < len(want) < 150
+    assert sum(ITEM not in docs[d] for d in want) > 10
+
+
 def test_both_items_and_part_of_one(spark):
     part = " ".join(OTHER.split()[:14])
     assert run(spark, [ITEM + ". " + OTHER, part, " ".join(OTHER.split()[:9])]) == {0: [1, 2], 1: [2], 2: []}
