@@ -39,6 +39,8 @@ RARE = 16
 SUBCLASS = 4
 #: Members of a block of a hub (more for large ones, so that copies of rows grow with the root of its size).
 BLOCK = 128
+#: Pairs of texts whose sets are held at once.
+VERIFIED = 256
 _U = np.uint64
 
 
@@ -52,9 +54,9 @@ def set_key(s: np.ndarray) -> bytes:
 def _keys(n: int):
     def run(batches):
         for batch in batches:
-            sets = list(spans.shingle_sets(batch.column("text"), n))
+            found = [(len(s), set_key(s)) for s in spans.shingle_sets(batch.column("text"), n)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())],
+                [batch.column("doc_id"), pa.array([size for size, _ in found], pa.int64()), pa.array([key for _, key in found], pa.binary())],
                 names=["doc_id", "n_shingles", "key"],
             )
 
@@ -143,14 +145,16 @@ def _verify(n: int, percent: int):
     """Rows (a, h, text_a, text_h) to (a, h), their sizes, whether they link, and their differences."""
 
     def run(batches):
-        for batch in batches:
-            one, hub = (list(spans.shingle_sets(batch.column(k), n)) for k in ("text_a", "text_h"))
-            lacks = [np.flatnonzero(~np.isin(h, a, assume_unique=True)).astype("<u4") for a, h in zip(one, hub, strict=True)]
-            beyond = [np.setdiff1d(a, h, assume_unique=True) for a, h in zip(one, hub, strict=True)]
-            n_a, n_h = (np.array([len(x) for x in sets], np.int64) for sets in (one, hub))
-            linked = _linked(n_h - np.array([len(x) for x in lacks], np.int64), n_a + n_h, percent)
-            arrays = [batch.column("a"), batch.column("h"), pa.array(n_a), pa.array(n_h), pa.array(linked), pa.array([x.tobytes() for x in lacks], pa.binary()), pa.array([x.tobytes() for x in beyond], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["a", "h", "n_a", "n_h", "linked", "lacks", "beyond"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, VERIFIED):
+                batch = whole.slice(at, VERIFIED)
+                one, hub = (list(spans.shingle_sets(batch.column(k), n)) for k in ("text_a", "text_h"))
+                lacks = [np.flatnonzero(~np.isin(h, a, assume_unique=True)).astype("<u4") for a, h in zip(one, hub, strict=True)]
+                beyond = [np.setdiff1d(a, h, assume_unique=True) for a, h in zip(one, hub, strict=True)]
+                n_a, n_h = (np.array([len(x) for x in sets], np.int64) for sets in (one, hub))
+                linked = _linked(n_h - np.array([len(x) for x in lacks], np.int64), n_a + n_h, percent)
+                arrays = [batch.column("a"), batch.column("h"), pa.array(n_a), pa.array(n_h), pa.array(linked), pa.array([x.tobytes() for x in lacks], pa.binary()), pa.array([x.tobytes() for x in beyond], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["a", "h", "n_a", "n_h", "linked", "lacks", "beyond"])
 
     return run
 

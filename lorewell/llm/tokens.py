@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import os
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -95,22 +96,27 @@ class Encoder:
     """Ids of texts, with a memory of pieces."""
 
     def __init__(self, path: str) -> None:
+        import json
+
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            whole = json.load(file)
+        self.special = [t["content"].encode() for t in whole.get("added_tokens", [])]
+        self.piece = self._pieces(path, whole["model"])
+        self._clear()
+
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, which few texts need."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.piece = self._pieces(path)
-        self._clear()
+        return Tokenizer.from_file(self.path)
 
-    def _pieces(self, path: str):
+    def _pieces(self, path: str, model: dict):
         """Ids of one piece (bytes): by its ranks, for a vocabulary whose merges are in order of id."""
-        import json
-
         import tiktoken
 
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
         merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
         if any(a >= b for a, b in itertools.pairwise(merged)):
             raise ValueError(f"the merges of {path} are not in the order of their ids")
