@@ -9,7 +9,7 @@ grow hot, and the batch finds its answers by position, so that no key travels
 back.
 
 Keys are cut to ``KEY_BITS + range_bits`` bits (64 at most).  Two keys that agree there are
-counted together; with RANGE_KEYS keys a range, that befalls one key in sixteen million,
+counted together; with RANGE_KEYS keys a range, that befalls one key in four million,
 whatever the size of the corpus.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: Bytes of text in a batch and keys in a range, which bound what one task holds.
 BATCH_BYTES, RANGE_KEYS = 4 << 20, 1 << 20
 #: Bits of a key within its range.
-KEY_BITS = 44
+KEY_BITS = 42
 COUNTS = "b long, r int, seen binary, n binary"
 _U = np.uint64
 
