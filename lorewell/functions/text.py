@@ -5,6 +5,8 @@ All are built-in expressions, so that they stay inside code generation.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,12 +96,12 @@ HEADINGS = {
     "boilerplate": ["copyright", "imprint", "colophon", "acknowledgements", "acknowledgments", "about the author", "about the authors", "list of figures", "list of tables", "list of illustrations", "list of abbreviations", "dedication", "publisher's note", "publishers note"],
 }
 # Shapes of lines.
-YEAR = r"\(?(?:19|20)[0-9]{2}[a-z]?\)?"
-CITED = r"(?i)\bet al\.|\bdoi\b|doi:|\bpp?\.\s*[0-9]|\bvol\.\s*[0-9]|\bno\.\s*[0-9]|^\s*\[[0-9]{1,3}\]|^\s*[0-9]{1,3}\.\s+[A-Z]"
-LEADER = r"\.{3,}\s*[0-9]{1,4}\s*$"
-PAGE_NUMBER = r"\s[0-9]{1,4}\s*$"
-INDEX_LINE = r"^\S.{0,60}?,\s*[0-9]{1,4}([,–-]\s*[0-9]{1,4})*\s*$"
-IMPRINT = r"(?i)\bisbn\b|all rights reserved|no part of this (?:publication|book)|printed in|©\s*(?:19|20)[0-9]{2}|copyright ©"
+YEAR = r"\(?(?:19|20)\d{2}[a-z]?\)?"
+CITED = r"(?i)\bet al\.|\bdoi\b|doi:|\bpp?\.\s*\d|\bvol\.\s*\d|\bno\.\s*\d|^\s*\[\d{1,3}\]|^\s*\d{1,3}\.\s+[A-Z]"
+LEADER = r"\.{3,}\s*\d{1,4}\s*$"
+PAGE_NUMBER = r"\s\d{1,4}\s*$"
+INDEX_LINE = r"^\S.{0,60}?,\s*\d{1,4}([,–-]\s*\d{1,4})*\s*$"
+IMPRINT = r"(?i)\bisbn\b|all rights reserved|no part of this (?:publication|book)|printed in|©\s*(?:19|20)\d{2}|copyright ©"
 CODE = r"[;{}]\s*$|^\s*[}{]|^\s*(?:def|class|import|from|return|if|elif|else|for|while|function|const|let|var|public|private|static|void|int|fn|impl|pub|package|#include|struct|enum|try|except|catch)\b|=>|->|:=|\|\||&&|</\w+>|^\s*[\w.]+\([^)]*\)\s*[;{]?\s*$|^\s*(?:\$|>>>|#\s*!)"
 SENTENCE_END = r"""[.!?]["')\]]?\s*$"""
 
@@ -136,41 +138,120 @@ def zone(section: Column, text: Column) -> Column:
     )
 
 
-# Licence ids that are known, and other names of some of them.
-LICENCES = ["CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-ND-4.0", "CC-BY-3.0", "CC-BY-SA-3.0", "MIT", "Apache-2.0", "public-domain", "all-rights-reserved"]
-LICENCE_NAMES = {"cc0": "CC0-1.0", "cc-by": "CC-BY-4.0", "cc-by-sa": "CC-BY-SA-4.0", "apache": "Apache-2.0", "apache 2.0": "Apache-2.0", "mit license": "MIT", "pd": "public-domain", "public domain": "public-domain", "all rights reserved": "all-rights-reserved"}
+# Permissions and conditions, and what each known licence says of them (None: unknown).
+PERMISSIONS, CONDITIONS = ("redistribute", "derivatives", "commercial"), ("attribution", "share_alike")
+LICENCES = {
+    "CC0-1.0": (True, True, True, False, False),
+    "public-domain": (True, True, True, False, False),
+    "CC-BY-4.0": (True, True, True, True, False),
+    "CC-BY-SA-4.0": (True, True, True, True, True),
+    "CC-BY-ND-4.0": (True, False, True, True, False),
+    "CC-BY-NC-4.0": (True, True, False, True, False),
+    "CC-BY-NC-SA-4.0": (True, True, False, True, True),
+    "CC-BY-NC-ND-4.0": (True, False, False, True, False),
+    "MIT": (True, True, True, True, False),
+    "Apache-2.0": (True, True, True, True, False),
+    "BSD-3-Clause": (True, True, True, True, False),
+    "GPL-3.0-only": (True, True, True, True, True),
+    "OGL-3.0": (True, True, True, True, False),
+    "proprietary": (False, False, False, False, False),
+    "all-rights-reserved": (False, False, False, False, False),
+    "unknown": (None, None, None, None, None),
+}
+# Other names of licences.
+LICENCE_NAMES = {
+    "cc0": "CC0-1.0", "cc-0": "CC0-1.0", "publicdomain": "public-domain",
+    "pd": "public-domain", "cc-by": "CC-BY-4.0", "cc-by-sa": "CC-BY-SA-4.0",
+    "cc-by-nd": "CC-BY-ND-4.0", "cc-by-nc": "CC-BY-NC-4.0",
+    "cc-by-nc-sa": "CC-BY-NC-SA-4.0", "cc-by-nc-nd": "CC-BY-NC-ND-4.0",
+    "apache": "Apache-2.0", "apache-2": "Apache-2.0", "gpl": "GPL-3.0-only",
+    "gpl-3.0": "GPL-3.0-only", "gplv3": "GPL-3.0-only", "bsd": "BSD-3-Clause",
+    "arr": "all-rights-reserved", "copyright": "all-rights-reserved",
+    "proprietary": "proprietary", "none": "unknown", "": "unknown",
+}
+# How texts state a licence and its holder, and the clauses that end a holder's name.
+SPDX_TAG = r"SPDX-License-Identifier:\s*([A-Za-z0-9.\-+]+)"
+CC_ADDRESS = r"(?i)creativecommons\.org/(?:licenses/(by(?:-nc)?(?:-nd|-sa)?)/(\d\.\d)|publicdomain/(zero|mark))"
+COPYRIGHT = r"(?i)(?:©|\(c\)|copyright)\s*(?:©\s*)?(?:(\d{4})(?:\s*[-–]\s*\d{4})?)?\s*(?:by\s+)?([A-Z][A-Za-z0-9.,&'’\- ]{2,70})"
+RIGHTS_CLAUSE = r"(?i)(?:\.\s|\s+(?:all rights|is\s+licensed|licensed|under|released|published|\d{4})).*$"
+RESERVED, PUBLIC_DOMAIN = r"(?i)\ball rights reserved\b", r"(?i)\bpublic domain\b"
+LICENCE_HEAD, LICENCE_TAIL = 20000, 4000
 
 
 def licence(name: Column) -> Column:
-    """The known id of a licence name: as it is, by another name, or by its Creative Commons parts."""
-    s = F.btrim(name)
+    """The known id of a licence name: as it is, by another name, or by its Creative Commons parts; null reads as unknown."""
+    s = F.btrim(F.coalesce(name, F.lit("")))
     low = F.lower(s)
-    kind = F.regexp_extract(low, r"^cc-(by(-nc)?(-nd|-sa)?)-?([0-9]\.[0-9])?", 1)
-    version = F.regexp_extract(low, r"^cc-(by(-nc)?(-nd|-sa)?)-?([0-9]\.[0-9])?", 4)
+    parts = r"^cc-(by(?:-nc)?(?:-nd|-sa)?)-?([0-9]\.[0-9])?"
+    kind, version = F.regexp_extract(low, parts, 1), F.regexp_extract(low, parts, 2)
     exact = F.concat(F.lit("CC-"), F.upper(kind), F.lit("-"), F.when(version == "", "4.0").otherwise(version))
     base = F.concat(F.lit("CC-"), F.upper(kind), F.lit("-4.0"))
-    other = F.create_map(*[F.lit(x) for kv in LICENCE_NAMES.items() for x in kv])
-    return F.when(s.isin(LICENCES), s).when(F.try_element_at(other, low).isNotNull(), F.try_element_at(other, low)).when((kind != "") & exact.isin(LICENCES), exact).when((kind != "") & base.isin(LICENCES), base).otherwise("unknown")
+    known, other = list(LICENCES), F.create_map(*[F.lit(x) for kv in LICENCE_NAMES.items() for x in kv])
+    named = F.try_element_at(other, low)
+    return F.when(s.isin(known), s).when(named.isNotNull(), named).when((kind != "") & exact.isin(known), exact).when((kind != "") & base.isin(known), base).otherwise("unknown")
+
+
+def licence_flag(name: Column, flag: str) -> Column:
+    """A permission or condition of a licence: true, false, or null where it is unknown."""
+    place = (*PERMISSIONS, *CONDITIONS).index(flag)
+    table = F.create_map(*[x for k, flags in LICENCES.items() for x in (F.lit(k), F.lit(flags[place]).cast("boolean"))])
+    return F.try_element_at(table, licence(name))
 
 
 def detect_licence(text: Column) -> Column:
-    """A text's licence: by SPDX tag, Creative Commons address, public domain, or all rights reserved."""
+    """(licence, holder) of a text: by SPDX tag near either end, Creative Commons address, public domain, or all rights reserved.
+
+    The holder is what follows a copyright sign, up to a clause about rights.
+    """
     whole = F.coalesce(text, F.lit(""))
-    head = F.substring(whole, 1, 20000)
-    tag = F.regexp_extract(whole, r"SPDX-License-Identifier:\s*([A-Za-z0-9.\-+]+)", 1)
-    address = r"(?i)creativecommons\.org/licenses/(by(?:-nc)?(?:-nd|-sa)?)/([0-9]\.[0-9])"
-    kind, version = F.regexp_extract(whole, address, 1), F.regexp_extract(whole, address, 2)
-    zero = F.lower(F.regexp_extract(whole, r"(?i)creativecommons\.org/publicdomain/(zero|mark)", 1))
-    return (
+    head = F.substring(whole, 1, LICENCE_HEAD)
+    first = F.regexp_extract(head, SPDX_TAG, 1)
+    tag = F.when(first != "", first).otherwise(F.regexp_extract(F.right(whole, F.lit(LICENCE_TAIL)), SPDX_TAG, 1))
+    kind, version, zero = (F.regexp_extract(whole, CC_ADDRESS, i) for i in (1, 2, 3))
+    found = (
         F.when(tag != "", licence(tag))
-        .when(kind != "", licence(F.concat(F.lit("cc-"), kind, F.lit("-"), version)))
-        .when(zero == "zero", "CC0-1.0")
-        .when(zero == "mark", "public-domain")
-        .when(head.rlike(r"(?i)\bpublic domain\b"), "public-domain")
-        .when(head.rlike(r"(?i)\ball rights reserved\b"), "all-rights-reserved")
+        .when(kind != "", licence(F.concat(F.lit("CC-"), F.upper(kind), F.lit("-"), version)))
+        .when(F.lower(zero) == "zero", "CC0-1.0")
+        .when(F.lower(zero) == "mark", "public-domain")
+        .when(head.rlike(PUBLIC_DOMAIN), "public-domain")
+        .when(head.rlike(RESERVED), "all-rights-reserved")
     )
+    trim = lambda c: F.btrim(c, F.lit(" .,-"))
+    holder = trim(F.regexp_replace(trim(F.regexp_extract(head, COPYRIGHT, 2)), RIGHTS_CLAUSE, ""))
+    return F.struct(found.alias("licence"), F.when(F.char_length(holder) >= 2, holder).alias("holder"))
+
+
+# The kinds of knowledge that a source may hold.
+REGIMES = ("empirical", "conventional", "fictional", "interpretive", "historical")
+
+
+def regime_for_path(path: Column, rules: dict[str, str]) -> Column:
+    """The regime of the first rule that fits a path, or null: a bare name is a segment, a glob is over the whole path."""
+    p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    out = F.lit(None).cast("string")
+    for rule, regime in reversed(rules.items()):
+        if regime not in REGIMES:
+            continue
+        key = rule.lower()
+        glob = p.rlike("^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in key) + "$")
+        fits = F.array_contains(F.filter(F.split(p, "/"), lambda x: x != ""), key) | glob
+        out = F.when(fits, F.lit(regime)).otherwise(out)
+    return out
+
+
+def card_text(title: Column, goal: Column, lists: list[Column], criteria: Column, label: Column) -> Column:
+    """What a card is found by: title, goal, its lists of words, the values of its criteria, and its concept's label.
+
+    criteria: a struct of required, supportive and exclusion (arrays with value), threshold, and
+    differentials (an array with condition).
+    """
+    values = [F.transform(criteria[k], lambda x: x["value"]) for k in ("required", "supportive", "exclusion")]
+    parts = [F.array(title, goal), *lists, *values, F.array(criteria["threshold"]), F.transform(criteria["differentials"], lambda x: x["condition"]), F.array(label)]
+    every = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]))
+    return F.array_join(F.filter(every, lambda x: x.isNotNull() & (x != "")), " ")
 
 
+# The ordered cues of intents are in the conditions below.
 def intent(question: Column) -> Column:
     """how, what_if, why_diag, why_mech, who, where, taxonomy, which or what, by ordered cues."""
     q = F.lower(F.btrim(F.coalesce(question, F.lit(""))))
@@ -187,22 +268,26 @@ def intent(question: Column) -> Column:
     )
 
 
-# Ordered cues of speech acts.
+# Ordered cues of speech acts, and how sure each is.
 SPEECH_ACTS = (
-    ("comparison", r"\b(vs|versus)\b|\bcompare\b|\b(better|preferable) than\b|\b\w+ or \w+\s*\?"),
-    ("counterfactual_omit", r"\bwhat if\b.{0,40}\b(did ?n'?t|do ?n'?t|does ?n'?t|not|without|skip|omit|stop|never)\b|\bwithout (giving|doing|using|taking)\b"),
-    ("feasibility", r"\b(can|could|may|might|should|shall) (i|we|you|one)\b|\bis it (safe|ok|okay|wise|advisable|appropriate|acceptable|possible|alright|fine|reasonable) to\b|\bdo (i|we) (need|have) to\b"),
-    ("hypothetical", r"\bwhat if\b|\bwhat happens if\b|\bwhat would happen\b|\bsuppose\b|\bif i (do|give|take|use|add|try|apply|start)\b"),
-    ("diagnostic", r"\bwhy\b|\bwhat'?s causing\b|\bwhat is causing\b|\b(cause|reason) (of|for|behind)\b|\bdifferential\b"),
-    ("in_progress", r"\bi'?m (about to|currently|now|going to|trying to)\b|\b(i'?m|we'?re|i am|we are) \w+ing\b|\bat this (point|stage)\b"),
-)
+    ("comparison", 0.8, r"\b(vs|versus)\b|\bwhich (?:is|one|would).{0,30}\b(better|best|prefer|choose|rather)\b|\bcompare\b|\b(better|preferable) than\b|\b\w+ or \w+\s*\?"),
+    ("counterfactual_omit", 0.85, r"\bwhat if\b.{0,40}\b(did ?n'?t|do ?n'?t|does ?n'?t|had ?n'?t|have ?n'?t|were ?n'?t|not|without|skip|skipp?ed|omit|fail(?:ed)? to|stop(?:ped)?|no longer|never)\b|\bif (?:i|we|you|he|she|they) (?:did ?n'?t|had ?n'?t|do ?n'?t|stop|skip|never)\b|\bwithout (?:giving|doing|using|taking)\b"),
+    ("feasibility", 0.85, r"\b(can|could|may|might|should|shall) (?:i|we|you|one)\b|\bis it (?:safe|ok|okay|wise|advisable|appropriate|acceptable|possible|alright|fine|reasonable) to\b|\bare (?:we|you) (?:able|allowed|supposed|meant|ok) to\b|\bam i (?:allowed|able|supposed|meant|ok) to\b|\bdo (?:i|we) (?:need|have) to\b|\bis it (?:ruled out|incompatible|inadvisable)\b"),
+    ("hypothetical", 0.8, r"\bwhat if\b|\bwhat happens if\b|\bwhat would happen\b|\bsuppose\b|\bif i (?:do|give|take|use|add|try|apply|start)\b|\bwhat about (?:if|when)\b"),
+    ("diagnostic", 0.8, r"\bwhy\b|\bwhat'?s causing\b|\bwhat is causing\b|\b(?:the )?(?:cause|reason|aetiology|etiology) (?:of|for|behind)\b|\bwhat'?s (?:behind|driving|going on)\b|\bwhat could (?:be )?(?:cause|explain)\b|\bdifferential\b"),
+    ("in_progress", 0.75, r"\b(?:now|currently|right now)\b.{0,12}\bi'?m?\b|\bi'?m (?:about to|currently|now|in the (?:middle|process) of|going to|trying to)\b|\b(?:i'?m|we'?re|i am|we are) \w+ing\b|\band now (?:i|we)\b|\bat this (?:point|stage)\b"),
+)
 QUESTION = r"\b(what|how|which|who|whom|whose|where|when|why)\b"
+NARRATOR = r"^\s*(?:we|he|she|they|it|i|my \w+|the \w+)\b"
+NARRATION = r"\b(had|has|have|was|were|is|are|did|gave|took|developed|presented|showed|shows|presents|became|got|felt|started|noticed|complained|reported|underwent|received|has been|turned)\b"
 
 
 def speech_act(text: Column) -> Column:
+    """(act, confidence) of an utterance: the first cue that it has, else a narration, a question, or ambiguous."""
     q = F.lower(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
-    out = F.when(q == "", "ambiguous")
-    for name, cue in SPEECH_ACTS:
-        out = out.when(q.rlike(cue), name)
-    narrates = q.rlike(r"^\s*(we|he|she|they|it|i|my \w+|the \w+)\b") & q.rlike(r"\b(had|has|have|was|were|is|are|did|gave|took|became|got|felt|started|noticed|reported)\b")
-    return out.when(~q.endswith("?") & ~q.rlike(QUESTION) & narrates, "observation").when(q.endswith("?") | q.rlike(QUESTION), "factual").otherwise("ambiguous")
+    told = lambda act, sure: F.struct(F.lit(act).alias("act"), F.lit(sure).alias("confidence"))
+    out = F.when(q == "", told("ambiguous", 0.0))
+    for act, sure, cue in SPEECH_ACTS:
+        out = out.when(q.rlike(cue), told(act, sure))
+    asks = q.endswith("?") | q.rlike(QUESTION)
+    return out.when(~asks & q.rlike(NARRATOR) & q.rlike(NARRATION), told("observation", 0.7)).when(asks, told("factual", 0.6)).otherwise(told("ambiguous", 0.3))

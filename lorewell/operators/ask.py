@@ -61,12 +61,38 @@ def facet_counts(facets: DataFrame) -> DataFrame:
     return facets.groupBy("axis", "value").agg(F.count("*").alias("n"))
 
 
+# Regimes that are epistemic values. Bundles that are no subject are a parameter.
+EPISTEMIC = ("empirical", "conventional", "fictional", "interpretive", "historical")
+NO_SUBJECT = ("base", "research", "overlay", "")
+
+
 def trust_facets(support: DataFrame, key: str) -> DataFrame:
     """(key, axis, value): the trust tier by the largest trust."""
-    most = support.groupBy(key).agg(F.max("trust_weight").alias("t"))
+    most = support.where("trust_weight is not null").groupBy(key).agg(F.max("trust_weight").alias("t"))
     return most.select(key, F.lit("trust_tier").alias("axis"), F.when(F.col("t") >= HIGH, "high").when(F.col("t") >= MEDIUM, "medium").otherwise("low").alias("value"))
 
 
+def derive_facets(items: DataFrame, support: DataFrame, sources: DataFrame, key: str, no_subject: tuple[str, ...] = NO_SUBJECT) -> DataFrame:
+    """(key, axis, value) of items (key, regime, status, volatility): what their rows and support say, no more.
+
+    epistemic: the item's regime, else the most frequent of its support (the first in order of
+    equal ones).  trust_tier: by the largest trust.  domain: the bundles of its sources that are
+    subjects.  time_frame: superseded, historical, timeless (no volatility), or current where
+    there is support.
+    """
+    form = lambda c: F.lower(F.btrim(F.coalesce(c, F.lit(""))))
+    known = support.select(key, form("regime").alias("regime")).where(F.col("regime").isin(list(EPISTEMIC))).groupBy(key, "regime").agg(F.count("*").alias("n"))
+    modal = known.groupBy(key).agg(F.min_by("regime", F.struct(-F.col("n"), F.col("regime"))).alias("modal"))
+    own = F.when(form("regime").isin(list(EPISTEMIC)), form("regime"))
+    rows = lambda axis, frame, value: frame.select(key, F.lit(axis).alias("axis"), value.alias("value")).where("value is not null")
+    epistemic = rows("epistemic", items.join(modal, key, "left"), F.coalesce(own, "modal"))
+    bundle = form("bundle")
+    domain = support.join(sources.select("doc_id", bundle.alias("b")), "doc_id").where(~F.col("b").isin(list(no_subject))).select(key, "b").distinct()
+    backed = items.join(support.select(key, F.lit(True).alias("backed")).distinct(), key, "left")
+    time = F.when(form("status") == "superseded", "superseded").when(form("regime") == "historical", "historical").when(F.col("volatility") <= 1e-6, "timeless").when(F.col("backed"), "current")
+    return reduce(DataFrame.unionByName, [epistemic, trust_facets(support, key).join(items.select(key), key, "left_semi"), rows("domain", domain.join(items.select(key), key, "left_semi"), F.col("b")), rows("time_frame", backed, time)])
+
+
 def set_facets(facets: DataFrame, new: DataFrame) -> DataFrame:
     """Values of an item on an axis, all replaced by the new ones."""
     return facets.join(new.select("id", "axis").distinct(), ["id", "axis"], "left_anti").unionByName(new)

@@ -5,10 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types
 
 from lorewell.functions import text as T
 from lorewell.session import saved
@@ -78,42 +76,43 @@ def band_keys(sig: list[int], bands: int = BANDS) -> list[str]:
     return [f"{b}:{hash64(','.join(map(str, sig[b * rows : (b + 1) * rows])))}" for b in range(bands)] if sig else []
 
 
-@F.pandas_udf(types.StructType([types.StructField(c, types.ArrayType(types.LongType())) for c in "sk"]))
-def minhash(texts: pd.Series) -> pd.DataFrame:
-    """Of comparable forms: the hashes of their distinct word k-grams, and one key a band; both null without words."""
-    s, k = [], []
-    for text in texts:
-        words = text.split()
-        if not words:
-            s.append(None)
-            k.append(None)
-            continue
-        grams = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
-        x = np.array([hash64(g) for g in grams], np.uint64)
-        s.append(x.view(np.int64))
-        k.append(np.array([hash64(key) for key in band_keys(minima(x))], np.uint64).view(np.int64))
-    return pd.DataFrame({"s": pd.Series(s, dtype=object), "k": pd.Series(k, dtype=object)})
+def shingle_rows(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(id, h): the hashes of the distinct word k-grams of comparable forms (id, t); up to k words are one.
+
+    Words are exploded by place and grams are read from their array in the same generated code.
+    """
+    words = texts.where("t <> ''").select("id", F.split("t", " ").alias("w"))
+    at = words.select("id", "w", F.posexplode_outer("w").alias("pos", "x"))
+    gram = F.xxhash64(*[F.get("w", F.col("pos") + i) for i in range(k)])
+    return at.where((F.col("pos") == 0) | (F.col("pos") + k <= F.size("w"))).select("id", gram.alias("h")).distinct()
 
 
 def near_pairs(chunks: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(first, later, similarity) of pairs that share a band and reach the threshold.
+    """(first, later, similarity) of all pairs that reach the threshold, to four digits.
 
     Equal texts are paired through their first id alone, so that a large group of copies makes
-    a row each instead of all pairs; only first ids are hashed.  Pairs whose sizes alone rule
-    the threshold out are left before their shingles are fetched.  Hashes are made once and
-    kept in the shared folder, as three branches read them.
+    a row each instead of all pairs; only first ids are compared.  Two sets that reach the
+    threshold share one of the rarest shingles of both: those up to so many that the others
+    could not reach it.  Shingles of one text alone count among them, but lead nowhere.
     """
     plain = chunks.select(F.col(id_col).alias("id"), T.norm(F.col(text_col)).alias("t")).where("t <> ''")
     rows = plain.withColumn("h", T.short_hash(F.col("t")))
     firsts = rows.groupBy("h").agg(F.min("id").alias("first"))
     copies = rows.select("id", "h").join(firsts, "h").where("id <> first").select("first", F.col("id").alias("later"), F.lit(1.0).alias("similarity"))
-    reps = rows.select("id", "t").join(firsts.select(F.col("first").alias("id")), "id", "left_semi").repartition("id").select("id", minhash("t").alias("m"))
-    reps = saved(reps.select("id", "m.s", "m.k").withColumn("n", F.size("s")).where("n > 0"))
-    banded = reps.select("id", "n", F.explode("k").alias("k"))
-    sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold - 1e-4)
-    pairs = banded.alias("a").join(banded.alias("b"), "k").where((F.col("a.id") < F.col("b.id")) & sized).select(F.col("a.id").alias("first"), F.col("b.id").alias("later")).distinct()
-    both = pairs.join(reps.select(F.col("id").alias("first"), F.col("s").alias("sa")), "first").join(reps.select(F.col("id").alias("later"), F.col("s").alias("sb")), "later")
-    near = both.withColumn("similarity", F.round(jaccard(F.col("sa"), F.col("sb")), 4)).where(F.col("similarity") >= threshold).select("first", "later", "similarity")
+    reps = rows.select("id", "t").join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
+    grams = saved(shingle_rows(reps))
+    often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    shared = grams.join(often, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    least = threshold - 1e-4
+    sets = grams.groupBy("id").agg(F.count("*").alias("n")).join(shared, "id")
+    need = F.col("n") - F.ceil(F.col("n") * least) + 1 - (F.col("n") - F.size("s"))
+    sets = saved(sets.select("id", "n", F.col("s.h").alias("s"), need.cast("int").alias("need")).where("need > 0"))
+    index = sets.select("id", "n", F.explode(F.slice("s", F.lit(1), F.col("need"))).alias("k"))
+    sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least
+    pairs = index.alias("a").join(index.alias("b"), "k").where((F.col("a.id") < F.col("b.id")) & sized).select(F.col("a.id").alias("first"), F.col("b.id").alias("later")).distinct()
+    side = lambda end: sets.select(F.col("id").alias(end), F.col("s").alias(f"s_{end}"), F.col("n").alias(f"n_{end}"))
+    both = pairs.join(side("first"), "first").join(side("later"), "later").withColumn("c", F.size(F.array_intersect("s_first", "s_later")))
+    near = both.select("first", "later", F.round(F.col("c") / (F.col("n_first") + F.col("n_later") - F.col("c")), 4).alias("similarity")).where(F.col("similarity") >= threshold)
     return near.unionByName(copies)
 
 

@@ -119,20 +119,25 @@ def merge_nodes(edges: DataFrame, merged: DataFrame) -> DataFrame:
     return corroborate(moved(moved(edges, "src"), "dst").where("src <> dst"))
 
 
-def knn_pairs(vectors: DataFrame, anchors: DataFrame, k: int = 3, floor: float = 0.5, known: DataFrame | None = None, blocks: int = 1) -> DataFrame:
+def knn_pairs(vectors: DataFrame, anchors: DataFrame, k: int = 3, floor: float = 0.5, known: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity): each anchor's k nearest other vectors above a floor, without pairs known already.
 
-    Every vector meets every anchor (a stated query set); vectors are dealt in blocks and each
-    block keeps its own k best before they meet.
+    Every vector meets every anchor (a stated query set, taken in blocks); a task keeps as many
+    candidates of an anchor as the k, itself and the known pairs of one anchor can be.
     """
-    from lorewell.operators.search import dot
+    from lorewell.operators.search import scored_vectors
 
-    small = F.broadcast(anchors) if anchors.count() <= 10_000 else anchors
-    rows = vectors.select(F.col("id").alias("b"), F.col("vec").alias("vb")).crossJoin(small.select(F.col("id").alias("a"), F.col("vec").alias("va"))).where("a <> b")
-    near = rows.select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 9).alias("similarity")).where(F.col("similarity") >= floor)
+    asked = anchors.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    pair = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
+    more = 1
     if known is not None:
-        pair = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
-        near = near.select("*", *pair).join(known.select(*pair).distinct(), ["x", "y"], "left_anti").drop("x", "y")
+        known = known.select(*pair).distinct()
+        ends = known.select(F.col("x").alias("id")).unionAll(known.select("y")).join(anchors.select("id"), "id", "left_semi")
+        more += ends.groupBy("id").count().agg(F.max("count").alias("m")).first()["m"] or 0
+    rows = scored_vectors(vectors.select("id", "vec"), asked, k + more, floor)
+    near = rows.select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("similarity")).where("a <> b")
+    if known is not None:
+        near = near.select("*", *pair).join(known, ["x", "y"], "left_anti").drop("x", "y")
     w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     return near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
@@ -48,11 +48,19 @@ def collection_for(path: Column, rules: dict[str, str], default: str | None = No
     return last if out is None else out.otherwise(last)
 
 
-def upsert(known: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` replace those of ``known`` with the same key."""
+def upsert(known: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows of ``new`` replace those of ``known`` with the same key; of several new ones, the last by ``order``."""
+    if order is not None:
+        last = Window.partitionBy(key).orderBy(F.desc(order))
+        new = new.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
     return new.unionByName(known.join(new.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def kept_vectors(vectors: DataFrame, replaced: DataFrame, key: str) -> DataFrame:
+    """Vectors without those of replaced rows, whose texts they no longer are of."""
+    return vectors.join(replaced.select(key).distinct(), key, "left_anti")
+
+
 def delete_by_path(chunks: DataFrame, gone: DataFrame, path: str) -> DataFrame:
     return chunks.join(gone.select(path).distinct(), path, "left_anti")
 

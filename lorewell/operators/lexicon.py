@@ -1,47 +1,45 @@
-"""Lexicon matching: normal forms, tokens, exact and fuzzy spans of aliases."""
+"""Lexicon matching: normal forms, tokens, a checked compilation, exact and corrected spans of aliases."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import unicodedata
-from collections import defaultdict
-from dataclasses import dataclass
+from collections import Counter, defaultdict
+from dataclasses import astuple, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of an alias, edits and prefix of the fuzzy index, and what a match that is not exact is worth.
-MAX_TOKENS, EDITS, PREFIX, LEAST_FUZZY = 8, 2, 7, 5
-ONE_EDIT, TWO_EDITS = 0.8, 0.6
-_APOSTROPHES = "'’ʼ＇"
+# Versions, separator of a stored form, longest input, worth of a corrected token by its edits.
+MATCHER_VERSION, NORM_VERSION, TOK_VERSION = "1.0.0", "NORM-1", "TOK-1"
+US, MAX_INPUT = "\u001f", 4096
+EDIT_WORTH = {1: 0.8, 2: 0.6}
+# Edits and prefix of the index of deletions, shortest corrected word, longest that takes one edit alone, most tokens, nodes of an ambiguous form.
+EDITS, PREFIX, LEAST_FUZZY, ONE_EDIT, MAX_TOKENS, AMBIGUOUS = 2, 7, 4, 6, 8, 4
+# Words that no alias may be without regard to case.
+STOP_WORDS = frozenset("a an and are as at be been but by for from had has have he if in is it no not of off on or out over she so than that the then they this to under up was we were with you".split())
+APOSTROPHES = "'’"
+#: Words whose nearest ones a matcher remembers.
+REMEMBERED = 100_000
 
 
 def norm_token(token: str) -> str:
     """NFKC, case-folded, without a possessive ending and apostrophes."""
     t = unicodedata.normalize("NFKC", token).casefold()
-    for a in _APOSTROPHES:
-        t = t.removesuffix(f"{a}s")
-    return "".join(c for c in t if c not in _APOSTROPHES)
+    t = t[:-2] if t[-1:] == "s" and t[-2:-1] in tuple(APOSTROPHES) else t
+    return "".join(c for c in t if c not in APOSTROPHES)
 
 
 def tokenize(text: str) -> list[tuple[str, int, int]]:
-    """(token, start, end) of runs of letters, marks and digits; . and , belong to them between digits, apostrophes between letters."""
-    word = lambda c: unicodedata.category(c)[0] in "LMN"
-    out, i, n = [], 0, len(text)
-    while i < n:
-        if not word(text[i]):
-            i += 1
-            continue
-        j = i + 1
-        while j < n:
-            inner = j + 1 < n and word(text[j + 1])
-            joins = text[j] in ".," and text[j - 1].isdigit() and inner and text[j + 1].isdigit() or text[j] in _APOSTROPHES and inner
-            if not (word(text[j]) or joins):
-                break
-            j += 1
-        out.append((text[i:j], i, j))
-        i = j
-    return out
+    """(token, start, end) of runs of letters, numbers and apostrophes; . and , belong to them between two digits."""
+    kinds = [unicodedata.category(c) for c in text]
+    digit = lambda i: 0 <= i < len(text) and kinds[i] == "Nd"
+    inside = [c in APOSTROPHES or k[0] in "LN" or c in ".," and digit(i - 1) and digit(i + 1) for i, (c, k) in enumerate(zip(text, kinds, strict=True))]
+    starts = [i for i, on in enumerate(inside) if on and not (i and inside[i - 1])]
+    ends = [i + 1 for i, on in enumerate(inside) if on and not (i + 1 < len(text) and inside[i + 1])]
+    return [(text[a:b], a, b) for a, b in zip(starts, ends, strict=True)]
 
 
 def osa(a: str, b: str) -> int:
@@ -67,105 +65,268 @@ def deletes(word: str, edits: int = EDITS, prefix: int = PREFIX) -> set[str]:
     return out
 
 
+def _has_letter(word: str) -> bool:
+    return any(unicodedata.category(c)[0] == "L" for c in word)
+
+
 @dataclass(frozen=True)
 class Alias:
+    """A row of the alias table; norm_seq and n_tokens are of the surface where they are not given."""
+
     alias_id: int
     node_id: str
     surface: str
     weight: float = 1.0
     case_mode: str = "fold"
     fuzzy_allowed: bool = True
+    alias_type: str = "preferred"
+    origin: str = "pub"
+    derived_from: int | None = None
+    status: str = "active"
+    norm_seq: str | None = None
+    n_tokens: int | None = None
+
+    def forms(self) -> list[str]:
+        return [norm_token(t) for t, *_ in tokenize(self.surface)]
+
+    def stored(self) -> tuple[str, int]:
+        own = self.forms()
+        return US.join(own) if self.norm_seq is None else self.norm_seq, len(own) if self.n_tokens is None else self.n_tokens
+
+
+def findings(aliases: list[Alias], nodes: set[str] | None = None) -> list[tuple[str, str, int | None]]:
+    """(level, code, alias_id) of all active rows.
+
+    EMPTY_NORM: a token without a form.  C1: a form of one or two letters that is not told by
+    case or may be corrected.  C2: a stopword that is not told by case.  C3: an unknown node.
+    C4: stored forms that are not the surface's (or too many tokens, a weight outside 0 to 1, an
+    unknown case mode).  As warnings, AMBIGUOUS_NORM: a form of over AMBIGUOUS nodes, and
+    ORIGIN_SHADOW: a form that a published alias of another node has.
+    """
+    out: list[tuple[str, str, int | None]] = []
+    by_form = defaultdict(list)
+    for a in sorted((a for a in aliases if a.status == "active"), key=lambda a: a.alias_id):
+        own, (seq, n) = a.forms(), a.stored()
+        told = a.case_mode in ("exact", "caps")
+        checks = {
+            "EMPTY_NORM": not all(own),
+            "C4": (seq, n) != (US.join(own), len(own)) or not 1 <= n <= MAX_TOKENS or not 0 < a.weight <= 1 or not (told or a.case_mode == "fold"),
+            "C1": len(own) == 1 and len(own[0]) <= 2 and not (told and not a.fuzzy_allowed),
+            "C2": len(own) == 1 and own[0] in STOP_WORDS and not told,
+            "C3": nodes is not None and a.node_id not in nodes,
+        }
+        out += [("ERROR", code, a.alias_id) for code, bad in checks.items() if bad]
+        by_form[seq].append(a)
+    for _, group in sorted(by_form.items()):
+        if len({a.node_id for a in group}) > AMBIGUOUS:
+            out.append(("WARN", "AMBIGUOUS_NORM", None))
+        published = {a.node_id for a in group if a.origin == "pub"}
+        out += [("WARN", "ORIGIN_SHADOW", a.alias_id) for a in group if a.origin != "pub" and published - {a.node_id}]
+    return out
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Active aliases, and each word of theirs with its id (by UTF-8 order), how many aliases have it, and whether it may be corrected to."""
+
+    version: str
+    aliases: tuple[Alias, ...]
+    vocabulary: dict[str, tuple[int, int, str]] = field(hash=False)
+
 
+def compile_lexicon(aliases: list[Alias], nodes: set[str] | None = None) -> tuple[list, Lexicon | None]:
+    """(findings, lexicon): None if any finding is an error."""
+    found = findings(aliases, nodes)
+    if any(level == "ERROR" for level, *_ in found):
+        return found, None
+    live = sorted((a for a in aliases if a.status == "active"), key=lambda a: a.alias_id)
+    rows = [[a.alias_id, a.node_id, a.surface, *a.stored(), a.alias_type, f"{a.weight:.4f}", a.case_mode, int(a.fuzzy_allowed), a.origin, a.derived_from, a.status] for a in live]
+    version = hashlib.sha256("\n".join(json.dumps(r, ensure_ascii=False, separators=(",", ":")) for r in rows).encode()).hexdigest()
+    count, may = Counter(), defaultdict(set)
+    for a in live:
+        for w in set(a.stored()[0].split(US)):
+            count[w] += 1
+            may[w].add(a.fuzzy_allowed)
+    vocabulary = {}
+    for i, w in enumerate(sorted(count, key=str.encode)):
+        eligible = len(w) >= LEAST_FUZZY and _has_letter(w)
+        vocabulary[w] = (i, count[w], ("targetable" if True in may[w] else "suppressed") if eligible else "none")
+    return found, Lexicon(version, tuple(live), vocabulary)
 
-def alias_errors(aliases: list[Alias]) -> list[tuple[int, str]]:
-    """(alias_id, finding): EMPTY_NORM, LENGTH, WEIGHT, CASE_MODE, and AMBIGUOUS_NORM for forms of over four nodes."""
-    out, nodes = [], defaultdict(set)
-    for a in aliases:
-        seq = tuple(norm_token(t) for t, *_ in tokenize(a.surface))
-        checks = (("EMPTY_NORM", not seq or not all(seq)), ("LENGTH", len(seq) > MAX_TOKENS), ("WEIGHT", not 0 < a.weight <= 1), ("CASE_MODE", a.case_mode not in ("fold", "exact", "caps")))
-        out += [(a.alias_id, name) for name, bad in checks if bad]
-        nodes[seq].add(a.node_id)
-    wide = {s for s, n in nodes.items() if len(n) > 4}
-    return out + [(a.alias_id, "AMBIGUOUS_NORM") for a in aliases if tuple(norm_token(t) for t, *_ in tokenize(a.surface)) in wide]
+
+def report(aliases: list[Alias], nodes: set[str] | None = None) -> str:
+    """The compile report as canonical JSON."""
+    found, lexicon = compile_lexicon(aliases, nodes)
+    errors = sum(level == "ERROR" for level, *_ in found)
+    counts = {"aliases": sum(a.status == "active" for a in aliases), "errors": errors, "warnings": len(found) - errors, "vocab_size": len(lexicon.vocabulary) if lexicon else 0}
+    return json.dumps({"findings": [{"level": a, "code": b, "alias_id": c} for a, b, c in found], "counts": counts}, ensure_ascii=False, separators=(",", ":"))
 
 
 class Matcher:
-    """Spans of aliases in texts: all exact ones by n-grams of tokens, corrected words where none is exact, leftmost longest."""
+    """Spans of a lexicon's aliases in texts: all exact ones by windows of tokens, corrected words where none is exact, leftmost longest."""
 
-    def __init__(self, aliases: list[Alias]) -> None:
-        self.by_seq: dict[tuple, list[Alias]] = defaultdict(list)
-        self.vocabulary: set[str] = set()
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.lexicon = lexicon
+        self.by_form: dict[tuple, list[Alias]] = defaultdict(list)
         self.deletes: dict[str, set[str]] = defaultdict(set)
-        for a in aliases:
-            seq = tuple(norm_token(t) for t, *_ in tokenize(a.surface))
-            self.by_seq[seq].append(a)
-            self.vocabulary.update(seq)
-            if a.fuzzy_allowed:
-                for w in seq:
-                    if len(w) >= LEAST_FUZZY:
-                        for d in deletes(w):
-                            self.deletes[d].add(w)
-        self.longest = max(map(len, self.by_seq), default=0)
-
-    def correct(self, word: str) -> tuple[str, int] | None:
-        """The nearest word of the vocabulary within the edits, the first in order of equal ones."""
-        if len(word) < LEAST_FUZZY:
-            return None
-        near = {w for d in deletes(word) for w in self.deletes.get(d, ())}
-        best = min(((osa(word, w), w) for w in near), default=None)
-        return (best[1], best[0]) if best and 0 < best[0] <= (1 if len(word) < 8 else EDITS) else None
-
-    def _fits(self, a: Alias, text: str) -> bool:
-        return a.case_mode == "fold" or (a.case_mode == "exact" and text == a.surface) or (a.case_mode == "caps" and text.isupper())
+        for a in lexicon.aliases:
+            self.by_form[tuple(a.stored()[0].split(US))].append(a)
+        for w, (_, _, kind) in lexicon.vocabulary.items():
+            if kind != "none":
+                for d in deletes(w):
+                    self.deletes[d].add(w)
+        self.longest = max(map(len, self.by_form), default=0)
+        self.remembered: dict[str, tuple[int, list[str]]] = {}
 
-    def match(self, text: str) -> list[tuple[int, int, str, int, float]]:
-        """(start, end, node_id, alias_id, score), not overlapping, by start."""
-        tokens = tokenize(text)
-        forms, cost = [], []
-        for t, *_ in tokens:
-            w, e = norm_token(t), 0
-            if w not in self.vocabulary and (c := self.correct(w)):
-                w, e = c
-            forms.append(w)
-            cost.append(e)
-        found = []
-        for i in range(len(tokens)):
-            for n in range(1, min(self.longest, len(tokens) - i) + 1):
-                edits = max(cost[i : i + n])
-                for a in self.by_seq.get(tuple(forms[i : i + n]), ()):
-                    if edits and not a.fuzzy_allowed or not self._fits(a, text[tokens[i][1] : tokens[i + n - 1][2]]):
-                        continue
-                    found.append((tokens[i][1], tokens[i + n - 1][2], a.node_id, a.alias_id, round(a.weight * (1, ONE_EDIT, TWO_EDITS)[edits], 4)))
-        out, at = [], -1
-        for m in sorted(found, key=lambda m: (m[0], -m[1], -m[4], m[3])):
-            if m[0] >= at:
-                out.append(m)
-                at = m[1]
+    def _windows(self, forms: list[str | None], surfaces: list[str]) -> dict[tuple[int, int], set[int]]:
+        """Aliases by (first token, token after the last), told by case where their rows ask for it; a token without a form is in none."""
+        out: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for i in range(len(forms)):
+            for n in range(1, min(self.longest, len(forms) - i) + 1):
+                for a in self.by_form.get(tuple(forms[i : i + n]), ()):
+                    if self._told(a, surfaces[i : i + n]):
+                        out[i, i + n].add(a.alias_id)
         return out
 
+    @staticmethod
+    def _told(a: Alias, surfaces: list[str]) -> bool:
+        if a.case_mode == "exact":
+            same = lambda x: unicodedata.normalize("NFKC", x)
+            return [same(x) for x in surfaces] == [same(t) for t, *_ in tokenize(a.surface)]
+        return a.case_mode == "fold" or not any(unicodedata.category(c) in ("Ll", "Lt") for x in surfaces for c in x)
+
+    def _nearest(self, word: str) -> tuple[int, list[str]]:
+        """The fewest edits to words that may be corrected to, within the edits that a word of this length takes, and those words."""
+        if word not in self.remembered:
+            if len(self.remembered) > REMEMBERED:
+                self.remembered.clear()
+            near = [(osa(word, w), w) for w in {w for d in deletes(word) for w in self.deletes.get(d, ())}]
+            near = [(d, w) for d, w in near if d <= (1 if len(word) <= ONE_EDIT else EDITS)]
+            least = min((d for d, _ in near), default=0)
+            self.remembered[word] = least, [w for d, w in near if d == least]
+        return self.remembered[word]
+
+    def read(self, text: str) -> dict:
+        """tokens, spans (with all candidates), tokens in none, and flags of corrections that were held back.
+
+        Raises ValueError for a text over MAX_INPUT characters or with lone surrogates.
+        """
+        if not isinstance(text, str) or any("\ud800" <= c <= "\udfff" for c in text):
+            raise ValueError("E_INVALID_INPUT: not a text, or it has lone surrogates")
+        if len(text) > MAX_INPUT:
+            raise ValueError(f"E_INPUT_TOO_LONG: {len(text)} characters of {MAX_INPUT}")
+        vocabulary, by_id = self.lexicon.vocabulary, {a.alias_id: a for a in self.lexicon.aliases}
+        found = tokenize(text)
+        surfaces, norms = [t for t, *_ in found], [norm_token(t) for t, *_ in found]
+        known = [w if w in vocabulary else None for w in norms]
+        spans = self._windows(known, surfaces)
+        covered = {p for a, b in spans for p in range(a, b)}
+        edits: dict[int, int] = {}
+        flags = []
+        for i, w in enumerate(norms):
+            if not w or w in vocabulary or i in covered or len(w) < LEAST_FUZZY or not _has_letter(w):
+                continue
+            distance, near = self._nearest(w)
+            held = [x for x in near if vocabulary[x][2] == "suppressed"]
+            if near:
+                best = min(held or near, key=lambda x: (-vocabulary[x][1], x))
+                if held:
+                    flags.append(("token", i, best, distance))
+                else:
+                    known[i], edits[i] = best, distance
+        if edits:
+            for where, ids in self._windows(known, surfaces).items():
+                spans[where] |= ids
+        for (a, b), ids in sorted(spans.items()):
+            changed = [p for p in range(a, b) if p in edits]
+            barred = {x for x in ids if not by_id[x].fuzzy_allowed} if changed else set()
+            if barred and barred == ids:
+                first = by_id[min(barred)]
+                flags.append(("span", changed[0], first.stored()[0].replace(US, " "), sum(edits[p] for p in changed)))
+            spans[a, b] = ids - barred
+        scored = {}
+        for (a, b), ids in spans.items():
+            worth = 1.0
+            for p in range(a, b):
+                worth *= EDIT_WORTH.get(edits.get(p), 1.0)
+            if ids:
+                scored[a, b] = sorted(((round(by_id[x].weight * worth, 4), by_id[x]) for x in ids), key=lambda c: (-c[0], c[1].alias_id))
+        out, at = [], 0
+        for (a, b), own in sorted(scored.items(), key=lambda s: (s[0][0], -s[0][1], -s[1][0][0], s[1][0][1].alias_id)):
+            if a >= at:
+                out.append((a, b, own))
+                at = b
+        inside = {p for a, b, _ in out for p in range(a, b)}
+        shown = [known[i] if i in edits else w for i, w in enumerate(norms)]
+        return {
+            "tokens": [(i, t, shown[i], a, b, norms[i] if i in edits else None, edits.get(i, 0)) for i, (t, a, b) in enumerate(found)],
+            "spans": [(k, a, b, found[a][1], found[b - 1][2], text[found[a][1] : found[b - 1][2]], " ".join(shown[a:b]), any(p in edits for p in range(a, b)), own) for k, (a, b, own) in enumerate(out)],
+            "unmatched": [i for i, w in enumerate(shown) if w and i not in inside],
+            "flags": sorted(flags, key=lambda f: (f[1], f[0] != "token")),
+        }
+
+    def match(self, text: str) -> list[tuple[int, int, str, int, float]]:
+        """(start, end, node_id, alias_id, score) of the best candidate of each span, by start."""
+        return [(a, b, own[0][1].node_id, own[0][1].alias_id, own[0][0]) for _, _, _, a, b, _, _, _, own in self.read(text)["spans"]]
+
+    def match_json(self, text: str) -> bytes:
+        """All that was read, as canonical JSON: keys in order, weights and scores with four decimals."""
+        r = self.read(text)
+        s = lambda x: json.dumps(x, ensure_ascii=False)
+        obj = lambda **kv: "{" + ",".join(f'"{k}":{v}' for k, v in kv.items()) + "}"
+        many = lambda rows: "[" + ",".join(rows) + "]"
+        tokens = many(obj(i=i, surface=s(t), norm=s(w), char_start=a, char_end=b, corrected_from=s(c), edit_distance=d) for i, t, w, a, b, c, d in r["tokens"])
+        candidate = lambda score, a: obj(alias_id=a.alias_id, node_id=s(a.node_id), alias_type=s(a.alias_type), weight=f"{a.weight:.4f}", score=f"{score:.4f}")
+        spans = many(obj(span_id=k, tok_start=a, tok_end=b, char_start=x, char_end=y, surface_original=s(o), matched_norm=s(w), fuzzy=s(f), candidates=many(candidate(*c) for c in own)) for k, a, b, x, y, o, w, f, own in r["spans"])
+        flags = many(obj(type='"fuzzy_suppressed"', stage=s(stage), token_index=i, nearest=s(w), distance=d) for stage, i, w, d in r["flags"])
+        whole = obj(matcher_version=s(MATCHER_VERSION), lexicon_version=s(self.lexicon.version), norm_version=s(NORM_VERSION), tok_version=s(TOK_VERSION), text=s(text), tokens=tokens, spans=spans, unmatched_token_indices=many(map(str, r["unmatched"])), flags=flags)
+        return whole.encode()
+
 
 def match_texts(texts: DataFrame, aliases: list[Alias], key: str, text: str = "text") -> DataFrame:
-    """(key, start, end, node_id, alias_id, score) of the aliases (a list whose size is the caller's bound)."""
+    """(key, start, end, node_id, alias_id, score) of the aliases (a list whose size is the caller's bound).
+
+    Texts longer than the matcher's input are read in pieces cut at white space; offsets are the
+    text's own.  Raises ValueError for aliases that do not compile.
+    """
     kind = texts.schema[key].dataType.simpleString()
-    shared = texts.sparkSession.sparkContext.broadcast(aliases)
+    found, lexicon = compile_lexicon(aliases)
+    if lexicon is None:
+        raise ValueError(f"the aliases do not compile: {found}")
+    shared = texts.sparkSession.sparkContext.broadcast(tuple(astuple(a) for a in lexicon.aliases))
 
     def run(batches):
-        matcher = Matcher(shared.value)
+        matcher = Matcher(compile_lexicon([Alias(*a) for a in shared.value])[1])
         for rows in batches:
-            out = [(k, *m) for k, t in zip(rows[key], rows[text], strict=True) for m in matcher.match(t or "")]
+            out = [(k, at + a, at + b, *rest) for k, t in zip(rows[key], rows[text], strict=True) for at, piece in pieces(t or "") for a, b, *rest in matcher.match(piece)]
             yield pd.DataFrame(out, columns=[key, "start", "end", "node_id", "alias_id", "score"])
 
     return texts.select(key, text).mapInPandas(run, f"{key} {kind}, start int, end int, node_id string, alias_id long, score double")
 
 
-def match_tokens(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id, pos, alias_id) of exact alias hits: windows of tokens (id, tokens array) joined with aliases (alias_id, seq array)."""
-    sizes = [r[0] for r in aliases.select(F.size("seq")).distinct().orderBy(F.size("seq")).limit(MAX_TOKENS).collect()]
+def pieces(text: str, most: int = MAX_INPUT) -> list[tuple[int, str]]:
+    """(start, piece) of a text, cut after white space where there is any; lone surrogates read as blanks."""
+    text = "".join(" " if "\ud800" <= c <= "\udfff" else c for c in text)
+    out, at = [], 0
+    while at < len(text):
+        end = at + most
+        if end < len(text):
+            cut = max(text.rfind(c, at, end) for c in " \n\t")
+            end = cut + 1 if cut >= at else end
+        out.append((at, text[at:end]))
+        at = end
+    return out
+
 
-    def windows(n: int):
-        at = F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.struct((i - 1).alias("pos"), F.array_join(F.slice("tokens", i, n), "\u001f").alias("g")))
-        return F.when(F.size("tokens") >= n, at)
+def match_tokens(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, pos, alias_id) of exact alias hits: windows of tokens (id, tokens array) joined with aliases (alias_id, seq array).
 
-    grams = F.flatten(F.array_compact(F.array(*map(windows, sizes))))
-    rows = tokens.select("id", F.explode_outer(grams).alias("w"))
-    return rows.join(aliases.select("alias_id", F.array_join("seq", "\u001f").alias("g")), F.col("w.g") == F.col("g")).select("id", F.col("w.pos").alias("pos"), "alias_id")
+    Raises ValueError for aliases of more than MAX_TOKENS tokens, which the lexicon does not have.
+    """
+    sizes = [r[0] for r in aliases.select(F.size("seq").alias("n")).distinct().orderBy("n").limit(MAX_TOKENS + 2).collect()]
+    if sizes and (sizes[-1] > MAX_TOKENS or sizes[0] < 1):
+        raise ValueError(f"aliases have 1 to {MAX_TOKENS} tokens, not {sizes}")
+    at = tokens.select("id", "tokens", F.posexplode_outer("tokens").alias("pos", "token"))
+    gram = lambda n: F.when(F.col("pos") + n <= F.size("tokens"), F.concat_ws(US, *[F.get("tokens", F.col("pos") + k) for k in range(n)]))
+    rows = at.select("id", "pos", F.explode_outer(F.array(*[gram(n) for n in sizes or [1]])).alias("g")).where("g is not null")
+    return rows.join(aliases.select("alias_id", F.array_join("seq", US).alias("g")), "g").select("id", "pos", "alias_id")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lorewell.functions import text as T
 from lorewell.operators import search
@@ -53,18 +56,38 @@ def sample(chunks: DataFrame, n: int, source_type: str | None = None, seed: int
 def hash_vectors(frame: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """(key, vec): unit vectors of hashed terms, a stand-in for an embedding service; null vectors for texts without terms."""
     bucket = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim
-    rows = frame.select(key, F.transform(T.terms(F.col(text)), bucket).alias("b"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("b", lambda x: x == i)).cast("double"))
-    return rows.select(key, counts.alias("v")).select(key, search.unit(F.col("v")).alias("vec"))
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def spread(buckets: pd.Series) -> pd.Series:
+        def one(b):
+            v = np.bincount(np.asarray(b, np.int64), minlength=dim).astype(float)
+            return v / np.sqrt(v @ v) if len(b) else None
+
+        return buckets.map(one)
+
+    return frame.select(key, spread(F.transform(T.terms(F.col(text)), bucket)).alias("vec"))
+
+
+def embed_missing(nodes: DataFrame, dim: int = DIM) -> DataFrame:
+    """Nodes (id, label, summary, status, embedding) with a vector of label and summary where an active one has none."""
+    text = F.concat(F.col("label"), F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(". "), F.col("summary"))).otherwise(""))
+    wanted = nodes.where("embedding is null and status = 'active'").select("id", text.alias("_text"))
+    made = hash_vectors(wanted, "id", "_text", dim).withColumnRenamed("vec", "_vec")
+    return nodes.join(made, "id", "left").withColumn("embedding", F.coalesce("embedding", "_vec")).select(nodes.columns)
+
+
+def chunks_for_path(chunks: DataFrame, vectors: DataFrame, path: str) -> DataFrame:
+    """(seq, section, text, tokens, vec) of one document, in order, with the vectors that there are."""
+    rows = chunks.where(F.col("path") == path).select("id", "seq", F.coalesce("section", F.lit("")).alias("section"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    return rows.join(vectors.select("id", "vec"), "id", "left").orderBy("seq", "id").select("seq", "section", "text", "tokens", "vec")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score): the nearest vector of each query, the smaller id of equal ones.
 
-    One aggregate: each task keeps one candidate a query.
+    Each task sends one candidate a query.
     """
-    small = F.broadcast(queries) if queries.count() <= 10_000 else queries
-    scored = vectors.select("id", "vec").crossJoin(small.select("query_id", "qvec")).select("query_id", "id", F.round(search.dot(F.col("vec"), F.col("qvec")), 9).alias("score"))
+    scored = search.scored_vectors(vectors.select("id", "vec"), queries, 1)
     best = scored.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("id")).alias("m"))).alias("b"))
     return best.select("query_id", (-F.col("b.m")).alias("id"), "b.score")
 

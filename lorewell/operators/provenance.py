@@ -55,6 +55,43 @@ def merge_tables(own: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return own.unionByName(other.select(shared).dropDuplicates([key]).join(own.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def split_bundles(sources: DataFrame, edges: DataFrame, edge_support: DataFrame, node_support: DataFrame) -> DataFrame:
+    """(bundle, node, borrowed) of every bundle's closure at once: nodes its documents support, and those only its edges name.
+
+    One plan splits all bundles; writing it partitioned by bundle gives a folder each.
+    """
+    own = sources.select("doc_id", "bundle")
+    mine = node_support.join(own, "doc_id").select("bundle", "node").distinct()
+    kept = edge_support.join(own, "doc_id").select("bundle", "edge_id").distinct().join(edges, "edge_id")
+    named = kept.select("bundle", F.col("src").alias("node")).union(kept.select("bundle", "dst")).distinct()
+    borrowed = named.join(mine, ["bundle", "node"], "left_anti").select("bundle", "node", F.lit(True).alias("borrowed"))
+    return mine.select("bundle", "node", F.lit(False).alias("borrowed")).unionAll(borrowed)
+
+
+def assemble(sources: DataFrame, edges: DataFrame, edge_support: DataFrame, node_support: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, unloaded: list[str] | None = None) -> dict[str, DataFrame]:
+    """The working tables of a selection of sources: sources, edges, edge_support and nodes of its closure.
+
+    Support by other documents is left out, as their sources are.
+    """
+    chosen = select_sources(sources, include, exclude, unloaded)
+    docs = chosen.select("doc_id")
+    support = edge_support.join(docs, "doc_id", "left_semi")
+    return {"sources": chosen, "edges": edges.join(support.select("edge_id").distinct(), "edge_id", "left_semi"), "edge_support": support, "nodes": closure(edges, edge_support, node_support, docs)}
+
+
+def eject(sources: DataFrame, edges: DataFrame, edge_support: DataFrame, node_support: DataFrame, bundle: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(the bundle's own tables, to be exported first; what is left without it), by the rules of :func:`remove_docs`."""
+    exported = assemble(sources, edges, edge_support, node_support, [bundle])
+    docs = sources.where(F.col("bundle") == bundle).select("doc_id")
+    left, support, gone = remove_docs(edges, edge_support, node_support, docs)
+    return exported, {"sources": sources.join(docs, "doc_id", "left_anti"), "edges": left, "edge_support": support, "gone": gone}
+
+
+def strip_vectors(rows: DataFrame, model: str, own_model: str, column: str = "embedding") -> DataFrame:
+    """Rows of a bundle without their vectors, if another model made them."""
+    return rows if model == own_model else rows.withColumn(column, F.lit(None).cast(rows.schema[column].dataType))
+
+
 def import_bundle(own: DataFrame, bundle: DataFrame, name: str, cap: float = TRUST_CAP) -> DataFrame:
     """Registry rows of a bundle under its name, with capped trust; rows known already are untouched."""
     return merge_tables(own, bundle.withColumn("bundle", F.lit(name)).withColumn("trust_weight", F.least("trust_weight", F.lit(cap))), "doc_id")

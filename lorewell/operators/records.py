@@ -5,9 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Trust and regime that a source has by its type, where none is given.
-TYPE_TRUST = {"book": 0.8, "paper": 0.9, "web": 0.4, "note": 0.5}
-TYPE_REGIME = {"book": "empirical", "paper": "empirical", "web": "reported", "note": "interpretive"}
+from lorewell.functions import text as T
+
+# The regime and the trust that a source has by its type, where none is given.
+TYPE_REGIME = {
+    "peer_reviewed": "empirical", "textbook": "empirical", "reference": "empirical",
+    "novel": "fictional", "fiction": "fictional", "essay": "interpretive",
+    "history": "historical", "web": "empirical", "unknown": "empirical",
+    "pdf": "empirical", "epub": "empirical", "html": "empirical",
+    "text": "empirical", "wikipedia": "empirical",
+    "conceptnet": "conventional", "atomic": "conventional", "glucose": "conventional",
+    "causenet": "conventional",
+}
+TYPE_TRUST = {
+    "peer_reviewed": 0.9, "textbook": 0.8, "reference": 0.7, "history": 0.6,
+    "essay": 0.5, "novel": 0.4, "fiction": 0.4, "web": 0.3, "unknown": 0.25,
+    "wikipedia": 0.7, "pdf": 0.5, "epub": 0.5, "html": 0.4, "text": 0.4,
+    "conceptnet": 0.2, "atomic": 0.2, "glucose": 0.2,
+    "causenet": 0.4,
+}
+OTHER_TRUST, OTHER_REGIME = 0.25, "empirical"
 #: Sections of pages that a banner must be on, by share and at least, and lines looked at from each edge.
 BANNER_SHARE, BANNER_LEAST, EDGE, FEWEST_PAGES = 0.3, 3, 2, 6
 #: Least confidence of a linker's verdict.
@@ -22,18 +39,30 @@ def _by_type(table: dict, default) -> Column:
 def register_sources(known: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert of (doc_id, source_type, trust_weight, regime, licence, bundle).
 
-    Trust and regime of the new row overwrite (by type where they are null); licence and bundle
-    fill what was empty.
+    A new source has the trust and regime of its type where none is given; a known one keeps
+    its own then, as it may have been edited.  Licence (by its known id) and bundle fill what
+    was empty.
     """
-    a, b = known.alias("a"), new.alias("b")
+    a, b = known.alias("a"), new.withColumns({"source_type": F.lower("source_type"), "licence": F.when(F.col("licence").isNotNull(), T.licence(F.col("licence")))}).alias("b")
     both = a.join(b, F.col("a.doc_id") == F.col("b.doc_id"), "full")
-    fresh = F.col("b.doc_id").isNotNull()
     kept = lambda c: F.when(F.coalesce(F.col(f"a.{c}"), F.lit("")) != "", F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
+    first = F.col("a.doc_id").isNull()
     rows = both.select(
-        F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), F.coalesce("b.source_type", "a.source_type").alias("source_type"),
-        F.when(fresh, F.col("b.trust_weight")).otherwise(F.col("a.trust_weight")).alias("t"), F.when(fresh, F.col("b.regime")).otherwise(F.col("a.regime")).alias("r"), kept("licence"), kept("bundle"),
+        F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), F.coalesce("b.source_type", "a.source_type", F.lit("unknown")).alias("source_type"),
+        F.coalesce("b.trust_weight", "a.trust_weight").alias("t"), F.coalesce("b.regime", "a.regime").alias("r"), first.alias("first"), kept("licence"), kept("bundle"),
     )
-    return rows.select("doc_id", "source_type", F.coalesce("t", _by_type(TYPE_TRUST, 0.3)).alias("trust_weight"), F.coalesce("r", _by_type(TYPE_REGIME, "reported")).alias("regime"), "licence", "bundle")
+    typed = lambda table, other: F.when(F.col("first"), _by_type(table, other))
+    return rows.select("doc_id", "source_type", F.coalesce("t", typed(TYPE_TRUST, OTHER_TRUST)).alias("trust_weight"), F.coalesce("r", typed(TYPE_REGIME, OTHER_REGIME)).alias("regime"), "licence", "bundle")
+
+
+def sources_by_licence(sources: DataFrame, licence: str | None = None, holder: str | None = None, permission: str | None = None) -> DataFrame:
+    """Registry rows of a licence (by its known id), with a holder's name in theirs, and that grant a permission: all that are given."""
+    rows = sources
+    if licence:
+        rows = rows.where(T.licence(F.col("licence")) == T.licence(F.lit(licence)))
+    if holder:
+        rows = rows.where(F.contains(F.lower(F.coalesce("licence_holder", F.lit(""))), F.lit(holder.lower())))
+    return rows.where(F.coalesce(T.licence_flag(F.col("licence"), permission), F.lit(False))) if permission else rows
 
 
 def set_source(known: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -83,6 +112,25 @@ def page_furniture(pages: DataFrame) -> DataFrame:
     return left.where(~number).select("doc", "page", "line_no", "line")
 
 
+def pending_chunks(chunks: DataFrame, distilled: DataFrame, bundle: str | None = None, skipped_zones: tuple[str, ...] = ("references", "toc", "index", "boilerplate"), dedupe: bool = True) -> DataFrame:
+    """Chunks (id, bundle, section, text) with zone, owner and fate, the first that holds: outside, done, zone, duplicate or pending.
+
+    A text is owned by the chunk of the smallest id that has it: among distilled ones, else among
+    those that are neither outside nor in a skipped zone.  Counting fates gives the four counters.
+    """
+    rows = chunks.withColumn("zone", T.zone(F.col("section"), F.col("text"))).withColumn("_hash", T.text_hash(F.col("text")))
+    rows = rows.join(distilled.select("id", F.lit(True).alias("_done")).distinct(), "id", "left").withColumn("_done", F.coalesce("_done", F.lit(False)))
+    outside = F.lit(False) if bundle is None else ~F.col("bundle").eqNullSafe(bundle)
+    rows = rows.withColumn("_out", outside).withColumn("_skip", F.col("zone").isin(list(skipped_zones)))
+    first = F.min(F.struct((~F.col("_done")).alias("waits"), "id"))
+    owners = rows.where("_done or not (_out or _skip)").groupBy("_hash").agg(first["id"].alias("owner"))
+    rows = rows.join(owners, "_hash", "left")
+    fate = F.when(F.col("_out"), "outside").when(F.col("_done"), "done").when(F.col("_skip"), "zone")
+    if dedupe:
+        fate = fate.when(F.col("owner") != F.col("id"), "duplicate")
+    return rows.withColumn("fate", fate.otherwise("pending")).select(*chunks.columns, "zone", F.when(F.col("fate") == "duplicate", F.col("owner")).alias("owner"), "fate")
+
+
 def slices(sections: DataFrame, chars: int, least: int = 40, most: int | None = None) -> DataFrame:
     """(id, off, piece) of (id, text): cut every ``chars`` characters, short pieces dropped; to the end, or ``most`` at most."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.char_length("text") / chars).cast("int") - 1))

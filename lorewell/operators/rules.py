@@ -12,10 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.session import saved
+
 MAX_DEPTH = 4
 #: Severities from light to heavy, and what is recommended where a rule fires.
-SEVERITY = {"info": 0, "caution": 1, "serious": 2, "critical": 3}
-RECOMMENDED = {"info": "note", "caution": "warn", "serious": "review", "critical": "block"}
+SEVERITY = {"advisory": 1, "caution": 2, "severe": 3, "prohibitive": 4}
+RECOMMENDED = {"prohibitive": "block", "severe": "warn_strong", "caution": "warn", "advisory": "note"}
 _COMPARE = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "==": operator.eq}
 
 
@@ -60,18 +62,18 @@ def compile_expression(expr: dict, predicates: Column, fields: Column) -> Column
     return reduce(operator.and_ if op == "all_of" else operator.or_, parts)
 
 
-def ancestors(is_a: DataFrame, start: DataFrame, rounds: int = 16) -> DataFrame:
-    """(node, ancestor) of start (node), itself included, up to ``rounds`` steps; safe on cycles."""
-    out = start.select("node", F.col("node").alias("ancestor")).distinct()
-    step = out
-    up = is_a.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-    for _ in range(rounds):
-        new = step.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct().join(out, ["node", "ancestor"], "left_anti")
-        new = new.persist()
+def ancestors(is_a: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, ancestor) of start (node), itself included, however far up; safe on cycles.
+
+    Each step's new rows are written to the shared folder; steps go on until there are none.
+    """
+    out = saved(start.select("node", F.col("node").alias("ancestor")).distinct())
+    step, up = out, is_a.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
+    while True:
+        new = saved(step.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct().join(out, ["node", "ancestor"], "left_anti"))
         if not new.limit(1).count():
-            break
+            return out
         out, step = out.unionAll(new), new
-    return out
 
 
 def scope(actions: DataFrame, is_a: DataFrame, uses: DataFrame, member_of: DataFrame) -> DataFrame:
@@ -88,6 +90,8 @@ def scope(actions: DataFrame, is_a: DataFrame, uses: DataFrame, member_of: DataF
 def check(states: DataFrame, scopes: DataFrame, rules: list[dict], overrides: DataFrame | None = None) -> DataFrame:
     """Findings (state_id, action, edge_id, disposition, severity, recommended, rank) of states.
 
+    The rules are compiled into the plan, so that their number is the caller's bound.
+
     states: (state_id, action, predicates, fields).  rules: edge_id, subject, severity, status and
     expr.  A false rule is silent, an unknown or proposed one is for a human, an override on a node
     in scope suppresses; findings that fire come first, then by severity and id.

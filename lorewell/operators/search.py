@@ -1,65 +1,123 @@
 """Sparse, dense and hybrid search over chunks, many queries at a time.
 
 Postings, lengths and document frequencies are tables; a batch of queries is joined with
-them, so that one plan answers all queries.
+them, so that one plan answers all queries.  Vectors are scored by matrix products over
+Arrow batches, and a task sends on its own best rows of each query alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
+from lorewell.functions.stemming import stemmed, unmarked
+from lorewell.session import saved, written
 
 #: Fixed values of BM25: saturation, length normalisation, floor of the idf.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
+#: Fixed values of a learned stoplist: its share of the documents, the fewest documents, the most terms.
+STOP_RATIO, STOP_LEAST_DOCS, STOP_MOST = 0.5, 5000, 300
+#: Rows of a table of query terms that is broadcast, and of queries that one pass over the vectors answers.
+BROADCAST_ROWS, QUERY_BLOCK = 1_000_000, 10_000
+
+
+def _words(text: Column) -> Column:
+    """Words of a text as an index has them: lower-cased, without marks; an empty one at either end if a separator is there."""
+    return F.split(unmarked(F.lower(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+")
+
+
+def _sized(chunks: DataFrame, columns: dict[str, float], id_col: str, stems: bool = False) -> DataFrame:
+    """(id, own.., len): the words of each column, and how many there are in all."""
+    names = [f"w{i}" for i in range(len(columns))]
+    words = [stemmed(_words(F.col(c))) if stems else _words(F.col(c)) for c in columns]
+    rows = chunks.select(F.col(id_col).alias("id"), *[w.alias(n) for w, n in zip(words, names, strict=True)])
+    full = lambda n: F.greatest(F.lit(0), F.size(n) - (F.get(n, F.lit(0)) == "").cast("int") - (F.element_at(n, -1) == "").cast("int"))
+    return rows.select("*", reduce(Column.__add__, map(full, names)).cast("long").alias("len"))
+
+
+def postings(chunks: DataFrame, columns: dict[str, float], id_col: str = "doc_id", stems: bool = False) -> DataFrame:
+    """(id, term, wtf, tf, len): weighted and plain term frequencies over the text columns, and the document's length.
+
+    The columns' words are one array, whose places tell the weight; the length travels with
+    each row, so that scores need no further join.  ``stems`` indexes Porter stems.
+    """
+    rows = _sized(chunks, columns, id_col, stems)
+    names = [c for c in rows.columns if c not in ("id", "len")]
+    weight, end = F.lit(0.0), F.lit(0)
+    ends = []
+    for n in names:
+        end = end + F.size(n)
+        ends.append(end)
+    for e, w in reversed(list(zip(ends, columns.values(), strict=True))):
+        weight = F.when(F.col("pos") < e, F.lit(float(w))).otherwise(weight)
+    one = rows.select("id", "len", *names, F.concat(*names).alias("all"))
+    each = one.select("id", "len", *names, F.posexplode_outer("all").alias("pos", "term")).where("term <> ''")
+    return each.select("id", "len", "term", weight.alias("w")).groupBy("id", "len", "term").agg(F.sum("w").alias("wtf"), F.count("*").alias("tf"))
+
 
+def corpus_size(chunks: DataFrame, columns: dict[str, float], id_col: str = "doc_id", stems: bool = False) -> DataFrame:
+    """(docs, avg_len) of the documents with a word, in one pass without a shuffle of rows."""
+    return _sized(chunks, columns, id_col, stems).where("len > 0").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
 
-def postings(chunks: DataFrame, columns: dict[str, float], id_col: str = "doc_id") -> DataFrame:
-    """(id, term, wtf, tf): weighted and plain term frequencies over the text columns."""
-    one = [chunks.select(F.col(id_col).alias("id"), F.lit(float(w)).alias("w"), F.explode(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("term")) for c, w in columns.items()]
-    rows = one[0]
-    for more in one[1:]:
-        rows = rows.unionAll(more)
-    return rows.groupBy("id", "term").agg(F.sum("w").alias("wtf"), F.count("*").alias("tf"))
 
+def build_index(chunks: DataFrame, columns: dict[str, float], id_col: str = "doc_id", stems: bool = False) -> DataFrame:
+    """The postings as a table in the shared folder."""
+    return written(postings(chunks, columns, id_col, stems))[0]
 
-def stoplist(index: DataFrame, ratio: float = 0.5, least_docs: int = 5000, most: int = 300) -> DataFrame:
-    """(term, df): terms of more than ``ratio`` of the documents, the most frequent first."""
-    n = index.agg(F.countDistinct("id").alias("docs"))
+
+def index_size(index: DataFrame) -> DataFrame:
+    """(docs, avg_len) from postings alone: a row a document and task is shuffled."""
+    return index.groupBy("id").agg(F.min("len").alias("len")).agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
+
+
+def stoplist(index: DataFrame, ratio: float = STOP_RATIO, least_docs: int = STOP_LEAST_DOCS, most: int = STOP_MOST, extras: list[str] | None = None, size: DataFrame | None = None) -> DataFrame:
+    """(term, df): terms of more than ``ratio`` of the documents, the most frequent first, and the extra ones."""
+    n = index_size(index) if size is None else size
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n)).where((F.col("docs") >= least_docs) & (F.col("df") > F.floor(F.col("docs") * ratio))).orderBy(F.desc("df"), "term").limit(most).select("term", "df")
+    found = df.crossJoin(F.broadcast(n)).where((F.col("docs") >= least_docs) & (F.col("df") > F.floor(F.col("docs") * ratio))).orderBy(F.desc("df"), "term").limit(most).select("term", "df")
+    if not extras:
+        return found
+    more = index.sparkSession.createDataFrame([(t,) for t in sorted({t.lower() for t in extras})], "term string")
+    return found.unionByName(more.join(found, "term", "left_anti").select("term", F.lit(0).cast("long").alias("df")))
 
 
-def bm25(index: DataFrame, queries: DataFrame, k: int = 10, stop: DataFrame | None = None) -> DataFrame:
+def bm25(index: DataFrame, queries: DataFrame, k: int = 10, stop: DataFrame | None = None, size: DataFrame | None = None, stems: bool = False) -> DataFrame:
     """(query_id, id, score, rank): the k best of each query (query_id, query) by BM25.
 
-    Scores are rounded to 9 digits before they are ranked; ties go to the smaller id.  Only
-    postings of the queries' terms are scored; the rest is read for lengths alone.  Words of
-    the stoplist are not asked for, unless a query has no others.
+    Scores are rounded to 9 digits before they are ranked; ties go to the smaller id.  The
+    index is read once for the postings of the queries' terms, which are saved.  Terms are
+    broadcast, so that a term of many documents is scored where its postings are; partial sums
+    alone are shuffled.  Words of the stoplist are not asked for, unless a query has no others.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.transform(T.search_terms(F.col("query")), lambda t: F.lower(t)))).alias("term"))
+    words = F.transform(T.search_terms(F.col("query")), lambda t: unmarked(F.lower(t)))
+    asked = queries.select("query_id", F.explode(F.array_distinct(stemmed(words) if stems else words)).alias("term"))
     if stop is not None:
-        marked = asked.join(stop.select("term", F.lit(True).alias("_stop")), "term", "left").withColumn("_stop", F.coalesce("_stop", F.lit(False)))
+        marked = asked.join(F.broadcast(stop.select("term", F.lit(True).alias("_stop"))), "term", "left").withColumn("_stop", F.coalesce("_stop", F.lit(False)))
         plain = F.max((~F.col("_stop")).cast("int")).over(Window.partitionBy("query_id"))
         asked = marked.withColumn("_plain", plain).where((F.col("_plain") == 0) | ~F.col("_stop")).select("query_id", "term")
-    lengths = index.groupBy("id").agg(F.sum("tf").alias("len"))
-    total = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = saved(asked)
+    hint = F.broadcast if asked.count() <= BROADCAST_ROWS else (lambda x: x)
+    wanted = saved(index.join(hint(asked.select("term").distinct()), "term", "left_semi").select("id", "len", "term", "wtf"))
+    total = index_size(index) if size is None else size
     df = wanted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
     raw = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.select("term", F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw).alias("idf"), "avg_len")
-    hit = wanted.join(asked.join(idf, "term"), "term").join(lengths, "id")
+    hit = wanted.join(hint(asked.join(idf, "term")), "term")
     part = F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
     return top_k(scored, k)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
-    """The k best rows of each query with their rank from 0."""
+    """The k best rows of each query with their rank from 0; a task sends on k rows of a query at most."""
     w = Window.partitionBy("query_id").orderBy(F.desc(by), "id")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,35 +131,99 @@ def unit(v: Column) -> Column:
     return F.when(size > 0, F.transform(v, lambda x: x / size))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a column of equal lists without nulls."""
+    flat = column.flatten()
+    return np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def _best(table: pa.Table, k: int) -> pa.Table:
+    """The k best rows (query, id, score, ..) of each query, the smaller id first of equal ones."""
+    table = table.sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+    own = table["query"].to_numpy()
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, int)
+    place = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+    return table.filter(pa.array(place < k))
+
+
+def _score_block(vectors: DataFrame, asked: list, kind, k: int, floor: float | None) -> DataFrame:
+    """(query_id, id, score, extra columns) of the k best vectors of each task for a block of queries."""
+    names = [c for c in vectors.columns if c != "vec"]
+    own = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in asked], np.array([r["qvec"] for r in asked], np.float64)))
+
+    def run(batches):
+        ids, q = own.value
+        rows = max(64, (1 << 22) // max(1, len(q)))
+        held: list[pa.Table] = []
+        schema = None
+
+        def close() -> pa.Table:
+            return _best(pa.concat_tables(held), k)
+
+        for batch in batches:
+            full = batch.filter(batch.column(batch.schema.names.index("vec")).is_valid())
+            schema = pa.schema([("query", pa.int64()), *[(n, full.schema.field(n).type) for n in names], ("score", pa.float64())])
+            for at in range(0, full.num_rows, rows):
+                part = full.slice(at, rows)
+                score = np.round(_matrix(part.column(part.schema.names.index("vec"))) @ q.T, 9)
+                least = np.partition(score, len(score) - k, axis=0)[len(score) - k] if len(score) > k else np.full(len(q), -np.inf)
+                if floor is not None:
+                    least = np.maximum(least, floor)
+                i, j = np.nonzero(score >= least)
+                at_row = pa.array(i)
+                held.append(pa.Table.from_arrays([pa.array(j.astype(np.int64)), *[part.column(part.schema.names.index(n)).take(at_row) for n in names], pa.array(score[i, j])], schema=schema))
+                if sum(len(t) for t in held) > 4 * k * len(q) + 100_000:
+                    held[:] = [close()]
+        if held:
+            out = close()
+            yield from pa.Table.from_arrays([pa.array(ids).take(out["query"]), *out.columns[1:]], names=["query_id", *out.column_names[1:]]).combine_chunks().to_batches()
+
+    columns = ", ".join(f"{n} {vectors.schema[n].dataType.simpleString()}" for n in names)
+    return vectors.mapInArrow(run, f"query_id {kind}, {columns}, score double")
+
+
+def scored_vectors(vectors: DataFrame, queries: DataFrame, k: int, floor: float | None = None) -> DataFrame:
+    """(query_id, id, score, further columns of vectors): a superset of the k best of each query.
+
+    The queries are a stated set, taken in blocks of QUERY_BLOCK; a block is a pass over the
+    vectors, in which each task keeps its own k best of each query.
+    """
+    small = queries.select("query_id", "qvec").where("qvec is not null")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    n = small.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    cut = lambda i: small.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else small
+    parts = [_score_block(vectors, cut(i).collect(), kind, k, floor) for i in range(blocks)] if n else []
+    return reduce(DataFrame.unionByName, parts) if parts else vectors.drop("vec").crossJoin(queries.select("query_id").limit(0)).select("query_id", *[c for c in vectors.columns if c != "vec"], F.lit(0.0).alias("score"))
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, prefilter: bool = True, floor: float | None = None) -> DataFrame:
     """(query_id, id, score, rank) of vectors (id, vec, ...) for queries (query_id, qvec), by cosine of unit vectors.
 
-    The batch of queries is small and is broadcast after a count of its rows; vectors are read
-    once.  ``prefilter=False`` filters after 4k candidates and may return fewer than k.
+    ``prefilter=False`` filters after 4k candidates and may return fewer than k.  Null vectors
+    are in no result.
     """
-    rows = vectors if where is None or not prefilter else vectors.where(where)
-    small = queries.select("query_id", "qvec")
-    hint = F.broadcast(small) if small.count() <= 10_000 else small
-    scored = rows.crossJoin(hint).withColumn("score", F.round(dot(F.col("vec"), F.col("qvec")), 9))
-    if floor is not None:
-        scored = scored.where(F.col("score") >= floor)
-    if where is not None and not prefilter:
-        scored = top_k(scored, 4 * k).drop("rank").where(where)
-    return top_k(scored, k).select("query_id", "id", "score", "rank")
+    if where is None or prefilter:
+        rows = (vectors if where is None else vectors.where(where)).select("id", "vec")
+        return top_k(scored_vectors(rows, queries, k, floor), k).select("query_id", "id", "score", "rank")
+    marked = vectors.select("id", "vec", F.coalesce(where, F.lit(False)).alias("fits"))
+    near = top_k(scored_vectors(marked, queries, 4 * k, floor), 4 * k).drop("rank").where("fits")
+    return top_k(near, k).select("query_id", "id", "score", "rank")
 
 
 def rrf(*arms: DataFrame, k: int = RRF_K) -> DataFrame:
     """(query_id, id, fused) of ranked arms (query_id, id, rank): the sum of 1 / (k + rank + 1)."""
-    rows = arms[0].select("query_id", "id", "rank")
-    for more in arms[1:]:
-        rows = rows.unionAll(more.select("query_id", "id", "rank"))
+    rows = reduce(DataFrame.unionAll, [a.select("query_id", "id", "rank") for a in arms])
     return rows.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (k + F.col("rank") + 1)), 9).alias("fused"))
 
 
 def rerank(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10, intent: str | None = None) -> DataFrame:
     """(query_id, id, fused, score, rank): word overlap in text and title, and the fusion rank as a prior."""
-    body = chunks.select("id", T.terms(F.col("text")).alias("body"), T.terms(F.concat_ws(" ", "title", "section")).alias("head"))
-    rows = fused.join(body, "id").join(queries.select("query_id", T.terms(F.col("query")).alias("q")), "query_id")
+    near = saved(fused)
+    wanted = near.select("id").distinct()
+    wanted = F.broadcast(wanted) if near.count() <= BROADCAST_ROWS else wanted
+    body = chunks.join(wanted, "id", "left_semi").select("id", T.terms(F.col("text")).alias("body"), T.terms(F.concat_ws(" ", "title", "section")).alias("head"))
+    rows = near.join(body, "id").join(queries.select("query_id", T.terms(F.col("query")).alias("q")), "query_id")
     share = lambda a, b: F.size(F.array_intersect(a, b)) / (F.size(a) + 1e-6)
     wish = T.terms(F.lit(intent)) if intent else None
     score = 0.55 * share(F.col("q"), F.col("body")) + 0.20 * share(F.col("q"), F.col("head"))
@@ -118,9 +240,27 @@ def squash(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.when(outside == 1, 1 / (1 + F.exp(-F.col("score")))).otherwise(F.col("score")))
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 10, shortlist: int = 64, excluded: DataFrame | None = None, low: float = 0.35) -> DataFrame:
-    """(query_id, id, score, rank, confidence, low_confidence): sparse and dense arms, fused, filtered, reranked."""
-    arms = [bm25(postings(chunks, {"text": 1.0, "title": 4.0, "section": 2.0}, "id"), queries, shortlist)]
+def cross_rerank(scores: DataFrame, chunks: DataFrame, k: int = 10, intent: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank) of cross-encoder scores (query_id, id, score, fused), squashed if need be.
+
+    A passage without a score keeps its fusion score.  An intent adds a tenth of the share of
+    its words that text, title and section have.
+    """
+    rows = squash(scores).withColumn("score", F.coalesce("score", "fused"))
+    if intent:
+        wish = T.terms(F.lit(intent))
+        share = F.size(F.array_intersect(wish, T.terms(F.concat_ws(" ", "text", "title", "section")))) / (F.size(wish) + 1e-6)
+        rows = rows.join(chunks.select("id", share.alias("_share")), "id", "left").withColumn("score", F.col("score") + 0.10 * F.coalesce("_share", F.lit(0.0)))
+    rounded = F.floor(F.least(F.lit(1.0), F.col("score")) * 10000 + 0.5) / 10000
+    return top_k(rows.select("query_id", "id", rounded.alias("score")), k)
+
+
+def hybrid_search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 10, shortlist: int = 64, excluded: DataFrame | None = None, low: float = 0.35, stop: bool = True) -> DataFrame:
+    """(query_id, id, fused, score, rank, confidence, low_confidence): sparse and dense arms, fused, filtered, reranked."""
+    columns = {"text": 1.0, "title": 4.0, "section": 2.0}
+    index, size = build_index(chunks, columns, "id"), saved(corpus_size(chunks, columns, "id"))
+    words = saved(stoplist(index, size=size)) if stop else None
+    arms = [bm25(index, queries, shortlist, words, size)]
     if vectors is not None and query_vectors is not None:
         arms.append(vector_search(vectors, query_vectors, shortlist))
     fused = rrf(*arms)
@@ -129,3 +269,32 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | No
     ranked = rerank(top_k(fused, shortlist, "fused").drop("rank"), chunks, queries, k)
     best = F.max("score").over(Window.partitionBy("query_id"))
     return ranked.withColumn("confidence", best).withColumn("low_confidence", best < low)
+
+
+def library_search(chunks: DataFrame, queries: DataFrame, collection: str | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 8, shortlist: int = 64) -> DataFrame:
+    """(query_id, id, score, rank, dense_used): words first; a query is fused with its dense hits only if it has any.
+
+    ``collection`` keeps chunks of one source_type.  A query's confidence is the score at rank 0;
+    a query without a passage has no row, which is its low confidence.
+    """
+    rows = chunks if collection is None else chunks.where(F.col("source_type") == collection)
+    columns = {"text": 1.0, "title": 4.0, "section": 2.0}
+    index, size = build_index(rows, columns, "id"), saved(corpus_size(rows, columns, "id"))
+    sparse = bm25(index, queries, shortlist, saved(stoplist(index, size=size)), size)
+    arms, used = [sparse], rows.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, dense_used boolean")
+    if vectors is not None and query_vectors is not None:
+        dense = saved(vector_search(vectors.join(rows.select("id"), "id", "left_semi"), query_vectors, shortlist))
+        arms.append(dense)
+        used = dense.select("query_id", F.lit(True).alias("dense_used")).distinct()
+    best = top_k(rrf(*arms), shortlist, "fused").drop("rank").join(used, "query_id", "left")
+    # A query of words alone has no fusion score for a prior.
+    prior = best.select("query_id", "id", F.when(F.col("dense_used"), F.col("fused")).otherwise(0.0).alias("fused"))
+    ranked = rerank(prior, rows, queries, k).select("query_id", "id", "score", "rank")
+    return ranked.join(used, "query_id", "left").withColumn("dense_used", F.coalesce("dense_used", F.lit(False)))
+
+
+def slice_rerank(slices: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): the slices (query_id, id) that a lexical search gave each query, by cosine to four digits; 0 without a vector."""
+    both = slices.select("query_id", "id").join(vectors.select("id", "vec"), "id", "left").join(query_vectors.select("query_id", "qvec"), "query_id")
+    score = F.floor(F.coalesce(dot(F.col("vec"), F.col("qvec")), F.lit(0.0)) * 10000 + 0.5) / 10000
+    return top_k(both.select("query_id", "id", score.alias("score")), k)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The reference's defaults.
+#: Concepts of a salient set, and the fewest cards of a pair.
 K_COOC, MIN_COOC = 20, 3
 
 
@@ -55,3 +59,48 @@ def cooccurrence(postings: DataFrame, k_cooc: int = K_COOC, min_cooc: int = MIN_
     out = both.withColumn("pmi", F.when(F.col("cooc_count") >= min_cooc, _round6(pmi)))
     outcome = F.when(F.col("cooc_count") < min_cooc, "floor").when(pmi <= 0, "clamp").otherwise("kept")
     return out.select("concept_a", "concept_b", "cooc_count", "pmi", outcome.alias("outcome"))
+
+
+#: The algorithm that a version names, and what parts a version's text.
+ALGORITHM, PARTS = "salience-cooccurrence/1.0", "\x1e"
+
+
+def check_params(k_cooc: int, min_cooc: int) -> None:
+    """Raises ValueError for a salient set of under two concepts or a floor below one."""
+    for name, value, least in (("k_cooc", k_cooc, 2), ("min_cooc", min_cooc, 1)):
+        if isinstance(value, bool) or not isinstance(value, int) or value < least:
+            raise ValueError(f"E_BAD_PARAM: {name} is a whole number of {least} or more, not {value!r}")
+
+
+def _quoted(c: str):
+    return F.regexp_replace(F.to_json(F.array(F.col(c).cast("string"))), r"^\[|\]$", "")
+
+
+def stats_version(postings: DataFrame, k_cooc: int = K_COOC, min_cooc: int = MIN_COOC, algorithm: str = ALGORITHM) -> str:
+    """SHA-256 over algorithm, parameters and the postings in order, a JSON line each.
+
+    Rows are sorted by range on the executors and pass the driver one at a time.
+    """
+    check_params(k_cooc, min_cooc)
+    line = F.concat(F.lit("["), _quoted("card_id"), F.lit(","), _quoted("concept_id"), F.lit(","), F.col("local_count").cast("long").cast("string"), F.lit("]"))
+    rows = postings.select(F.col("card_id").cast("string").alias("a"), F.col("concept_id").cast("string").alias("b"), line.alias("line")).orderBy("a", "b").select("line")
+    digest = hashlib.sha256(f'{algorithm}{PARTS}{{"K_COOC":{k_cooc},"MIN_COOC":{min_cooc}}}{PARTS}'.encode())
+    for i, r in enumerate(rows.toLocalIterator()):
+        digest.update((("\n" if i else "") + r["line"]).encode())
+    return digest.hexdigest()
+
+
+def report(postings: DataFrame, k_cooc: int = K_COOC, min_cooc: int = MIN_COOC, algorithm: str = ALGORITHM) -> Iterator[str]:
+    """The report as canonical JSON, piece by piece: version, parameters, corpus, salience and kept pairs in order."""
+    version = stats_version(postings, k_cooc, min_cooc, algorithm)
+    compact = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    n = postings.agg(F.countDistinct("card_id")).first()[0]
+    yield compact({"stats_version": version, "algo_version": algorithm, "params": {"K_COOC": k_cooc, "MIN_COOC": min_cooc}, "corpus": {"N": n}})[:-1]
+    weights = salience(postings).orderBy("card_id", "concept_id").select("card_id", "concept_id", "weight")
+    pairs = cooccurrence(postings, k_cooc, min_cooc).where("outcome = 'kept'").orderBy("concept_a", "concept_b").select("concept_a", "concept_b", F.col("pmi").alias("ppmi"), "cooc_count")
+    for name, rows in (("salience", weights), ("cooccurrence", pairs)):
+        yield f',"{name}":['
+        for i, r in enumerate(rows.toLocalIterator()):
+            yield ("," if i else "") + compact(r.asDict())
+        yield "]"
+    yield "}"

@@ -59,10 +59,10 @@ def modal_regimes(spark, d):
     return graph.modal_regime(_claims(spark, d), "src")
 
 
-@R.query(f"""WITH {_CLAIMS}, m AS (SELECT dst AS edge_id, sum(trust_weight) AS t FROM c GROUP BY 1), p AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM part WHERE p_partkey % 10 = 0), b AS (SELECT a AS edge, b AS against FROM p UNION SELECT b, a FROM p)
-SELECT edge, round(sum(1 - exp(-t / 2)), 6) AS pressure FROM b JOIN m ON edge_id = against GROUP BY edge""")
+@R.query(f"""WITH {_CLAIMS}, m AS (SELECT dst AS edge_id, sum(trust_weight) AS t FROM c GROUP BY 1), p AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM part), b AS (SELECT a AS edge, b AS against FROM p UNION SELECT b, a FROM p)
+SELECT edge, round(round(sum(1 - exp(-t / 2)), 9), 6) AS pressure FROM b JOIN m ON edge_id = against GROUP BY edge""")
 def contradiction_pressure(spark, d):
-    pairs = table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
+    pairs = table(spark, d, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
     out = graph.contradiction_pressure(pairs, _claims(spark, d).withColumnRenamed("dst", "edge_id"))
     return out.withColumn("pressure", F.round("pressure", 6))
 
@@ -129,18 +129,10 @@ def confidence_bands(spark, d):
     return ask.grounding(top).select("doc_id", "confidence", "band", ask.tier(F.col("band")).alias("tier"))
 
 
-@R.query("""WITH w AS (SELECT DISTINCT user_id AS query_id, event_type AS feature, event_id % 3 AS value FROM events WHERE user_id < 20), h AS (SELECT DISTINCT user_id AS id, event_type AS feature, event_id % 3 AS value FROM events WHERE user_id >= 20 AND event_id % 5 = 0),
+@R.query("""WITH w AS (SELECT DISTINCT user_id AS query_id, event_type AS feature, event_id % 3 AS value FROM events WHERE user_id % 50 = 0), h AS (SELECT DISTINCT user_id AS id, event_type AS feature, event_id % 3 AS value FROM events),
 n AS (SELECT query_id, count(DISTINCT feature) AS n FROM w GROUP BY 1), m AS (SELECT query_id, id, w.feature, max((w.value = h.value)::INT) AS m FROM w JOIN h USING (feature) GROUP BY 1, 2, 3)
 SELECT query_id, id, round(greatest(0.0, (sum(m) - 0.5 * sum(1 - m)) / (n + 1e-6)), 6) AS overlap FROM m JOIN n USING (query_id) GROUP BY query_id, id, n""")
 def feature_overlap(spark, d):
-    e = table(spark, d, "events")
-    rows = lambda k: (F.col("user_id").alias(k), F.col("event_type").alias("feature"), (F.col("event_id") % 3).alias("value"))
-    return ask.feature_overlap(e.where("user_id < 20").select(*rows("query_id")).distinct(), e.where("user_id >= 20 and event_id % 5 = 0").select(*rows("id")).distinct())
-
-
-@R.query(R.sql["feature_overlap"].replace("user_id < 20", "user_id % 50 = 0").replace(" WHERE user_id >= 20 AND event_id % 5 = 0", ""))
-def whole_feature_overlap(spark, d):
-    """As feature_overlap, of every user whose id 50 divides against all rows."""
     e = table(spark, d, "events")
     rows = lambda k: (F.col("user_id").alias(k), F.col("event_type").alias("feature"), (F.col("event_id") % 3).alias("value"))
     return ask.feature_overlap(e.where("user_id % 50 = 0").select(*rows("query_id")).distinct(), e.select(*rows("id")).distinct())
@@ -165,17 +157,10 @@ def trust_tiers(spark, d):
     return ask.trust_facets(_claims(spark, d), "dst")
 
 
-@R.query("""WITH s AS (SELECT source, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS commercial, CASE WHEN doc_id % 50 = 3 THEN NULL ELSE doc_id % 40 = 5 END AS attribution, lang AS licence FROM documents WHERE doc_id % 13 < 3)
+@R.query("""WITH s AS (SELECT source, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS commercial, CASE WHEN doc_id % 50 = 3 THEN NULL ELSE doc_id % 40 = 5 END AS attribution, lang AS licence FROM documents)
 SELECT source, CASE WHEN count(*) FILTER (NOT commercial) > 0 THEN false WHEN count(*) FILTER (commercial IS NULL) > 0 THEN NULL ELSE true END AS commercial,
   CASE WHEN count(*) FILTER (attribution) > 0 THEN true WHEN count(*) FILTER (attribution IS NULL) > 0 THEN NULL ELSE false END AS attribution, string_agg(DISTINCT licence, ' + ' ORDER BY licence) AS licences FROM s GROUP BY source""")
 def combined_licences(spark, d):
-    rows = table(spark, d, "documents").where("doc_id % 13 < 3").select("source", F.expr("CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END").alias("commercial"), F.expr("CASE WHEN doc_id % 50 = 3 THEN NULL ELSE doc_id % 40 = 5 END").alias("attribution"), F.col("lang").alias("licence"))
-    return ask.combine_licences(rows, "source", ["commercial"], ["attribution"])
-
-
-@R.query(R.sql["combined_licences"].replace(" WHERE doc_id % 13 < 3", ""))
-def whole_combined_licences(spark, d):
-    """As combined_licences, of all documents."""
     rows = table(spark, d, "documents").select("source", F.expr("CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END").alias("commercial"), F.expr("CASE WHEN doc_id % 50 = 3 THEN NULL ELSE doc_id % 40 = 5 END").alias("attribution"), F.col("lang").alias("licence"))
     return ask.combine_licences(rows, "source", ["commercial"], ["attribution"])
 
@@ -234,22 +219,22 @@ def bundle_summaries(spark, d):
 
 
 _RULES = [
-    {"edge_id": "r1", "subject": "REGION", "severity": "serious", "status": "ratified", "expr": {"op": "all_of", "args": [{"op": "presence", "pred": "BUILDING"}, {"op": "compare", "field": "balance", "cmp": "<", "operand": {"lit": 0}}]}},
+    {"edge_id": "r1", "subject": "REGION", "severity": "severe", "status": "ratified", "expr": {"op": "all_of", "args": [{"op": "presence", "pred": "BUILDING"}, {"op": "compare", "field": "balance", "cmp": "<", "operand": {"lit": 0}}]}},
     {"edge_id": "r2", "subject": "NATION", "severity": "caution", "status": "ratified", "expr": {"op": "any_of", "args": [{"op": "compare", "field": "balance", "cmp": ">", "operand": {"field": "limit"}}, {"op": "absence", "pred": "BUILDING"}]}},
-    {"edge_id": "r3", "subject": "NATION", "severity": "critical", "status": "proposed", "expr": {"op": "not", "arg": {"op": "presence", "pred": "MACHINERY"}}},
+    {"edge_id": "r3", "subject": "NATION", "severity": "prohibitive", "status": "proposed", "expr": {"op": "not", "arg": {"op": "presence", "pred": "MACHINERY"}}},
 ]
 _R1, _R2, _R3 = "(c_mktsegment = 'BUILDING' AND c_acctbal < 0)", "(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal > 5000 END OR c_mktsegment <> 'BUILDING')", "(c_mktsegment <> 'MACHINERY')"
 
 
-@R.query(f"""WITH f AS (SELECT c_custkey AS state_id, 'r1' AS edge_id, 2 AS w, {_R1} AS r, false AS p FROM customer UNION ALL SELECT c_custkey, 'r2', 1, {_R2}, false FROM customer UNION ALL SELECT c_custkey, 'r3', 3, {_R3}, true FROM customer),
+@R.query(f"""WITH f AS (SELECT c_custkey AS state_id, 'r1' AS edge_id, 3 AS w, {_R1} AS r, false AS p FROM customer UNION ALL SELECT c_custkey, 'r2', 2, {_R2}, false FROM customer UNION ALL SELECT c_custkey, 'r3', 4, {_R3}, true FROM customer),
 k AS (SELECT *, r IS NOT NULL AND NOT p AS fires FROM f WHERE r IS NULL OR r)
-SELECT state_id, edge_id, CASE WHEN fires THEN 'fire' ELSE 'flag_for_human' END AS disposition, row_number() OVER (PARTITION BY state_id ORDER BY CASE WHEN fires THEN 0 ELSE 1 END, w DESC, edge_id) AS rank FROM k""")
+SELECT state_id, edge_id, CASE WHEN fires THEN 'fire' ELSE 'flag_for_human' END AS disposition, ['advisory', 'caution', 'severe', 'prohibitive'][w] AS severity, CASE WHEN fires THEN ['note', 'warn', 'warn_strong', 'block'][w] ELSE 'human_review' END AS recommended, row_number() OVER (PARTITION BY state_id ORDER BY CASE WHEN fires THEN 0 ELSE 1 END, w DESC, edge_id) AS rank FROM k""")
 def rule_findings(spark, d):
     limit = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("balance"), "c_acctbal", F.lit("limit"), F.lit(5000.0))).otherwise(F.create_map(F.lit("balance"), "c_acctbal"))
     states = table(spark, d, "customer").select(F.col("c_custkey").alias("state_id"), F.lit("NATION").alias("action"), F.array("c_mktsegment").alias("predicates"), limit.alias("fields"))
     scopes = spark.createDataFrame([("NATION", "NATION"), ("NATION", "REGION")], "action string, node string")
     out = rules.check(states, scopes, _RULES)
-    return out.select("state_id", "edge_id", "disposition", F.col("rank").cast("long").alias("rank"))
+    return out.select("state_id", "edge_id", "disposition", "severity", "recommended", F.col("rank").cast("long").alias("rank"))
 
 
 @R.query("SELECT 'n' || n_nationkey AS action, x AS node FROM (SELECT n_nationkey, unnest(['n' || n_nationkey, 'r' || n_regionkey, 'world', 'g' || n_regionkey % 2]) AS x FROM nation)")
@@ -261,6 +246,17 @@ def scope_closure(spark, d):
     return rules.scope(n.select(name("n", "n_nationkey").alias("action")), is_a, spark.createDataFrame([], "action string, resource string"), groups)
 
 
+@R.query("SELECT s_suppkey AS node, unnest(range(0, greatest(0, least(20, s_suppkey - 1)) + 1)) AS ancestor FROM supplier")
+def deep_ancestors(spark, d):
+    """Chains of up to twenty steps from each supplier."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.least(F.lit(20), F.col("s_suppkey") - 1).cast("int").alias("most"))
+    name = lambda i: F.concat_ws("/", F.col("k").cast("string"), i.cast("string"))
+    steps = s.select("k", "most", F.explode(F.sequence(F.lit(0), "most")).alias("i")).where("i < most")
+    found = rules.ancestors(steps.select(name(F.col("i")).alias("child"), name(F.col("i") + 1).alias("parent")), s.select(name(F.lit(0)).alias("node")))
+    part = lambda c, k: F.get(F.split(c, "/"), F.lit(k)).cast("long")
+    return found.select(part("node", 0).alias("node"), part("ancestor", 1).alias("ancestor"))
+
+
 _NOW = 1706659200.0  # 2024-01-31
 
 
@@ -330,15 +326,22 @@ def latency_percentiles(spark, d):
     return evaluate.percentiles(table(spark, d, "events"), "event_type", "value")
 
 
-@R.query("""WITH a AS (SELECT 'u' || l_orderkey * 10 + l_linenumber AS uri, CASE l_linenumber % 4 WHEN 0 THEN '/r/IsA' WHEN 1 THEN '/r/RelatedTo' WHEN 2 THEN '/r/UsedFor' ELSE '/r/Causes' END AS rel, CASE WHEN l_suppkey % 10 = 0 THEN 'fr' ELSE 'en' END AS lang, 'part ' || l_partkey % 50 AS src, 'part ' || l_suppkey % 50 AS dst, l_quantity AS weight FROM lineitem),
-w AS (SELECT *, CASE WHEN lang <> 'en' THEN 'language' WHEN rel = '/r/Causes' THEN 'excluded' WHEN rel = '/r/RelatedTo' THEN 'lexical' WHEN weight < 5 THEN 'weight' WHEN src = dst THEN 'loop' ELSE 'kept' END AS why FROM a),
-o AS (SELECT *, CASE WHEN why = 'kept' AND row_number() OVER (PARTITION BY rel, src, dst, why ORDER BY uri) > 1 THEN 'repeat' ELSE why END AS outcome FROM w)
-SELECT rel, outcome, count(*) AS n FROM o GROUP BY 1, 2""")
+# Relations, and the family, type and polarity that claims of them have.
+_RELS = {"IsA": ("taxonomic", "is_a", ""), "RelatedTo": ("associative", "related_to", ""), "UsedFor": ("functional", "used_for", ""), "Causes": ("causal", "causes", "positive"), "NotDesires": ("affective", "desires", "negative"), "HasContext": ("lexical", "has_context", ""), "dbpedia": (None, None, None), "LocatedNear": ("spatial", "located_near", "")}
+_REL_SQL = f"{list(_RELS)}[l_partkey % 8 + 1]"
+_SPEC = lambda k: "CASE r " + " ".join(f"WHEN '{n}' THEN '{v[k]}'" for n, v in _RELS.items() if v[k] is not None) + " END"
+
+
+@R.query(f"""WITH a AS (SELECT 'u' || l_orderkey * 10 + l_linenumber AS uri, {_REL_SQL} AS r, CASE WHEN l_suppkey % 10 = 0 THEN 'fr' ELSE 'en' END AS lang, 'part ' || l_partkey % 50 AS src, 'part ' || l_suppkey % 50 AS dst, l_quantity AS weight FROM lineitem),
+w AS (SELECT *, CASE WHEN lang <> 'en' THEN 'language' WHEN r = 'dbpedia' THEN 'unknown' WHEN r = 'Causes' THEN 'excluded' WHEN r IN ('RelatedTo', 'HasContext') THEN 'lexical' WHEN weight < 5 THEN 'weight' WHEN src = dst THEN 'loop' ELSE 'kept' END AS why FROM a),
+o AS (SELECT *, CASE WHEN why = 'kept' AND row_number() OVER (PARTITION BY r, src, dst, why ORDER BY uri) > 1 THEN 'repeat' ELSE why END AS outcome FROM w)
+SELECT '/r/' || r AS rel, {_SPEC(0)} AS family, {_SPEC(1)} AS type, {_SPEC(2)} AS polarity, outcome, count(*) AS n FROM o GROUP BY ALL""")
 def imported_assertions(spark, d):
     li = table(spark, d, "lineitem")
     term = lambda c, lang: F.concat(F.lit("/c/"), lang, F.lit("/part_"), (F.col(c) % 50).cast("string"), F.lit("/n"))
-    rows = li.select(F.concat(F.lit("u"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")).alias("uri"), F.expr("CASE l_linenumber % 4 WHEN 0 THEN '/r/IsA' WHEN 1 THEN '/r/RelatedTo' WHEN 2 THEN '/r/UsedFor' ELSE '/r/Causes' END").alias("rel"), term("l_partkey", F.when(F.col("l_suppkey") % 10 == 0, "fr").otherwise("en")).alias("start"), term("l_suppkey", F.lit("en")).alias("end"), F.to_json(F.struct(F.col("l_quantity").alias("weight"))).alias("info"))
-    return importers.assertions(rows, 5.0, ["/r/Causes"]).groupBy("rel", "outcome").agg(F.count("*").alias("n"))
+    rel = F.concat(F.lit("/r/"), F.array(*map(F.lit, _RELS))[(F.col("l_partkey") % 8).cast("int")])
+    rows = li.select(F.concat(F.lit("u"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")).alias("uri"), rel.alias("rel"), term("l_partkey", F.when(F.col("l_suppkey") % 10 == 0, "fr").otherwise("en")).alias("start"), term("l_suppkey", F.lit("en")).alias("end"), F.to_json(F.struct(F.col("l_quantity").alias("weight"))).alias("info"))
+    return importers.assertions(rows, 5.0, ["Causes"]).groupBy("rel", "family", "type", "polarity", "outcome").agg(F.count("*").alias("n"))
 
 
 @R.query("""WITH t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS tokens FROM documents),
@@ -354,7 +357,11 @@ def alias_hits(spark, d):
 
 @R.query()
 def lexicon_spans(spark, d):
-    """Aliases in turns of talk, exact and corrected; tests hold the matcher against goldens."""
-    names = [r[0] for r in table(spark, d, "nation").orderBy("n_nationkey").select("n_name").collect()]
-    aliases = [lexicon.Alias(i, f"n{i}", n) for i, n in enumerate(names)]
-    return lexicon.match_texts(table(spark, d, "conversations").select("conv_id", "text"), aliases, "conv_id")
+    """Passages of the benchmark as aliases in all documents, exact and corrected; tests hold the matcher against goldens."""
+    rows = table(spark, d, "benchmark").orderBy("item_id").select("item_id", "text").toLocalIterator()
+    aliases = []
+    for r in rows:
+        words = [t for t, *_ in lexicon.tokenize(r["text"]) if lexicon.norm_token(t)][:3]
+        if len(words) == 3:
+            aliases.append(lexicon.Alias(r["item_id"], f"n{r['item_id']}", " ".join(words)))
+    return lexicon.match_texts(table(spark, d, "documents").select("doc_id", "text"), aliases, "doc_id")

@@ -66,13 +66,13 @@ def _lines(spark, d):
     return table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber edge_id", "l_suppkey src", "l_partkey dst", "l_returnflag regime", "case when l_linestatus = 'O' then 'active' else 'retracted' end status", "case when l_linenumber = 7 then 'meta' else 'claim' end family")
 
 
-@R.query(f"""WITH {_LINES}, c AS (SELECT CASE WHEN edge_id % 3 = 0 THEN edge_id ELSE -edge_id END AS edge_id, src, dst, 'claim' AS family, CASE WHEN edge_id % 5 = 0 THEN 'interpretive' ELSE regime END AS regime FROM e WHERE edge_id % 10 < 4),
+@R.query(f"""WITH {_LINES}, c AS (SELECT CASE WHEN edge_id % 3 = 0 THEN edge_id ELSE -edge_id END AS edge_id, src, dst, 'claim' AS family, CASE WHEN edge_id % 5 = 0 THEN 'interpretive' ELSE regime END AS regime FROM e),
 p AS (SELECT DISTINCT src, dst, regime FROM e WHERE status = 'active' AND family <> 'meta'), k AS (SELECT -edge_id AS edge_id, 'refine' AS decision FROM e WHERE edge_id % 2 = 0)
 SELECT c.edge_id, c.src, c.dst, c.family, c.regime, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.edge_id = c.edge_id) THEN 'corroborate' WHEN c.regime = 'interpretive' OR p.src IS NULL THEN 'insert' ELSE coalesce(decision, 'undecided') END AS action
 FROM c LEFT JOIN p ON p.src = c.src AND p.dst = c.dst AND p.regime = c.regime LEFT JOIN k ON k.edge_id = c.edge_id""")
 def reconciled_claims(spark, d):
     e = _lines(spark, d)
-    candidates = e.where("edge_id % 10 < 4").selectExpr("case when edge_id % 3 = 0 then edge_id else -edge_id end edge_id", "src", "dst", "'claim' family", "case when edge_id % 5 = 0 then 'interpretive' else regime end regime")
+    candidates = e.selectExpr("case when edge_id % 3 = 0 then edge_id else -edge_id end edge_id", "src", "dst", "'claim' family", "case when edge_id % 5 = 0 then 'interpretive' else regime end regime")
     return context.reconcile(candidates, e, e.where("edge_id % 2 = 0").selectExpr("-edge_id edge_id", "'refine' decision"))
 
 
@@ -165,8 +165,7 @@ def target_search(spark, d):
 
 @R.query(f"WITH {search_queries._BM25.replace('{k}', '10')} SELECT query_id, id, round(1.0::DOUBLE / (1 + rank), 4) AS score FROM sparse")
 def card_search(spark, d):
-    index = search.postings(search_queries._docs(spark, d), {"text": 1.0, "title": 4.0}, "id")
-    return library.card_scores(search.bm25(index, search_queries._queries(spark, d), 10))
+    return library.card_scores(search_queries._sparse(spark, d, 10))
 
 
 @R.query("""WITH c AS (SELECT conv_id, turn, length(text) AS n, min(turn) OVER (PARTITION BY conv_id) + conv_id % 3 AS wish, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),

@@ -7,24 +7,46 @@ from pyspark.sql import functions as F
 from lorewell.functions import text as T
 from lorewell.operators import ann, ask, evaluate, ingest, provenance, records, search, stats
 from lorewell.plans.registry import Registry, table
+from lorewell.plans.text_queries import NORM
 from lorewell.sources import importers
 
 R = Registry()
 
 
-@R.query("""WITH k AS (SELECT s_suppkey AS doc_id, 'book' AS source_type, 0.5::DOUBLE AS trust_weight, 'old' AS regime, CASE WHEN s_suppkey % 3 = 0 THEN 'MIT' END AS licence, '' AS bundle FROM supplier WHERE s_suppkey % 4 <> 0),
-n AS (SELECT s_suppkey AS doc_id, CASE s_suppkey % 3 WHEN 0 THEN 'paper' WHEN 1 THEN 'web' ELSE 'blog' END AS source_type, CASE WHEN s_suppkey % 5 = 0 THEN 0.77 END::DOUBLE AS trust_weight, NULL::VARCHAR AS regime, 'CC0-1.0' AS licence, 'b' || s_nationkey AS bundle FROM supplier WHERE s_suppkey % 3 <> 1),
-j AS (SELECT coalesce(k.doc_id, n.doc_id) AS doc_id, coalesce(n.source_type, k.source_type) AS source_type, CASE WHEN n.doc_id IS NOT NULL THEN n.trust_weight ELSE k.trust_weight END AS t, CASE WHEN n.doc_id IS NOT NULL THEN n.regime ELSE k.regime END AS r,
+_TYPES = ["peer_reviewed", "textbook", "reference", "novel", "fiction", "essay", "history", "web", "unknown", "pdf", "epub", "html", "text", "wikipedia", "conceptnet", "atomic", "glucose", "causenet", "blog"]
+_TYPE_SQL = f"{_TYPES}[s_suppkey % 19 + 1]"
+
+
+@R.query(f"""WITH k AS (SELECT s_suppkey AS doc_id, 'pdf' AS source_type, 0.5::DOUBLE AS trust_weight, 'fictional' AS regime, CASE WHEN s_suppkey % 3 = 0 THEN 'MIT' END AS licence, '' AS bundle FROM supplier WHERE s_suppkey % 4 <> 0),
+n AS (SELECT s_suppkey AS doc_id, {_TYPE_SQL} AS source_type, CASE WHEN s_suppkey % 5 = 0 THEN 0.77 END::DOUBLE AS trust_weight, CASE WHEN s_suppkey % 7 = 0 THEN 'historical' END AS regime, 'CC0-1.0' AS licence, 'b' || s_nationkey AS bundle FROM supplier WHERE s_suppkey % 3 <> 1),
+j AS (SELECT coalesce(k.doc_id, n.doc_id) AS doc_id, coalesce(n.source_type, k.source_type) AS source_type, coalesce(n.trust_weight, k.trust_weight) AS t, coalesce(n.regime, k.regime) AS r,
   CASE WHEN coalesce(k.licence, '') <> '' THEN k.licence ELSE n.licence END AS licence, CASE WHEN coalesce(k.bundle, '') <> '' THEN k.bundle ELSE n.bundle END AS bundle FROM k FULL JOIN n ON k.doc_id = n.doc_id)
-SELECT doc_id, source_type, coalesce(t, CASE source_type WHEN 'book' THEN 0.8 WHEN 'paper' THEN 0.9 WHEN 'web' THEN 0.4 WHEN 'note' THEN 0.5 ELSE 0.3 END)::DOUBLE AS trust_weight,
-  coalesce(r, CASE source_type WHEN 'book' THEN 'empirical' WHEN 'paper' THEN 'empirical' WHEN 'web' THEN 'reported' WHEN 'note' THEN 'interpretive' ELSE 'reported' END) AS regime, licence, bundle FROM j""")
+SELECT doc_id, source_type, coalesce(t, CASE WHEN source_type = 'peer_reviewed' THEN 0.9 WHEN source_type = 'textbook' THEN 0.8 WHEN source_type IN ('reference', 'wikipedia') THEN 0.7 WHEN source_type = 'history' THEN 0.6 WHEN source_type IN ('essay', 'pdf', 'epub') THEN 0.5
+    WHEN source_type IN ('novel', 'fiction', 'html', 'text', 'causenet') THEN 0.4 WHEN source_type = 'web' THEN 0.3 WHEN source_type IN ('conceptnet', 'atomic', 'glucose') THEN 0.2 ELSE 0.25 END)::DOUBLE AS trust_weight,
+  coalesce(r, CASE WHEN source_type IN ('novel', 'fiction') THEN 'fictional' WHEN source_type = 'essay' THEN 'interpretive' WHEN source_type = 'history' THEN 'historical' WHEN source_type IN ('conceptnet', 'atomic', 'glucose', 'causenet') THEN 'conventional' ELSE 'empirical' END) AS regime, licence, bundle FROM j""")
 def registered_sources(spark, d):
     s = table(spark, d, "supplier")
-    known = s.where("s_suppkey % 4 <> 0").selectExpr("s_suppkey doc_id", "'book' source_type", "cast(0.5 as double) trust_weight", "'old' regime", "case when s_suppkey % 3 = 0 then 'MIT' end licence", "'' bundle")
-    new = s.where("s_suppkey % 3 <> 1").selectExpr("s_suppkey doc_id", "case s_suppkey % 3 when 0 then 'paper' when 1 then 'web' else 'blog' end source_type", "cast(case when s_suppkey % 5 = 0 then 0.77 end as double) trust_weight", "cast(null as string) regime", "'CC0-1.0' licence", "concat('b', s_nationkey) bundle")
+    known = s.where("s_suppkey % 4 <> 0").selectExpr("s_suppkey doc_id", "'pdf' source_type", "cast(0.5 as double) trust_weight", "'fictional' regime", "case when s_suppkey % 3 = 0 then 'MIT' end licence", "'' bundle")
+    kind = F.array(*[F.lit(t.upper()) for t in _TYPES])[(F.col("s_suppkey") % 19).cast("int")]
+    new = s.where("s_suppkey % 3 <> 1").select(F.col("s_suppkey").alias("doc_id"), kind.alias("source_type"), F.expr("cast(case when s_suppkey % 5 = 0 then 0.77 end as double)").alias("trust_weight"), F.expr("case when s_suppkey % 7 = 0 then 'historical' end").alias("regime"), F.lit("cc0").alias("licence"), F.concat(F.lit("b"), F.col("s_nationkey").cast("string")).alias("bundle"))
     return records.register_sources(known, new)
 
 
+_RIGHTS = "l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'cc-by' WHEN 1 THEN 'MIT' WHEN 2 THEN 'cc-by-nc-4.0' WHEN 3 THEN 'arr' END AS licence, source AS licence_holder FROM documents)"
+
+
+@R.query(f"WITH {_RIGHTS} SELECT doc_id, licence FROM l WHERE licence IN ('cc-by', 'MIT') AND contains(lower(licence_holder), 'c1')")
+def sources_by_licence(spark, d):
+    rows = table(spark, d, "documents").selectExpr("doc_id", "case doc_id % 5 when 0 then 'cc-by' when 1 then 'MIT' when 2 then 'cc-by-nc-4.0' when 3 then 'arr' end licence", "source licence_holder")
+    return records.sources_by_licence(rows, holder="C1", permission="commercial").select("doc_id", "licence")
+
+
+@R.query(f"WITH {_RIGHTS} SELECT doc_id, licence FROM l WHERE licence = 'cc-by'")
+def sources_of_one_licence(spark, d):
+    rows = table(spark, d, "documents").selectExpr("doc_id", "case doc_id % 5 when 0 then 'cc-by' when 1 then 'MIT' when 2 then 'cc-by-nc-4.0' when 3 then 'arr' end licence", "source licence_holder")
+    return records.sources_by_licence(rows, licence="CC-BY-4.0").select("doc_id", "licence")
+
+
 @R.query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'EDITED' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer")
 def edited_sources(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
@@ -50,7 +72,7 @@ def verified_drafts(spark, d):
     return records.patched(p, v, "p_partkey", ["p_name", "p_size"])
 
 
-_PAGES = "p AS (SELECT o_custkey % 40 AS doc, o_orderkey AS page, 'Journal ' || o_orderkey || chr(10) || o_orderpriority || chr(10) || 'body ' || o_totalprice || chr(10) || chr(10) || 'more text' || chr(10) || o_orderkey % 900 AS text FROM orders WHERE o_orderkey % 40 = 1)"
+_PAGES = "p AS (SELECT o_custkey % 40 AS doc, o_orderkey AS page, 'Journal ' || o_orderkey || chr(10) || o_orderpriority || chr(10) || 'body ' || o_totalprice || chr(10) || chr(10) || 'more text' || chr(10) || o_orderkey % 900 AS text FROM orders)"
 
 
 @R.query(f"""WITH {_PAGES}, l AS (SELECT doc, page, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no FROM p),
@@ -59,28 +81,13 @@ e AS (SELECT *, f AND (up <= 2 OR down <= 2) AS edge FROM m), z AS (SELECT doc,
 b AS (SELECT doc, form FROM e JOIN z USING (doc) WHERE edge GROUP BY doc, form, n_pages HAVING n_pages >= 6 AND count(DISTINCT page) >= greatest(3, floor(0.3 * n_pages)))
 SELECT doc, page, line_no, line FROM e JOIN z USING (doc) WHERE NOT (edge AND EXISTS (SELECT 1 FROM b WHERE b.doc = e.doc AND b.form = e.form)) AND NOT (edge AND n_pages >= 6 AND regexp_matches(trim(line), '^[-–— ]*[0-9]{{1,4}}[-–— ]*$'))""")
 def stripped_pages(spark, d):
-    text = F.concat_ws("\n", F.concat(F.lit("Journal "), F.col("o_orderkey").cast("string")), "o_orderpriority", F.concat(F.lit("body "), F.col("o_totalprice").cast("string")), F.lit(""), F.lit("more text"), (F.col("o_orderkey") % 900).cast("string"))
-    return records.page_furniture(table(spark, d, "orders").where("o_orderkey % 40 = 1").select((F.col("o_custkey") % 40).alias("doc"), F.col("o_orderkey").alias("page"), text.alias("text")))
-
-
-@R.query(R.sql["stripped_pages"].replace(" WHERE o_orderkey % 40 = 1)", ")"))
-def whole_stripped_pages(spark, d):
-    """As stripped_pages, of all orders."""
     text = F.concat_ws("\n", F.concat(F.lit("Journal "), F.col("o_orderkey").cast("string")), "o_orderpriority", F.concat(F.lit("body "), F.col("o_totalprice").cast("string")), F.lit(""), F.lit("more text"), (F.col("o_orderkey") % 900).cast("string"))
     return records.page_furniture(table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("doc"), F.col("o_orderkey").alias("page"), text.alias("text")))
 
 
-@R.query("""WITH s AS (SELECT doc_id AS id, i * 300 AS off, substr(text, i * 300 + 1, 300) AS piece FROM documents, range(8) t(i) WHERE i = 0 OR i * 300 < length(text))
-SELECT id, off, piece FROM s WHERE length(piece) >= 40""")
-def text_slices(spark, d):
-    out = records.slices(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 300, most=8)
-    return out.withColumn("off", F.col("off").cast("long"))
-
-
 @R.query("""WITH s AS (SELECT id, i * 300 AS off, substr(text, i * 300 + 1, 300) AS piece FROM (SELECT doc_id AS id, text, unnest(range(greatest(1, (length(text) + 299) // 300))) AS i FROM documents))
 SELECT id, off, piece FROM s WHERE length(piece) >= 40""")
-def whole_text_slices(spark, d):
-    """As text_slices, to the end of each text."""
+def text_slices(spark, d):
     out = records.slices(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 300)
     return out.withColumn("off", F.col("off").cast("long"))
 
@@ -95,11 +102,15 @@ def query_terms(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.search_terms(F.col("text")).alias("terms"))
 
 
-@R.query("""WITH l AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'cc-by-nc-4.0' WHEN 1 THEN 'Apache 2.0' WHEN 2 THEN 'MIT' WHEN 3 THEN 'cc-by-sa' WHEN 4 THEN 'cc-by-nd-9.9' ELSE 'Own' END AS name FROM documents)
-SELECT doc_id, CASE name WHEN 'cc-by-nc-4.0' THEN 'CC-BY-NC-4.0' WHEN 'Apache 2.0' THEN 'Apache-2.0' WHEN 'MIT' THEN 'MIT' WHEN 'cc-by-sa' THEN 'CC-BY-SA-4.0' WHEN 'cc-by-nd-9.9' THEN 'CC-BY-ND-4.0' ELSE 'unknown' END AS licence FROM l""")
+# Names as they are met, and the licences that they are.
+_NAMED = {"cc-by-nc-4.0": "CC-BY-NC-4.0", "Apache-2": "Apache-2.0", "MIT": "MIT", "cc-by-sa": "CC-BY-SA-4.0", "cc-by-nd-9.9": "CC-BY-ND-4.0", "Own": "unknown", "GPLv3": "GPL-3.0-only", "bsd": "BSD-3-Clause", "OGL-3.0": "OGL-3.0", " ARR ": "all-rights-reserved", "publicdomain": "public-domain", "none": "unknown", "CC-BY-3.0": "CC-BY-4.0", "proprietary": "proprietary"}
+
+
+@R.query(f"""SELECT doc_id, {list(_NAMED.values())}[doc_id % 14 + 1] AS licence,
+  CASE WHEN {list(_NAMED.values())}[doc_id % 14 + 1] = 'unknown' THEN NULL ELSE {list(_NAMED.values())}[doc_id % 14 + 1] NOT IN ('CC-BY-NC-4.0', 'all-rights-reserved', 'proprietary') END AS commercial FROM documents""")
 def canonical_licences(spark, d):
-    name = F.expr("case doc_id % 6 when 0 then 'cc-by-nc-4.0' when 1 then 'Apache 2.0' when 2 then 'MIT' when 3 then 'cc-by-sa' when 4 then 'cc-by-nd-9.9' else 'Own' end")
-    return table(spark, d, "documents").select("doc_id", T.licence(name).alias("licence"))
+    name = F.array(*map(F.lit, _NAMED))[(F.col("doc_id") % 14).cast("int")]
+    return table(spark, d, "documents").select("doc_id", T.licence(name).alias("licence"), T.licence_flag(name, "commercial").alias("commercial"))
 
 
 @R.query("""WITH s AS (SELECT user_id AS query_id, event_id AS id, CASE WHEN user_id % 2 = 0 THEN value - 50 ELSE value / 1000 END AS score FROM events), o AS (SELECT *, max((score < 0 OR score > 1)::INT) OVER (PARTITION BY query_id) AS outside FROM s)
@@ -151,10 +162,37 @@ def merged_tables(spark, d):
     return provenance.merge_tables(n.where("key < 10"), n.select("key", F.lower("name").alias("x"), "name"), "key")
 
 
-@R.query("WITH p AS (SELECT l_orderkey AS card_id, l_suppkey AS concept_id, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT card_id, concept_id, 'count' AS error FROM p WHERE n < 1")
+_BAD = "p AS (SELECT l_orderkey AS card_id, l_suppkey AS concept_id, l_quantity::BIGINT - 2 AS n FROM lineitem)"
+
+
+@R.query(f"""WITH {_BAD} SELECT card_id, concept_id, 'duplicate' AS error FROM p GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT card_id, concept_id, 'count' FROM p WHERE n < 1
+UNION ALL SELECT card_id, concept_id, 'unknown' FROM p WHERE concept_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 9 <> 0)""")
 def malformed_postings(spark, d):
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("card_id"), F.col("l_suppkey").alias("concept_id"), (F.col("l_quantity").cast("long") - 2).alias("local_count"))
+    return stats.malformed(p, table(spark, d, "supplier").where("s_suppkey % 9 <> 0").select(F.col("s_suppkey").alias("concept_id")))
+
+
+@R.query(f"""SELECT count(*) AS postings, sha256('{stats.ALGORITHM}' || chr(30) || '{{"K_COOC":20,"MIN_COOC":3}}' || chr(30) || string_agg('["' || c || '","' || s || '",' || n || ']', chr(10) ORDER BY c, s)) AS version
+FROM (SELECT l_orderkey::VARCHAR AS c, l_suppkey::VARCHAR AS s, count(*) AS n FROM lineitem GROUP BY 1, 2)""")
+def stats_versions(spark, d):
     p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("card_id"), F.col("l_suppkey").alias("concept_id")).agg(F.count("*").alias("local_count"))
-    return stats.malformed(p)
+    return p.agg(F.count("*").alias("postings")).withColumn("version", F.lit(stats.stats_version(p)))
+
+
+_FATES = f"""f AS (SELECT doc_id AS id, source AS bundle, text, substr(sha1({NORM}), 1, 20) AS h, doc_id % 4 = 0 AS done, CASE doc_id % 7 WHEN 0 THEN 'references' WHEN 1 THEN 'toc' ELSE '-' END AS head, doc_id % 5 = 0 AS out FROM documents),
+g AS (SELECT *, head <> '-' AS skip FROM f),
+o AS (SELECT h, coalesce(min(id) FILTER (done), min(id) FILTER (NOT out AND NOT skip)) AS owner FROM g GROUP BY h)"""
+
+
+@R.query(f"""WITH {_FATES} SELECT CASE WHEN out THEN 'outside' WHEN done THEN 'done' WHEN skip THEN 'zone' WHEN owner <> id THEN 'duplicate' ELSE 'pending' END AS fate, count(*) AS n, sum(CASE WHEN NOT out AND NOT done AND NOT skip AND owner <> id THEN owner END)::BIGINT AS owners
+FROM g JOIN o USING (h) GROUP BY 1""")
+def pending_chunks(spark, d):
+    """The fates of all chunks, counted; texts of other zones than their headings' are given a plain one."""
+    docs = table(spark, d, "documents")
+    section = F.expr("CASE doc_id % 7 WHEN 0 THEN 'References' WHEN 1 THEN 'Table of Contents' ELSE 'Body' END")
+    chunks = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 != 0, "own").alias("bundle"), section.alias("section"), "text")
+    out = records.pending_chunks(chunks, docs.where("doc_id % 4 = 0").select(F.col("doc_id").alias("id")), "own", ("references", "toc"))
+    return out.groupBy("fate").agg(F.count("*").alias("n"), F.sum("owner").alias("owners"))
 
 
 @R.query("SELECT source, count(*) AS n FROM documents WHERE doc_id % 2 = 0 AND coalesce(doc_id % 10, 0) < 4 GROUP BY source")

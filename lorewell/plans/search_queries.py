@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorewell.operators import search, stats
+from lorewell.operators import library, search, stats
 from lorewell.plans.registry import Registry, table
 
 R = Registry()
-_TOK = "unnest(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS term"
+# Words of an index, and the stoplist that a corpus of 5,000 documents or more learns.
+_TOK = "unnest(list_filter(regexp_split_to_array(strip_accents(lower(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS term"
 _POST = f"""
 t AS (SELECT doc_id AS id, 1.0::DOUBLE AS w, {_TOK.format(c='text')} FROM documents UNION ALL SELECT doc_id, 4.0, {_TOK.format(c='source')} FROM documents),
 p AS (SELECT id, term, sum(w) AS wtf, count(*) AS tf FROM t GROUP BY id, term)"""
-_BM25 = f"""{_POST},
+_STOP = "stop AS (SELECT term FROM p, (SELECT count(DISTINCT id) AS docs FROM p) GROUP BY term, docs HAVING docs >= 5000 AND count(*) > floor(docs * 0.5) ORDER BY count(*) DESC, term LIMIT 300)"
+_BM25 = f"""{_POST}, {_STOP},
 l AS (SELECT id, sum(tf) AS len FROM p GROUP BY id), tot AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM l),
-q AS (SELECT DISTINCT item_id AS query_id, lower(x) AS term FROM (SELECT item_id, unnest((list_filter(regexp_split_to_array(regexp_replace(text, '["*:^()]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> ''))[1:64]) AS x FROM benchmark)),
+q0 AS (SELECT DISTINCT item_id AS query_id, strip_accents(lower(x)) AS term FROM (SELECT item_id, unnest((list_filter(regexp_split_to_array(regexp_replace(text, '["*:^()]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> ''))[1:64]) AS x FROM benchmark)),
+q AS (SELECT query_id, term FROM (SELECT *, term IN (SELECT term FROM stop) AS s FROM q0) QUALIFY NOT s OR bool_and(s) OVER (PARTITION BY query_id)),
 df AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
 i AS (SELECT term, avg_len, CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END AS idf FROM df, tot),
 s AS (SELECT query_id, id, round(sum(idf * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM q JOIN p USING (term) JOIN i USING (term) JOIN l USING (id) GROUP BY query_id, id),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s) WHERE rank < {{k}})"""
+_COLUMNS = {"text": 1.0, "title": 4.0}
 
 
 def _docs(spark, d):
@@ -29,36 +33,105 @@ def _queries(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@R.query(f"WITH {_BM25.replace("{k}", "10")} SELECT query_id, id, round(score, 6) AS score, rank FROM sparse")
-def bm25_top10(spark, d):
-    index = search.postings(_docs(spark, d), {"text": 1.0, "title": 4.0}, "id")
-    return search.bm25(index, _queries(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+def _sparse(spark, d, k):
+    docs = _docs(spark, d)
+    index, size = search.build_index(docs, _COLUMNS, "id"), search.corpus_size(docs, _COLUMNS, "id")
+    return search.bm25(index, _queries(spark, d), k, search.stoplist(index, size=size), size)
 
 
-@R.query(f"""WITH {_POST}, n AS (SELECT count(DISTINCT id) AS docs FROM p)
-SELECT term, count(*) AS df FROM p, n GROUP BY term, docs HAVING count(*) > floor(docs * 0.5) ORDER BY df DESC, term LIMIT 300""")
-def learned_stoplist(spark, d):
-    return search.stoplist(search.postings(_docs(spark, d), {"text": 1.0, "title": 4.0}, "id"), least_docs=1)
+@R.query(f"WITH {_BM25.replace('{k}', '10')} SELECT query_id, id, round(score, 6) AS score, rank FROM sparse")
+def bm25_top10(spark, d):
+    return _sparse(spark, d, 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_HYBRID = f"""WITH {_BM25.replace("{k}", "64")},
-f AS (SELECT query_id, id, round(1.0::DOUBLE / (60 + rank + 1), 9) AS fused FROM sparse),
-tm AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 2)) AS body,
-  list_distinct(list_filter(regexp_split_to_array(lower(source), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 2)) AS head FROM documents),
-qt AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 2)) AS q FROM benchmark),
+@R.query(f"""WITH {_POST}, n AS (SELECT count(DISTINCT id) AS docs FROM p),
+f AS (SELECT term, count(*) AS df FROM p, n GROUP BY term, docs HAVING count(*) > floor(docs * 0.5) ORDER BY df DESC, term LIMIT 300)
+SELECT term, df FROM f UNION ALL SELECT x, 0 FROM (SELECT unnest(['the', 'zzz']) AS x) WHERE x NOT IN (SELECT term FROM f)""")
+def learned_stoplist(spark, d):
+    return search.stoplist(search.build_index(_docs(spark, d), _COLUMNS, "id"), least_docs=1, extras=["zzz", "The"])
+
+
+@R.query()
+def stemmed_top10(spark, d):
+    """BM25 over Porter stems, as the index's own tokenizer has them; tests hold it against plain Python."""
+    docs = _docs(spark, d)
+    index = search.postings(docs, _COLUMNS, "id", stems=True)
+    out = search.bm25(index, _queries(spark, d), 10, size=search.corpus_size(docs, _COLUMNS, "id", stems=True), stems=True)
+    return out.withColumn("score", F.round("score", 6))
+
+
+_HASHED = "list_transform(list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 2)), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64)"
+_DENSE = f"""
+dv AS (SELECT id, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM (SELECT doc_id AS id, {_HASHED.format(t='text')} AS b FROM documents)),
+qv AS (SELECT query_id, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM (SELECT item_id AS query_id, {_HASHED.format(t='text')} AS b FROM benchmark)),
+ds AS (SELECT query_id, id, round(list_dot_product(list_transform(q.v, lambda x: x / sqrt(list_dot_product(q.v, q.v))), list_transform(dv.v, lambda x: x / sqrt(list_dot_product(dv.v, dv.v)))), 9) AS score FROM dv, qv q WHERE list_sum(dv.v) > 0 AND list_sum(q.v) > 0),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM ds) WHERE rank < 64)"""
+_RERANKED = """
+tm AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 2)) AS body,
+  list_distinct(list_filter(regexp_split_to_array(lower(source), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 2)) AS head FROM documents),
+qt AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 2)) AS q FROM benchmark),
 sc AS (SELECT query_id, id, fused, floor(least(1.0, 0.55 * (len(list_intersect(q, body)) / (len(q) + 1e-6)) + 0.20 * (len(list_intersect(q, head)) / (len(q) + 1e-6)) + 0.30 * (1 - 1 / (1 + 50 * fused))) * 10000 + 0.5) / 10000 AS score
-  FROM f JOIN tm USING (id) JOIN qt USING (query_id)),
+  FROM f JOIN tm USING (id) JOIN qt USING (query_id))"""
+_HYBRID = f"""WITH {_BM25.replace("{k}", "64")}, {_DENSE},
+u AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS fused FROM (SELECT query_id, id, rank FROM sparse UNION ALL SELECT query_id, id, rank FROM dense) GROUP BY query_id, id),
+f AS (SELECT query_id, id, fused FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) <= 64), {_RERANKED},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank, max(score) OVER (PARTITION BY query_id) AS confidence FROM sc)
 SELECT query_id, id, fused, score, rank, confidence, confidence < 0.35 AS low_confidence FROM r WHERE rank < 5"""
 
 
+def _hashed(frame, key, text):
+    return library.hash_vectors(frame, key, text).where("vec is not null")
+
+
 @R.query(_HYBRID)
 def hybrid_search(spark, d):
-    """Passages for a batch of questions: BM25, rank fusion, lexical rerank, confidence."""
-    out = search.hybrid_search(_docs(spark, d), _queries(spark, d), k=5)
+    """Passages for a batch of questions: BM25 and vectors of hashed words, rank fusion, lexical rerank, confidence."""
+    docs, asked = _docs(spark, d), _queries(spark, d)
+    vectors = _hashed(docs, "id", "text")
+    out = search.hybrid_search(docs, asked, vectors, _hashed(asked, "query_id", "query").withColumnRenamed("vec", "qvec"), k=5)
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
+_LIBRARY = _HYBRID.replace("FROM documents", "FROM (SELECT * FROM documents WHERE lang = 'en')").replace("FROM benchmark)),\nds", "FROM benchmark WHERE item_id % 2 = 0)),\nds")
+
+
+@R.query(f"""WITH {_LIBRARY[5:_LIBRARY.index("f AS (SELECT query_id, id, fused FROM u")]}
+f AS (SELECT query_id, id, CASE WHEN query_id IN (SELECT query_id FROM dense) THEN fused ELSE 0.0 END AS fused FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY u.fused DESC, id) <= 64), {_RERANKED}
+SELECT query_id, id, score, rank, query_id IN (SELECT query_id FROM dense) AS dense_used FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM sc) WHERE rank < 8""")
+def library_search(spark, d):
+    """Passages of one collection: words first, fused with vectors for the questions that have them (every other one)."""
+    docs, asked = _docs(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source_type")), "id"), _queries(spark, d)
+    dense = _hashed(asked.where("query_id % 2 = 0"), "query_id", "query").withColumnRenamed("vec", "qvec")
+    out = search.library_search(docs, asked, "en", _hashed(docs, "id", "text"), dense)
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@R.query("""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, CASE WHEN a.vec_id % 7 = 0 THEN 0.0 ELSE list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) END AS c
+  FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0 AND a.label = b.label),
+r AS (SELECT query_id, id, floor(c * 10000 + 0.5) / 10000 AS score FROM s)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM r) WHERE rank < 10""")
+def reranked_slices(spark, d):
+    """Slices that share a question's label, by cosine; every seventh has no vector."""
+    v = _vectors(spark, d)
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"), "label")
+    slices = v.select("id", "label").join(asked.select("query_id", "label"), "label")
+    out = search.slice_rerank(slices, v.where("id % 7 <> 0"), asked)
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@R.query("""WITH s AS (SELECT user_id AS query_id, event_id AS id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN user_id % 2 = 0 THEN value - 50 ELSE value / 1000 END AS score, 0.01::DOUBLE AS fused, event_type FROM events),
+o AS (SELECT *, max((score < 0 OR score > 1)::INT) OVER (PARTITION BY query_id) AS outside FROM s),
+b AS (SELECT query_id, id, coalesce(CASE WHEN outside = 1 THEN 1 / (1 + exp(-score)) ELSE score END, fused) + 0.10 * (CASE WHEN event_type = 'click' THEN 1 ELSE 0 END / (2 + 1e-6)) AS score FROM o),
+r AS (SELECT query_id, id, floor(least(1.0, score) * 10000 + 0.5) / 10000 AS score FROM b)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM r) WHERE rank < 10""")
+def cross_reranked(spark, d):
+    e = table(spark, d, "events")
+    score = F.when(F.col("event_id") % 11 != 0, F.when(F.col("user_id") % 2 == 0, F.col("value") - 50).otherwise(F.col("value") / 1000))
+    rows = e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), score.alias("score"), F.lit(0.01).alias("fused"))
+    chunks = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("text"), F.lit("").alias("title"), F.lit(None).cast("string").alias("section"))
+    return search.cross_rerank(rows, chunks, 10, "click parts").withColumn("rank", F.col("rank").cast("long"))
+
+
 _DOT = "round(round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 9), 6)"
 
 
@@ -70,27 +143,27 @@ def _rounded(frame):
     return frame.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@R.query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {_DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id < 20)
+@R.query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {_DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0)
 SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s) WHERE n <= 10""")
 def vector_top10(spark, d):
     v = _vectors(spark, d)
-    return _rounded(search.vector_search(v, v.where("id < 20").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10))
+    return _rounded(search.vector_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10))
 
 
-@R.query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {_DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id < 20 AND a.label = 1)
+@R.query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {_DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.label = 1)
 SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s) WHERE n <= 10""")
 def vector_prefiltered(spark, d):
     v = _vectors(spark, d)
-    return _rounded(search.vector_search(v, v.where("id < 20").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10, F.col("label") == 1))
+    return _rounded(search.vector_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10, F.col("label") == 1))
 
 
-@R.query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, a.label, {_DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id < 20),
+@R.query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, a.label, {_DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0),
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s) WHERE n <= 40),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS m FROM c WHERE label = 1)
 SELECT query_id, id, score FROM k WHERE m <= 10""")
 def vector_postfiltered(spark, d):
     v = _vectors(spark, d)
-    return _rounded(search.vector_search(v, v.where("id < 20").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10, F.col("label") == 1, prefilter=False))
+    return _rounded(search.vector_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10, F.col("label") == 1, prefilter=False))
 
 
 @R.query("""WITH a AS (SELECT event_type AS query_id, user_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) - 1 AS rank FROM events GROUP BY 1, 2),
@@ -113,38 +186,11 @@ def salience(spark, d):
     return stats.salience(_postings(spark, d))
 
 
-@R.query(f"""WITH {_P}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY raw DESC, concept_id) AS k FROM raw) WHERE k <= 4),
+@R.query(f"""WITH {_P}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY raw DESC, concept_id) AS k FROM raw) WHERE k <= 20),
 sdf AS (SELECT concept_id, count(*) AS sdf FROM s GROUP BY concept_id),
 c AS (SELECT a.concept_id AS concept_a, b.concept_id AS concept_b, a.n, count(*) AS cooc_count FROM s a JOIN s b ON a.card_id = b.card_id AND a.concept_id < b.concept_id GROUP BY 1, 2, 3)
-SELECT concept_a, concept_b, cooc_count, CASE WHEN cooc_count >= 2 THEN floor(ln(cooc_count * n / (x.sdf * y.sdf)) * 1e6 + 0.5) / 1e6 END AS pmi,
-  CASE WHEN cooc_count < 2 THEN 'floor' WHEN ln(cooc_count * n / (x.sdf * y.sdf)) <= 0 THEN 'clamp' ELSE 'kept' END AS outcome
+SELECT concept_a, concept_b, cooc_count, CASE WHEN cooc_count >= 3 THEN floor(ln(cooc_count * n / (x.sdf * y.sdf)) * 1e6 + 0.5) / 1e6 END AS pmi,
+  CASE WHEN cooc_count < 3 THEN 'floor' WHEN ln(cooc_count * n / (x.sdf * y.sdf)) <= 0 THEN 'clamp' ELSE 'kept' END AS outcome
 FROM c JOIN sdf x ON x.concept_id = concept_a JOIN sdf y ON y.concept_id = concept_b""")
 def cooccurrence(spark, d):
-    return stats.cooccurrence(_postings(spark, d), 4, 2)
-
-
-@R.query(R.sql["cooccurrence"].replace("k <= 4", "k <= 20").replace("cooc_count >= 2", "cooc_count >= 3").replace("cooc_count < 2", "cooc_count < 3"))
-def whole_cooccurrence(spark, d):
-    """As cooccurrence, by the reference's defaults."""
     return stats.cooccurrence(_postings(spark, d))
-
-
-@R.query(R.sql["vector_top10"].replace("b.vec_id < 20", "b.vec_id % 50 = 0"))
-def whole_vector_top10(spark, d):
-    """As vector_top10, for every vector whose id 50 divides."""
-    v = _vectors(spark, d)
-    return _rounded(search.vector_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10))
-
-
-@R.query(R.sql["vector_prefiltered"].replace("b.vec_id < 20", "b.vec_id % 50 = 0"))
-def whole_vector_prefiltered(spark, d):
-    """As vector_prefiltered, for every vector whose id 50 divides."""
-    v = _vectors(spark, d)
-    return _rounded(search.vector_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10, F.col("label") == 1))
-
-
-@R.query(R.sql["vector_postfiltered"].replace("b.vec_id < 20", "b.vec_id % 50 = 0"))
-def whole_vector_postfiltered(spark, d):
-    """As vector_postfiltered, for every vector whose id 50 divides."""
-    v = _vectors(spark, d)
-    return _rounded(search.vector_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10, F.col("label") == 1, prefilter=False))

@@ -85,15 +85,23 @@ def zones(spark, d):
     return table(spark, d, "documents").select("doc_id", T.zone(section, F.col("text")).alias("zone"))
 
 
-@R.query(r"""
-SELECT source, CASE
-  WHEN regexp_matches(text, '(?i)creativecommons\.org/licenses/') THEN 'cc' WHEN regexp_matches(substr(text, 1, 20000), '(?i)\bpublic domain\b') THEN 'public-domain'
-  WHEN regexp_matches(substr(text, 1, 20000), '(?i)\ball rights reserved\b') THEN 'all-rights-reserved' ELSE '?' END AS licence, count(*) AS n
-FROM documents GROUP BY 1, 2""")
+_NOTICES = ["", "Copyright 2015 by Acme Press. All rights reserved", "SPDX-License-Identifier: gplv3", "see creativecommons.org/licenses/by-nc/3.0 ", "creativecommons.org/publicdomain/mark", "(c) 1999-2004 Jane Doe, licensed under MIT", "in the PUBLIC domain", "SPDX-License-Identifier: Own-1"]
+_FOUND = ["", "Acme Press|all-rights-reserved", "|GPL-3.0-only", "|CC-BY-NC-4.0", "|public-domain", "Jane Doe|", "|public-domain", "|unknown"]
+
+
+@R.query(f"""
+WITH t AS (SELECT doc_id, text, doc_id % 8 + 1 AS k FROM documents),
+c AS (SELECT doc_id, k, regexp_extract(text, 'SPDX-License-Identifier:\\s*([A-Za-z0-9.\\-+]+)', 1) AS tag, regexp_extract(text, '(?i)creativecommons\\.org/licenses/(by[a-z-]*)/', 1) AS cc,
+  regexp_matches(substr(text, 1, 20000), '(?i)\\bpublic domain\\b') AS pd, regexp_matches(substr(text, 1, 20000), '(?i)\\ball rights reserved\\b') AS arr FROM t),
+p AS (SELECT doc_id, {[x.split("|")[-1] for x in _FOUND]}[k] AS planted, tag, cc, pd, arr, k, {[x.split("|")[0] for x in _FOUND]}[k] AS holder FROM c)
+SELECT doc_id, CASE WHEN k IN (3, 8) THEN planted WHEN tag <> '' THEN tag WHEN k IN (4, 5) THEN planted WHEN cc <> '' THEN 'CC-' || upper(cc) || '-4.0' WHEN pd OR k = 7 THEN 'public-domain' WHEN arr OR k = 2 THEN 'all-rights-reserved' END AS licence,
+  CASE WHEN holder <> '' THEN holder END AS holder FROM p""")
 def licences(spark, d):
-    found = F.coalesce(T.detect_licence(F.col("text")), F.lit("?"))
-    kind = F.when(found.startswith("CC"), "cc").otherwise(found)
-    return table(spark, d, "documents").groupBy("source", kind.alias("licence")).agg(F.count("*").alias("n"))
+    """Licences of the documents behind a notice each, and the holders that the notices name."""
+    notice = F.array(*map(F.lit, _NOTICES))[(F.col("doc_id") % 8).cast("int")]
+    docs = table(spark, d, "documents").select("doc_id", T.detect_licence(F.concat(notice, F.lit("\n"), F.col("text"))).alias("f"))
+    holder = F.when((F.col("doc_id") % 8).isin(1, 5), F.col("f.holder"))
+    return docs.select("doc_id", "f.licence", holder.alias("holder"))
 
 
 @R.query("""
@@ -107,18 +115,19 @@ def intents(spark, d):
 
 
 def _speech_sql() -> str:
-    cues = " ".join(f"WHEN regexp_matches(q, {_re(p)}) THEN '{n}'" for n, p in T.SPEECH_ACTS)
+    cues = lambda value: " ".join(f"WHEN regexp_matches(q, {_re(p)}) THEN {value(a, c)}" for a, c, p in T.SPEECH_ACTS)
+    rest = lambda o, f, a: f"WHEN NOT asks AND regexp_matches(q, {_re(T.NARRATOR)}) AND regexp_matches(q, {_re(T.NARRATION)}) THEN {o} WHEN asks THEN {f} ELSE {a} END"
     return rf"""
-WITH q AS (SELECT conv_id, turn, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS q FROM conversations)
-SELECT conv_id, turn, CASE WHEN q = '' THEN 'ambiguous' {cues}
-  WHEN q NOT LIKE '%?' AND NOT regexp_matches(q, {_re(T.QUESTION)}) AND regexp_matches(q, '^\s*(we|he|she|they|it|i|my \w+|the \w+)\b')
-    AND regexp_matches(q, '\b(had|has|have|was|were|is|are|did|gave|took|became|got|felt|started|noticed|reported)\b') THEN 'observation'
-  WHEN q LIKE '%?' OR regexp_matches(q, {_re(T.QUESTION)}) THEN 'factual' ELSE 'ambiguous' END AS speech_act FROM q"""
+WITH q AS (SELECT conv_id, turn, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS q FROM conversations),
+a AS (SELECT *, q LIKE '%?' OR regexp_matches(q, {_re(T.QUESTION)}) AS asks FROM q)
+SELECT conv_id, turn, CASE WHEN q = '' THEN 'ambiguous' {cues(lambda a, c: f"'{a}'")} {rest("'observation'", "'factual'", "'ambiguous'")} AS speech_act,
+  (CASE WHEN q = '' THEN 0.0 {cues(lambda a, c: c)} {rest(0.7, 0.6, 0.3)})::DOUBLE AS confidence FROM a"""
 
 
 @R.query(_speech_sql())
 def speech_acts(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.speech_act(F.col("text")).alias("speech_act"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", T.speech_act(F.col("text")).alias("s"))
+    return rows.select("conv_id", "turn", F.col("s.act").alias("speech_act"), "s.confidence")
 
 
 @R.query(f"""
@@ -127,14 +136,23 @@ s AS (SELECT DISTINCT min_id AS id, unnest(list_transform(range(1, greatest(len(
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id)
 SELECT id AS doc_id, n AS n_shingles FROM n""")
 def shingle_counts(spark, d):
-    docs = table(spark, d, "documents")
-    firsts = dedupe.exact_owners(docs).where("not is_dupe").select("doc_id")
-    return dedupe.with_shingles(docs.join(firsts, "doc_id").select("doc_id", "text")).select("doc_id", F.size("shingles").cast("long").alias("n_shingles"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.norm(F.col("text")).alias("t")).withColumn("h", T.short_hash(F.col("t")))
+    firsts = rows.groupBy("h").agg(F.min("id").alias("id")).select("id")
+    return dedupe.shingle_rows(rows.join(firsts, "id", "left_semi")).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_shingles"))
 
 
-@R.query()
+@R.query(f"""
+WITH t AS (SELECT doc_id AS id, {NORM} AS t FROM documents WHERE {NORM} <> ''),
+f AS (SELECT t, min(id) AS first FROM t GROUP BY t),
+w AS (SELECT first AS id, string_split(t, ' ') AS w FROM f),
+s AS (SELECT id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS first, b.id AS later, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
+p AS (SELECT first, later, round(c / (x.n + y.n - c), 4) AS similarity FROM c JOIN n x ON x.id = first JOIN n y ON y.id = later
+  UNION ALL SELECT first, id, 1.0 FROM t JOIN f USING (t) WHERE id <> first)
+SELECT first, later, similarity FROM p WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY later ORDER BY first) = 1""")
 def near_duplicates(spark, d):
-    """MinHash bands with exact verification; tests hold it against brute force."""
+    """The first text that each near copy is one of, by exact similarities of candidate pairs."""
     return dedupe.near_marks(dedupe.near_pairs(table(spark, d, "documents"), 0.8))
 
 
@@ -194,10 +212,29 @@ def page_chunks(spark, d):
     return ingest.chunk_documents(blocks, "page_id")
 
 
-@R.query("SELECT doc_id, text, lang FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'new', lang FROM documents WHERE doc_id % 3 = 0")
+@R.query("SELECT doc_id, text, lang FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'newest', lang FROM documents WHERE doc_id % 3 = 0")
 def upserted_chunks(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    return ingest.upsert(docs, docs.where("doc_id % 3 = 0").withColumn("text", F.lit("new")), "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", F.lit(0).alias("at"))
+    new = docs.where("doc_id % 3 = 0")
+    twice = new.withColumns({"text": F.lit("newest"), "at": F.lit(2)}).unionByName(new.withColumns({"text": F.lit("new"), "at": F.lit(1)}))
+    return ingest.upsert(docs, twice, "doc_id", "at").drop("at")
+
+
+@R.query("SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id NOT IN (SELECT doc_id FROM documents)")
+def kept_vectors(spark, d):
+    """Vectors after their chunks were replaced: a replaced row loses its old one."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "label")
+    return ingest.kept_vectors(vectors, table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("vec_id")), "vec_id")
+
+
+_REGIMES = {"src1": "fictional", "*src?5": "historical", "SRC2": "interpretive", "src3": "invented"}
+
+
+@R.query(r"""WITH p AS (SELECT doc_id, '/lib/' || source || '\Deep/' || source || '5' AS path, source FROM documents)
+SELECT doc_id, CASE WHEN source = 'src1' THEN 'fictional' WHEN regexp_matches(lower(path), '^.*src.5$') THEN 'historical' WHEN source = 'src2' THEN 'interpretive' END AS regime FROM p""")
+def path_regimes(spark, d):
+    path = F.concat(F.lit("/lib/"), "source", F.lit("\\Deep/"), "source", F.lit("5"))
+    return table(spark, d, "documents").select("doc_id", T.regime_for_path(path, _REGIMES).alias("regime"))
 
 
 @R.query("SELECT doc_id, lang FROM documents WHERE source <> 'src3'")

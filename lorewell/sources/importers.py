@@ -7,8 +7,48 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
 
-#: Relations about words rather than things, left out unless asked for.
-LEXICAL = ["/r/RelatedTo", "/r/FormOf", "/r/DerivedFrom", "/r/EtymologicallyRelatedTo", "/r/EtymologicallyDerivedFrom"]
+# What each relation becomes: family, type and polarity.
+RELATIONS = {
+    "IsA": ("taxonomic", "is_a", ""),
+    "InstanceOf": ("taxonomic", "instance_of", ""),
+    "MannerOf": ("taxonomic", "manner_of", ""),
+    "DefinedAs": ("taxonomic", "defined_as", ""),
+    "PartOf": ("partonomic", "part_of", ""),
+    "HasA": ("partonomic", "has_a", ""),
+    "MadeOf": ("partonomic", "made_of", ""),
+    "UsedFor": ("functional", "used_for", ""),
+    "CapableOf": ("functional", "capable_of", ""),
+    "NotCapableOf": ("functional", "capable_of", "negative"),
+    "ReceivesAction": ("functional", "receives_action", ""),
+    "Causes": ("causal", "causes", "positive"),
+    "CausesDesire": ("causal", "causes_desire", "positive"),
+    "MotivatedByGoal": ("causal", "motivated_by_goal", ""),
+    "CreatedBy": ("causal", "created_by", ""),
+    "Entails": ("causal", "entails", ""),
+    "HasPrerequisite": ("causal", "has_prerequisite", ""),
+    "HasSubevent": ("procedural", "has_subevent", ""),
+    "HasFirstSubevent": ("procedural", "has_first_subevent", ""),
+    "HasLastSubevent": ("procedural", "has_last_subevent", ""),
+    "AtLocation": ("spatial", "at_location", ""),
+    "LocatedNear": ("spatial", "located_near", ""),
+    "HasProperty": ("attributive", "has_property", "positive"),
+    "NotHasProperty": ("attributive", "has_property", "negative"),
+    "Desires": ("affective", "desires", "positive"),
+    "NotDesires": ("affective", "desires", "negative"),
+    "SymbolOf": ("interpretive", "symbol_of", ""),
+    "Synonym": ("lexical", "synonym", ""),
+    "Antonym": ("lexical", "antonym", "negative"),
+    "DistinctFrom": ("lexical", "distinct_from", ""),
+    "SimilarTo": ("lexical", "similar_to", ""),
+    "RelatedTo": ("associative", "related_to", ""),
+    "FormOf": ("lexical", "form_of", ""),
+    "DerivedFrom": ("lexical", "derived_from", ""),
+    "HasContext": ("lexical", "has_context", ""),
+    "EtymologicallyRelatedTo": ("lexical", "etymologically_related_to", ""),
+    "EtymologicallyDerivedFrom": ("lexical", "etymologically_derived_from", ""),
+}
+# Relations about words rather than things, left out unless asked for.
+LEXICAL = ["RelatedTo", "FormOf", "DerivedFrom", "HasContext", "EtymologicallyRelatedTo", "EtymologicallyDerivedFrom"]
 #: The nine dimensions of the event dataset.
 DIMENSIONS = ["oEffect", "oReact", "oWant", "xAttr", "xEffect", "xIntent", "xNeed", "xReact", "xWant"]
 
@@ -17,22 +57,43 @@ def read_tsv(spark, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", quote="").toDF("uri", "rel", "start", "end", "info")
 
 
+def read_csv(spark, path: str) -> DataFrame:
+    """A table with a header, long quoted cells and JSON in cells (quotes doubled)."""
+    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+
+
+def read_records(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, (lines, bad)) of JSON lines of causal relations: records that parse, and how many lines do not."""
+    payload = "struct<sentence: string, wikipedia_page_title: string, clueweb12_page_id: string>"
+    concept = "struct<concept: string>"
+    schema = f"causal_relation struct<cause: {concept}, effect: {concept}>, sources array<struct<type: string, payload: {payload}>>, _bad string"
+    lines = spark.read.text(path).where(F.btrim("value") != "")
+    rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    return rows.where("_bad is null and causal_relation is not null").drop("_bad"), rows.agg(F.count("*").alias("lines"), F.count_if(F.col("_bad").isNotNull() | F.col("causal_relation").isNull()).alias("bad"))
+
+
 def assertions(rows: DataFrame, min_weight: float = 1.0, exclude: list[str] | None = None, lexical: bool = False) -> DataFrame:
-    """(rel, src, dst, weight, outcome) of rows (rel, start, end, info) of English terms.
+    """(uri, rel, src, dst, family, type, polarity, weight, outcome) of rows (uri, rel, start, end, info) of English terms.
 
-    outcome is kept, or why a row is skipped, in order: language, excluded, lexical, weight, loop, repeat.
+    outcome is kept, or why a row is skipped, in order: language, unknown, excluded, lexical,
+    weight, loop (or a term is empty), repeat.  ``exclude`` names relations, and holds whatever
+    ``lexical`` says.
     """
     english = F.col("start").startswith("/c/en/") & F.col("end").startswith("/c/en/")
     weight = F.coalesce(F.expr("try_cast(get_json_object(info, '$.weight') as double)"), F.lit(1.0))
-    base = rows.select("*", T.concept(F.col("start")).alias("src"), T.concept(F.col("end")).alias("dst"), weight.alias("weight"))
-    why = F.when(~english, "language").when(F.col("rel").isin(exclude or []), "excluded")
+    name = F.get(F.split("rel", "/"), F.lit(2))
+    spec = F.try_element_at(F.create_map(*[x for k, v in RELATIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), name)
+    base = rows.select("*", name.alias("name"), spec.alias("spec"), F.btrim(T.concept(F.col("start"))).alias("src"), F.btrim(T.concept(F.col("end"))).alias("dst"), weight.alias("weight"))
+    why = F.when(~english, "language").when(F.col("spec").isNull(), "unknown").when(F.col("name").isin([x.removeprefix("/r/") for x in exclude or []]), "excluded")
     if not lexical:
-        why = why.when(F.col("rel").isin(LEXICAL), "lexical")
-    why = why.when(F.col("weight") < min_weight, "weight").when(F.col("src") == F.col("dst"), "loop").otherwise("kept")
+        why = why.when(F.col("name").isin(LEXICAL), "lexical")
+    empty = (F.col("src") == "") | (F.col("dst") == "")
+    why = why.when(F.col("weight") < min_weight, "weight").when(empty | (F.col("src") == F.col("dst")), "loop").otherwise("kept")
     judged = base.withColumn("why", why)
     first = Window.partitionBy("rel", "src", "dst", "why").orderBy("uri")
     outcome = F.when((F.col("why") == "kept") & (F.row_number().over(first) > 1), "repeat").otherwise(F.col("why"))
-    return judged.withColumn("outcome", outcome).select("uri", "rel", "src", "dst", "weight", "outcome")
+    parts = [F.get("spec", F.lit(i)).alias(c) for i, c in enumerate(("family", "type", "polarity"))]
+    return judged.withColumn("outcome", outcome).select("uri", "rel", "src", "dst", *parts, "weight", "outcome")
 
 
 def events(rows: DataFrame, agreement: int = 2) -> DataFrame:

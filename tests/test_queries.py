@@ -19,7 +19,7 @@ def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, SMALL).count() >= 0
 
 
-@pytest.mark.parametrize("name", ["whole_vector_top10", "whole_vector_prefiltered", "whole_vector_postfiltered"])
+@pytest.mark.parametrize("name", ["vector_top10", "vector_prefiltered", "vector_postfiltered"])
 def test_vector_queries_are_every_fiftieth_id(spark, name):
     ids = [r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id % 50 = 0").collect()]
     assert {r.query_id for r in catalog.queries()[name](spark, SMALL).select("query_id").distinct().collect()} == set(ids)
@@ -29,7 +29,12 @@ def test_whole_tables_reach_the_operators(spark):
     q = catalog.queries()
     table = lambda name: spark.read.parquet(f"{SMALL}/{name}.parquet")
     distinct = lambda frame, c: {r[0] for r in frame.select(c).distinct().collect()}
-    assert distinct(q["whole_stripped_pages"](spark, SMALL), "page") == distinct(table("orders"), "o_orderkey")
-    assert distinct(q["whole_combined_licences"](spark, SMALL), "source") == distinct(table("documents"), "source")
-    assert distinct(q["whole_feature_overlap"](spark, SMALL), "query_id") == distinct(table("events").where("user_id % 50 = 0"), "user_id")
-    assert not [s for n, s in catalog.oracle_sql().items() if n in ("whole_stripped_pages", "whole_combined_licences", "whole_feature_overlap") and any(x in s for x in ("% 40 = 1", "% 13 < 3", "% 5 = 0", "< 20"))]
+    assert distinct(q["stripped_pages"](spark, SMALL), "page") == distinct(table("orders"), "o_orderkey")
+    assert distinct(q["combined_licences"](spark, SMALL), "source") == distinct(table("documents"), "source")
+    assert distinct(q["feature_overlap"](spark, SMALL), "query_id") == distinct(table("events").where("user_id % 50 = 0"), "user_id")
+
+
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
+def test_query_has_rows(spark, name):
+    """No comparison passes for want of rows; dupes apart, which a table may lack."""
+    assert catalog.queries()[name](spark, SMALL).limit(1).count() == 1
