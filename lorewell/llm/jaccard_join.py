@@ -238,14 +238,43 @@ def _differences(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> Dat
     return one.join(other, "h").select("a", "h", "text_a", "text_h").mapInArrow(_verify(n, percent), _DIFFS)
 
 
+def _beyond(batches):
+    """Rows (h, a, t) of the shingles that members have beyond their hub."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            batch = whole.slice(at, 4096)
+            sets = [np.frombuffer(x, "<i8") for x in batch.column("beyond").to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column("h").take(row), batch.column("a").take(row), pa.array(np.concatenate(sets), pa.int64())], names=["h", "a", "t"])
+
+
+def _may_link(members: DataFrame, percent: int) -> DataFrame:
+    """Members (h, a, n_a, n_h, lacks, beyond, least, blocks, ..) without those of large hubs that link with no other member.
+
+    A member of n_a shingles needs ceil(percent * (n_a + n) / (100 + percent)) in common with
+    one of n.  It has n_h - |lacks| with the hub, so that the rest must be beyond it; a member
+    that has fewer shingles there that any other member has, too, is left out.
+    """
+    large = members.where("blocks > 1")
+    tokens = large.select("h", "a", "beyond").mapInArrow(_beyond, "h long, a long, t long")
+    often = tokens.groupBy("h", "t").agg(F.count("*").alias("c")).where("c > 1").select("h", "t")
+    shared = tokens.join(often, ["h", "t"], "left_semi").groupBy("h", "a").agg(F.count("*").alias("shared"))
+    up = lambda x, by: F.expr(f"({x} + {by - 1}) div {by}")
+    fewest = members.withColumn("other", F.greatest("least", up(f"{percent} * n_a", 100)))
+    need = up(f"{percent} * (n_a + other)", 100 + percent) - (F.col("n_h") - F.octet_length("lacks") / 4)
+    both = fewest.withColumn("need", need).join(shared, ["h", "a"], "left")
+    return both.where((F.col("blocks") <= 1) | (F.col("need") <= 0) | (F.coalesce("shared", F.lit(0)) >= F.col("need"))).select(members.columns)
+
+
 def _links_across(diffs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Links between components among the members of each hub."""
     itself = diffs.groupBy("h").agg(F.max("n_h").alias("n_h")).select(F.col("h").alias("a"), "h", F.col("n_h").alias("n_a"), "n_h", F.lit(True).alias("linked"), F.lit(b"").alias("lacks"), F.lit(b"").alias("beyond"))
     members = diffs.union(itself).join(groups.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    sizes = members.groupBy("h", "component").count()
-    hubs = sizes.groupBy("h").agg(F.sum("count").alias("size"), F.count("*").alias("parts"), F.max_by("component", F.struct("count", "component")).alias("main"))
+    sizes = members.groupBy("h", "component").agg(F.count("*").alias("count"), F.min("n_a").alias("least"))
+    hubs = sizes.groupBy("h").agg(F.sum("count").alias("size"), F.count("*").alias("parts"), F.max_by("component", F.struct("count", "component")).alias("main"), F.min("least").alias("least"))
     hubs = hubs.where("parts > 1").withColumn("blocks", F.ceil(F.col("size") / F.greatest(F.lit(BLOCK), 2.5 * F.sqrt("size"))))
-    open_ = members.join(hubs.select("h", "main", "blocks"), "h").withColumn("block", F.pmod(F.xxhash64("a"), "blocks"))
+    open_ = saved(members.join(hubs.select("h", "main", "least", "blocks"), "h").select("h", "a", "n_a", "n_h", "component", "lacks", "beyond", "main", "least", "blocks"))
+    open_ = _may_link(open_, percent).withColumn("block", F.pmod(F.xxhash64("a"), "blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     left = open_.where("component <> main").withColumn("j", every).withColumn("i", F.col("block")).withColumn("right", F.lit(0))
     right = open_.withColumn("i", every).withColumn("j", F.col("block")).withColumn("right", F.lit(1))

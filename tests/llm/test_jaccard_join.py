@@ -68,6 +68,25 @@ def test_groups_of_near_copies(spark, monkeypatch, percent, block):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 4, percent) == want
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_groups_that_share_much_but_not_enough(spark, monkeypatch, percent):
+    """Texts of one common part and own words link only where they share own words, too."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng, base = random.Random(12), fixtures.words(random.Random(3), 60, [f"c{i}" for i in range(500)])
+    rows = []
+    for k in range(120):
+        own = [f"o{k}_{i}" for i in range(rng.choice([6, 9, 14]))]
+        rows.append(base + own)
+        if k % 6 == 0:
+            rows.append(base + own[:-1] + [f"p{k}"])
+        if k % 9 == 0:
+            rows.append(base[: rng.randint(40, 60)] + own)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    want = brute(rows, 4, percent)
+    assert 20 < len({c for *_, c in want}) < len(rows)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4, percent) == want
+
+
 def test_rows_of_one_id_are_one_node(spark):
     a, b = " ".join(map(str, range(50))), " ".join(map(str, range(100, 160)))
     rows = [(5, a), (5, b), (3, a), (9, b), (7, "alone here")]
