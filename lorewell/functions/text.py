@@ -6,6 +6,7 @@ All are built-in expressions, so that they stay inside code generation.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,10 +28,22 @@ def clean(text: Column, max_len: int = 0) -> Column:
     return F.when(F.char_length(s) > max_len, F.concat(F.rtrim(F.substring(s, 1, max_len)), F.lit("…"))).otherwise(s) if max_len else s
 
 
+# By rule: lower-case characters whose case folds to another character, and to several.
+_FOLDS = {c: f for i in range(0x80, 0xFFFF) if not 0xD800 <= i < 0xE000 and (c := chr(i)).lower() == c and (f := c.casefold()) != c}
+_ONE, _MANY = {c: f for c, f in _FOLDS.items() if len(f) == 1}, {c: f for c, f in _FOLDS.items() if len(f) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """The text with all case folded: lower-cased, ß as ss, ς as σ."""
+    s = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    several = reduce(lambda out, x: F.replace(out, F.lit(x[0]), F.lit(x[1])), _MANY.items(), s)
+    return F.when(s.rlike("[" + "".join(_MANY) + "]"), several).otherwise(s)
+
+
 def norm(text: Column) -> Column:
-    """The comparable form of a text: quotes and dashes folded, white space collapsed, lower case."""
+    """The comparable form of a text: quotes and dashes folded, white space collapsed, case folded."""
     s = F.translate(F.coalesce(text, F.lit("")), FOLD_FROM, FOLD_TO)
-    return F.lower(F.btrim(F.regexp_replace(s, r"[\s\x0b]+", " ")))
+    return casefold(F.btrim(F.regexp_replace(s, r"[\s\x0b]+", " ")))
 
 
 def short_hash(*parts: Column) -> Column:

@@ -98,6 +98,13 @@ def set_facets(facets: DataFrame, new: DataFrame) -> DataFrame:
     return facets.join(new.select("id", "axis").distinct(), ["id", "axis"], "left_anti").unionByName(new)
 
 
+def facets_of(items: DataFrame, facets: DataFrame) -> DataFrame:
+    """(id, facets) of the items asked for: a map of each axis to its values, in order; empty for an item without."""
+    own = facets.join(items.select("id").distinct(), "id", "left_semi").groupBy("id", "axis").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    maps = own.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("axis", "values")))).alias("facets"))
+    return items.select("id").distinct().join(maps, "id", "left").select("id", F.coalesce("facets", F.create_map().cast(maps.schema["facets"].dataType)).alias("facets"))
+
+
 def combine_licences(rows: DataFrame, key: str, permissions: list[str], conditions: list[str]) -> DataFrame:
     """Permissions hold if all hold (false wins over unknown), conditions if any does; and the distinct ids."""
     every = [F.when(F.max((~F.col(p)).cast("int")) == 1, False).when(F.count_if(F.col(p).isNull()) > 0, None).otherwise(True).alias(p) for p in permissions]

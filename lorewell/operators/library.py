@@ -48,6 +48,12 @@ def chunk_filter(chunks: DataFrame, source_type: str | None = None, title: str |
     return rows if title is None else rows.where(F.contains(F.lower("title"), F.lit(title.lower())))
 
 
+def page_after(chunks: DataFrame, last, n: int, key: str = "id") -> DataFrame:
+    """The next n rows by key after the last one seen (this operator's purpose); None starts."""
+    rows = chunks if last is None else chunks.where(F.col(key) > last)
+    return rows.orderBy(key).limit(n)
+
+
 def sample(chunks: DataFrame, n: int, source_type: str | None = None, seed: int = 0) -> DataFrame:
     """n rows drawn at random (this operator's purpose), the same ones for a seed."""
     return chunk_filter(chunks, source_type).withColumn("_r", F.xxhash64(F.lit(seed), "id")).orderBy("_r", "id").limit(n).drop("_r")

@@ -87,13 +87,14 @@ def stoplist(index: DataFrame, ratio: float = STOP_RATIO, least_docs: int = STOP
     return found.unionByName(more.join(found, "term", "left_anti").select("term", F.lit(0).cast("long").alias("df")))
 
 
-def bm25(index: DataFrame, queries: DataFrame, k: int = 10, stop: DataFrame | None = None, size: DataFrame | None = None, stems: bool = False) -> DataFrame:
+def bm25(index: DataFrame, queries: DataFrame, k: int = 10, stop: DataFrame | None = None, size: DataFrame | None = None, stems: bool = False, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k best of each query (query_id, query) by BM25.
 
     Scores are rounded to 9 digits before they are ranked; ties go to the smaller id.  The
     index is read once for the postings of the queries' terms, which are saved.  Terms are
     broadcast, so that a term of many documents is scored where its postings are; partial sums
     alone are shuffled.  Words of the stoplist are not asked for, unless a query has no others.
+    ``allowed`` (id) filters results; frequencies are those of the whole index.
     """
     words = F.transform(T.search_terms(F.col("query")), lambda t: unmarked(F.lower(t)))
     asked = queries.select("query_id", F.explode(F.array_distinct(stemmed(words) if stems else words)).alias("term"))
@@ -109,6 +110,7 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = 10, stop: DataFrame | No
     raw = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.select("term", F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw).alias("idf"), "avg_len")
     hit = wanted.join(hint(asked.join(idf, "term")), "term")
+    hit = hit if allowed is None else hit.join(allowed.select("id"), "id", "left_semi")
     part = F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))
     return top_k(scored, k)

@@ -188,6 +188,18 @@ def derived_facets(spark, d):
     return ask.derive_facets(items, support, sources, "id")
 
 
+@R.query("""WITH f AS (SELECT l_orderkey AS id, 'flag:' || string_agg(DISTINCT l_returnflag, '+' ORDER BY l_returnflag) AS a, 'status:' || string_agg(DISTINCT l_linestatus, '+' ORDER BY l_linestatus) AS b FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS id, coalesce(a || ' ' || b, '') AS facets FROM orders LEFT JOIN f ON id = o_orderkey WHERE o_orderkey % 2 = 0 UNION ALL SELECT -1, ''""")
+def facets_of_items(spark, d):
+    """The facets of the items asked for (of which one has none), as text."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    facets = li.select(F.col("l_orderkey").alias("id"), F.lit("flag").alias("axis"), F.col("l_returnflag").alias("value")).union(li.select("l_orderkey", F.lit("status"), "l_linestatus"))
+    asked = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id")).union(spark.sql("SELECT -1L"))
+    out = ask.facets_of(asked, facets)
+    each = F.transform(F.map_entries("facets"), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], "+")))
+    return out.select("id", F.array_join(each, " ").alias("facets"))
+
+
 @R.query("""WITH v AS (SELECT doc_id, list_transform(list_distinct(list_filter(regexp_split_to_array(lower('Doc ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '. ' || source ELSE '' END), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 2)), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64) AS b FROM documents)
 SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'kept' WHEN doc_id % 5 = 0 THEN NULL ELSE 'made' END AS how, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 THEN len(list_distinct(b)) END AS filled FROM v""")
 def embedded_nodes(spark, d):

@@ -117,6 +117,11 @@ def filtered_chunks(spark, d):
     return library.chunk_filter(docs, "en", "1")
 
 
+@R.query("SELECT doc_id AS id, lang FROM documents WHERE doc_id > 120 ORDER BY doc_id LIMIT 50")
+def chunk_page(spark, d):
+    return library.page_after(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), 120, 50)
+
+
 @R.query("SELECT page_id, CASE lower(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'epub' THEN 'epub' WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'txt' THEN 'text' WHEN 'md' THEN 'text' END AS extractor FROM pages")
 def page_extractors(spark, d):
     return table(spark, d, "pages").select("page_id", library.extractor_for(F.col("url")).alias("extractor"))

@@ -44,6 +44,16 @@ def bm25_top10(spark, d):
     return _sparse(spark, d, 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@R.query(f"""WITH {_BM25.replace('{k}', '1000000000')}, a AS (SELECT * FROM sparse JOIN documents ON doc_id = id WHERE lang = 'en' AND contains(lower(source), '1'))
+SELECT query_id, id, round(score, 6) AS score, n - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM a) WHERE n <= 10""")
+def filtered_top10(spark, d):
+    """BM25 over all documents, of which those of one language and some sources may be results."""
+    docs = _docs(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source_type")), "id")
+    index, size = search.build_index(docs, _COLUMNS, "id"), search.corpus_size(docs, _COLUMNS, "id")
+    out = search.bm25(index, _queries(spark, d), 10, search.stoplist(index, size=size), size, allowed=library.chunk_filter(docs, "en", "1"))
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @R.query(f"""WITH {_POST}, n AS (SELECT count(DISTINCT id) AS docs FROM p),
 f AS (SELECT term, count(*) AS df FROM p, n GROUP BY term, docs HAVING count(*) > floor(docs * 0.5) ORDER BY df DESC, term LIMIT 300)
 SELECT term, df FROM f UNION ALL SELECT x, 0 FROM (SELECT unnest(['the', 'zzz']) AS x) WHERE x NOT IN (SELECT term FROM f)""")

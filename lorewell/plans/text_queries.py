@@ -10,7 +10,7 @@ from lorewell.plans.registry import Registry, table
 
 R = Registry()
 _quote = lambda s: s.replace("'", "''")
-NORM = f"lower(trim(regexp_replace(translate(coalesce(text, ''), '{_quote(T.FOLD_FROM)}', '{_quote(T.FOLD_TO)}'), '[\\s\\x0B]+', ' ', 'g')))"
+NORM = f"replace(lower(trim(regexp_replace(translate(coalesce(text, ''), '{_quote(T.FOLD_FROM)}', '{_quote(T.FOLD_TO)}'), '[\\s\\x0B]+', ' ', 'g'))), 'ß', 'ss')"
 HASH = f"substr(sha1({NORM}), 1, 20)"
 
 

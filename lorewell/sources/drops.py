@@ -132,6 +132,62 @@ def features(items: Column, most: int = 8) -> Column:
     return F.slice(F.filter(each, lambda x: (x["feature"] != "") & (x["value"] != "")), 1, most)
 
 
+# The words that graded and empirical claims may use.
+STRENGTHS, QUALITIES = ("strong", "conditional", "weak"), ("high", "moderate", "low", "very_low")
+DIRECTIONS, CERTAINTIES = ("increase", "decrease", "no_effect", "mixed"), ("high", "moderate", "low")
+DESIGNS = ("meta_analysis", "rct", "cohort", "case_control", "case_series", "expert_opinion", "guideline")
+#: Differentials and levels of a criteria card, at most.
+FEW = 12
+GRADE = "strength string, evidence_quality string, statement string, population string"
+FINDING = "direction string, study_design string, certainty string, effect_size string, population string, n string"
+_FEATURES = "array<struct<feature: string, value: string>>"
+CRITERIA = f"required {_FEATURES}, supportive {_FEATURES}, exclusion {_FEATURES}, threshold string, gold_standard string, differentials array<struct<condition: string, discriminator: string>>, levels array<struct<level: string, label: string, features: {_FEATURES}>>"
+
+
+def _one_of(value: Column, words: tuple[str, ...]) -> Column:
+    low = F.lower(F.btrim(value))
+    return F.when(low.isin(list(words)), low)
+
+
+def _said(value: Column, most: int) -> Column:
+    """A cleaned text of a bounded length, or null where nothing is left."""
+    s = F.btrim(T.clean(value, most))
+    return F.when(s != "", s)
+
+
+def _filled(fields: dict[str, Column]) -> Column:
+    """A struct of the fields, or null if all are."""
+    whole = F.struct(*[v.alias(k) for k, v in fields.items()])
+    return F.when(F.coalesce(*[v.cast("string") for v in fields.values()]).isNotNull(), whole)
+
+
+def grade(text: Column) -> Column:
+    """A graded recommendation from JSON: strength and quality of known words, statement and population; null if nothing is left."""
+    g = F.from_json(text, GRADE)
+    return _filled({"strength": _one_of(g["strength"], STRENGTHS), "evidence_quality": _one_of(g["evidence_quality"], QUALITIES), "statement": _said(g["statement"], 300), "population": _said(g["population"], 200)})
+
+
+def finding(text: Column) -> Column:
+    """An empirical claim from JSON: direction, design and certainty of known words, effect, population and n; null if nothing is left."""
+    f = F.from_json(text, FINDING)
+    words = {"direction": _one_of(f["direction"], DIRECTIONS), "study_design": _one_of(f["study_design"], DESIGNS), "certainty": _one_of(f["certainty"], CERTAINTIES)}
+    return _filled(words | {"effect_size": _said(f["effect_size"], 80), "population": _said(f["population"], 200), "n": _said(f["n"], 40)})
+
+
+def criteria(text: Column) -> Column:
+    """A criteria payload from JSON: features that must, may and must not hold, threshold, standard, differentials and ordered levels.
+
+    Lists are null where nothing of them is left; a differential needs a condition, a level its name.
+    """
+    c = F.from_json(text, CRITERIA)
+    some = lambda a: F.when(F.size(a) > 0, a)
+    lists = {k: some(features(c[k])) for k in ("required", "supportive", "exclusion")}
+    near = F.transform(F.slice(c["differentials"], 1, FEW), lambda d: F.struct(_said(d["condition"], 80).alias("condition"), F.coalesce(_said(d["discriminator"], 200), F.lit("")).alias("discriminator")))
+    steps = F.transform(F.slice(c["levels"], 1, FEW), lambda x: F.struct(_said(x["level"], 40).alias("level"), _said(x["label"], 200).alias("label"), some(features(x["features"])).alias("features")))
+    rest = {"threshold": _said(c["threshold"], 200), "gold_standard": _said(c["gold_standard"], 200), "differentials": some(F.filter(near, lambda d: d["condition"].isNotNull())), "levels": some(F.filter(steps, lambda x: x["level"].isNotNull()))}
+    return F.struct(*[v.alias(k) for k, v in (lists | rest).items()])
+
+
 def materialised(extractions: DataFrame, key: str, text: str, most: int = 20) -> DataFrame:
     """(key, seq, src, type, dst, label_hash) claims of extraction JSON, also of cut ones, at most 20 a document as the model states.
 
