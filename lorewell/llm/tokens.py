@@ -19,7 +19,7 @@ import pyarrow as pa
 from lorewell.llm import spans
 
 #: Pieces that a worker remembers before it starts anew, and bytes of a longer piece that it does not remember.
-REMEMBERED, LONGEST = 100_000, 256
+REMEMBERED, LONGEST = 250_000, 256
 _U = np.uint64
 
 # Classes of characters: letter, digit, white space, other; the apostrophe is told apart.
