@@ -48,3 +48,17 @@ def fit_verdict(models: DataFrame, budget_gb: float) -> DataFrame:
     """Adds fits: the weights with a tenth more and 2 GB are within nine tenths of the budget."""
     need = F.col("weights_gb") * 1.1 + 2
     return models.withColumn("need_gb", need).withColumn("fits", need <= 0.9 * budget_gb)
+
+
+def gold_marks(gold: DataFrame) -> DataFrame:
+    """Gold questions (id, category, judgments) with the relevant cards, in order, and whether they are answerable: in the graph, with one."""
+    good = F.map_keys(F.map_filter("judgments", lambda _, grade: grade >= RELEVANT))
+    return gold.withColumn("relevant", F.sort_array(good)).withColumn("answerable", (F.col("category") != "out_of_graph") & (F.size("relevant") > 0))
+
+
+def tier_histogram(outcomes: DataFrame) -> DataFrame:
+    """(tier, n, share) of the four tiers, those without an outcome too."""
+    tiers = outcomes.sparkSession.range(1, 5).select(F.col("id").cast("int").alias("tier"))
+    counted = tiers.join(outcomes.groupBy("tier").agg(F.count("*").alias("n")), "tier", "left").select("tier", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    total = outcomes.agg(F.count("*").alias("all"))
+    return counted.crossJoin(F.broadcast(total)).select("tier", "n", F.round(F.coalesce(F.col("n") / F.nullif(F.col("all"), F.lit(0)), F.lit(0.0)), 4).alias("share"))

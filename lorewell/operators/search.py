@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lorewell.functions import text as T
 from lorewell.functions.stemming import stemmed, unmarked
@@ -151,6 +152,7 @@ def _best(table: pa.Table, k: int) -> pa.Table:
 def _score_block(vectors: DataFrame, asked: list, kind, k: int, floor: float | None) -> DataFrame:
     """(query_id, id, score, extra columns) of the k best vectors of each task for a block of queries."""
     names = [c for c in vectors.columns if c != "vec"]
+    id_type = to_arrow_type(kind)
     own = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in asked], np.array([r["qvec"] for r in asked], np.float64)))
 
     def run(batches):
@@ -178,10 +180,10 @@ def _score_block(vectors: DataFrame, asked: list, kind, k: int, floor: float | N
                     held[:] = [close()]
         if held:
             out = close()
-            yield from pa.Table.from_arrays([pa.array(ids).take(out["query"]), *out.columns[1:]], names=["query_id", *out.column_names[1:]]).combine_chunks().to_batches()
+            yield from pa.Table.from_arrays([pa.array(ids, id_type).take(out["query"]), *out.columns[1:]], names=["query_id", *out.column_names[1:]]).combine_chunks().to_batches()
 
     columns = ", ".join(f"{n} {vectors.schema[n].dataType.simpleString()}" for n in names)
-    return vectors.mapInArrow(run, f"query_id {kind}, {columns}, score double")
+    return vectors.mapInArrow(run, f"query_id {kind.simpleString()}, {columns}, score double")
 
 
 def scored_vectors(vectors: DataFrame, queries: DataFrame, k: int, floor: float | None = None) -> DataFrame:
@@ -191,7 +193,7 @@ def scored_vectors(vectors: DataFrame, queries: DataFrame, k: int, floor: float
     vectors, in which each task keeps its own k best of each query.
     """
     small = queries.select("query_id", "qvec").where("qvec is not null")
-    kind = queries.schema["query_id"].dataType.simpleString()
+    kind = queries.schema["query_id"].dataType
     n = small.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     cut = lambda i: small.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else small

@@ -69,6 +69,16 @@ def tail(log: DataFrame, n: int, at: str = "ts", tie: str = "event_id") -> DataF
     return log.orderBy(F.desc(at), F.desc(tie)).limit(n)
 
 
+def append_log(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log of JSON lines; each append is files of its own."""
+    rows.write.mode("append").json(path)
+
+
+def read_log(spark, path: str, schema: str) -> DataFrame:
+    """The whole log; lines that do not parse have nulls."""
+    return spark.read.schema(schema).json(path)
+
+
 def due_step(plan: DataFrame, now: float) -> DataFrame:
     """The first enabled step (position, command, enabled, min_interval, last_run, hold_until) that may run."""
     may = F.col("enabled") & (now - F.coalesce("last_run", F.lit(0.0)) >= F.col("min_interval")) & (F.coalesce("hold_until", F.lit(0.0)) <= now)

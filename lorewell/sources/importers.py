@@ -133,7 +133,7 @@ def gold_lines(lines: DataFrame) -> DataFrame:
     """(id, query, category, judgments) of JSON lines (value), without blank lines and comments."""
     real = lines.where((F.btrim("value") != "") & ~F.btrim("value").startswith("#"))
     row = F.from_json("value", "id string, query string, category string, judgments map<string,int>").alias("r")
-    return real.select(row).select("r.id", "r.query", F.coalesce("r.category", F.lit("general")).alias("category"), F.coalesce("r.judgments", F.create_map().cast("map<string,int>")).alias("judgments"))
+    return real.select(row).select("r.id", "r.query", F.coalesce("r.category", F.lit("lookup_fact")).alias("category"), F.coalesce("r.judgments", F.create_map().cast("map<string,int>")).alias("judgments"))
 
 
 def shadow_swap(frame: DataFrame, name: str, expected: Column | int | None = None) -> int:

@@ -120,7 +120,7 @@ def test_importers(spark):
     frame = spark.read.json(spark.createDataFrame([(record,)], "value string").rdd.map(lambda r: r.value))
     assert [tuple(r) for r in importers.causes(frame, 2).collect()] == [("heavy rain", "flood", 2, "b")]
     lines = spark.createDataFrame([("# note",), ("",), ('{"id":"q1","query":"why","judgments":{"c":3}}',)], "value string")
-    assert [(r.id, r.category, r.judgments) for r in importers.gold_lines(lines).collect()] == [("q1", "general", {"c": 3})]
+    assert [(r.id, r.category, r.judgments) for r in importers.gold_lines(lines).collect()] == [("q1", "lookup_fact", {"c": 3})]
 
 
 def test_lexical_decisions(spark):
