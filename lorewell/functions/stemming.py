@@ -21,8 +21,8 @@ MARKED, UNMARKED = "".join(_MARKED), "".join(_MARKED.values())
 
 
 def unmarked(text: Column) -> Column:
-    """The text with letters without their marks: é as e, ñ as n."""
-    return F.translate(text, MARKED, UNMARKED)
+    """The text with letters without their marks: é as e, ñ as n; ASCII texts have none."""
+    return F.when(F.char_length(text) == F.octet_length(text), text).otherwise(F.translate(text, MARKED, UNMARKED))
 
 
 # Endings and what they become, by step of the algorithm.

@@ -33,16 +33,26 @@ _FOLDS = {c: f for i in range(0x80, 0xFFFF) if not 0xD800 <= i < 0xE000 and (c :
 _ONE, _MANY = {c: f for c, f in _FOLDS.items() if len(f) == 1}, {c: f for c, f in _FOLDS.items() if len(f) > 1}
 
 
+def _ascii(text: Column) -> Column:
+    return F.char_length(text) == F.octet_length(text)
+
+
 def casefold(text: Column) -> Column:
-    """The text with all case folded: lower-cased, ß as ss, ς as σ."""
-    s = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
-    several = reduce(lambda out, x: F.replace(out, F.lit(x[0]), F.lit(x[1])), _MANY.items(), s)
-    return F.when(s.rlike("[" + "".join(_MANY) + "]"), several).otherwise(s)
+    """The text with all case folded: lower-cased, ß as ss, ς as σ.
+
+    ASCII texts are lower-cased; those of Latin letters need ß replaced; the others take each fold.
+    """
+    s = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    one = F.translate(s, "".join(_ONE), "".join(_ONE.values()))
+    every = reduce(lambda out, x: F.replace(out, F.lit(x[0]), F.lit(x[1])), _MANY.items(), one)
+    return F.when(_ascii(text), F.lower(text)).when(s.rlike(r"[^\x00-\xB4\xB6-\xFF]"), every).otherwise(s)
 
 
 def norm(text: Column) -> Column:
     """The comparable form of a text: quotes and dashes folded, white space collapsed, case folded."""
-    s = F.translate(F.coalesce(text, F.lit("")), FOLD_FROM, FOLD_TO)
+    raw = F.coalesce(text, F.lit(""))
+    # All of these characters but two are in one block, which most texts have none of.
+    s = F.when(~_ascii(raw) & raw.rlike(r"[\xA0\xAD\u2000-\u206F\uFEFF]"), F.translate(raw, FOLD_FROM, FOLD_TO)).otherwise(raw)
     return casefold(F.btrim(F.regexp_replace(s, r"[\s\x0b]+", " ")))
 
 

@@ -19,10 +19,10 @@ _MASK = (1 << 61) - 1
 def exact_owners(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, owner, is_dupe): the smallest id of equal texts owns them.
 
-    Two aggregates instead of a window: the partial minimum leaves a row a task of a text
-    that fills the corpus.
+    Texts are hashed once and the hashes are kept.  Two aggregates instead of a window: the
+    partial minimum leaves a row a task of a text that fills the corpus.
     """
-    rows = chunks.select(F.col(id_col).alias("id"), T.text_hash(F.col(text_col)).alias("text_hash"))
+    rows = saved(chunks.select(F.col(id_col).alias("id"), T.text_hash(F.col(text_col)).alias("text_hash")))
     owners = rows.groupBy("text_hash").agg(F.min("id").alias("owner"))
     return rows.join(owners, "text_hash").select(F.col("id").alias(id_col), "text_hash", "owner", (F.col("id") != F.col("owner")).alias("is_dupe"))
 
@@ -76,15 +76,26 @@ def band_keys(sig: list[int], bands: int = BANDS) -> list[str]:
     return [f"{b}:{hash64(','.join(map(str, sig[b * rows : (b + 1) * rows])))}" for b in range(bands)] if sig else []
 
 
+def distinct_texts(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text_hash, id, t): the comparable form of each text once, with the smallest id that has it; empty ones are left out.
+
+    Copies meet in each task first, so that a text that fills the corpus sends a row a task.
+    """
+    rows = chunks.select(F.col(id_col).alias("id"), T.norm(F.col(text_col)).alias("t"))
+    hashed = rows.select("id", "t", T.short_hash(F.col("t")).alias("text_hash"))
+    return hashed.groupBy("text_hash").agg(F.min("id").alias("id"), F.min_by("t", "id").alias("t")).where("t <> ''")
+
+
 def shingle_rows(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(id, h): the hashes of the distinct word k-grams of comparable forms (id, t); up to k words are one.
+    """(text_hash, id, h): the hashes of the distinct word k-grams of (text_hash, id, t); up to k words are one.
 
-    Words are exploded by place and grams are read from their array in the same generated code.
+    Words are exploded by place and grams are read from their array in the same generated code;
+    texts are dealt by their hash already, so that their grams need not move.
     """
-    words = texts.where("t <> ''").select("id", F.split("t", " ").alias("w"))
-    at = words.select("id", "w", F.posexplode_outer("w").alias("pos", "x"))
+    words = texts.select("text_hash", "id", F.split("t", " ").alias("w"))
+    at = words.select("text_hash", "id", "w", F.posexplode_outer("w").alias("pos", "x"))
     gram = F.xxhash64(*[F.get("w", F.col("pos") + i) for i in range(k)])
-    return at.where((F.col("pos") == 0) | (F.col("pos") + k <= F.size("w"))).select("id", gram.alias("h")).distinct()
+    return at.where((F.col("pos") == 0) | (F.col("pos") + k <= F.size("w"))).select("text_hash", "id", gram.alias("h")).distinct()
 
 
 def near_pairs(chunks: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,24 +106,23 @@ def near_pairs(chunks: DataFrame, threshold: float = 0.9, id_col: str = "doc_id"
     threshold share one of the rarest shingles of both: those up to so many that the others
     could not reach it.  Shingles of one text alone count among them, but lead nowhere.
     """
-    plain = chunks.select(F.col(id_col).alias("id"), T.norm(F.col(text_col)).alias("t")).where("t <> ''")
-    rows = plain.withColumn("h", T.short_hash(F.col("t")))
-    firsts = rows.groupBy("h").agg(F.min("id").alias("first"))
-    copies = rows.select("id", "h").join(firsts, "h").where("id <> first").select("first", F.col("id").alias("later"), F.lit(1.0).alias("similarity"))
-    reps = rows.select("id", "t").join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
-    grams = saved(shingle_rows(reps))
+    texts = distinct_texts(chunks, id_col, text_col)
+    grams = saved(shingle_rows(texts).select("id", "h"))
     often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     shared = grams.join(often, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     least = threshold - 1e-4
     sets = grams.groupBy("id").agg(F.count("*").alias("n")).join(shared, "id")
     need = F.col("n") - F.ceil(F.col("n") * least) + 1 - (F.col("n") - F.size("s"))
-    sets = saved(sets.select("id", "n", F.col("s.h").alias("s"), need.cast("int").alias("need")).where("need > 0"))
+    sets = saved(sets.select("id", "n", F.col("s.h").alias("s"), need.cast("int").alias("need"))).where("need > 0")
     index = sets.select("id", "n", F.explode(F.slice("s", F.lit(1), F.col("need"))).alias("k"))
     sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least
     pairs = index.alias("a").join(index.alias("b"), "k").where((F.col("a.id") < F.col("b.id")) & sized).select(F.col("a.id").alias("first"), F.col("b.id").alias("later")).distinct()
     side = lambda end: sets.select(F.col("id").alias(end), F.col("s").alias(f"s_{end}"), F.col("n").alias(f"n_{end}"))
     both = pairs.join(side("first"), "first").join(side("later"), "later").withColumn("c", F.size(F.array_intersect("s_first", "s_later")))
     near = both.select("first", "later", F.round(F.col("c") / (F.col("n_first") + F.col("n_later") - F.col("c")), 4).alias("similarity")).where(F.col("similarity") >= threshold)
+    owners = exact_owners(chunks, id_col, text_col).where("is_dupe")
+    empty = T.text_hash(F.lit(""))
+    copies = owners.where(F.col("text_hash") != empty).select(F.col("owner").alias("first"), F.col(id_col).alias("later"), F.lit(1.0).alias("similarity"))
     return near.unionByName(copies)
 
 

@@ -46,9 +46,11 @@ def postings(chunks: DataFrame, columns: dict[str, float], id_col: str = "doc_id
     """(id, term, wtf, tf, len): weighted and plain term frequencies over the text columns, and the document's length.
 
     The columns' words are one array, whose places tell the weight; the length travels with
-    each row, so that scores need no further join.  ``stems`` indexes Porter stems.
+    each row, so that scores need no further join.  Texts are dealt by id before they are cut
+    into words, which are more bytes than they and then stay where they are.  ``stems`` indexes
+    Porter stems.
     """
-    rows = _sized(chunks, columns, id_col, stems)
+    rows = _sized(chunks.select(F.col(id_col).alias("id"), *columns).repartition("id"), columns, "id", stems)
     names = [c for c in rows.columns if c not in ("id", "len")]
     weight, end = F.lit(0.0), F.lit(0)
     ends = []
@@ -64,7 +66,9 @@ def postings(chunks: DataFrame, columns: dict[str, float], id_col: str = "doc_id
 
 def corpus_size(chunks: DataFrame, columns: dict[str, float], id_col: str = "doc_id", stems: bool = False) -> DataFrame:
     """(docs, avg_len) of the documents with a word, in one pass without a shuffle of rows."""
-    return _sized(chunks, columns, id_col, stems).where("len > 0").agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
+    # A filter would be pushed below the words, which would then be made for each of its parts.
+    full = F.when(F.col("len") > 0, F.col("len"))
+    return _sized(chunks, columns, id_col, stems).agg(F.count(full).alias("docs"), F.avg(full).alias("avg_len"))
 
 
 def build_index(chunks: DataFrame, columns: dict[str, float], id_col: str = "doc_id", stems: bool = False) -> DataFrame:
@@ -262,7 +266,8 @@ def cross_rerank(scores: DataFrame, chunks: DataFrame, k: int = 10, intent: str
 def hybrid_search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = 10, shortlist: int = 64, excluded: DataFrame | None = None, low: float = 0.35, stop: bool = True) -> DataFrame:
     """(query_id, id, fused, score, rank, confidence, low_confidence): sparse and dense arms, fused, filtered, reranked."""
     columns = {"text": 1.0, "title": 4.0, "section": 2.0}
-    index, size = build_index(chunks, columns, "id"), saved(corpus_size(chunks, columns, "id"))
+    index = build_index(chunks, columns, "id")
+    size = saved(index_size(index))
     words = saved(stoplist(index, size=size)) if stop else None
     arms = [bm25(index, queries, shortlist, words, size)]
     if vectors is not None and query_vectors is not None:
@@ -283,7 +288,8 @@ def library_search(chunks: DataFrame, queries: DataFrame, collection: str | None
     """
     rows = chunks if collection is None else chunks.where(F.col("source_type") == collection)
     columns = {"text": 1.0, "title": 4.0, "section": 2.0}
-    index, size = build_index(rows, columns, "id"), saved(corpus_size(rows, columns, "id"))
+    index = build_index(rows, columns, "id")
+    size = saved(index_size(index))
     sparse = bm25(index, queries, shortlist, saved(stoplist(index, size=size)), size)
     arms, used = [sparse], rows.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, dense_used boolean")
     if vectors is not None and query_vectors is not None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorewell.operators import library, search, stats
 from lorewell.plans.registry import Registry, table
+from lorewell.session import saved
 
 R = Registry()
 # Words of an index, and the stoplist that a corpus of 5,000 documents or more learns.
@@ -35,7 +36,8 @@ def _queries(spark, d):
 
 def _sparse(spark, d, k):
     docs = _docs(spark, d)
-    index, size = search.build_index(docs, _COLUMNS, "id"), search.corpus_size(docs, _COLUMNS, "id")
+    index = search.build_index(docs, _COLUMNS, "id")
+    size = saved(search.index_size(index))
     return search.bm25(index, _queries(spark, d), k, search.stoplist(index, size=size), size)
 
 

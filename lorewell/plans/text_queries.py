@@ -136,9 +136,8 @@ s AS (SELECT DISTINCT min_id AS id, unnest(list_transform(range(1, greatest(len(
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id)
 SELECT id AS doc_id, n AS n_shingles FROM n""")
 def shingle_counts(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.norm(F.col("text")).alias("t")).withColumn("h", T.short_hash(F.col("t")))
-    firsts = rows.groupBy("h").agg(F.min("id").alias("id")).select("id")
-    return dedupe.shingle_rows(rows.join(firsts, "id", "left_semi")).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_shingles"))
+    grams = dedupe.shingle_rows(dedupe.distinct_texts(table(spark, d, "documents")))
+    return grams.groupBy("text_hash", F.col("id").alias("doc_id")).agg(F.count("*").alias("n_shingles")).select("doc_id", "n_shingles")
 
 
 @R.query(f"""
