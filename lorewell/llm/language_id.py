@@ -26,6 +26,8 @@ DOCS_PER_LANGUAGE, TRAINING_DOCS = 300, 30_000
 #: Bits of difference in code length that a factor e in the score stands for.
 TEMPERATURE = 8.0
 UNKNOWN = "und"
+#: Bytes of text that one pass scores: each has a row of code lengths, one a language.
+PASS_BYTES = 1 << 18
 _U = np.uint64
 
 #: A-Z lower-cased, white space to a blank, digits to 0: case, layout and numbers tell no language.
@@ -38,7 +40,7 @@ class Table:
     """Whole numbers to rows of values, by open addressing; row 0 stands for absent keys."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(np.ceil(np.log2(max(1, 4 * len(keys))))))
+        self.bits = max(4, int(np.ceil(np.log2(max(1, 2 * len(keys))))))
         self.keys = np.full(1 << self.bits, ~_U(0))
         self.rows = np.zeros(1 << self.bits, np.int32)
         self.values = np.vstack([np.zeros((1, values.shape[1]), np.float32), values.astype(np.float32)])
@@ -196,7 +198,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         m = model.value
         for batch in batches:
-            for first, stop, raw, at in spans.passes(batch.column(2)):
+            for first, stop, raw, at in spans.passes(batch.column(2), PASS_BYTES):
                 sure = _lettered(raw, at)
                 names, score = [UNKNOWN] * (stop - first), np.zeros(stop - first)
                 if m is not None and sure.any():
