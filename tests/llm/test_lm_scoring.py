@@ -3,8 +3,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from lorewell.llm.lm_scoring import BACKOFF, score_language_model
+from lorewell.llm.lm_scoring import BACKOFF, score_language_model, score_relational
 
 from . import fixtures
 
@@ -40,6 +41,15 @@ def test_matches_brute_force(spark, order):
     assert sorted(((*r[:-1], round(r[-1], 6)) for r in got), key=str) == brute(fixtures.rows(), order)
 
 
+@pytest.mark.parametrize("order", [3, 1])
+def test_rows_and_batches_score_alike(spark, order):
+    docs = fixtures.docs(spark)
+    rounded = lambda frame: sorted(map(str, (r.asDict() for r in frame.withColumn("log_score", F.round("log_score", 6)).withColumn("mean_log_score", F.round("mean_log_score", 6)).collect())))
+    rows, batches = score_relational(docs, order), score_language_model(docs, order)
+    assert rows.columns == batches.columns and rounded(rows) == rounded(batches)
+    assert score_relational(fixtures.empty(spark), order).count() == 0
+
+
 def test_empty_table_and_lone_document(spark):
     assert score_language_model(fixtures.empty(spark)).count() == 0
     row = score_language_model(spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
