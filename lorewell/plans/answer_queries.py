@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
-from lorewell.operators import answers, ask, cards, library, provenance
+from lorewell.operators import answers, ask, cards, context, library, provenance
+from lorewell.plans import text_queries
 from lorewell.plans.registry import Registry, table
 
 R = Registry()
@@ -32,7 +33,8 @@ def _known_cards(spark, d):
 
 
 @R.query(f"""WITH {_DRAFTS}, k AS (SELECT DISTINCT h FROM c WHERE p_partkey % 3 = 0)
-SELECT h AS card_id, CASE WHEN h IN (SELECT h FROM k) THEN 'corroborate' ELSE 'insert' END AS action, count(*) AS drafts, (SELECT count(*) FROM c x WHERE x.h = c.h) AS n_support FROM c WHERE p_partkey % 3 <> 0 GROUP BY h""")
+SELECT h AS card_id, CASE WHEN h IN (SELECT h FROM k) THEN 'corroborate' ELSE 'insert' END AS action, count(*) AS drafts, (SELECT count(*) FROM c x
+  WHERE x.h = c.h) AS n_support FROM c WHERE p_partkey % 3 <> 0 GROUP BY h""")
 def added_cards(spark, d):
     known, support = _known_cards(spark, d)
     _, merged, actions = cards.add_cards(known, support, _drafts(spark, d).where("doc_id % 3 <> 0"))
@@ -100,8 +102,10 @@ def _queue(spark, d):
 
 @R.query(f"""WITH {_QUEUE}, r AS (SELECT q.a, q.b, decision, x.n AS na, y.n AS nb FROM q LEFT JOIN n x ON x.id = q.a LEFT JOIN n y ON y.id = q.b WHERE status = 'open')
 SELECT a, b, CASE WHEN na IS NULL OR nb IS NULL THEN 'stale' WHEN decision = 'same' THEN 'merged' WHEN decision LIKE '%is_a%' THEN 'is_a' ELSE 'distinct' END AS outcome,
-  CASE WHEN na IS NOT NULL AND nb IS NOT NULL AND decision = 'same' THEN CASE WHEN na > nb THEN a ELSE b END END AS survivor, CASE WHEN na IS NOT NULL AND nb IS NOT NULL AND decision = 'same' THEN CASE WHEN na > nb THEN b ELSE a END END AS loser,
-  CASE WHEN na IS NOT NULL AND nb IS NOT NULL AND decision LIKE '%is_a%' THEN CASE decision WHEN 'b_is_a_a' THEN b ELSE a END END AS src, CASE WHEN na IS NOT NULL AND nb IS NOT NULL AND decision LIKE '%is_a%' THEN CASE decision WHEN 'b_is_a_a' THEN a ELSE b END END AS dst FROM r""")
+  CASE WHEN na IS NOT NULL AND nb IS NOT NULL AND decision = 'same' THEN CASE WHEN na > nb THEN a ELSE b END END AS survivor, CASE
+    WHEN na IS NOT NULL AND nb IS NOT NULL AND decision = 'same' THEN CASE WHEN na > nb THEN b ELSE a END END AS loser,
+  CASE WHEN na IS NOT NULL AND nb IS NOT NULL AND decision LIKE '%is_a%' THEN CASE decision WHEN 'b_is_a_a' THEN b ELSE a END END AS src, CASE
+    WHEN na IS NOT NULL AND nb IS NOT NULL AND decision LIKE '%is_a%' THEN CASE decision WHEN 'b_is_a_a' THEN a ELSE b END END AS dst FROM r""")
 def applied_verdicts(spark, d):
     return cards.apply_verdicts(*_queue(spark, d))
 
@@ -115,10 +119,13 @@ def open_candidates(spark, d):
 _MERGED = "m AS (SELECT p_partkey AS loser, p_partkey + 1 AS survivor FROM part WHERE p_partkey % 4 = 0)"
 
 
-@R.query(f"""WITH {_MERGED}, t AS (SELECT DISTINCT coalesce(survivor, l_partkey) AS id, l_orderkey AS doc FROM lineitem LEFT JOIN m ON loser = l_partkey), s AS (SELECT id, count(*) AS n FROM t GROUP BY id),
-a AS (SELECT DISTINCT coalesce(survivor, p_partkey) AS id, alias FROM (SELECT p_partkey, p_brand AS alias FROM part UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey % 4 = 0) LEFT JOIN m ON loser = p_partkey),
+@R.query(f"""WITH {_MERGED}, t AS (SELECT DISTINCT coalesce(survivor, l_partkey) AS id, l_orderkey AS doc FROM lineitem LEFT
+  JOIN m ON loser = l_partkey), s AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+a AS (SELECT DISTINCT coalesce(survivor, p_partkey) AS id, alias FROM (SELECT p_partkey, p_brand AS alias FROM part UNION ALL SELECT p_partkey, p_name
+  FROM part WHERE p_partkey % 4 = 0) LEFT JOIN m ON loser = p_partkey),
 k AS (SELECT a.id, count(*) AS n FROM a LEFT JOIN part p ON p.p_partkey = a.id AND p.p_name = a.alias WHERE p.p_partkey IS NULL GROUP BY a.id)
-SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'merged' ELSE 'active' END AS status, coalesce(s.n, 0) AS n_support, coalesce(k.n, 0) AS n_aliases FROM part LEFT JOIN s ON s.id = p_partkey LEFT JOIN k ON k.id = p_partkey""")
+SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'merged' ELSE 'active' END AS status, coalesce(s.n, 0) AS n_support, coalesce(k.n,
+  0) AS n_aliases FROM part LEFT JOIN s ON s.id = p_partkey LEFT JOIN k ON k.id = p_partkey""")
 def merged_node_rows(spark, d):
     """Nodes after merges, with the documents and other names that they have."""
     p = table(spark, d, "part")
@@ -171,14 +178,21 @@ def framed_texts(spark, d):
     return _items(spark, d).select("id", answers.framed(F.col("regime"), F.col("id")).alias("text"))
 
 
-@R.query("""WITH i AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN ' Historical' WHEN 1 THEN 'odd' END AS regime, CASE WHEN p_size % 7 = 0 THEN 'superseded' ELSE 'active' END AS status, CASE WHEN p_size % 3 = 0 THEN 0.0 WHEN p_size % 3 = 1 THEN 0.5 END AS volatility FROM part),
-s AS (SELECT l_partkey AS id, l_suppkey AS doc, (l_quantity / 50)::DOUBLE AS t, CASE l_returnflag WHEN 'A' THEN 'fictional' WHEN 'R' THEN 'empirical' ELSE 'x' END AS regime FROM lineitem),
-k AS (SELECT id, regime, count(*) AS n FROM s WHERE regime <> 'x' GROUP BY 1, 2), m AS (SELECT id, regime AS modal FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, regime) = 1),
+@R.query("""WITH i AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN ' Historical' WHEN 1 THEN 'odd' END AS regime, CASE
+  WHEN p_size % 7 = 0 THEN 'superseded' ELSE 'active' END AS status, CASE WHEN p_size % 3 = 0 THEN 0.0 WHEN p_size % 3 = 1 THEN 0.5 END AS volatility
+  FROM part),
+s AS (SELECT l_partkey AS id, l_suppkey AS doc, (l_quantity / 50)::DOUBLE AS t, CASE l_returnflag WHEN 'A' THEN 'fictional' WHEN 'R' THEN 'empirical'
+  ELSE 'x' END AS regime FROM lineitem),
+k AS (SELECT id, regime, count(*) AS n FROM s WHERE regime <> 'x' GROUP BY 1, 2), m AS (SELECT id, regime AS modal FROM k
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, regime) = 1),
 b AS (SELECT DISTINCT s.id, lower(n_name) AS b FROM s JOIN supplier ON s_suppkey = doc JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey % 2 = 0)
-SELECT i.id, 'epistemic' AS axis, coalesce(CASE WHEN regime = ' Historical' THEN 'historical' END, modal) AS value FROM i LEFT JOIN m USING (id) WHERE regime = ' Historical' OR modal IS NOT NULL
+SELECT i.id, 'epistemic' AS axis, coalesce(CASE WHEN regime = ' Historical' THEN 'historical' END, modal) AS value FROM i LEFT JOIN m USING (id)
+  WHERE regime = ' Historical' OR modal IS NOT NULL
 UNION ALL SELECT id, 'trust_tier', CASE WHEN max(t) >= 0.66 THEN 'high' WHEN max(t) >= 0.4 THEN 'medium' ELSE 'low' END FROM s GROUP BY id
 UNION ALL SELECT id, 'domain', b FROM b
-UNION ALL SELECT id, 'time_frame', CASE WHEN status = 'superseded' THEN 'superseded' WHEN regime = ' Historical' THEN 'historical' WHEN volatility <= 1e-6 THEN 'timeless' ELSE 'current' END FROM i WHERE status = 'superseded' OR regime = ' Historical' OR volatility <= 1e-6 OR id IN (SELECT id FROM s)""")
+UNION ALL SELECT id, 'time_frame', CASE WHEN status = 'superseded' THEN 'superseded' WHEN regime = ' Historical' THEN 'historical'
+  WHEN volatility <= 1e-6 THEN 'timeless' ELSE 'current' END FROM i
+  WHERE status = 'superseded' OR regime = ' Historical' OR volatility <= 1e-6 OR id IN (SELECT id FROM s)""")
 def derived_facets(spark, d):
     """The four facets of parts, from the lines that support them; nations of even number are subjects."""
     items = table(spark, d, "part").selectExpr("p_partkey id", "case p_size % 4 when 0 then ' Historical' when 1 then 'odd' end regime", "case when p_size % 7 = 0 then 'superseded' else 'active' end status", "cast(case when p_size % 3 = 0 then 0.0 when p_size % 3 = 1 then 0.5 end as double) volatility")
@@ -188,7 +202,8 @@ def derived_facets(spark, d):
     return ask.derive_facets(items, support, sources, "id")
 
 
-@R.query("""WITH f AS (SELECT l_orderkey AS id, 'flag:' || string_agg(DISTINCT l_returnflag, '+' ORDER BY l_returnflag) AS a, 'status:' || string_agg(DISTINCT l_linestatus, '+' ORDER BY l_linestatus) AS b FROM lineitem GROUP BY 1)
+@R.query("""WITH f AS (SELECT l_orderkey AS id, 'flag:' || string_agg(DISTINCT l_returnflag, '+' ORDER BY l_returnflag) AS a,
+  'status:' || string_agg(DISTINCT l_linestatus, '+' ORDER BY l_linestatus) AS b FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS id, coalesce(a || ' ' || b, '') AS facets FROM orders LEFT JOIN f ON id = o_orderkey WHERE o_orderkey % 2 = 0 UNION ALL SELECT -1, ''""")
 def facets_of_items(spark, d):
     """The facets of the items asked for (of which one has none), as text."""
@@ -200,8 +215,11 @@ def facets_of_items(spark, d):
     return out.select("id", F.array_join(each, " ").alias("facets"))
 
 
-@R.query("""WITH v AS (SELECT doc_id, list_transform(list_distinct(list_filter(regexp_split_to_array(lower('Doc ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '. ' || source ELSE '' END), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 2)), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64) AS b FROM documents)
-SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'kept' WHEN doc_id % 5 = 0 THEN NULL ELSE 'made' END AS how, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 THEN len(list_distinct(b)) END AS filled FROM v""")
+@R.query("""WITH v AS (SELECT doc_id, list_transform(list_distinct(list_filter(regexp_split_to_array(lower('Doc ' || doc_id || CASE
+  WHEN doc_id % 2 = 0 THEN '. ' || source ELSE '' END), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 2)), lambda t: ('0x' || substr(md5(t), 1,
+  8))::BIGINT % 64) AS b FROM documents)
+SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'kept' WHEN doc_id % 5 = 0 THEN NULL ELSE 'made' END AS how, CASE
+  WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 THEN len(list_distinct(b)) END AS filled FROM v""")
 def embedded_nodes(spark, d):
     """Every third node has a vector, every fifth is not active, and the others get one."""
     kept = F.array(F.lit(7.0))
@@ -231,32 +249,42 @@ def _graph(spark, d):
     return sources, edges, li.select(edge.alias("edge_id"), F.col("l_orderkey").alias("doc_id")).distinct(), li.select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("doc_id")).distinct()
 
 
-@R.query(f"""WITH {_GRAPH}, mine AS (SELECT DISTINCT bundle, node FROM ns JOIN s USING (doc_id)), own AS (SELECT DISTINCT bundle, src, dst FROM es JOIN s USING (doc_id) JOIN e USING (edge_id)), named AS (SELECT bundle, src AS node FROM own UNION SELECT bundle, dst FROM own),
+@R.query(f"""WITH {_GRAPH}, mine AS (SELECT DISTINCT bundle, node FROM ns JOIN s USING (doc_id)), own AS (SELECT DISTINCT bundle, src, dst FROM es
+  JOIN s USING (doc_id) JOIN e USING (edge_id)), named AS (SELECT bundle, src AS node FROM own UNION SELECT bundle, dst FROM own),
 r AS (SELECT bundle, node, false AS borrowed FROM mine UNION ALL SELECT bundle, node, true FROM named WHERE (bundle, node) NOT IN (SELECT (bundle, node) FROM mine))
 SELECT bundle, borrowed, count(*) AS nodes, sum(node)::BIGINT AS ids FROM r GROUP BY 1, 2""")
 def split_bundles(spark, d):
     return provenance.split_bundles(*_graph(spark, d)).groupBy("bundle", "borrowed").agg(F.count("*").alias("nodes"), F.sum("node").alias("ids"))
 
 
-@R.query(f"""WITH {_GRAPH}, c AS (SELECT doc_id FROM s WHERE bundle IN ('O', 'P') AND title <> '5-LOW'), k AS (SELECT * FROM es WHERE doc_id IN (SELECT doc_id FROM c)), w AS (SELECT * FROM e WHERE edge_id IN (SELECT edge_id FROM k)), n AS (SELECT src AS node FROM w UNION SELECT dst FROM w UNION SELECT node FROM ns WHERE doc_id IN (SELECT doc_id FROM c))
-SELECT 'sources' AS "table", count(*) AS rows FROM c UNION ALL SELECT 'edges', count(*) FROM w UNION ALL SELECT 'edge_support', count(*) FROM k UNION ALL SELECT 'nodes', count(*) FROM n""")
+@R.query(f"""WITH {_GRAPH}, c AS (SELECT doc_id FROM s WHERE bundle IN ('O', 'P') AND title <> '5-LOW'), k AS (SELECT * FROM es WHERE doc_id IN (SELECT doc_id
+  FROM c)), w AS (SELECT * FROM e WHERE edge_id IN (SELECT edge_id FROM k)), n AS (SELECT src AS node FROM w UNION SELECT dst FROM w UNION SELECT node
+  FROM ns WHERE doc_id IN (SELECT doc_id FROM c))
+SELECT 'sources' AS "table", count(*) AS rows FROM c UNION ALL SELECT 'edges', count(*) FROM w UNION ALL SELECT 'edge_support', count(*) FROM k
+  UNION ALL SELECT 'nodes', count(*) FROM n""")
 def assembled_tables(spark, d):
     return library.inspect_bundle(provenance.assemble(*_graph(spark, d), include=["O", "P"], exclude=["5-LOW"]))
 
 
-@R.query(f"""WITH {_GRAPH}, f AS (SELECT doc_id FROM s WHERE bundle = 'F'), k AS (SELECT * FROM es WHERE doc_id NOT IN (SELECT doc_id FROM f)), w AS (SELECT * FROM e WHERE edge_id IN (SELECT edge_id FROM k)), n AS (SELECT src AS node FROM w UNION SELECT dst FROM w),
+@R.query(f"""WITH {_GRAPH}, f AS (SELECT doc_id FROM s WHERE bundle = 'F'), k AS (SELECT * FROM es WHERE doc_id NOT IN (SELECT doc_id FROM f)), w AS (SELECT *
+  FROM e WHERE edge_id IN (SELECT edge_id FROM k)), n AS (SELECT src AS node FROM w UNION SELECT dst FROM w),
 g AS (SELECT node FROM ns GROUP BY node HAVING bool_and(doc_id IN (SELECT doc_id FROM f)) AND node NOT IN (SELECT node FROM n))
-SELECT 'sources' AS "table", count(*) AS rows FROM s WHERE doc_id NOT IN (SELECT doc_id FROM f) UNION ALL SELECT 'edges', count(*) FROM w UNION ALL SELECT 'edge_support', count(*) FROM k UNION ALL SELECT 'gone', count(*) FROM g""")
+SELECT 'sources' AS "table", count(*) AS rows FROM s WHERE doc_id NOT IN (SELECT doc_id FROM f) UNION ALL SELECT 'edges', count(*) FROM w UNION ALL
+  SELECT 'edge_support', count(*) FROM k UNION ALL SELECT 'gone', count(*) FROM g""")
 def ejected_bundle(spark, d):
     return library.inspect_bundle(provenance.eject(*_graph(spark, d), "F")[1])
 
 
-_Q = "q AS (SELECT conv_id * 100 + turn AS query_id, text AS query FROM conversations)"
+# The intent that a speech act forces.
+_FORCED = "CASE speech_act WHEN 'feasibility' THEN 'how' WHEN 'hypothetical' THEN 'what_if' WHEN 'counterfactual_omit' THEN 'what_if' WHEN 'observation' THEN 'what_if' WHEN 'in_progress' THEN 'how' WHEN 'diagnostic' THEN 'why_diag' WHEN 'comparison' THEN 'what' END"
 
 
-@R.query()
+@R.query(f"""WITH s AS ({text_queries.R.sql["speech_acts"]}), i AS ({text_queries.R.sql["intents"]})
+SELECT conv_id * 100 + turn AS query_id, speech_act, confidence AS certainty, coalesce({_FORCED}, intent) AS intent, CASE
+  WHEN regexp_matches(coalesce(text, ''), '{context.HIGH_STAKES}') THEN 'high' ELSE 'low' END AS rigor,
+  confidence < 0.5 OR speech_act = 'ambiguous' AS broaden FROM s JOIN i USING (conv_id, turn) JOIN conversations USING (conv_id, turn)""")
 def understood_questions(spark, d):
-    """Speech act, intent, rigor and whether to broaden, of all turns; their parts have queries with SQL."""
+    """Speech act, intent, rigor and whether to broaden, of all turns."""
     c = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
     return answers.understand(c).drop("query")
 

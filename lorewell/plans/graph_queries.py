@@ -19,7 +19,8 @@ def _claims(spark, d):
     return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_orderkey").alias("doc_id"), F.expr(_TRUST).cast("double").alias("trust_weight"), F.col("o_orderstatus").alias("regime"), (F.col("o_custkey") % 50).alias("evidence_cluster"))
 
 
-@R.query(f"""WITH {_CLAIMS} SELECT substr(sha1(concat(src, chr(0), dst, chr(0), 'supply', chr(0), 'of', chr(0), '+', chr(0), regime, chr(0))), 1, 20) AS edge_id, src, dst, 'supply' AS family, 'of' AS type, '+' AS polarity, regime,
+@R.query(f"""WITH {_CLAIMS} SELECT substr(sha1(concat(src, chr(0), dst, chr(0), 'supply', chr(0), 'of', chr(0), '+', chr(0), regime, chr(0))), 1, 20) AS edge_id,
+  src, dst, 'supply' AS family, 'of' AS type, '+' AS polarity, regime,
   count(DISTINCT doc_id) AS n_support, max(trust_weight) AS trust FROM c GROUP BY src, dst, regime""")
 def corroborated_edges(spark, d):
     return graph.corroborate(_claims(spark, d).withColumns({"family": F.lit("supply"), "type": F.lit("of"), "polarity": F.lit("+")}))
@@ -38,7 +39,8 @@ def _edges(spark, d):
     return table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 100000).alias("dst"), F.col("l_shipdate").alias("updated_at"), F.col("l_returnflag").alias("regime"), F.when(F.col("l_linestatus") == "O", "active").otherwise("merged").alias("status"), F.lit("supply").alias("family"))
 
 
-@R.query(f"""WITH {_EDGES}, b AS (SELECT src AS node, dst AS other, updated_at FROM e UNION ALL SELECT dst, src, updated_at FROM e), l AS (SELECT node, other, max(updated_at) AS updated_at FROM b GROUP BY 1, 2)
+@R.query(f"""WITH {_EDGES}, b AS (SELECT src AS node, dst AS other, updated_at FROM e UNION ALL SELECT dst, src, updated_at
+  FROM e), l AS (SELECT node, other, max(updated_at) AS updated_at FROM b GROUP BY 1, 2)
 SELECT node, other, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY updated_at DESC, other) AS n FROM l) WHERE n <= 8""")
 def node_neighbours(spark, d):
     return graph.neighbours(_edges(spark, d), 8)
@@ -59,7 +61,8 @@ def modal_regimes(spark, d):
     return graph.modal_regime(_claims(spark, d), "src")
 
 
-@R.query(f"""WITH {_CLAIMS}, m AS (SELECT dst AS edge_id, sum(trust_weight) AS t FROM c GROUP BY 1), p AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM part), b AS (SELECT a AS edge, b AS against FROM p UNION SELECT b, a FROM p)
+@R.query(f"""WITH {_CLAIMS}, m AS (SELECT dst AS edge_id, sum(trust_weight) AS t FROM c GROUP BY 1), p AS (SELECT p_partkey AS a, p_partkey + 1 AS b
+  FROM part), b AS (SELECT a AS edge, b AS against FROM p UNION SELECT b, a FROM p)
 SELECT edge, round(round(sum(1 - exp(-t / 2)), 9), 6) AS pressure FROM b JOIN m ON edge_id = against GROUP BY edge""")
 def contradiction_pressure(spark, d):
     pairs = table(spark, d, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
@@ -73,11 +76,17 @@ def evidence_strength(spark, d):
     return ask.strength(_claims(spark, d).withColumn("evidence_cluster", F.col("evidence_cluster").cast("string")).withColumn("doc_id", F.col("doc_id").cast("string")), "dst")
 
 
-@R.query("""WITH n AS (SELECT p_partkey AS id, list_distinct(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 4 AND regexp_matches(w, '[sxzo]es$') THEN left(w, length(w) - 2) WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END)) AS s, p_size AS n_support FROM part WHERE p_size > 5),
+@R.query("""WITH n AS (SELECT p_partkey AS id, list_distinct(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: CASE
+  WHEN length(w) > 4 AND w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 4 AND regexp_matches(w, '[sxzo]es$') THEN left(w,
+  length(w) - 2) WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END)) AS s, p_size AS n_support FROM part
+  WHERE p_size > 5),
 c AS (SELECT p_partkey AS a, p_partkey + 1 AS b, (p_partkey % 100) / 100.0::DOUBLE AS similarity FROM part),
-j AS (SELECT a, b, similarity, x.s AS sa, y.s AS sb, x.n_support AS na, y.n_support AS nb, len(list_intersect(x.s, y.s)) AS k FROM c LEFT JOIN n x ON x.id = a LEFT JOIN n y ON y.id = b),
-r AS (SELECT *, CASE WHEN sa IS NULL OR sb IS NULL THEN 'stale' WHEN len(sa) > 0 AND len(sb) > 0 AND k = len(sa) AND k = len(sb) THEN 'same' WHEN len(sa) > 0 AND len(sb) > 0 AND k = len(sa) THEN 'b_is_a_a' WHEN len(sa) > 0 AND len(sb) > 0 AND k = len(sb) THEN 'a_is_a_b'
-  WHEN len(sa) > 0 AND len(sb) > 0 AND similarity >= 0.93 AND k / (len(sa) + len(sb) - k) >= 0.5 THEN 'same' WHEN similarity >= 0.90 THEN 'escalate' ELSE 'deferred' END AS decision FROM j)
+j AS (SELECT a, b, similarity, x.s AS sa, y.s AS sb, x.n_support AS na, y.n_support AS nb, len(list_intersect(x.s, y.s)) AS k FROM c LEFT
+  JOIN n x ON x.id = a LEFT JOIN n y ON y.id = b),
+r AS (SELECT *, CASE WHEN sa IS NULL OR sb IS NULL THEN 'stale' WHEN len(sa) > 0 AND len(sb) > 0 AND k = len(sa) AND k = len(sb) THEN 'same'
+  WHEN len(sa) > 0 AND len(sb) > 0 AND k = len(sa) THEN 'b_is_a_a' WHEN len(sa) > 0 AND len(sb) > 0 AND k = len(sb) THEN 'a_is_a_b'
+  WHEN len(sa) > 0 AND len(sb) > 0 AND similarity >= 0.93 AND k / (len(sa) + len(sb) - k) >= 0.5 THEN 'same' WHEN similarity >= 0.90 THEN 'escalate'
+    ELSE 'deferred' END AS decision FROM j)
 SELECT a, b, decision, CASE WHEN decision = 'same' THEN CASE WHEN na >= nb THEN a ELSE b END END AS survivor FROM r""")
 def merge_queue(spark, d):
     p = table(spark, d, "part")
@@ -86,7 +95,8 @@ def merge_queue(spark, d):
     return graph.resolve_queue(queue, nodes)
 
 
-@R.query(f"""WITH {_CLAIMS}, m AS (SELECT CASE WHEN src % 5 = 0 THEN src + 1 ELSE src END AS src, CASE WHEN dst % 5 = 0 THEN dst + 1 ELSE dst END AS dst, regime, doc_id, trust_weight FROM c)
+@R.query(f"""WITH {_CLAIMS}, m AS (SELECT CASE WHEN src % 5 = 0 THEN src + 1 ELSE src END AS src, CASE WHEN dst % 5 = 0 THEN dst + 1
+  ELSE dst END AS dst, regime, doc_id, trust_weight FROM c)
 SELECT src, dst, regime, count(DISTINCT doc_id) AS n_support, max(trust_weight) AS trust FROM m WHERE src <> dst GROUP BY 1, 2, 3""")
 def merged_nodes(spark, d):
     c = _claims(spark, d).withColumns({"family": F.lit("supply"), "type": F.lit("of"), "polarity": F.lit("+")})
@@ -97,8 +107,10 @@ def merged_nodes(spark, d):
 _DOT = "round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 9)"
 
 
-@R.query(f"""WITH s AS (SELECT b.vec_id AS a, a.vec_id AS b, {_DOT} AS similarity FROM embeddings a, embeddings b WHERE b.label = 0 AND a.vec_id <> b.vec_id AND abs(a.vec_id - b.vec_id) <> 1)
-SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS n FROM s WHERE similarity >= 0.2) WHERE n <= 3""")
+@R.query(f"""WITH s AS (SELECT b.vec_id AS a, a.vec_id AS b, {_DOT} AS similarity FROM embeddings a, embeddings b
+  WHERE b.label = 0 AND a.vec_id <> b.vec_id AND abs(a.vec_id - b.vec_id) <> 1)
+SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS n FROM s
+  WHERE similarity >= 0.2) WHERE n <= 3""")
 def reconcile_neighbours(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
     known = v.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
@@ -120,17 +132,21 @@ def annotated_ids(spark, d):
     return graph.annotate(p.select((F.col("p_partkey") * 3).alias("id")), nodes, cards, "Brand#1")
 
 
-@R.query("""WITH t AS (SELECT doc_id, n_chars % 100 / 100.0::DOUBLE AS score, doc_id % 4 AS n_support, CASE doc_id % 3 WHEN 0 THEN 'card' WHEN 1 THEN 'chunk' ELSE 'edge' END AS kind, doc_id % 17 = 0 AS contradicted FROM documents),
+@R.query("""WITH t AS (SELECT doc_id, n_chars % 100 / 100.0::DOUBLE AS score, doc_id % 4 AS n_support, CASE doc_id % 3 WHEN 0 THEN 'card' WHEN 1 THEN 'chunk'
+  ELSE 'edge' END AS kind, doc_id % 17 = 0 AS contradicted FROM documents),
 c AS (SELECT *, least(1.0, 0.5 * score + 0.3 * least(1.0, n_support / 2) + CASE WHEN kind IN ('node', 'edge', 'card') THEN 0.2 ELSE 0.0 END) AS conf FROM t)
-SELECT doc_id, floor(conf * 10000 + 0.5) / 10000 AS confidence, CASE WHEN contradicted THEN 'contra' WHEN conf >= 0.66 THEN 'high' WHEN conf >= 0.40 THEN 'medium' WHEN conf > 0 THEN 'low' ELSE 'none' END AS band,
+SELECT doc_id, floor(conf * 10000 + 0.5) / 10000 AS confidence, CASE WHEN contradicted THEN 'contra' WHEN conf >= 0.66 THEN 'high'
+  WHEN conf >= 0.40 THEN 'medium' WHEN conf > 0 THEN 'low' ELSE 'none' END AS band,
   CASE WHEN contradicted THEN 4 WHEN conf >= 0.66 THEN 1 WHEN conf >= 0.40 THEN 2 WHEN conf > 0 THEN 3 ELSE 4 END AS tier FROM c""")
 def confidence_bands(spark, d):
     top = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 100 / 100.0).alias("score"), (F.col("doc_id") % 4).alias("n_support"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'card' WHEN 1 THEN 'chunk' ELSE 'edge' END").alias("kind"), (F.col("doc_id") % 17 == 0).alias("contradicted"))
     return ask.grounding(top).select("doc_id", "confidence", "band", ask.tier(F.col("band")).alias("tier"))
 
 
-@R.query("""WITH w AS (SELECT DISTINCT user_id AS query_id, event_type AS feature, event_id % 3 AS value FROM events WHERE user_id % 50 = 0), h AS (SELECT DISTINCT user_id AS id, event_type AS feature, event_id % 3 AS value FROM events),
-n AS (SELECT query_id, count(DISTINCT feature) AS n FROM w GROUP BY 1), m AS (SELECT query_id, id, w.feature, max((w.value = h.value)::INT) AS m FROM w JOIN h USING (feature) GROUP BY 1, 2, 3)
+@R.query("""WITH w AS (SELECT DISTINCT user_id AS query_id, event_type AS feature, event_id % 3 AS value FROM events
+  WHERE user_id % 50 = 0), h AS (SELECT DISTINCT user_id AS id, event_type AS feature, event_id % 3 AS value FROM events),
+n AS (SELECT query_id, count(DISTINCT feature) AS n FROM w GROUP BY 1), m AS (SELECT query_id, id, w.feature, max((w.value = h.value)::INT) AS m
+  FROM w JOIN h USING (feature) GROUP BY 1, 2, 3)
 SELECT query_id, id, round(greatest(0.0, (sum(m) - 0.5 * sum(1 - m)) / (n + 1e-6)), 6) AS overlap FROM m JOIN n USING (query_id) GROUP BY query_id, id, n""")
 def feature_overlap(spark, d):
     e = table(spark, d, "events")
@@ -157,9 +173,11 @@ def trust_tiers(spark, d):
     return ask.trust_facets(_claims(spark, d), "dst")
 
 
-@R.query("""WITH s AS (SELECT source, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS commercial, CASE WHEN doc_id % 50 = 3 THEN NULL ELSE doc_id % 40 = 5 END AS attribution, lang AS licence FROM documents)
+@R.query("""WITH s AS (SELECT source, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS commercial, CASE WHEN doc_id % 50 = 3 THEN NULL
+  ELSE doc_id % 40 = 5 END AS attribution, lang AS licence FROM documents)
 SELECT source, CASE WHEN count(*) FILTER (NOT commercial) > 0 THEN false WHEN count(*) FILTER (commercial IS NULL) > 0 THEN NULL ELSE true END AS commercial,
-  CASE WHEN count(*) FILTER (attribution) > 0 THEN true WHEN count(*) FILTER (attribution IS NULL) > 0 THEN NULL ELSE false END AS attribution, string_agg(DISTINCT licence, ' + ' ORDER BY licence) AS licences FROM s GROUP BY source""")
+  CASE WHEN count(*) FILTER (attribution) > 0 THEN true WHEN count(*) FILTER (attribution IS NULL) > 0 THEN NULL
+    ELSE false END AS attribution, string_agg(DISTINCT licence, ' + ' ORDER BY licence) AS licences FROM s GROUP BY source""")
 def combined_licences(spark, d):
     rows = table(spark, d, "documents").select("source", F.expr("CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END").alias("commercial"), F.expr("CASE WHEN doc_id % 50 = 3 THEN NULL ELSE doc_id % 40 = 5 END").alias("attribution"), F.col("lang").alias("licence"))
     return ask.combine_licences(rows, "source", ["commercial"], ["attribution"])
@@ -193,7 +211,8 @@ def removed_documents(spark, d):
     return left.join(support, "edge_id").groupBy("edge_id").agg(F.count("*").alias("n_support"))
 
 
-@R.query(f"""WITH {_CLAIMS}, m AS (SELECT DISTINCT dst AS node FROM c WHERE doc_id % 3 = 0), e AS (SELECT DISTINCT src, dst FROM c WHERE doc_id % 3 = 0), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+@R.query(f"""WITH {_CLAIMS}, m AS (SELECT DISTINCT dst AS node FROM c WHERE doc_id % 3 = 0), e AS (SELECT DISTINCT src, dst FROM c
+  WHERE doc_id % 3 = 0), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 SELECT node, false AS borrowed FROM m UNION ALL SELECT node, true FROM n WHERE node NOT IN (SELECT node FROM m)""")
 def bundle_closure(spark, d):
     return provenance.closure(*_removal(spark, d))
@@ -226,9 +245,13 @@ _RULES = [
 _R1, _R2, _R3 = "(c_mktsegment = 'BUILDING' AND c_acctbal < 0)", "(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal > 5000 END OR c_mktsegment <> 'BUILDING')", "(c_mktsegment <> 'MACHINERY')"
 
 
-@R.query(f"""WITH f AS (SELECT c_custkey AS state_id, 'r1' AS edge_id, 3 AS w, {_R1} AS r, false AS p FROM customer UNION ALL SELECT c_custkey, 'r2', 2, {_R2}, false FROM customer UNION ALL SELECT c_custkey, 'r3', 4, {_R3}, true FROM customer),
+@R.query(f"""WITH f AS (SELECT c_custkey AS state_id, 'r1' AS edge_id, 3 AS w, {_R1} AS r, false AS p FROM customer UNION ALL
+  SELECT c_custkey, 'r2', 2, {_R2}, false FROM customer UNION ALL SELECT c_custkey, 'r3', 4, {_R3}, true FROM customer),
 k AS (SELECT *, r IS NOT NULL AND NOT p AS fires FROM f WHERE r IS NULL OR r)
-SELECT state_id, edge_id, CASE WHEN fires THEN 'fire' ELSE 'flag_for_human' END AS disposition, ['advisory', 'caution', 'severe', 'prohibitive'][w] AS severity, CASE WHEN fires THEN ['note', 'warn', 'warn_strong', 'block'][w] ELSE 'human_review' END AS recommended, row_number() OVER (PARTITION BY state_id ORDER BY CASE WHEN fires THEN 0 ELSE 1 END, w DESC, edge_id) AS rank FROM k""")
+SELECT state_id, edge_id, CASE WHEN fires THEN 'fire' ELSE 'flag_for_human' END AS disposition, ['advisory', 'caution', 'severe',
+  'prohibitive'][w] AS severity, CASE WHEN fires THEN ['note', 'warn', 'warn_strong', 'block'][w]
+  ELSE 'human_review' END AS recommended, row_number() OVER (PARTITION BY state_id ORDER BY CASE WHEN fires THEN 0
+  ELSE 1 END, w DESC, edge_id) AS rank FROM k""")
 def rule_findings(spark, d):
     limit = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("balance"), "c_acctbal", F.lit("limit"), F.lit(5000.0))).otherwise(F.create_map(F.lit("balance"), "c_acctbal"))
     states = table(spark, d, "customer").select(F.col("c_custkey").alias("state_id"), F.lit("NATION").alias("action"), F.array("c_mktsegment").alias("predicates"), limit.alias("fields"))
@@ -260,7 +283,8 @@ def deep_ancestors(spark, d):
 _NOW = 1706659200.0  # 2024-01-31
 
 
-@R.query(f"""WITH s AS (SELECT epoch(ts) AS ts, event_type AS series, value FROM events), b AS (SELECT series, floor((ts - ({_NOW} - 2592000)) / 4320) AS b, avg(value) AS v FROM s WHERE ts >= {_NOW} - 2592000 GROUP BY 1, 2)
+@R.query(f"""WITH s AS (SELECT epoch(ts) AS ts, event_type AS series, value FROM events), b AS (SELECT series, floor((ts - ({_NOW} - 2592000)) / 4320) AS b,
+  avg(value) AS v FROM s WHERE ts >= {_NOW} - 2592000 GROUP BY 1, 2)
 SELECT series, round({_NOW} - 2592000 + (b + 0.5) * 4320, 1) AS at, floor(round(v, 9) * 1000 + 0.5) / 1000 AS value FROM b""")
 def metric_history(spark, d):
     s = table(spark, d, "events").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_type").alias("series"), "value")
@@ -273,7 +297,8 @@ def pruned_samples(spark, d):
     return telemetry.prune(s, _NOW, 7).select("event_id")
 
 
-@R.query("""WITH s AS (SELECT user_id AS job, event_id AS ts, value > 50 AS running FROM events), l AS (SELECT *, coalesce(lag(running) OVER (PARTITION BY job ORDER BY ts), false) AS was FROM s)
+@R.query("""WITH s AS (SELECT user_id AS job, event_id AS ts, value > 50 AS running FROM events), l AS (SELECT *, coalesce(lag(running) OVER (PARTITION BY job
+  ORDER BY ts), false) AS was FROM s)
 SELECT job, ts, CASE WHEN running THEN 'start' ELSE 'end' END AS kind FROM l WHERE running <> was""")
 def job_transitions(spark, d):
     return telemetry.transitions(table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("ts"), (F.col("value") > 50).alias("running")))
@@ -306,15 +331,19 @@ def recall_at_20(spark, d):
     return evaluate.recall_at_k(*_ranked(spark, d), 20)
 
 
-@R.query(f"""WITH {_RANKED}, g AS (SELECT r.query_id, sum((2.0 ** coalesce(grade, 0) - 1) / log2(rank + 2)) AS dcg FROM r LEFT JOIN j ON r.query_id = j.query_id AND r.id = j.id WHERE rank < 10 GROUP BY 1),
-i AS (SELECT query_id, sum((2.0 ** grade - 1) / log2(n + 1)) AS idcg, max(grade) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS n FROM j) WHERE n <= 10 GROUP BY 1)
+@R.query(f"""WITH {_RANKED}, g AS (SELECT r.query_id, sum((2.0 ** coalesce(grade, 0) - 1) / log2(rank + 2)) AS dcg FROM r LEFT
+  JOIN j ON r.query_id = j.query_id AND r.id = j.id WHERE rank < 10 GROUP BY 1),
+i AS (SELECT query_id, sum((2.0 ** grade - 1) / log2(n + 1)) AS idcg, max(grade) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY grade DESC, id) AS n FROM j) WHERE n <= 10 GROUP BY 1)
 SELECT i.query_id, round(coalesce(dcg, 0.0) / idcg, 6) AS ndcg FROM i LEFT JOIN g USING (query_id) WHERE best >= 2""")
 def ndcg_at_10(spark, d):
     return evaluate.ndcg_at_k(*_ranked(spark, d), 10)
 
 
 @R.query("""WITH o AS (SELECT (doc_id % 4 + 1)::INT AS tier, quality * 2 AS top_grade, quality = 1 AS answerable, toxic = 1 AS outside FROM labels),
-s AS (SELECT count(*) AS n, coalesce(round(count(*) FILTER (top_grade <= 1 AND tier = 1) / nullif(count(*) FILTER (tier = 1), 0), 4), 0.0) AS false_confidence, round(count(*) FILTER (tier >= 3 AND outside) / nullif(count(*) FILTER (outside), 0), 4) AS outside_correct, round(count(*) FILTER (tier >= 3 AND answerable) / nullif(count(*) FILTER (answerable), 0), 4) AS overreach FROM o)
+s AS (SELECT count(*) AS n, coalesce(round(count(*) FILTER (top_grade <= 1 AND tier = 1) / nullif(count(*) FILTER (tier = 1), 0), 4),
+  0.0) AS false_confidence, round(count(*) FILTER (tier >= 3 AND outside) / nullif(count(*) FILTER (outside), 0), 4) AS outside_correct,
+  round(count(*) FILTER (tier >= 3 AND answerable) / nullif(count(*) FILTER (answerable), 0), 4) AS overreach FROM o)
 SELECT *, false_confidence <= 0.02 AND coalesce(outside_correct, 1.0) >= 0.9 AS accepted FROM s""")
 def abstention_rates(spark, d):
     rows = table(spark, d, "labels").select((F.col("doc_id") % 4 + 1).alias("tier"), (F.col("quality") * 2).alias("top_grade"), (F.col("quality") == 1).alias("answerable"), (F.col("toxic") == 1).alias("outside"))
@@ -332,8 +361,10 @@ _REL_SQL = f"{list(_RELS)}[l_partkey % 8 + 1]"
 _SPEC = lambda k: "CASE r " + " ".join(f"WHEN '{n}' THEN '{v[k]}'" for n, v in _RELS.items() if v[k] is not None) + " END"
 
 
-@R.query(f"""WITH a AS (SELECT 'u' || l_orderkey * 10 + l_linenumber AS uri, {_REL_SQL} AS r, CASE WHEN l_suppkey % 10 = 0 THEN 'fr' ELSE 'en' END AS lang, 'part ' || l_partkey % 50 AS src, 'part ' || l_suppkey % 50 AS dst, l_quantity AS weight FROM lineitem),
-w AS (SELECT *, CASE WHEN lang <> 'en' THEN 'language' WHEN r = 'dbpedia' THEN 'unknown' WHEN r = 'Causes' THEN 'excluded' WHEN r IN ('RelatedTo', 'HasContext') THEN 'lexical' WHEN weight < 5 THEN 'weight' WHEN src = dst THEN 'loop' ELSE 'kept' END AS why FROM a),
+@R.query(f"""WITH a AS (SELECT 'u' || l_orderkey * 10 + l_linenumber AS uri, {_REL_SQL} AS r, CASE WHEN l_suppkey % 10 = 0 THEN 'fr'
+  ELSE 'en' END AS lang, 'part ' || l_partkey % 50 AS src, 'part ' || l_suppkey % 50 AS dst, l_quantity AS weight FROM lineitem),
+w AS (SELECT *, CASE WHEN lang <> 'en' THEN 'language' WHEN r = 'dbpedia' THEN 'unknown' WHEN r = 'Causes' THEN 'excluded'
+  WHEN r IN ('RelatedTo', 'HasContext') THEN 'lexical' WHEN weight < 5 THEN 'weight' WHEN src = dst THEN 'loop' ELSE 'kept' END AS why FROM a),
 o AS (SELECT *, CASE WHEN why = 'kept' AND row_number() OVER (PARTITION BY r, src, dst, why ORDER BY uri) > 1 THEN 'repeat' ELSE why END AS outcome FROM w)
 SELECT '/r/' || r AS rel, {_SPEC(0)} AS family, {_SPEC(1)} AS type, {_SPEC(2)} AS polarity, outcome, count(*) AS n FROM o GROUP BY ALL""")
 def imported_assertions(spark, d):

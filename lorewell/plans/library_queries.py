@@ -30,9 +30,11 @@ _VALUES = " ".join(f"WHEN '{v}' THEN '{f}:{v}'" for v, f in _OWNER.items())
 _PHRASES = ", ".join(f"CASE WHEN contains(question, '{p}') THEN '{v}' END" for p, v in context.PHRASES.items())
 
 
-@R.query(f"""WITH {_QUESTIONS}, v AS (SELECT p_partkey, CASE x {_VALUES} END AS f FROM (SELECT p_partkey, unnest(regexp_extract_all(question, '\\b({"|".join(sorted(_OWNER, key=len, reverse=True))})', 1)) AS x FROM q)
+@R.query(f"""WITH {_QUESTIONS}, v AS (SELECT p_partkey, CASE x {_VALUES} END AS f FROM (SELECT p_partkey, unnest(regexp_extract_all(question,
+  '\\b({"|".join(sorted(_OWNER, key=len, reverse=True))})', 1)) AS x FROM q)
 UNION SELECT p_partkey, unnest([{_PHRASES}]) FROM q)
-SELECT p_partkey, coalesce(string_agg(DISTINCT f, ' ' ORDER BY f), '') AS features FROM (SELECT p_partkey, f FROM v UNION ALL SELECT p_partkey, NULL FROM part) GROUP BY p_partkey""")
+SELECT p_partkey, coalesce(string_agg(DISTINCT f, ' ' ORDER BY f), '') AS features FROM (SELECT p_partkey, f FROM v UNION ALL SELECT p_partkey, NULL
+  FROM part) GROUP BY p_partkey""")
 def question_features(spark, d):
     return _questions(spark, d).select("p_partkey", F.array_join(context.context_features(F.col("question")), " ").alias("features"))
 
@@ -51,7 +53,8 @@ _T2 = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lam
 
 @R.query(f"""WITH t AS (SELECT doc_id, {_T2.format('b.text')} AS q, {_T2.format('d.text')} AS w FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
 s AS (SELECT doc_id, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, w)) / (len(q) + 1e-6) END AS share FROM t)
-SELECT doc_id, round(CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 2 = 0 THEN greatest(0, least(1, 0.7 * (doc_id % 10 / 10.0::DOUBLE) + 0.3 * share)) ELSE least(1, share) END::DOUBLE, 6) AS fit FROM s""")
+SELECT doc_id, round(CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 2 = 0 THEN greatest(0, least(1, 0.7 * (doc_id % 10 / 10.0::DOUBLE) + 0.3 * share))
+  ELSE least(1, share) END::DOUBLE, 6) AS fit FROM s""")
 def answer_fits(spark, d):
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
     rows = docs.join(asked, F.col("doc_id") % 40 == F.col("item_id"))
@@ -66,9 +69,12 @@ def _lines(spark, d):
     return table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber edge_id", "l_suppkey src", "l_partkey dst", "l_returnflag regime", "case when l_linestatus = 'O' then 'active' else 'retracted' end status", "case when l_linenumber = 7 then 'meta' else 'claim' end family")
 
 
-@R.query(f"""WITH {_LINES}, c AS (SELECT CASE WHEN edge_id % 3 = 0 THEN edge_id ELSE -edge_id END AS edge_id, src, dst, 'claim' AS family, CASE WHEN edge_id % 5 = 0 THEN 'interpretive' ELSE regime END AS regime FROM e),
-p AS (SELECT DISTINCT src, dst, regime FROM e WHERE status = 'active' AND family <> 'meta'), k AS (SELECT -edge_id AS edge_id, 'refine' AS decision FROM e WHERE edge_id % 2 = 0)
-SELECT c.edge_id, c.src, c.dst, c.family, c.regime, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.edge_id = c.edge_id) THEN 'corroborate' WHEN c.regime = 'interpretive' OR p.src IS NULL THEN 'insert' ELSE coalesce(decision, 'undecided') END AS action
+@R.query(f"""WITH {_LINES}, c AS (SELECT CASE WHEN edge_id % 3 = 0 THEN edge_id ELSE -edge_id END AS edge_id, src, dst, 'claim' AS family, CASE
+  WHEN edge_id % 5 = 0 THEN 'interpretive' ELSE regime END AS regime FROM e),
+p AS (SELECT DISTINCT src, dst, regime FROM e WHERE status = 'active' AND family <> 'meta'), k AS (SELECT -edge_id AS edge_id, 'refine' AS decision
+  FROM e WHERE edge_id % 2 = 0)
+SELECT c.edge_id, c.src, c.dst, c.family, c.regime, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.edge_id = c.edge_id) THEN 'corroborate'
+  WHEN c.regime = 'interpretive' OR p.src IS NULL THEN 'insert' ELSE coalesce(decision, 'undecided') END AS action
 FROM c LEFT JOIN p ON p.src = c.src AND p.dst = c.dst AND p.regime = c.regime LEFT JOIN k ON k.edge_id = c.edge_id""")
 def reconciled_claims(spark, d):
     e = _lines(spark, d)
@@ -83,7 +89,8 @@ def _meta(spark, d):
     return table(spark, d, "part").selectExpr("p_partkey src", "p_partkey % 97 dst", "case p_size % 3 when 0 then 'alternative_to' when 1 then 'disagrees_with' else 'context_variant_of' end type", "'meta' family", "'active' status")
 
 
-@R.query(f"""WITH {_META}, b AS (SELECT src AS node, dst AS other FROM m WHERE type <> 'disagrees_with' AND src <> dst UNION SELECT dst, src FROM m WHERE type <> 'disagrees_with' AND src <> dst)
+@R.query(f"""WITH {_META}, b AS (SELECT src AS node, dst AS other FROM m WHERE type <> 'disagrees_with' AND src <> dst UNION SELECT dst, src FROM m
+  WHERE type <> 'disagrees_with' AND src <> dst)
 SELECT node, other FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY other) AS n FROM b) WHERE n <= 8""")
 def node_alternatives(spark, d):
     return context.alternatives(_meta(spark, d))
@@ -97,7 +104,8 @@ def claim_contradictions(spark, d):
     return context.contradictions(_meta(spark, d), support).withColumn("docs", F.array_join("docs", " "))
 
 
-@R.query("""SELECT l_orderkey * 10 + l_linenumber AS id, s_name || ' —' || l_returnflag || '→ ' || CASE WHEN l_partkey % 3 = 0 THEN l_partkey::VARCHAR ELSE p_name END || CASE WHEN l_linestatus = 'O' THEN ' (O)' ELSE '' END AS brief
+@R.query("""SELECT l_orderkey * 10 + l_linenumber AS id, s_name || ' —' || l_returnflag || '→ ' || CASE WHEN l_partkey % 3 = 0 THEN l_partkey::VARCHAR
+  ELSE p_name END || CASE WHEN l_linestatus = 'O' THEN ' (O)' ELSE '' END AS brief
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey""")
 def edge_briefs(spark, d):
     edges = table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber id", "concat('s', l_suppkey) src", "cast(l_partkey as string) dst", "l_returnflag type", "case when l_linestatus = 'O' then 'O' end polarity")
@@ -141,15 +149,18 @@ def chunks_with_meta(spark, d):
     return library.with_meta(docs, meta, ["lang", "toxic"])
 
 
-@R.query("""WITH t AS (SELECT doc_id, list_transform(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 2)), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64) AS b FROM documents),
+@R.query("""WITH t AS (SELECT doc_id, list_transform(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 2)),
+  lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64) AS b FROM documents),
 v AS (SELECT doc_id, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM t)
-SELECT doc_id, CASE WHEN list_sum(v) > 0 THEN round(v[1] / sqrt(list_dot_product(v, v)), 6) END AS first, CASE WHEN list_sum(v) > 0 THEN round(list_max(v) / sqrt(list_dot_product(v, v)), 6) END AS largest FROM v""")
+SELECT doc_id, CASE WHEN list_sum(v) > 0 THEN round(v[1] / sqrt(list_dot_product(v, v)), 6) END AS first, CASE
+  WHEN list_sum(v) > 0 THEN round(list_max(v) / sqrt(list_dot_product(v, v)), 6) END AS largest FROM v""")
 def hashed_vectors(spark, d):
     out = library.hash_vectors(table(spark, d, "documents"), "doc_id", "text")
     return out.select("doc_id", F.round(F.col("vec")[0], 6).alias("first"), F.round(F.array_max("vec"), 6).alias("largest"))
 
 
-@R.query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {search_queries._DOT} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.vec_id % 50 <> 0)
+@R.query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {search_queries._DOT} AS score FROM embeddings a, embeddings b
+  WHERE b.vec_id % 50 = 0 AND a.vec_id % 50 <> 0)
 SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s) WHERE n = 1""")
 def nearest_vectors(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
@@ -157,7 +168,8 @@ def nearest_vectors(spark, d):
     return out.withColumn("score", F.round("score", 6))
 
 
-@R.query("""WITH a AS (SELECT user_id AS query_id, 'node' AS kind, event_id % 50 AS id, value / 100 AS score FROM events UNION ALL SELECT user_id, CASE event_type WHEN 'click' THEN 'card' ELSE 'node' END, event_id % 70, value / 90 FROM events),
+@R.query("""WITH a AS (SELECT user_id AS query_id, 'node' AS kind, event_id % 50 AS id, value / 100 AS score FROM events UNION ALL SELECT user_id, CASE event_type
+  WHEN 'click' THEN 'card' ELSE 'node' END, event_id % 70, value / 90 FROM events),
 b AS (SELECT query_id, kind, id, max(score) AS score FROM a WHERE score >= 0.35 AND id % 7 <> 0 GROUP BY 1, 2, 3)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, kind) - 1 AS rank FROM b) WHERE rank < 10""")
 def target_search(spark, d):
@@ -173,17 +185,21 @@ def card_search(spark, d):
     return library.card_scores(search_queries._sparse(spark, d, 10))
 
 
-@R.query("""WITH c AS (SELECT conv_id, turn, length(text) AS n, min(turn) OVER (PARTITION BY conv_id) + conv_id % 3 AS wish, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+@R.query("""WITH c AS (SELECT conv_id, turn, length(text) AS n, min(turn) OVER (PARTITION BY conv_id) + conv_id % 3 AS wish,
+  max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
 s AS (SELECT *, CASE WHEN turn > least(wish, last) THEN 2 * (turn - least(wish, last)) - 1 ELSE 2 * (least(wish, last) - turn) END AS step FROM c)
-SELECT conv_id, turn FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS acc FROM s) WHERE acc < 200 OR step = 0""")
+SELECT conv_id, turn FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  0) AS acc FROM s) WHERE acc < 200 OR step = 0""")
 def source_windows(spark, d):
     c = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), "text")
     best = c.groupBy("conv_id").agg(F.least(F.min("seq") + F.col("conv_id") % 3, F.max("seq")).alias("seq"))
     return library.source_window(c, best, 200, "conv_id").select("conv_id", F.col("seq").alias("turn"))
 
 
-@R.query("""WITH n AS (SELECT o_custkey, o_orderpriority AS regime, count(*) AS n FROM orders GROUP BY 1, 2), m AS (SELECT o_custkey, regime FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, regime) AS k FROM n) WHERE k = 1)
-SELECT c_custkey AS o_custkey, 'epistemic' AS axis, coalesce(CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END, regime) AS value FROM customer LEFT JOIN m ON o_custkey = c_custkey WHERE coalesce(CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END, regime) IS NOT NULL""")
+@R.query("""WITH n AS (SELECT o_custkey, o_orderpriority AS regime, count(*) AS n FROM orders GROUP BY 1, 2), m AS (SELECT o_custkey, regime
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, regime) AS k FROM n) WHERE k = 1)
+SELECT c_custkey AS o_custkey, 'epistemic' AS axis, coalesce(CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END, regime) AS value FROM customer LEFT
+  JOIN m ON o_custkey = c_custkey WHERE coalesce(CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END, regime) IS NOT NULL""")
 def epistemic_facets(spark, d):
     from lorewell.operators.graph import modal_regime
 

@@ -17,13 +17,21 @@ _TYPES = ["peer_reviewed", "textbook", "reference", "novel", "fiction", "essay",
 _TYPE_SQL = f"{_TYPES}[s_suppkey % 19 + 1]"
 
 
-@R.query(f"""WITH k AS (SELECT s_suppkey AS doc_id, 'pdf' AS source_type, 0.5::DOUBLE AS trust_weight, 'fictional' AS regime, CASE WHEN s_suppkey % 3 = 0 THEN 'MIT' END AS licence, '' AS bundle FROM supplier WHERE s_suppkey % 4 <> 0),
-n AS (SELECT s_suppkey AS doc_id, {_TYPE_SQL} AS source_type, CASE WHEN s_suppkey % 5 = 0 THEN 0.77 END::DOUBLE AS trust_weight, CASE WHEN s_suppkey % 7 = 0 THEN 'historical' END AS regime, 'CC0-1.0' AS licence, 'b' || s_nationkey AS bundle FROM supplier WHERE s_suppkey % 3 <> 1),
-j AS (SELECT coalesce(k.doc_id, n.doc_id) AS doc_id, coalesce(n.source_type, k.source_type) AS source_type, coalesce(n.trust_weight, k.trust_weight) AS t, coalesce(n.regime, k.regime) AS r,
-  CASE WHEN coalesce(k.licence, '') <> '' THEN k.licence ELSE n.licence END AS licence, CASE WHEN coalesce(k.bundle, '') <> '' THEN k.bundle ELSE n.bundle END AS bundle FROM k FULL JOIN n ON k.doc_id = n.doc_id)
-SELECT doc_id, source_type, coalesce(t, CASE WHEN source_type = 'peer_reviewed' THEN 0.9 WHEN source_type = 'textbook' THEN 0.8 WHEN source_type IN ('reference', 'wikipedia') THEN 0.7 WHEN source_type = 'history' THEN 0.6 WHEN source_type IN ('essay', 'pdf', 'epub') THEN 0.5
-    WHEN source_type IN ('novel', 'fiction', 'html', 'text', 'causenet') THEN 0.4 WHEN source_type = 'web' THEN 0.3 WHEN source_type IN ('conceptnet', 'atomic', 'glucose') THEN 0.2 ELSE 0.25 END)::DOUBLE AS trust_weight,
-  coalesce(r, CASE WHEN source_type IN ('novel', 'fiction') THEN 'fictional' WHEN source_type = 'essay' THEN 'interpretive' WHEN source_type = 'history' THEN 'historical' WHEN source_type IN ('conceptnet', 'atomic', 'glucose', 'causenet') THEN 'conventional' ELSE 'empirical' END) AS regime, licence, bundle FROM j""")
+@R.query(f"""WITH k AS (SELECT s_suppkey AS doc_id, 'pdf' AS source_type, 0.5::DOUBLE AS trust_weight, 'fictional' AS regime, CASE
+  WHEN s_suppkey % 3 = 0 THEN 'MIT' END AS licence, '' AS bundle FROM supplier WHERE s_suppkey % 4 <> 0),
+n AS (SELECT s_suppkey AS doc_id, {_TYPE_SQL} AS source_type, CASE WHEN s_suppkey % 5 = 0 THEN 0.77 END::DOUBLE AS trust_weight, CASE
+  WHEN s_suppkey % 7 = 0 THEN 'historical' END AS regime, 'CC0-1.0' AS licence, 'b' || s_nationkey AS bundle FROM supplier WHERE s_suppkey % 3 <> 1),
+j AS (SELECT coalesce(k.doc_id, n.doc_id) AS doc_id, coalesce(n.source_type, k.source_type) AS source_type, coalesce(n.trust_weight,
+  k.trust_weight) AS t, coalesce(n.regime, k.regime) AS r,
+  CASE WHEN coalesce(k.licence, '') <> '' THEN k.licence ELSE n.licence END AS licence, CASE WHEN coalesce(k.bundle, '') <> '' THEN k.bundle
+    ELSE n.bundle END AS bundle FROM k FULL JOIN n ON k.doc_id = n.doc_id)
+SELECT doc_id, source_type, coalesce(t, CASE WHEN source_type = 'peer_reviewed' THEN 0.9 WHEN source_type = 'textbook' THEN 0.8
+  WHEN source_type IN ('reference', 'wikipedia') THEN 0.7 WHEN source_type = 'history' THEN 0.6 WHEN source_type IN ('essay', 'pdf', 'epub') THEN 0.5
+    WHEN source_type IN ('novel', 'fiction', 'html', 'text', 'causenet') THEN 0.4 WHEN source_type = 'web' THEN 0.3
+      WHEN source_type IN ('conceptnet', 'atomic', 'glucose') THEN 0.2 ELSE 0.25 END)::DOUBLE AS trust_weight,
+  coalesce(r, CASE WHEN source_type IN ('novel', 'fiction') THEN 'fictional' WHEN source_type = 'essay' THEN 'interpretive'
+    WHEN source_type = 'history' THEN 'historical' WHEN source_type IN ('conceptnet', 'atomic', 'glucose', 'causenet') THEN 'conventional'
+    ELSE 'empirical' END) AS regime, licence, bundle FROM j""")
 def registered_sources(spark, d):
     s = table(spark, d, "supplier")
     known = s.where("s_suppkey % 4 <> 0").selectExpr("s_suppkey doc_id", "'pdf' source_type", "cast(0.5 as double) trust_weight", "'fictional' regime", "case when s_suppkey % 3 = 0 then 'MIT' end licence", "'' bundle")
@@ -59,8 +67,11 @@ def inserted_questions(spark, d):
     return records.insert_absent(p.where("hash(id) % 2 = 0"), p, "id")
 
 
-@R.query("""WITH v AS (SELECT p_partkey AS a, p_partkey + 1 AS b, CASE p_size % 4 WHEN 0 THEN 'related' WHEN 1 THEN 'is_a_inverse' WHEN 2 THEN 'none' ELSE 'part_of' END AS relation, p_partkey % 100 / 100.0::DOUBLE AS confidence FROM part)
-SELECT CASE WHEN relation = 'is_a_inverse' THEN b ELSE a END AS src, CASE WHEN relation = 'is_a_inverse' THEN a ELSE b END AS dst, replace(relation, '_inverse', '') AS type FROM v WHERE relation <> 'none' AND confidence >= CASE WHEN relation = 'related' THEN 0.75 ELSE 0.60 END""")
+@R.query("""WITH v AS (SELECT p_partkey AS a, p_partkey + 1 AS b, CASE p_size % 4 WHEN 0 THEN 'related' WHEN 1 THEN 'is_a_inverse' WHEN 2 THEN 'none'
+  ELSE 'part_of' END AS relation, p_partkey % 100 / 100.0::DOUBLE AS confidence FROM part)
+SELECT CASE WHEN relation = 'is_a_inverse' THEN b ELSE a END AS src, CASE WHEN relation = 'is_a_inverse' THEN a
+  ELSE b END AS dst, replace(relation, '_inverse', '') AS type FROM v WHERE relation <> 'none' AND confidence >= CASE
+  WHEN relation = 'related' THEN 0.75 ELSE 0.60 END""")
 def linker_edges(spark, d):
     return records.verdict_edges(table(spark, d, "part").selectExpr("p_partkey a", "p_partkey + 1 b", "case p_size % 4 when 0 then 'related' when 1 then 'is_a_inverse' when 2 then 'none' else 'part_of' end relation", "cast(p_partkey % 100 as double) / 100.0D confidence"))
 
@@ -76,16 +87,20 @@ _PAGES = "p AS (SELECT o_custkey % 40 AS doc, o_orderkey AS page, 'Journal ' ||
 
 
 @R.query(f"""WITH {_PAGES}, l AS (SELECT doc, page, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no FROM p),
-m AS (SELECT *, trim(line) <> '' AS f, sum((trim(line) <> '')::INT) OVER (PARTITION BY doc, page ORDER BY line_no) AS up, sum((trim(line) <> '')::INT) OVER (PARTITION BY doc, page ORDER BY line_no DESC) AS down, lower(regexp_replace(trim(line), '[0-9]+', '#', 'g')) AS form FROM l),
+m AS (SELECT *, trim(line) <> '' AS f, sum((trim(line) <> '')::INT) OVER (PARTITION BY doc, page ORDER BY line_no) AS up,
+  sum((trim(line) <> '')::INT) OVER (PARTITION BY doc, page ORDER BY line_no DESC) AS down, lower(regexp_replace(trim(line), '[0-9]+', '#',
+  'g')) AS form FROM l),
 e AS (SELECT *, f AND (up <= 2 OR down <= 2) AS edge FROM m), z AS (SELECT doc, count(DISTINCT page) AS n_pages FROM p GROUP BY doc),
 b AS (SELECT doc, form FROM e JOIN z USING (doc) WHERE edge GROUP BY doc, form, n_pages HAVING n_pages >= 6 AND count(DISTINCT page) >= greatest(3, floor(0.3 * n_pages)))
-SELECT doc, page, line_no, line FROM e JOIN z USING (doc) WHERE NOT (edge AND EXISTS (SELECT 1 FROM b WHERE b.doc = e.doc AND b.form = e.form)) AND NOT (edge AND n_pages >= 6 AND regexp_matches(trim(line), '^[-–— ]*[0-9]{{1,4}}[-–— ]*$'))""")
+SELECT doc, page, line_no, line FROM e JOIN z USING (doc) WHERE NOT (edge AND EXISTS (SELECT 1 FROM b
+  WHERE b.doc = e.doc AND b.form = e.form)) AND NOT (edge AND n_pages >= 6 AND regexp_matches(trim(line), '^[-–— ]*[0-9]{{1,4}}[-–— ]*$'))""")
 def stripped_pages(spark, d):
     text = F.concat_ws("\n", F.concat(F.lit("Journal "), F.col("o_orderkey").cast("string")), "o_orderpriority", F.concat(F.lit("body "), F.col("o_totalprice").cast("string")), F.lit(""), F.lit("more text"), (F.col("o_orderkey") % 900).cast("string"))
     return records.page_furniture(table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("doc"), F.col("o_orderkey").alias("page"), text.alias("text")))
 
 
-@R.query("""WITH s AS (SELECT id, i * 300 AS off, substr(text, i * 300 + 1, 300) AS piece FROM (SELECT doc_id AS id, text, unnest(range(greatest(1, (length(text) + 299) // 300))) AS i FROM documents))
+@R.query("""WITH s AS (SELECT id, i * 300 AS off, substr(text, i * 300 + 1, 300) AS piece FROM (SELECT doc_id AS id, text, unnest(range(greatest(1,
+  (length(text) + 299) // 300))) AS i FROM documents))
 SELECT id, off, piece FROM s WHERE length(piece) >= 40""")
 def text_slices(spark, d):
     out = records.slices(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 300)
@@ -107,20 +122,23 @@ _NAMED = {"cc-by-nc-4.0": "CC-BY-NC-4.0", "Apache-2": "Apache-2.0", "MIT": "MIT"
 
 
 @R.query(f"""SELECT doc_id, {list(_NAMED.values())}[doc_id % 14 + 1] AS licence,
-  CASE WHEN {list(_NAMED.values())}[doc_id % 14 + 1] = 'unknown' THEN NULL ELSE {list(_NAMED.values())}[doc_id % 14 + 1] NOT IN ('CC-BY-NC-4.0', 'all-rights-reserved', 'proprietary') END AS commercial FROM documents""")
+  CASE WHEN {list(_NAMED.values())}[doc_id % 14 + 1] = 'unknown' THEN NULL ELSE {list(_NAMED.values())}[doc_id % 14 + 1] NOT IN ('CC-BY-NC-4.0',
+    'all-rights-reserved', 'proprietary') END AS commercial FROM documents""")
 def canonical_licences(spark, d):
     name = F.array(*map(F.lit, _NAMED))[(F.col("doc_id") % 14).cast("int")]
     return table(spark, d, "documents").select("doc_id", T.licence(name).alias("licence"), T.licence_flag(name, "commercial").alias("commercial"))
 
 
-@R.query("""WITH s AS (SELECT user_id AS query_id, event_id AS id, CASE WHEN user_id % 2 = 0 THEN value - 50 ELSE value / 1000 END AS score FROM events), o AS (SELECT *, max((score < 0 OR score > 1)::INT) OVER (PARTITION BY query_id) AS outside FROM s)
+@R.query("""WITH s AS (SELECT user_id AS query_id, event_id AS id, CASE WHEN user_id % 2 = 0 THEN value - 50 ELSE value / 1000 END AS score
+  FROM events), o AS (SELECT *, max((score < 0 OR score > 1)::INT) OVER (PARTITION BY query_id) AS outside FROM s)
 SELECT query_id, id, round(CASE WHEN outside = 1 THEN 1 / (1 + exp(-score)) ELSE score END, 6) AS score FROM o""")
 def squashed_scores(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), F.when(F.col("user_id") % 2 == 0, F.col("value") - 50).otherwise(F.col("value") / 1000).alias("score"))
     return search.squash(e).withColumn("score", F.round("score", 6))
 
 
-@R.query("""WITH a AS (SELECT 'card' AS kind, user_id AS id, max(value) AS score, 0 AS pool FROM events WHERE event_type = 'click' GROUP BY 2 UNION ALL SELECT 'card', user_id, max(value), 1 FROM events WHERE event_type <> 'click' GROUP BY 2)
+@R.query("""WITH a AS (SELECT 'card' AS kind, user_id AS id, max(value) AS score, 0 AS pool FROM events WHERE event_type = 'click' GROUP BY 2 UNION ALL
+  SELECT 'card', user_id, max(value), 1 FROM events WHERE event_type <> 'click' GROUP BY 2)
 SELECT kind, id, score, pool FROM (SELECT *, row_number() OVER (PARTITION BY kind, id ORDER BY pool, score DESC) AS n FROM a) WHERE n = 1""")
 def first_wins_pool(spark, d):
     e = table(spark, d, "events")
@@ -133,7 +151,9 @@ def fit_verdicts(spark, d):
     return evaluate.fit_verdict(table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") / 100).alias("weights_gb")), 16.0)
 
 
-@R.query("""WITH e AS (SELECT 'person ' || c_custkey AS event, list(v ORDER BY pos) AS vs, dim FROM (SELECT c_custkey, 'xWant' AS dim, x.v, x.pos FROM customer, (VALUES ('to win', 0), ('To Win', 1), ('none', 2)) x(v, pos) UNION ALL SELECT c_custkey, 'oReact', x.v, x.pos FROM customer, (VALUES ('Glad', 0), ('glad', 1), ('sad', 2)) x(v, pos)) GROUP BY 1, 3)
+@R.query("""WITH e AS (SELECT 'person ' || c_custkey AS event, list(v ORDER BY pos) AS vs, dim FROM (SELECT c_custkey, 'xWant' AS dim, x.v, x.pos
+  FROM customer, (VALUES ('to win', 0), ('To Win', 1), ('none', 2)) x(v, pos) UNION ALL SELECT c_custkey, 'oReact', x.v, x.pos
+  FROM customer, (VALUES ('Glad', 0), ('glad', 1), ('sad', 2)) x(v, pos)) GROUP BY 1, 3)
 SELECT event, dim, CASE dim WHEN 'xWant' THEN 'to win' ELSE 'Glad' END AS value, 2 AS n FROM e""")
 def imported_events(spark, d):
     rows = table(spark, d, "customer").select(F.concat(F.lit("person "), F.col("c_custkey").cast("string")).alias("event"), F.lit('["to win", "To Win", "none"]').alias("xWant"), F.lit('["Glad", "glad", "sad"]').alias("oReact"))
@@ -165,14 +185,16 @@ def merged_tables(spark, d):
 _BAD = "p AS (SELECT l_orderkey AS card_id, l_suppkey AS concept_id, l_quantity::BIGINT - 2 AS n FROM lineitem)"
 
 
-@R.query(f"""WITH {_BAD} SELECT card_id, concept_id, 'duplicate' AS error FROM p GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT card_id, concept_id, 'count' FROM p WHERE n < 1
+@R.query(f"""WITH {_BAD} SELECT card_id, concept_id, 'duplicate' AS error FROM p GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT card_id, concept_id, 'count'
+  FROM p WHERE n < 1
 UNION ALL SELECT card_id, concept_id, 'unknown' FROM p WHERE concept_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 9 <> 0)""")
 def malformed_postings(spark, d):
     p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("card_id"), F.col("l_suppkey").alias("concept_id"), (F.col("l_quantity").cast("long") - 2).alias("local_count"))
     return stats.malformed(p, table(spark, d, "supplier").where("s_suppkey % 9 <> 0").select(F.col("s_suppkey").alias("concept_id")))
 
 
-@R.query(f"""SELECT count(*) AS postings, sha256('{stats.ALGORITHM}' || chr(30) || '{{"K_COOC":20,"MIN_COOC":3}}' || chr(30) || string_agg('["' || c || '","' || s || '",' || n || ']', chr(10) ORDER BY c, s)) AS version
+@R.query(f"""SELECT count(*) AS postings, sha256('{stats.ALGORITHM}' || chr(30) || '{{"K_COOC":20,"MIN_COOC":3}}' || chr(30) || string_agg('["' || c || '","' || s || '",' || n || ']',
+  chr(10) ORDER BY c, s)) AS version
 FROM (SELECT l_orderkey::VARCHAR AS c, l_suppkey::VARCHAR AS s, count(*) AS n FROM lineitem GROUP BY 1, 2)""")
 def stats_versions(spark, d):
     p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("card_id"), F.col("l_suppkey").alias("concept_id")).agg(F.count("*").alias("local_count"))
@@ -184,7 +206,8 @@ g AS (SELECT *, head <> '-' AS skip FROM f),
 o AS (SELECT h, coalesce(min(id) FILTER (done), min(id) FILTER (NOT out AND NOT skip)) AS owner FROM g GROUP BY h)"""
 
 
-@R.query(f"""WITH {_FATES} SELECT CASE WHEN out THEN 'outside' WHEN done THEN 'done' WHEN skip THEN 'zone' WHEN owner <> id THEN 'duplicate' ELSE 'pending' END AS fate, count(*) AS n, sum(CASE WHEN NOT out AND NOT done AND NOT skip AND owner <> id THEN owner END)::BIGINT AS owners
+@R.query(f"""WITH {_FATES} SELECT CASE WHEN out THEN 'outside' WHEN done THEN 'done' WHEN skip THEN 'zone' WHEN owner <> id THEN 'duplicate'
+  ELSE 'pending' END AS fate, count(*) AS n, sum(CASE WHEN NOT out AND NOT done AND NOT skip AND owner <> id THEN owner END)::BIGINT AS owners
 FROM g JOIN o USING (h) GROUP BY 1""")
 def pending_chunks(spark, d):
     """The fates of all chunks, counted; texts of other zones than their headings' are given a plain one."""

@@ -17,11 +17,14 @@ p AS (SELECT id, term, sum(w) AS wtf, count(*) AS tf FROM t GROUP BY id, term)""
 _STOP = "stop AS (SELECT term FROM p, (SELECT count(DISTINCT id) AS docs FROM p) GROUP BY term, docs HAVING docs >= 5000 AND count(*) > floor(docs * 0.5) ORDER BY count(*) DESC, term LIMIT 300)"
 _BM25 = f"""{_POST}, {_STOP},
 l AS (SELECT id, sum(tf) AS len FROM p GROUP BY id), tot AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM l),
-q0 AS (SELECT DISTINCT item_id AS query_id, strip_accents(lower(x)) AS term FROM (SELECT item_id, unnest((list_filter(regexp_split_to_array(regexp_replace(text, '["*:^()]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> ''))[1:64]) AS x FROM benchmark)),
+q0 AS (SELECT DISTINCT item_id AS query_id, strip_accents(lower(x)) AS term FROM (SELECT item_id,
+  unnest((list_filter(regexp_split_to_array(regexp_replace(text, '["*:^()]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> ''))[1:64]) AS x
+  FROM benchmark)),
 q AS (SELECT query_id, term FROM (SELECT *, term IN (SELECT term FROM stop) AS s FROM q0) QUALIFY NOT s OR bool_and(s) OVER (PARTITION BY query_id)),
 df AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
 i AS (SELECT term, avg_len, CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END AS idf FROM df, tot),
-s AS (SELECT query_id, id, round(sum(idf * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM q JOIN p USING (term) JOIN i USING (term) JOIN l USING (id) GROUP BY query_id, id),
+s AS (SELECT query_id, id, round(sum(idf * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score FROM q JOIN p USING (term)
+  JOIN i USING (term) JOIN l USING (id) GROUP BY query_id, id),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s) WHERE rank < {{k}})"""
 _COLUMNS = {"text": 1.0, "title": 4.0}
 
@@ -47,7 +50,8 @@ def bm25_top10(spark, d):
 
 
 @R.query(f"""WITH {_BM25.replace('{k}', '1000000000')}, a AS (SELECT * FROM sparse JOIN documents ON doc_id = id WHERE lang = 'en' AND contains(lower(source), '1'))
-SELECT query_id, id, round(score, 6) AS score, n - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM a) WHERE n <= 10""")
+SELECT query_id, id, round(score, 6) AS score, n - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n
+  FROM a) WHERE n <= 10""")
 def filtered_top10(spark, d):
     """BM25 over all documents, of which those of one language and some sources may be results."""
     docs = _docs(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source_type")), "id")
@@ -74,18 +78,23 @@ def stemmed_top10(spark, d):
 
 _HASHED = "list_transform(list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 2)), lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64)"
 _DENSE = f"""
-dv AS (SELECT id, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM (SELECT doc_id AS id, {_HASHED.format(t='text')} AS b FROM documents)),
-qv AS (SELECT query_id, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM (SELECT item_id AS query_id, {_HASHED.format(t='text')} AS b FROM benchmark)),
-ds AS (SELECT query_id, id, round(list_dot_product(list_transform(q.v, lambda x: x / sqrt(list_dot_product(q.v, q.v))), list_transform(dv.v, lambda x: x / sqrt(list_dot_product(dv.v, dv.v)))), 9) AS score FROM dv, qv q WHERE list_sum(dv.v) > 0 AND list_sum(q.v) > 0),
+dv AS (SELECT id, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v
+  FROM (SELECT doc_id AS id, {_HASHED.format(t='text')} AS b FROM documents)),
+qv AS (SELECT query_id, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v
+  FROM (SELECT item_id AS query_id, {_HASHED.format(t='text')} AS b FROM benchmark)),
+ds AS (SELECT query_id, id, round(list_dot_product(list_transform(q.v, lambda x: x / sqrt(list_dot_product(q.v, q.v))), list_transform(dv.v,
+  lambda x: x / sqrt(list_dot_product(dv.v, dv.v)))), 9) AS score FROM dv, qv q WHERE list_sum(dv.v) > 0 AND list_sum(q.v) > 0),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM ds) WHERE rank < 64)"""
 _RERANKED = """
 tm AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 2)) AS body,
   list_distinct(list_filter(regexp_split_to_array(lower(source), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 2)) AS head FROM documents),
 qt AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 2)) AS q FROM benchmark),
-sc AS (SELECT query_id, id, fused, floor(least(1.0, 0.55 * (len(list_intersect(q, body)) / (len(q) + 1e-6)) + 0.20 * (len(list_intersect(q, head)) / (len(q) + 1e-6)) + 0.30 * (1 - 1 / (1 + 50 * fused))) * 10000 + 0.5) / 10000 AS score
+sc AS (SELECT query_id, id, fused, floor(least(1.0, 0.55 * (len(list_intersect(q, body)) / (len(q) + 1e-6)) + 0.20 * (len(list_intersect(q,
+  head)) / (len(q) + 1e-6)) + 0.30 * (1 - 1 / (1 + 50 * fused))) * 10000 + 0.5) / 10000 AS score
   FROM f JOIN tm USING (id) JOIN qt USING (query_id))"""
 _HYBRID = f"""WITH {_BM25.replace("{k}", "64")}, {_DENSE},
-u AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS fused FROM (SELECT query_id, id, rank FROM sparse UNION ALL SELECT query_id, id, rank FROM dense) GROUP BY query_id, id),
+u AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS fused FROM (SELECT query_id, id, rank FROM sparse UNION ALL
+  SELECT query_id, id, rank FROM dense) GROUP BY query_id, id),
 f AS (SELECT query_id, id, fused FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) <= 64), {_RERANKED},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank, max(score) OVER (PARTITION BY query_id) AS confidence FROM sc)
 SELECT query_id, id, fused, score, rank, confidence, confidence < 0.35 AS low_confidence FROM r WHERE rank < 5"""
@@ -108,8 +117,10 @@ _LIBRARY = _HYBRID.replace("FROM documents", "FROM (SELECT * FROM documents WHER
 
 
 @R.query(f"""WITH {_LIBRARY[5:_LIBRARY.index("f AS (SELECT query_id, id, fused FROM u")]}
-f AS (SELECT query_id, id, CASE WHEN query_id IN (SELECT query_id FROM dense) THEN fused ELSE 0.0 END AS fused FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY u.fused DESC, id) <= 64), {_RERANKED}
-SELECT query_id, id, score, rank, query_id IN (SELECT query_id FROM dense) AS dense_used FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM sc) WHERE rank < 8""")
+f AS (SELECT query_id, id, CASE WHEN query_id IN (SELECT query_id FROM dense) THEN fused ELSE 0.0 END AS fused FROM u
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY u.fused DESC, id) <= 64), {_RERANKED}
+SELECT query_id, id, score, rank, query_id IN (SELECT query_id FROM dense) AS dense_used FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY score DESC, id) - 1 AS rank FROM sc) WHERE rank < 8""")
 def library_search(spark, d):
     """Passages of one collection: words first, fused with vectors for the questions that have them (every other one)."""
     docs, asked = _docs(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("source_type")), "id"), _queries(spark, d)
@@ -118,7 +129,8 @@ def library_search(spark, d):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-@R.query("""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, CASE WHEN a.vec_id % 7 = 0 THEN 0.0 ELSE list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) END AS c
+@R.query("""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, CASE WHEN a.vec_id % 7 = 0 THEN 0.0
+  ELSE list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) END AS c
   FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0 AND a.label = b.label),
 r AS (SELECT query_id, id, floor(c * 10000 + 0.5) / 10000 AS score FROM s)
 SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM r) WHERE rank < 10""")
@@ -131,9 +143,11 @@ def reranked_slices(spark, d):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-@R.query("""WITH s AS (SELECT user_id AS query_id, event_id AS id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN user_id % 2 = 0 THEN value - 50 ELSE value / 1000 END AS score, 0.01::DOUBLE AS fused, event_type FROM events),
+@R.query("""WITH s AS (SELECT user_id AS query_id, event_id AS id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN user_id % 2 = 0 THEN value - 50
+  ELSE value / 1000 END AS score, 0.01::DOUBLE AS fused, event_type FROM events),
 o AS (SELECT *, max((score < 0 OR score > 1)::INT) OVER (PARTITION BY query_id) AS outside FROM s),
-b AS (SELECT query_id, id, coalesce(CASE WHEN outside = 1 THEN 1 / (1 + exp(-score)) ELSE score END, fused) + 0.10 * (CASE WHEN event_type = 'click' THEN 1 ELSE 0 END / (2 + 1e-6)) AS score FROM o),
+b AS (SELECT query_id, id, coalesce(CASE WHEN outside = 1 THEN 1 / (1 + exp(-score)) ELSE score END, fused) + 0.10 * (CASE
+  WHEN event_type = 'click' THEN 1 ELSE 0 END / (2 + 1e-6)) AS score FROM o),
 r AS (SELECT query_id, id, floor(least(1.0, score) * 10000 + 0.5) / 10000 AS score FROM b)
 SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM r) WHERE rank < 10""")
 def cross_reranked(spark, d):
@@ -178,9 +192,12 @@ def vector_postfiltered(spark, d):
     return _rounded(search.vector_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10, F.col("label") == 1, prefilter=False))
 
 
-@R.query("""WITH a AS (SELECT event_type AS query_id, user_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) - 1 AS rank FROM events GROUP BY 1, 2),
-b AS (SELECT event_type AS query_id, user_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY round(sum(value), 4) DESC, user_id) - 1 AS rank FROM events GROUP BY 1, 2)
-SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS fused FROM (SELECT * FROM a WHERE rank < 20 UNION ALL SELECT * FROM b WHERE rank < 20) GROUP BY 1, 2""")
+@R.query("""WITH a AS (SELECT event_type AS query_id, user_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) - 1 AS rank
+  FROM events GROUP BY 1, 2),
+b AS (SELECT event_type AS query_id, user_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY round(sum(value), 4) DESC,
+  user_id) - 1 AS rank FROM events GROUP BY 1, 2)
+SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS fused FROM (SELECT * FROM a WHERE rank < 20 UNION ALL SELECT * FROM b
+  WHERE rank < 20) GROUP BY 1, 2""")
 def rank_fusion(spark, d):
     e = table(spark, d, "events").groupBy(F.col("event_type").alias("query_id"), F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("s"))
     return search.rrf(search.top_k(e, 20, "n"), search.top_k(e, 20, "s"))
@@ -200,7 +217,8 @@ def salience(spark, d):
 
 @R.query(f"""WITH {_P}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY raw DESC, concept_id) AS k FROM raw) WHERE k <= 20),
 sdf AS (SELECT concept_id, count(*) AS sdf FROM s GROUP BY concept_id),
-c AS (SELECT a.concept_id AS concept_a, b.concept_id AS concept_b, a.n, count(*) AS cooc_count FROM s a JOIN s b ON a.card_id = b.card_id AND a.concept_id < b.concept_id GROUP BY 1, 2, 3)
+c AS (SELECT a.concept_id AS concept_a, b.concept_id AS concept_b, a.n, count(*) AS cooc_count FROM s a
+  JOIN s b ON a.card_id = b.card_id AND a.concept_id < b.concept_id GROUP BY 1, 2, 3)
 SELECT concept_a, concept_b, cooc_count, CASE WHEN cooc_count >= 3 THEN floor(ln(cooc_count * n / (x.sdf * y.sdf)) * 1e6 + 0.5) / 1e6 END AS pmi,
   CASE WHEN cooc_count < 3 THEN 'floor' WHEN ln(cooc_count * n / (x.sdf * y.sdf)) <= 0 THEN 'clamp' ELSE 'kept' END AS outcome
 FROM c JOIN sdf x ON x.concept_id = concept_a JOIN sdf y ON y.concept_id = concept_b""")

@@ -34,15 +34,18 @@ _MARK = r"(?i)(<\|[^|>]{0,40}\|>|<\s*/?\s*(s|im_start|im_end|system|user|assista
 
 
 @R.query(rf"""
-WITH a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{{80}}-\x{{9f}}]', ' ', 'g'), '{_MARK}', ' ', 'g') AS s FROM conversations),
-b AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(s, '[ \t\f\x0b]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS s FROM a)
+WITH a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{{80}}-\x{{9f}}]', ' ', 'g'),
+  '{_MARK}', ' ', 'g') AS s FROM conversations),
+b AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(s, '[ \t\f\x0b]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'),
+  ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS s FROM a)
 SELECT conv_id, turn, CASE WHEN length(s) > 200 THEN rtrim(substr(s, 1, 200)) || '…' ELSE s END AS cleaned FROM b""")
 def sanitized_turns(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.clean(F.col("text"), 200).alias("cleaned"))
 
 
 @R.query(f"""
-SELECT doc_id, greatest(1, length(text) // 4)::INT AS tokens, substr(sha1(source || chr(0) || lang || chr(0) || text), 1, 20) AS chunk_id, {HASH} AS text_hash FROM documents""")
+SELECT doc_id, greatest(1, length(text) // 4)::INT AS tokens, substr(sha1(source || chr(0) || lang || chr(0) || text), 1, 20) AS chunk_id,
+  {HASH} AS text_hash FROM documents""")
 def chunk_identity(spark, d):
     c = F.col
     return table(spark, d, "documents").select("doc_id", T.est_tokens(c("text")).alias("tokens"), T.chunk_id(c("source"), c("lang"), c("text")).alias("chunk_id"), T.text_hash(c("text")).alias("text_hash"))
@@ -65,8 +68,10 @@ _re = lambda p: "'" + _quote(p) + "'"
 
 
 @R.query(rf"""
-WITH s AS (SELECT doc_id, text, lower(CASE doc_id % 7 WHEN 0 THEN 'Part > 3.2 References' WHEN 1 THEN 'Book > Contents' WHEN 2 THEN 'Copyright' ELSE 'History > Founding' END) AS section FROM documents),
-h AS (SELECT doc_id, coalesce(text, '') AS text, trim(regexp_replace(regexp_replace(trim(string_split(section, '>')[-1]), '^[\s0-9.:—-]+', ''), '[^a-z'' ]', '', 'g')) AS head FROM s),
+WITH s AS (SELECT doc_id, text, lower(CASE doc_id % 7 WHEN 0 THEN 'Part > 3.2 References' WHEN 1 THEN 'Book > Contents' WHEN 2 THEN 'Copyright'
+  ELSE 'History > Founding' END) AS section FROM documents),
+h AS (SELECT doc_id, coalesce(text, '') AS text, trim(regexp_replace(regexp_replace(trim(string_split(section, '>')[-1]), '^[\s0-9.:—-]+', ''),
+  '[^a-z'' ]', '', 'g')) AS head FROM s),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM h),
 c AS (SELECT doc_id, count(*) AS n, sum(length(x)) AS chars,
     count(*) FILTER (regexp_matches(x, {_re(T.YEAR)}) AND (regexp_matches(x, {_re(T.CITED)}) OR length(x) - length(replace(x, ',', '')) >= 2)) AS cited,
@@ -74,7 +79,8 @@ c AS (SELECT doc_id, count(*) AS n, sum(length(x)) AS chars,
     count(*) FILTER (regexp_matches(x, {_re(T.INDEX_LINE)})) AS idx, count(*) FILTER (regexp_matches(x, {_re(T.CODE)})) AS code,
     count(*) FILTER (regexp_matches(x, {_re(T.SENTENCE_END)})) AS prose
   FROM l WHERE trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) <> '' GROUP BY doc_id)
-SELECT doc_id, CASE WHEN head IN {_ZONE['references']} THEN 'references' WHEN head IN {_ZONE['toc']} THEN 'toc' WHEN head IN {_ZONE['index']} THEN 'index' WHEN head IN {_ZONE['boilerplate']} THEN 'boilerplate'
+SELECT doc_id, CASE WHEN head IN {_ZONE['references']} THEN 'references' WHEN head IN {_ZONE['toc']} THEN 'toc'
+  WHEN head IN {_ZONE['index']} THEN 'index' WHEN head IN {_ZONE['boilerplate']} THEN 'boilerplate'
   WHEN coalesce(n, 0) < 5 AND len(regexp_extract_all(text, {_re(T.IMPRINT)})) >= 2 THEN 'boilerplate' WHEN coalesce(n, 0) < 5 THEN 'body'
   WHEN n >= 6 AND cited >= 0.4 * n THEN 'references' WHEN leaders >= 0.3 * n THEN 'toc' WHEN n >= 8 AND pages >= 0.6 * n AND chars < 60 * n THEN 'toc'
   WHEN n >= 8 AND idx >= 0.5 * n THEN 'index' WHEN len(regexp_extract_all(text, {_re(T.IMPRINT)})) >= 2 AND length(text) < 2000 THEN 'boilerplate'
@@ -91,10 +97,12 @@ _FOUND = ["", "Acme Press|all-rights-reserved", "|GPL-3.0-only", "|CC-BY-NC-4.0"
 
 @R.query(f"""
 WITH t AS (SELECT doc_id, text, doc_id % 8 + 1 AS k FROM documents),
-c AS (SELECT doc_id, k, regexp_extract(text, 'SPDX-License-Identifier:\\s*([A-Za-z0-9.\\-+]+)', 1) AS tag, regexp_extract(text, '(?i)creativecommons\\.org/licenses/(by[a-z-]*)/', 1) AS cc,
+c AS (SELECT doc_id, k, regexp_extract(text, 'SPDX-License-Identifier:\\s*([A-Za-z0-9.\\-+]+)', 1) AS tag, regexp_extract(text,
+  '(?i)creativecommons\\.org/licenses/(by[a-z-]*)/', 1) AS cc,
   regexp_matches(substr(text, 1, 20000), '(?i)\\bpublic domain\\b') AS pd, regexp_matches(substr(text, 1, 20000), '(?i)\\ball rights reserved\\b') AS arr FROM t),
 p AS (SELECT doc_id, {[x.split("|")[-1] for x in _FOUND]}[k] AS planted, tag, cc, pd, arr, k, {[x.split("|")[0] for x in _FOUND]}[k] AS holder FROM c)
-SELECT doc_id, CASE WHEN k IN (3, 8) THEN planted WHEN tag <> '' THEN tag WHEN k IN (4, 5) THEN planted WHEN cc <> '' THEN 'CC-' || upper(cc) || '-4.0' WHEN pd OR k = 7 THEN 'public-domain' WHEN arr OR k = 2 THEN 'all-rights-reserved' END AS licence,
+SELECT doc_id, CASE WHEN k IN (3, 8) THEN planted WHEN tag <> '' THEN tag WHEN k IN (4, 5) THEN planted
+  WHEN cc <> '' THEN 'CC-' || upper(cc) || '-4.0' WHEN pd OR k = 7 THEN 'public-domain' WHEN arr OR k = 2 THEN 'all-rights-reserved' END AS licence,
   CASE WHEN holder <> '' THEN holder END AS holder FROM p""")
 def licences(spark, d):
     """Licences of the documents behind a notice each, and the holders that the notices name."""
@@ -106,8 +114,10 @@ def licences(spark, d):
 
 @R.query("""
 WITH q AS (SELECT conv_id, turn, lower(trim(coalesce(text, ''))) AS q FROM conversations)
-SELECT conv_id, turn, CASE WHEN regexp_matches(q, '^(how do|how to|how can|how should|steps to)') THEN 'how' WHEN contains(q, 'what if') OR q LIKE 'what would happen%' THEN 'what_if'
-  WHEN regexp_matches(q, '^(what causes|what could cause|what might cause|why might|why would|what could explain|what''s causing)') OR contains(q, 'causes of') OR contains(q, 'differential') THEN 'why_diag'
+SELECT conv_id, turn, CASE WHEN regexp_matches(q, '^(how do|how to|how can|how should|steps to)') THEN 'how'
+  WHEN contains(q, 'what if') OR q LIKE 'what would happen%' THEN 'what_if'
+  WHEN regexp_matches(q, '^(what causes|what could cause|what might cause|why might|why would|what could explain|what''s causing)') OR contains(q,
+    'causes of') OR contains(q, 'differential') THEN 'why_diag'
   WHEN regexp_matches(q, '^(why|how does|how is)') THEN 'why_mech' WHEN q LIKE 'who%' THEN 'who' WHEN q LIKE 'where%' THEN 'where'
   WHEN regexp_matches(q, 'what kind|what type|is a kind of') THEN 'taxonomy' WHEN q LIKE 'which%' THEN 'which' ELSE 'what' END AS intent FROM q""")
 def intents(spark, d):
@@ -131,7 +141,8 @@ def speech_acts(spark, d):
 
 
 @R.query(f"""
-WITH w AS (SELECT DISTINCT h, list_filter(string_split(t, ' '), lambda x: x <> '') AS w, min_id FROM (SELECT {HASH} AS h, {NORM} AS t, min(doc_id) OVER (PARTITION BY {HASH}) AS min_id FROM documents) WHERE t <> ''),
+WITH w AS (SELECT DISTINCT h, list_filter(string_split(t, ' '), lambda x: x <> '') AS w, min_id
+  FROM (SELECT {HASH} AS h, {NORM} AS t, min(doc_id) OVER (PARTITION BY {HASH}) AS min_id FROM documents) WHERE t <> ''),
 s AS (SELECT DISTINCT min_id AS id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id)
 SELECT id AS doc_id, n AS n_shingles FROM n""")
@@ -180,7 +191,8 @@ def incremental_actions(spark, d):
 @R.query(f"""
 WITH h AS (SELECT doc_id, source, {HASH} AS h FROM documents), o AS (SELECT h, min(doc_id) AS owner FROM h GROUP BY h),
 s AS (SELECT h.*, owner <> doc_id AS dupe, doc_id % 4 = 0 AS distilled FROM h JOIN o USING (h))
-SELECT source, count(*) AS chunks, count(*) FILTER (distilled) AS distilled, count(*) FILTER (dupe) AS dupes, count(*) FILTER (NOT distilled AND NOT dupe) AS pending FROM s GROUP BY source""")
+SELECT source, count(*) AS chunks, count(*) FILTER (distilled) AS distilled, count(*) FILTER (dupe) AS dupes,
+  count(*) FILTER (NOT distilled AND NOT dupe) AS pending FROM s GROUP BY source""")
 def source_progress(spark, d):
     docs = table(spark, d, "documents")
     dupes = dedupe.exact_owners(docs).where("is_dupe").select("doc_id")
@@ -196,7 +208,8 @@ def pending_sources(spark, d):
 
 
 @R.query("""
-SELECT CASE WHEN url LIKE '%/en/%' THEN 'english' WHEN regexp_matches(url, '^https?://[^/]*blog[^/]*/') THEN 'blogs' ELSE 'library' END AS collection, count(*) AS n FROM pages GROUP BY 1""")
+SELECT CASE WHEN url LIKE '%/en/%' THEN 'english' WHEN regexp_matches(url, '^https?://[^/]*blog[^/]*/') THEN 'blogs'
+  ELSE 'library' END AS collection, count(*) AS n FROM pages GROUP BY 1""")
 def collections(spark, d):
     rules = {"en": "english", "*://*blog*/*": "blogs"}
     return table(spark, d, "pages").groupBy(ingest.collection_for(F.col("url"), rules, "library").alias("collection")).agg(F.count("*").alias("n"))
@@ -230,7 +243,8 @@ _REGIMES = {"src1": "fictional", "*src?5": "historical", "SRC2": "interpretive",
 
 
 @R.query(r"""WITH p AS (SELECT doc_id, '/lib/' || source || '\Deep/' || source || '5' AS path, source FROM documents)
-SELECT doc_id, CASE WHEN source = 'src1' THEN 'fictional' WHEN regexp_matches(lower(path), '^.*src.5$') THEN 'historical' WHEN source = 'src2' THEN 'interpretive' END AS regime FROM p""")
+SELECT doc_id, CASE WHEN source = 'src1' THEN 'fictional' WHEN regexp_matches(lower(path), '^.*src.5$') THEN 'historical'
+  WHEN source = 'src2' THEN 'interpretive' END AS regime FROM p""")
 def path_regimes(spark, d):
     path = F.concat(F.lit("/lib/"), "source", F.lit("\\Deep/"), "source", F.lit("5"))
     return table(spark, d, "documents").select("doc_id", T.regime_for_path(path, _REGIMES).alias("regime"))
