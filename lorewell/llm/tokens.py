@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import struct
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 
 from lorewell.llm import spans
 
-#: Pieces that a worker remembers before it starts anew, and bytes of a longer piece that it does not remember.
+#: Pieces that a worker remembers, and bytes of a longer piece that it does not remember.
 REMEMBERED, LONGEST = 250_000, 256
 _U = np.uint64
 
@@ -103,7 +104,8 @@ class Encoder:
             whole = json.load(file)
         self.special = [t["content"].encode() for t in whole.get("added_tokens", [])]
         self.piece = self._pieces(path, whole["model"])
-        self._clear()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @cached_property
     def tokenizer(self):
@@ -127,26 +129,26 @@ class Encoder:
         core = tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe
         return core.encode_single_piece
 
-    def _clear(self) -> None:
-        self.seen: dict[bytes, int] = {}
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _places(self, pieces: list[bytes]) -> np.ndarray:
-        """Where the memory has each of some distinct pieces; new ones are encoded first."""
-        if len(self.seen) > REMEMBERED:
-            self._clear()
-        place = np.fromiter(map(self.seen.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            found = [self.piece(pieces[i]) for i in new]
-            place[new] = len(self.begin) + np.arange(len(new))
-            self.seen.update((pieces[i], at) for i, at in zip(new, place[new].tolist(), strict=True) if len(pieces[i]) <= LONGEST)
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(size) - size]
-            self.size = np.r_[self.size, size]
-            self.ids = np.r_[self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum()))]
-        return place
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of some distinct pieces, as little-endian 32-bit words.
+
+        What has been met since the last change of generations is kept for another one, so that
+        common pieces stay while rare ones go.
+        """
+        if len(self.young) > REMEMBERED // 2:
+            self.young, self.old = {}, self.young
+        out = list(map(self.young.get, pieces))
+        for i, known in enumerate(out):
+            if known is None:
+                piece = pieces[i]
+                known = self.old.get(piece)
+                if known is None:
+                    ids = self.piece(piece)
+                    known = struct.pack(f"<{len(ids)}I", *ids)
+                out[i] = known
+                if len(piece) <= LONGEST:
+                    self.young[piece] = known
+        return out
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets) of runs of rows."""
@@ -182,8 +184,11 @@ class Encoder:
             first: dict[bytes, int] = {}
             back = np.array([first.setdefault(whole[a:b], len(first)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
             where = np.unique(back, return_index=True)[1]
-        place = self._places([whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])[back]
-        n = self.size[place]
+        found = self._ids_of([whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = (np.cumsum(size) - size)[back]
+        n = size[back]
         ends_at = np.cumsum(n)
-        index = np.repeat(self.begin[place] - (ends_at - n), n) + np.arange(ends_at[-1])
-        return self.ids[index], np.r_[0, ends_at][np.searchsorted(doc, np.arange(len(at)))]
+        index = np.repeat(begin - (ends_at - n), n) + np.arange(ends_at[-1])
+        return ids[index], np.r_[0, ends_at][np.searchsorted(doc, np.arange(len(at)))]
