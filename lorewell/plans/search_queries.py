@@ -101,7 +101,8 @@ SELECT query_id, id, fused, score, rank, confidence, confidence < 0.35 AS low_co
 
 
 def _hashed(frame, key, text):
-    return library.hash_vectors(frame, key, text).where("vec is not null")
+    # A filter on null vectors would be pushed below the function that makes them, which would then run twice.
+    return library.hash_vectors(frame, key, text)
 
 
 @R.query(_HYBRID)
