@@ -149,7 +149,7 @@ def test_slices_reach_the_end(spark):
     assert sorted((r.id, r.off, len(r.piece)) for r in got) == [(1, i * 100, 100) for i in range(10)] + [(1, 1000, 50)]
 
 
-def test_cooccurrence_keeps_the_references_salient_sets(spark):
+def test_cooccurrence_keeps_salient_sets_of_the_default_size(spark):
     from lorewell.operators import stats
 
     rows = spark.createDataFrame([(card, c, 1) for card in range(3) for c in range(22)] + [(9, 50, 1)], "card_id long, concept_id long, local_count long")
