@@ -86,6 +86,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_base", "n_spans")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.hard_negatives import hard_negatives
+
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), anchor=F.expr("vec_id % 100 = 0"), label=label)
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -214,9 +221,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
+_OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op5_url_filter, op6_packing, op7_language_id, op8_decontamination, op9_quality_rules, op10_pii)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op5_url_filter, op6_packing, op7_language_id, op8_decontamination, op9_quality_rules, op10_pii, op11_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": _op1_sql(), "op3_lm_scoring": _op3_sql(), "op4_line_dedup": _op4_sql(), "op5_url_filter": _op5_sql(), "op9_quality_rules": _op9_sql()}
+    return {"op1_jaccard_join": _op1_sql(), "op3_lm_scoring": _op3_sql(), "op4_line_dedup": _op4_sql(), "op5_url_filter": _op5_sql(), "op9_quality_rules": _op9_sql(), "op11_hard_negatives": _OP11_SQL}
