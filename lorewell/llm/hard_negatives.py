@@ -114,7 +114,7 @@ class Best:
         self.rows = sorted(self.rows + [(int(scores[i]), int(ids[i])) for i in at], key=lambda r: (-r[0], r[1]))[: self.k]
 
 
-def _mine(anchors: pa.Table, rows: pa.Table, same: bool, windows) -> list[list[Best]]:
+def _mine(anchors: pa.Table, rows: pa.Table, same: bool, windows, block_rows: int) -> list[list[Best]]:
     """For each anchor its best rows of the same or of other labels, in each window that ``windows(i)`` makes."""
     ids, labels = (np.asarray(rows[c].to_numpy(), np.int64) for c in ("id", "label"))
     own_ids, own_labels = (np.asarray(anchors[c].to_numpy(), np.int64) for c in ("id", "label"))
@@ -125,8 +125,8 @@ def _mine(anchors: pa.Table, rows: pa.Table, same: bool, windows) -> list[list[B
     own_planes, own_weights = planes(a, most[0], words), weights(most[0])
     reach = [(int(np.minimum(v, 0).sum(dtype=exact)), int(np.maximum(v, 0).sum(dtype=exact))) for v in a]
     found = [windows(i) for i in range(len(a))]
-    for first in range(0, len(ids), BLOCK_ROWS):
-        part = slice(first, first + BLOCK_ROWS)
+    for first in range(0, len(ids), block_rows):
+        part = slice(first, first + block_rows)
         block = Rows(ids[part], labels[part], x[part], most[1], words)
         for i, lists in enumerate(found):
             at = np.flatnonzero((block.labels == own_labels[i]) == same)
@@ -151,8 +151,10 @@ def _long(x: int) -> int:
 
 
 def _positives(k: int):
+    block_rows = BLOCK_ROWS
+
     def mine(anchors: pa.Table, rows: pa.Table) -> pa.Table:
-        found = _mine(anchors, rows, True, lambda i: [Best(k)])
+        found = _mine(anchors, rows, True, lambda i: [Best(k)], block_rows)
         out = [(a, r, _long(s)) for a, [best] in zip(anchors["id"].to_pylist(), found, strict=True) for s, r in best.rows]
         return pa.table({c: pa.array([r[j] for r in out], pa.int64()) for j, c in enumerate(("anchor_id", "positive_id", "positive_score"))})
 
@@ -160,11 +162,13 @@ def _positives(k: int):
 
 
 def _negatives(k: int, low: int, high: int):
+    block_rows = BLOCK_ROWS
+
     def mine(anchors: pa.Table, rows: pa.Table) -> pa.Table:
         of = anchors["positives"].to_pylist()
         bounds = lambda s: (-(-low * s // 100), high * s // 100)
         asked = [[p for p in ps if bounds(p["positive_score"])[0] <= bounds(p["positive_score"])[1]] for ps in of]
-        found = _mine(anchors, rows, False, lambda i: [Best(k, *bounds(p["positive_score"])) for p in asked[i]])
+        found = _mine(anchors, rows, False, lambda i: [Best(k, *bounds(p["positive_score"])) for p in asked[i]], block_rows)
         out = [(a, p["positive_id"], r, p["positive_score"], _long(s)) for a, ps, lists in zip(anchors["id"].to_pylist(), asked, found, strict=True) for p, best in zip(ps, lists, strict=True) for s, r in best.rows]
         return pa.table({c: pa.array([r[j] for r in out], pa.int64()) for j, c in enumerate(("anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"))})
 

@@ -93,6 +93,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(_table(spark, sf_dir, "embeddings"), anchor=F.expr("vec_id % 100 = 0"), label=label)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.merkle import manifest
+
+    lowered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
+    return manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered={"text": lowered})
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -221,6 +228,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = "list_reduce([xor(c, ascii(x)), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: " + bit + ")"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: {byte.replace('ascii(x)', 'x')}), 4294967295)"
+
+
 _OP11_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
@@ -239,9 +253,47 @@ WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * po
 QUALIFY rank <= 10"""
 
 
+def _op13_sql() -> str:
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT *, CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 3 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END AS changed FROM documents),
+d AS (SELECT doc_id, lang, {leaf("text")} AS leaf, {leaf("changed")} AS tampered FROM t),
+a AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n, leaf, tampered FROM d),
+u AS (
+  SELECT 0 AS level, g, pos, n, leaf AS node FROM a
+  UNION ALL
+  SELECT level + 1, g, pos // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, g, pos // 8, n),
+s AS (SELECT g, node AS subroot, level AS levels FROM u WHERE n = 1),
+v AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, subroot AS node FROM s
+  UNION ALL
+  SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM v WHERE n > 1 GROUP BY level, pos // 8, n),
+w AS (
+  SELECT 0 AS tree, level, g, pos, list(node) OVER run AS nodes FROM u WHERE n > 1 WINDOW run AS (PARTITION BY level, g, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+  UNION ALL
+  SELECT 1, level, '', pos, list(node) OVER run FROM v WHERE n > 1 WINDOW run AS (PARTITION BY level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+x AS (SELECT tree, level, g, pos, array_to_string(nodes[1:pos % 8], '') AS l, array_to_string(nodes[pos % 8 + 2:], '') AS r FROM w),
+h AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS place, subroot, levels FROM s),
+f AS (
+  SELECT a.g, a.pos AS leaf_pos, 0 AS step, levels, place, tampered AS node, '' AS proof FROM a JOIN h USING (g)
+  UNION ALL
+  SELECT f.g, leaf_pos, step + 1, levels, place, sha256(l || node || r), proof || l || r
+  FROM f JOIN x ON x.tree = (step >= levels)::INT AND x.level = CASE WHEN step < levels THEN step ELSE step - levels END
+    AND x.g = CASE WHEN step < levels THEN f.g ELSE '' END
+    AND x.pos = CASE WHEN step < levels THEN leaf_pos // (8 ** step)::BIGINT ELSE place // (8 ** (step - levels))::BIGINT END),
+e AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY g, leaf_pos ORDER BY step DESC) = 1),
+r AS (SELECT node AS root FROM v WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, e.node AS folded_root, e.node = root AS verified
+FROM a JOIN h USING (g) JOIN e ON e.g = a.g AND e.leaf_pos = a.pos CROSS JOIN r"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op5_url_filter, op6_packing, op7_language_id, op8_decontamination, op9_quality_rules, op10_pii, op11_hard_negatives)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op5_url_filter, op6_packing, op7_language_id, op8_decontamination, op9_quality_rules, op10_pii, op11_hard_negatives, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": _op1_sql(), "op3_lm_scoring": _op3_sql(), "op4_line_dedup": _op4_sql(), "op5_url_filter": _op5_sql(), "op9_quality_rules": _op9_sql(), "op11_hard_negatives": _OP11_SQL}
+    return {"op1_jaccard_join": _op1_sql(), "op3_lm_scoring": _op3_sql(), "op4_line_dedup": _op4_sql(), "op5_url_filter": _op5_sql(), "op9_quality_rules": _op9_sql(), "op11_hard_negatives": _OP11_SQL, "op13_merkle_manifest": _op13_sql()}
