@@ -130,3 +130,15 @@ def shared_counts(docs: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarra
 
     sent = docs.groupBy("b").applyInArrow(send, "r int, b long, k binary, n binary")
     return sent.groupBy("r").applyInArrow(_add, COUNTS)
+
+
+def shared_counts_of_rows(packed: DataFrame, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
+    """As ``shared_counts``, for a table each row of which is a batch."""
+
+    def send(batches):
+        for part in batches:
+            for row in part.to_pylist():
+                keys, counts, _ = cut(*keys_of(row), bits)
+                yield from _send(row["b"], keys, counts, bits).to_batches()
+
+    return packed.mapInArrow(send, "r int, b long, k binary, n binary").groupBy("r").applyInArrow(_add, COUNTS)

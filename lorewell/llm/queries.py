@@ -93,6 +93,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(_table(spark, sf_dir, "embeddings"), anchor=F.expr("vec_id % 100 = 0"), label=label)
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.repeats import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.merkle import manifest
 
@@ -253,6 +260,23 @@ WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * po
 QUALIFY rank <= 10"""
 
 
+_OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT r, doc_id, unnest(range(1, length(x) // 2 + 1)) AS i, x FROM d),
+w AS (SELECT r, doc_id, i, substr(x, 2 * i - 1, 2) AS byte, CASE WHEN 2 * i + 98 <= length(x) THEN substr(x, 2 * i - 1, 100) END AS s FROM p),
+o AS (SELECT s, min(doc_id) AS owner FROM w WHERE s IS NOT NULL GROUP BY s),
+f AS (
+  SELECT r, i, byte, coalesce(bool_or(owner < doc_id) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM w LEFT JOIN o USING (s)),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM f),
+k AS (
+  SELECT r, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+    coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS kept
+  FROM g GROUP BY r)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""
+
+
 def _op13_sql() -> str:
     field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
     leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
@@ -292,8 +316,8 @@ FROM a JOIN h USING (g) JOIN e ON e.g = a.g AND e.leaf_pos = a.pos CROSS JOIN r"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op5_url_filter, op6_packing, op7_language_id, op8_decontamination, op9_quality_rules, op10_pii, op11_hard_negatives, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_quality_classifier, op3_lm_scoring, op4_line_dedup, op5_url_filter, op6_packing, op7_language_id, op8_decontamination, op9_quality_rules, op10_pii, op11_hard_negatives, op12_suffix_array_dedup, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": _op1_sql(), "op3_lm_scoring": _op3_sql(), "op4_line_dedup": _op4_sql(), "op5_url_filter": _op5_sql(), "op9_quality_rules": _op9_sql(), "op11_hard_negatives": _OP11_SQL, "op13_merkle_manifest": _op13_sql()}
+    return {"op1_jaccard_join": _op1_sql(), "op3_lm_scoring": _op3_sql(), "op4_line_dedup": _op4_sql(), "op5_url_filter": _op5_sql(), "op9_quality_rules": _op9_sql(), "op11_hard_negatives": _OP11_SQL, "op12_suffix_array_dedup": _OP12_SQL, "op13_merkle_manifest": _op13_sql()}
