@@ -22,8 +22,8 @@ from lorewell.llm.graph import fresh, hinted, saved
 WINDOW = 8
 #: A document has an item if so many windows, or so large a share of the item's windows, fit.
 MIN_WINDOWS, MIN_SHARE = 6, 0.5
-#: Words besides placeholders that an item of under WINDOW words needs to be found by template.
-MIN_FIXED = 4
+#: Words besides placeholders that a template window of under WINDOW words needs, and one of WINDOW words: pages of figures or names are no copies of each other.
+MIN_FIXED, FULL_FIXED = 4, 2
 #: Bytes of benchmark text up to which its windows are broadcast (two a word at most, under 40 bytes each); beyond, both sides are shuffled.
 BROADCAST_BYTES = 1_000_000
 #: Units that become a placeholder after a number.
@@ -85,7 +85,7 @@ def _item_windows(items: DataFrame, short_items: bool) -> tuple[DataFrame, list[
         ends = F.sequence(F.col("low"), F.col("high") - n)
         at = words.where(F.col("size") == n).select("item", view, (size - n + 1).alias("n_places"), F.explode(ends).alias("place"))
         fixed = F.size(F.filter(F.slice(view, F.col("place") + 1, n), lambda w: ~w.isin(_NAME, _NUM, _UNIT)))
-        told = F.lit(view == "literal" or n == WINDOW) | (fixed >= MIN_FIXED)
+        told = F.lit(view == "literal") | (fixed >= (FULL_FIXED if n == WINDOW else MIN_FIXED))
         return at.where(told).select("item", F.lit(view == "literal").alias("literal"), "place", F.lit(n).alias("size"), "n_places", _hash(view, n, F.col("place")).alias("h"))
 
     parts = [part(view, n) for n in sizes or [WINDOW] for view in ("literal", "template")]
@@ -120,8 +120,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     An item is in a document if windows at MIN_WINDOWS places of the item, or at a share
     MIN_SHARE of its places, fit: by their words anywhere, or by template in one copy of the
     item whose slots stand for each other one to one.  With ``short_items``, an item of under
-    WINDOW words is one window of its own length (by template if MIN_FIXED of its words are no
-    placeholders), else it is in no document.  Cases: a null or empty text holds nothing; a very
+    WINDOW words is one window of its own length, else it is in no document.  A window is found by
+    template if FULL_FIXED of its words (MIN_FIXED, if it is such a short item) are no placeholders.  Cases: a null or empty text holds nothing; a very
     long text costs its words, one row at a time; repeated rows (equal id and text) are one
     document; a null id is a document of its own text; several texts of one item id are each
     looked for, and null ones are left out; there are no ties, as every item held is listed;
@@ -165,7 +165,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """Per row of ``docs``: (``id_col``, contaminated, n_items, items); cases as in :func:`contaminated`."""
     found = contaminated(docs, benchmark, id_col, text_col, **names).select(F.col(id_col).alias("found_id"), F.col("text_hash").alias("found_hash"), "items")
     own = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash"))
-    both = own.join(hinted(found), F.col("own_id").eqNullSafe(F.col("found_id")) & (F.col("own_hash") == F.col("found_hash")), "left")
+    both = own.join(hinted(found, F.size("items") * 16 + F.length(F.col("items").cast("string"))), F.col("own_id").eqNullSafe(F.col("found_id")) & (F.col("own_hash") == F.col("found_hash")), "left")
     items = F.coalesce("items", F.array().cast(found.schema["items"].dataType))
     return both.select(F.col("own_id").alias(id_col), F.col("items").isNotNull().alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"))
 

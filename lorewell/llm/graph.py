@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.session import saved
@@ -11,11 +11,14 @@ __all__ = ["BROADCAST_ROWS", "components", "fresh", "hinted", "saved"]
 
 #: Rows up to which a (saved) table of ids is broadcast (tens of bytes each); beyond, it is shuffled.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of wide columns up to which they go along.
+BROADCAST_BYTES = 64_000_000
 
 
-def hinted(frame: DataFrame) -> DataFrame:
-    """A saved table of ids, to be broadcast behind a count of its rows, or else joined by hash."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame.hint("shuffle_hash")
+def hinted(frame: DataFrame, width: Column | None = None) -> DataFrame:
+    """A saved table of ids, to be broadcast behind a count of its rows (and of the bytes of its wide columns), or else joined by hash."""
+    rows, size = frame.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0)) if width is not None else F.lit(0)).first()
+    return F.broadcast(frame) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else frame.hint("shuffle_hash")
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:

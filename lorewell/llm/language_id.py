@@ -152,16 +152,17 @@ def train(texts: dict[str, list[str]], order: int = ORDER) -> Model:
 
 
 def _training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> dict[str, list[str]]:
-    """``most`` texts of each language at most, and TRAINING_DOCS in all, by hash of the id.
+    """``most`` texts of each language at most, and TRAINING_DOCS in all, by hash of the id, until their bytes are an even share of SAMPLE_BYTES.
 
     Ids are chosen first, without their texts; tasks send on no more than they may keep.
     """
-    usable = docs.where(~sampling.held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & sampling.short_enough(text_col))
-    keys = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    usable = docs.where(~sampling.held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    keys = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), sampling.size_of(text_col))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text_hash")
     chosen = saved(keys.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= most))
     languages = chosen.select("lang").distinct().count()
-    few = saved(chosen.where(F.col("place") <= max(1, TRAINING_DOCS // max(1, languages))))
+    few = chosen.where(F.col("place") <= max(1, TRAINING_DOCS // max(1, languages))).drop("place")
+    few = saved(sampling.within_bytes(few, "lang", sampling.SAMPLE_BYTES // max(1, languages), each=True).drop("size"))
     out: dict[str, list[str]] = {}
     for r in sampling.texts_of(docs, few, id_col, text_col).orderBy("lang", "place").toLocalIterator():
         out.setdefault(r["lang"], []).append(r["text"])
@@ -182,8 +183,8 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Per row of ``docs``: (``id_col``, held_out, lang_pred, score).
 
     The model learns from ``docs_per_language`` documents of each language at most that are not
-    held out (and from TRAINING_DOCS in all, fewer of each where there are many languages), of
-    texts up to ``sampling.LONGEST_TEXT`` bytes.  score is the share of the shortest code among
+    held out (and from TRAINING_DOCS in all, fewer of each where there are many languages), taken
+    whole until ``sampling.SAMPLE_BYTES`` are, and from one text of each at least.  score is the share of the shortest code among
     all, with differences in bits divided by TEMPERATURE.  Cases: a null text, one without a
     letter, or a table without a labelled row gives ``und`` with score 0; a very long text is
     scored whole, as a pass of its own; equal code lengths go to the first language in order;

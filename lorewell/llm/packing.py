@@ -26,7 +26,7 @@ POOL = 256
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
-    segments: int = 512
+    segments: int = 2048
     loss_tokens: int = 2048
 
 
@@ -53,6 +53,7 @@ class Packer:
         self.limits, self.cut = limits, cut
         self.caps = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
         self.pool: list[Piece] = []
+        self.pooled = 0
         self.needs = np.zeros((4 * POOL, 3))
         self.before: dict[int, np.ndarray | None] = {}
 
@@ -80,8 +81,8 @@ class Packer:
             start += n
         if length - start:
             self._pool(Piece(item, start, length - start, self._loss(item, start, length - start)))
-        if len(self.pool) >= 2 * POOL:
-            while len(self.pool) >= POOL:
+        if len(self.pool) >= 2 * POOL and self.pooled >= self.limits.tokens:
+            while len(self.pool) >= POOL and self.pooled >= self.limits.tokens:
                 yield self._fill()
 
     def _pool(self, piece: Piece) -> None:
@@ -89,9 +90,11 @@ class Packer:
             self.needs = np.vstack([self.needs, np.zeros_like(self.needs)])
         self.needs[len(self.pool)] = (piece.length, 1, piece.loss)
         self.pool.append(piece)
+        self.pooled += piece.length
 
     def _pop(self, i: int) -> Piece:
         piece, last = self.pool[i], self.pool.pop()
+        self.pooled -= piece.length
         if i < len(self.pool):
             self.pool[i] = last
             self.needs[i] = self.needs[len(self.pool)]

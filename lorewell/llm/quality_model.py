@@ -88,8 +88,9 @@ class Model:
         return (np.maximum((x - self.centre) / self.scale @ w1 + b1, 0) @ w2 + b2).ravel()
 
     def score(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z = np.clip(self.logits(self.features(raw, at)) / self.temperature, -30, 30)
-        return 1 / (1 + np.exp(-z.astype(np.float64)))
+        """In double precision, rounded: a document's score is the same whatever documents share its batch."""
+        z = np.clip(self.logits(self.features(raw, at).astype(np.float64)) / self.temperature, -30, 30)
+        return np.round(1 / (1 + np.exp(-z)), 7)
 
 
 def word_vectors(h: np.ndarray, doc: np.ndarray, rows: int, seed: int) -> np.ndarray:
@@ -151,8 +152,8 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", training_docs: int = TRAINING_DOCS) -> DataFrame:
     """Per row of ``docs``: (``id_col``, held_out, score, predicted).
 
-    The model is fitted on ``training_docs`` labelled documents at most, none held out, of texts
-    up to ``sampling.LONGEST_TEXT`` bytes; a document with several labels has their mean, halves
+    The model is fitted on ``training_docs`` labelled documents at most, none held out, taken
+    whole until ``sampling.SAMPLE_BYTES`` are, and on one of each label at least; a document with several labels has their mean, halves
     as 1.  Cases: a null or empty text has a score as any other; a very long text is scored whole,
     as a pass of its own; without labelled documents, or with labels of one kind, the score is
     the share of that kind (0.5 without any); a score of 0.5 is predicted as 1; a null id is not
@@ -162,9 +163,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    chosen = saved(sampling.sample_by_hash(marked.where(~sampling.held_out("id")), "id", training_docs))
-    own = docs.where(sampling.short_enough(text_col)).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
-    keys = saved(own.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text_hash").alias("text_hash")))
+    own = docs.select(F.col(id_col).alias("id"), F.struct(F.xxhash64(text_col).alias("text_hash"), sampling.size_of(text_col)).alias("text")).groupBy("id").agg(F.min("text").alias("text"))
+    known = marked.where(~sampling.held_out("id")).join(own, "id").select("id", "label", "text.*")
+    chosen = saved(sampling.sample_by_hash(known, "label", training_docs))
+    keys = saved(sampling.within_bytes(chosen, "label", sampling.SAMPLE_BYTES, each=False).drop("size", "place"))
     rows = sampling.texts_of(docs, keys, id_col, text_col).select(F.coalesce("text", F.lit("")).alias("text"), "label").orderBy("text", "label").collect()
     texts, y = [r["text"] for r in rows], [r["label"] for r in rows]
     constant = float(np.mean(y)) if y else 0.5

@@ -166,9 +166,10 @@ FROM d GROUP BY doc_id"""
 
 
 def _op5_sql() -> str:
-    from lorewell.llm.url_filter import BLOCK_GLOBS, HOST_RULES, UNRESERVED
+    from lorewell.llm.url_filter import BLOCK_GLOBS, UNRESERVED
 
-    ruled = sorted(HOST_RULES, key=lambda r: -len(r[1] + r[2]))
+    # The contract's rules, longest first.
+    ruled = [("block", "example.net", "/de/8"), ("allow", "example.com", "/en/7"), ("block", "com", "/en/"), ("allow", "net", "/de/"), ("block", "org", "/es/")]
     fits = lambda h, p: f"(('.' || host) LIKE '%.{h}' AND starts_with(path, '{p}'))"
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ruled)
     says = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ruled)

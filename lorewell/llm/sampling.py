@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.llm.graph import hinted
 
-#: Bytes of a text that a model learns from, at most: longer ones are left out of the samples (they are scored like all others).
-LONGEST_TEXT = 100_000
+#: Bytes of text that a model learns from: texts are taken whole, by hash of their ids, until so many are; the first of each class always is.
+SAMPLE_BYTES = 32_000_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -16,9 +16,20 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample_by_hash(labelled: DataFrame, id_col: str, most: int) -> DataFrame:
-    """``most`` rows at most, those of the smallest hash of the id: the same whatever the partitions."""
-    return labelled.orderBy(F.xxhash64(id_col), id_col).limit(most)
+def sample_by_hash(labelled: DataFrame, label: str, most: int) -> DataFrame:
+    """Of rows (id, text_hash, size, a label) ``most`` and the first of each label, those of the smallest hash of the id: the same whatever the partitions."""
+    by_hash = Window.partitionBy(label).orderBy(F.xxhash64("id"), "id")
+    firsts = labelled.withColumn("place", F.row_number().over(by_hash)).where("place = 1").drop("place")
+    return labelled.orderBy(F.xxhash64("id"), "id").limit(most).union(firsts).distinct()
+
+
+def within_bytes(few: DataFrame, label: str, most: int, each: bool) -> DataFrame:
+    """Of a bounded sample (id, text_hash, size, label) the rows before which fewer than ``most`` bytes come, by hash, in their label or in ``each`` other, and the first of each label."""
+    order = [F.xxhash64("id"), F.col("id"), F.col("text_hash")]
+    own = Window.partitionBy(label).orderBy(*order)
+    upto = (own if each else Window.partitionBy(F.lit(0)).orderBy(*order)).rowsBetween(Window.unboundedPreceding, -1)
+    out = few.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).withColumn("place", F.row_number().over(own))
+    return out.where((F.col("before") < most) | (F.col("place") == 1)).drop("before")
 
 
 def texts_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -27,5 +38,5 @@ def texts_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Da
     return own.join(hinted(keys), ["id", "text_hash"]).dropDuplicates(keys.columns).select(*keys.columns, "text")
 
 
-def short_enough(text_col: str) -> Column:
-    return F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) <= LONGEST_TEXT
+def size_of(text_col: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("size")

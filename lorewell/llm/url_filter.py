@@ -22,7 +22,7 @@ _U = np.uint64
 MARK = b"\xff"
 
 #: (verdict, host, path): the contract's rules.
-HOST_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+HOST_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Globs over the canonical URL that block what no host rule decides: spam, gambling, adult and advertising hosts, pages of logins and shops, files that are no text.
 BLOCK_GLOBS = (
     "*.spam*|*", "*-spam*|*", "*-pills.*|*", "*viagra*|*", "*casino*|*", "*-poker*|*", "*.poker*|*", "*-betting.*|*", "*porn*|*", "*.xxx|*", "*.adult|*", "*-escort*|*",

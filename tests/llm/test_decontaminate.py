@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import regex
 
-from lorewell.llm.decontaminate import MIN_FIXED, MIN_SHARE, MIN_WINDOWS, UNITS, WINDOW, contaminated, drop_contaminated, mark_contaminated
+from lorewell.llm.decontaminate import FULL_FIXED, MIN_FIXED, MIN_SHARE, MIN_WINDOWS, UNITS, WINDOW, contaminated, drop_contaminated, mark_contaminated
 
 from . import fixtures
 
@@ -61,8 +61,8 @@ def held(doc, item):
     windows = lambda v, k: [tuple(x[k] for x in v[i : i + n]) for i in range(len(v) - n + 1)]
     own = [windows(a, k) for k in (0, 1)]
     places = [windows(b, k) for k in (0, 1)]
-    if not b or n < WINDOW and sum(x[1] not in ("N", "#", "U") for x in b) < MIN_FIXED:
-        places[1] = []
+    floor = FULL_FIXED if n == WINDOW else MIN_FIXED
+    places[1] = [w if sum(x not in ("N", "#", "U") for x in w) >= floor else None for w in places[1]]
     enough = lambda c: c >= MIN_WINDOWS or c >= MIN_SHARE * max(1, len(b) - n + 1)
     literal = {p for p, w in enumerate(places[0]) if w in own[0]}
     if enough(len(literal)) and literal:
@@ -110,6 +110,17 @@ def test_template_copies_match_brute_force(spark):
     assert sum(ITEM not in docs[d] for d in want) > 10
 
 
+def test_pages_of_figures_or_names_are_clean(spark):
+    """Runs of placeholders stand for each other one to one, but say nothing; a question with words is still found."""
+    figures = " ".join(str(i) for i in range(9000, 9060))
+    asked = "Anna buys 7 red apples for 3 euros and sells 5 of them. How many apples are left?"
+    again = "Bruno buys 19 red apples for 8 euros and sells 6 of them. How many apples are left?"
+    bench = spark.createDataFrame([(1, figures), (2, asked), (3, " ".join(f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)))], "item_id long, text string")
+    docs = [" ".join(map(str, range(9000))), again, " ".join(f"Other{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)), "page " + figures]
+    got = {r.doc_id: r["items"] for r in contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()}
+    assert got == {1: [2], 3: [1]}
+
+
 def test_both_items_and_part_of_one(spark):
     part = " ".join(OTHER.split()[:14])
     assert run(spark, [ITEM + ". " + OTHER, part, " ".join(OTHER.split()[:9])]) == {0: [1, 2], 1: [2], 2: []}

@@ -82,7 +82,12 @@ def test_samples_are_bounded_by_language_and_in_all(spark):
     assert len(whole) == 40 and all(len(v) == 5 for v in whole.values())
     many = docs.selectExpr("doc_id", "text", "cast(doc_id AS string) AS lang").unionByName(docs.selectExpr("doc_id", "repeat('x', 200000) AS text", "'long' AS lang"))
     found = _training_texts(many, "doc_id", "text", "lang", 300)
-    assert len(found) > 1000 and "long" not in found and all(len(v) == 1 for v in found.values())
+    assert len(found) > 1000 and len(found["long"]) == 1 and all(len(v) == 1 for v in found.values())
+
+
+def test_long_texts_alone_are_learnt_from(spark):
+    docs = spark.createDataFrame([(i, ("the house and the garden " if i % 2 else "das Haus und der Garten ") * 5600, "en" if i % 2 else "de") for i in range(12)], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == ("en" if r.doc_id % 2 else "de") and r.score > 0.9 for r in identify_language(docs).collect())
 
 
 def test_cases(spark):

@@ -136,3 +136,10 @@ def test_equal_hashes_are_told_apart(monkeypatch, tokenizer):
 
 def test_empty_table(spark):
     assert pack_documents(fixtures.empty(spark), PATH).count() == 0
+
+
+def test_tiny_documents_need_no_padding():
+    packer = Packer(Limits())
+    out = [s for i in range(4000) for s in packer.feed(i, 3)] + list(packer.finish())
+    sizes = [sum(p.length for p in s) for s in out]
+    assert sum(sizes) == 12_000 and all(n == 2048 or n & (n - 1) == 0 for n in sizes)

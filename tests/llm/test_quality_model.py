@@ -57,7 +57,22 @@ def test_long_and_repeated_training_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
     out = classify_quality(docs, labels)
     assert out.count() == 71 and out.where("score is null").count() == 0
-    assert docs.where(F.octet_length("text") > sampling.LONGEST_TEXT).count() == 1
+
+
+def test_long_texts_alone_are_learnt_from(spark):
+    """Whatever the length of the texts, and however many labels are for documents that don't exist."""
+    docs = spark.createDataFrame([(i, ("good clean words here " if i % 2 else "### $$ junk 123 ") * 7000) for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int").union(spark.range(1000, 101_000).selectExpr("id", "1"))
+    out = {r.doc_id: r.score for r in classify_quality(docs, labels).collect()}
+    assert min(out[i] for i in range(1, 12, 2)) > max(out[i] for i in range(0, 12, 2)) + 0.2
+
+
+def test_sample_ends_at_its_bytes_with_one_of_each_label(spark):
+    rows = spark.createDataFrame([(i, i, 100, int(i < 95)) for i in range(100)] + [(200, 1, 10**9, 2)], "id long, text_hash long, size long, label int")
+    few = sampling.within_bytes(rows.where("label < 2"), "label", 1000, each=False).collect()
+    assert 10 <= len(few) <= 11 and {r.label for r in few} == {0, 1}
+    assert {r.label for r in sampling.within_bytes(rows, "label", 300, each=True).collect()} == {0, 1, 2}
+    assert {r.label for r in sampling.sample_by_hash(rows, "label", 3).collect()} == {0, 1, 2}
 
 
 def test_held_out_accuracy(spark):

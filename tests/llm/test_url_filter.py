@@ -44,6 +44,12 @@ def test_rules_against_plain_python(spark):
     assert sorted(got, key=key) == sorted([(i, *plain(u)) for i, u in rows], key=key)
 
 
+def test_rules_of_the_contract(spark):
+    urls = ["http://com/en/1", "https://a.example.com/en/7x", "http://example.com/en/8", "http://a.net/de/8", "ftp://WWW.Example.NET/de/8?q", "http://example.net/de/9", "http://x.org/es/", "http://casino.net/de/"]
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got == {0: ("com/en/", "block"), 1: ("example.com/en/7", "allow"), 2: ("com/en/", "block"), 3: ("net/de/", "allow"), 4: ("example.net/de/8", "block"), 5: ("net/de/", "allow"), 6: ("org/es/", "block"), 7: ("net/de/", "allow")}
+
+
 def test_canonical():
     assert canonical("me@www.spam.com:8080", "/A//b/%43%2f%7Ex%zz%") == ("www.spam.com", "/a/b/c%2f~x%zz%")
     assert canonical("host..", "") == ("host", "") and canonical("", "//") == ("", "/")
