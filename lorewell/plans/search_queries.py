@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lorewell.operators import ann, library, search, stats
 from lorewell.plans.registry import Registry, table
-from lorewell.session import saved
+from lorewell.session import fresh_folder, saved
+from lorewell.sources.textindex import TextIndex
 
 R = Registry()
 # Words of an index, and the stoplist that a corpus of 5,000 documents or more learns.
@@ -67,6 +68,20 @@ def learned_stoplist(spark, d):
     return search.stoplist(search.build_index(_docs(spark, d), _COLUMNS, "id"), least_docs=1, extras=["zzz", "The"])
 
 
+@R.query(f"""WITH {_BM25.replace('{k}', '10').replace('FROM documents', 'FROM (SELECT * FROM documents WHERE doc_id % 10 <> 3)').replace('docs >= 5000', 'docs >= 1000000000000')}
+SELECT query_id, id, round(score, 6) AS score, rank FROM sparse""")
+def indexed_top10(spark, d):
+    """BM25 over a kept index: documents come in batches, some twice, and some are deleted."""
+    folder = fresh_folder(spark)
+    index, docs = TextIndex(spark, folder, _COLUMNS), _docs(spark, d)
+    first = docs.where("id % 3 = 0").withColumn("text", F.when(F.col("id") % 2 == 0, F.lit("an old text of one and the same")).otherwise(F.col("text")))
+    for batch in (first, docs.where("id % 3 = 1"), docs.where("id % 3 = 2 or id % 6 = 0")):
+        index.add(batch)
+    index.delete(docs.where("id % 10 = 3"))
+    out = index.search(_queries(spark, d), 10)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @R.query()
 def stemmed_top10(spark, d):
     """BM25 over Porter stems, as the index's own tokenizer has them; tests hold it against plain Python."""

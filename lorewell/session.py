@@ -47,6 +47,14 @@ def saved(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder's name below the shared one; it is deleted when the session ends."""
+    folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def written(frame: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """The rows as a Parquet table in the shared folder, read again, and what deletes it (the session's end does, too)."""
     spark = frame.sparkSession

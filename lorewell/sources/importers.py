@@ -135,15 +135,3 @@ def gold_lines(lines: DataFrame) -> DataFrame:
     row = F.from_json("value", "id string, query string, category string, judgments map<string,int>").alias("r")
     return real.select(row).select("r.id", "r.query", F.coalesce("r.category", F.lit("lookup_fact")).alias("category"), F.coalesce("r.judgments", F.create_map().cast("map<string,int>")).alias("judgments"))
 
-
-def shadow_swap(frame: DataFrame, name: str, expected: Column | int | None = None) -> int:
-    """Writes a table beside its place, checks its count, and swaps it in; gives the rows written."""
-    spark = frame.sparkSession
-    frame.write.mode("overwrite").saveAsTable(f"{name}_shadow")
-    n = spark.table(f"{name}_shadow").count()
-    if expected is not None and n != expected:
-        spark.sql(f"DROP TABLE {name}_shadow")
-        raise ValueError(f"{name}: {n} rows, not {expected}")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {name}_shadow RENAME TO {name}")
-    return n
