@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.operators import closure
 from lorewell.operators.graph import claim_hash, key_hash
 
 #: Characters of a card's text fields, at most.
@@ -129,10 +130,11 @@ def repoint(table: DataFrame, merged: DataFrame, column: str) -> DataFrame:
 
 
 def merge_node_rows(nodes: DataFrame, node_support: DataFrame, aliases: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, support, aliases) after merges: losers are marked, their support and names join the survivor's, each once.
+    """(nodes, support, aliases) after merges: losers are marked, their support and names join those of the node that their merges end at, each once.
 
     nodes: (id, label, status); node_support: (id, doc_id, ...); aliases: (id, alias).
     """
+    merged = closure.settle(merged)
     lost = merged.select(F.col("loser").alias("id"), F.lit(True).alias("_lost"))
     marked = nodes.join(lost, "id", "left").withColumn("status", F.when(F.col("_lost"), "merged").otherwise(F.col("status"))).select(nodes.columns)
     support = repoint(node_support, merged, "id").dropDuplicates(["id", "doc_id"])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
+from lorewell.operators import closure
 
 SAME_SIM, NEAR_SIM, STRONG_SIM = 0.86, 0.72, 0.93
 CLAIM = ("src", "dst", "family", "type", "polarity", "regime")
@@ -111,7 +112,9 @@ def link_policy(pairs: DataFrame) -> DataFrame:
 
 
 def merge_nodes(edges: DataFrame, merged: DataFrame) -> DataFrame:
-    """Edges (src, dst, family, type, polarity, regime, doc_id, trust_weight) re-pointed by (loser, survivor), without self-loops, equal claims as one."""
+    """Edges (src, dst, family, type, polarity, regime, doc_id, trust_weight) re-pointed to where (loser, survivor) end, without self-loops, equal claims as one."""
+    merged = closure.settle(merged)
+
     def moved(frame: DataFrame, end: str) -> DataFrame:
         to = merged.select(F.col("loser").alias(end), F.col("survivor").alias("_to"))
         return frame.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")

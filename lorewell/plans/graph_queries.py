@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorewell.operators import ask, evaluate, graph, lexicon, provenance, rules, telemetry
+from lorewell.operators import ask, cards, closure, evaluate, graph, lexicon, provenance, rules, telemetry
 from lorewell.plans.registry import Registry, table
 from lorewell.sources import importers
 
@@ -104,6 +104,51 @@ def merged_nodes(spark, d):
     return graph.merge_nodes(c, ids.withColumn("survivor", F.col("loser") + 1)).select("src", "dst", "regime", "n_support", "trust")
 
 
+# Where merges m (loser, survivor) end: of all nodes that they connect, one that never loses, then the one of most support n, then the smallest.
+_SETTLED = """e AS (SELECT loser AS x, survivor AS y FROM m UNION SELECT survivor, loser FROM m),
+r AS (SELECT x AS node, x AS reached FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.reached),
+g AS (SELECT node, min(reached) AS component FROM r GROUP BY node),
+w AS (SELECT component, node AS survivor FROM g LEFT JOIN n ON n.id = node
+  QUALIFY row_number() OVER (PARTITION BY component ORDER BY node IN (SELECT loser FROM m), -coalesce(n_support, 0), node) = 1),
+z AS (SELECT node AS loser, survivor FROM g JOIN w USING (component) WHERE node <> survivor)"""
+# Chains of twelve nodes of part, every other one closed to a cycle, and a star of all keys that 100 divides.
+_CHAINS = """m AS (SELECT p_partkey AS loser, p_partkey + 1 AS survivor FROM part WHERE p_partkey % 12 <> 11 UNION SELECT p_partkey, p_partkey - 11 FROM part
+  WHERE p_partkey % 24 = 11 UNION SELECT p_partkey, 0 FROM part WHERE p_partkey % 100 = 0 AND p_partkey > 0)"""
+
+
+def _chains(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("loser"))
+    parts = (p.where("loser % 12 <> 11").selectExpr("loser", "loser + 1 survivor"), p.where("loser % 24 = 11").selectExpr("loser", "loser - 11 survivor"), p.where("loser % 100 = 0 and loser > 0").selectExpr("loser", "0L survivor"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@R.query(f"WITH RECURSIVE {_CHAINS}, n AS (SELECT p_partkey AS id, p_size AS n_support FROM part), {_SETTLED} SELECT loser, survivor FROM z")
+def settled_merges(spark, d):
+    """Merges in chains and cycles, each to the node that it ends at."""
+    return closure.settle(_chains(spark, d), table(spark, d, "part").selectExpr("p_partkey id", "p_size n_support"))
+
+
+@R.query(f"""WITH RECURSIVE {_CHAINS}, n AS (SELECT 0 AS id, 0 AS n_support), {_SETTLED}, {_CLAIMS},
+k AS (SELECT coalesce(a.survivor, src) AS src, coalesce(b.survivor, dst) AS dst, regime, doc_id, trust_weight FROM c LEFT JOIN z a ON a.loser = src LEFT
+  JOIN z b ON b.loser = dst)
+SELECT src, dst, regime, count(DISTINCT doc_id) AS n_support, max(trust_weight) AS trust FROM k WHERE src <> dst GROUP BY 1, 2, 3""")
+def chain_merged_edges(spark, d):
+    """Edges after merges in chains: each end is the node that its chain ends at."""
+    c = _claims(spark, d).withColumns({"family": F.lit("supply"), "type": F.lit("of"), "polarity": F.lit("+")})
+    return graph.merge_nodes(c, _chains(spark, d)).select("src", "dst", "regime", "n_support", "trust")
+
+
+@R.query(f"""WITH RECURSIVE {_CHAINS}, n AS (SELECT 0 AS id, 0 AS n_support), {_SETTLED},
+t AS (SELECT DISTINCT coalesce(survivor, l_partkey) AS id, l_orderkey FROM lineitem LEFT JOIN z ON loser = l_partkey), s AS (SELECT id, count(*) AS n FROM t GROUP BY id)
+SELECT p_partkey AS id, CASE WHEN p_partkey IN (SELECT loser FROM z) THEN 'merged' ELSE 'active' END AS status, coalesce(s.n, 0) AS n_support
+FROM part LEFT JOIN s ON s.id = p_partkey""")
+def chain_merged_rows(spark, d):
+    """Nodes and the documents that they have after merges in chains."""
+    p = table(spark, d, "part")
+    marked, support, _ = cards.merge_node_rows(p.selectExpr("p_partkey id", "p_name label", "'active' status"), table(spark, d, "lineitem").selectExpr("l_partkey id", "l_orderkey doc_id"), p.selectExpr("p_partkey id", "p_brand alias"), _chains(spark, d))
+    return marked.join(support.groupBy("id").agg(F.count("*").alias("n_support")), "id", "left").select("id", "status", F.coalesce("n_support", F.lit(0).cast("long")).alias("n_support"))
+
+
 _DOT = "round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 9)"
 
 
