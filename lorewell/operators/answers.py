@@ -67,10 +67,12 @@ def note(band: Column) -> Column:
     return _said(NOTES, band)
 
 
-def trust_factors(support: DataFrame, bulk_docs: list[str], low: str = "research") -> DataFrame:
-    """(kind, id, factor): PRIOR where all support is bulk imports, times LOW_TRUST where all is of a provenance of low trust."""
+def trust_factors(support: DataFrame, bulk_docs: DataFrame | None, low: str = "research") -> DataFrame:
+    """(kind, id, factor): PRIOR where all support is of bulk imports (doc_id), times LOW_TRUST where all is of a provenance of low trust."""
+    bulk = None if bulk_docs is None else bulk_docs.select("doc_id", F.lit(True).alias("_bulk")).where("doc_id is not null").distinct()
+    support = support.withColumn("_bulk", F.lit(False)) if bulk is None else support.join(bulk, "doc_id", "left")
     all_of = lambda c: F.min(F.coalesce(c, F.lit(False)).cast("int")) == 1
-    rows = support.groupBy("kind", "id").agg(all_of(F.col("doc_id").isin(bulk_docs)).alias("p"), all_of(F.col("provenance") == low).alias("l"))
+    rows = support.groupBy("kind", "id").agg(all_of(F.col("_bulk")).alias("p"), all_of(F.col("provenance") == low).alias("l"))
     return rows.select("kind", "id", (F.when(F.col("p"), PRIOR).otherwise(1.0) * F.when(F.col("l"), LOW_TRUST).otherwise(1.0)).alias("factor"))
 
 
@@ -107,7 +109,7 @@ def _walk(start: DataFrame, edges: DataFrame, end: str, families: list[str] | No
     return both.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= EDGES_EACH).select("query_id", "id", "base", "query", "type", "polarity", F.col("brief").alias("text"), "regime")
 
 
-def answer(questions: DataFrame, hits: DataFrame, nodes: DataFrame, edges: DataFrame, cards: DataFrame, support: DataFrame, bulk_docs: list[str], k: int = 6, mode: str | None = None, strict: bool = False, card_hits: DataFrame | None = None, pressure: DataFrame | None = None, facets: DataFrame | None = None, required: dict[str, list] | None = None, excluded: dict[str, list] | None = None) -> DataFrame:
+def answer(questions: DataFrame, hits: DataFrame, nodes: DataFrame, edges: DataFrame, cards: DataFrame, support: DataFrame, bulk_docs: DataFrame | None, k: int = 6, mode: str | None = None, strict: bool = False, card_hits: DataFrame | None = None, pressure: DataFrame | None = None, facets: DataFrame | None = None, required: dict[str, list] | None = None, excluded: dict[str, list] | None = None) -> DataFrame:
     """(query_id, rank, kind, id, role, score, text, confidence, band, tier, note): the items of each answer, and how well the best one grounds it.
 
     hits: (query_id, kind, id, score), what a search found.  nodes: (id, label, summary, regime,

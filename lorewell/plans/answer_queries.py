@@ -66,11 +66,11 @@ def hydrated_items(spark, d):
 
 
 @R.query("""WITH c AS (SELECT p_brand AS node_id, p_partkey AS card_id FROM part WHERE p_size % 3 <> 0)
-SELECT node_id, card_id FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY card_id) AS n FROM c WHERE node_id LIKE 'Brand#_1') WHERE n <= 10""")
+SELECT node_id, card_id FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY card_id) AS n FROM c) WHERE n <= 10""")
 def cards_of_nodes(spark, d):
     p = table(spark, d, "part")
     own = p.selectExpr("p_brand node_id", "p_partkey card_id", "case when p_size % 3 <> 0 then 'active' else 'merged' end status")
-    return cards.cards_for(p.where("p_brand like 'Brand#_1'").select(F.col("p_brand").alias("node_id")), own)
+    return cards.cards_for(p.select(F.col("p_brand").alias("node_id")), own)
 
 
 @R.query("""SELECT o_orderkey AS edge_id, CASE WHEN o_custkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN o_orderpriority ELSE o_orderstatus END AS stage, CASE WHEN o_orderkey % 3 <> 0 THEN 'x' END AS more FROM orders""")
@@ -152,8 +152,7 @@ def _support(spark, d):
 
 @R.query(f"WITH {_SUPPORT} SELECT 'card' AS kind, id::VARCHAR AS id, (CASE WHEN bool_and(bulk) THEN 0.5 ELSE 1.0 END * CASE WHEN bool_and(provenance IS NOT NULL) THEN 0.85 ELSE 1.0 END)::DOUBLE AS factor FROM s GROUP BY s.id")
 def trust_factors(spark, d):
-    bulk = [str(r[0]) for r in table(spark, d, "supplier").where("s_suppkey % 3 = 0").select("s_suppkey").toLocalIterator()]
-    return answers.trust_factors(_support(spark, d), bulk)
+    return answers.trust_factors(_support(spark, d), table(spark, d, "supplier").where("s_suppkey % 3 = 0").selectExpr("cast(s_suppkey as string) doc_id"))
 
 
 _ITEMS = "i AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'fictional' WHEN 1 THEN 'empirical' WHEN 2 THEN 'interpretive' END AS regime FROM orders)"
@@ -204,12 +203,12 @@ def derived_facets(spark, d):
 
 @R.query("""WITH f AS (SELECT l_orderkey AS id, 'flag:' || string_agg(DISTINCT l_returnflag, '+' ORDER BY l_returnflag) AS a,
   'status:' || string_agg(DISTINCT l_linestatus, '+' ORDER BY l_linestatus) AS b FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS id, coalesce(a || ' ' || b, '') AS facets FROM orders LEFT JOIN f ON id = o_orderkey WHERE o_orderkey % 2 = 0 UNION ALL SELECT -1, ''""")
+SELECT o_orderkey AS id, coalesce(a || ' ' || b, '') AS facets FROM orders LEFT JOIN f ON id = o_orderkey UNION ALL SELECT -1, ''""")
 def facets_of_items(spark, d):
     """The facets of the items asked for (of which one has none), as text."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     facets = li.select(F.col("l_orderkey").alias("id"), F.lit("flag").alias("axis"), F.col("l_returnflag").alias("value")).union(li.select("l_orderkey", F.lit("status"), "l_linestatus"))
-    asked = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id")).union(spark.sql("SELECT -1L"))
+    asked = o.select(F.col("o_orderkey").alias("id")).union(spark.sql("SELECT -1L"))
     out = ask.facets_of(asked, facets)
     each = F.transform(F.map_entries("facets"), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], "+")))
     return out.select("id", F.array_join(each, " ").alias("facets"))
@@ -293,7 +292,7 @@ def understood_questions(spark, d):
 def answered_questions(spark, d):
     """Answers to questions about each supplier over a graph of suppliers, parts and what they cause; tests hold them against plain Python."""
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
-    return answers.answer(*answer_tables(s.join(n, s.s_nationkey == n.n_nationkey), table(spark, d, "part"), table(spark, d, "lineitem")), [], 6)
+    return answers.answer(*answer_tables(s.join(n, s.s_nationkey == n.n_nationkey), table(spark, d, "part"), table(spark, d, "lineitem")), None, 6)
 
 
 def answer_tables(s, p, li):

@@ -421,12 +421,14 @@ def imported_assertions(spark, d):
 
 
 @R.query("""WITH t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS tokens FROM documents),
-a AS (SELECT DISTINCT item_id AS alias_id, (list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))[1:3] AS seq FROM benchmark),
+b AS (SELECT item_id AS alias_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+a AS (SELECT DISTINCT alias_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS seq FROM b),
 g AS (SELECT id, i - 1 AS pos, array_to_string(tokens[i:i + 2], chr(31)) AS g FROM t, range(1, 100000) r(i) WHERE i <= len(tokens) - 2)
 SELECT id, pos, alias_id FROM g JOIN a ON array_to_string(seq, chr(31)) = g""")
 def alias_hits(spark, d):
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    aliases = table(spark, d, "benchmark").select(F.col("item_id").alias("alias_id"), F.slice(words, 1, 3).alias("seq"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("alias_id"), words.alias("w")).where(F.size("w") >= 3)
+    aliases = items.select("alias_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.slice("w", i, 3))).alias("seq")).distinct()
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens"))
     return lexicon.match_tokens(docs, aliases).withColumn("pos", F.col("pos").cast("long"))
 

@@ -92,6 +92,7 @@ def zones(spark, d):
 
 
 _NOTICES = ["", "Copyright 2015 by Acme Press. All rights reserved", "SPDX-License-Identifier: gplv3", "see creativecommons.org/licenses/by-nc/3.0 ", "creativecommons.org/publicdomain/mark", "(c) 1999-2004 Jane Doe, licensed under MIT", "in the PUBLIC domain", "SPDX-License-Identifier: Own-1"]
+_HOLDER = r"""'(?i)(?:©|\(c\)|copyright)\s*(?:©\s*)?(?:(\d{4})(?:\s*[-–]\s*\d{4})?)?\s*(?:by\s+)?([A-Z][A-Za-z0-9.,&''’\- ]{2,70})'"""
 _FOUND = ["", "Acme Press|all-rights-reserved", "|GPL-3.0-only", "|CC-BY-NC-4.0", "|public-domain", "Jane Doe|", "|public-domain", "|unknown"]
 
 
@@ -100,16 +101,17 @@ WITH t AS (SELECT doc_id, text, doc_id % 8 + 1 AS k FROM documents),
 c AS (SELECT doc_id, k, regexp_extract(text, 'SPDX-License-Identifier:\\s*([A-Za-z0-9.\\-+]+)', 1) AS tag, regexp_extract(text,
   '(?i)creativecommons\\.org/licenses/(by[a-z-]*)/', 1) AS cc,
   regexp_matches(substr(text, 1, 20000), '(?i)\\bpublic domain\\b') AS pd, regexp_matches(substr(text, 1, 20000), '(?i)\\ball rights reserved\\b') AS arr FROM t),
-p AS (SELECT doc_id, {[x.split("|")[-1] for x in _FOUND]}[k] AS planted, tag, cc, pd, arr, k, {[x.split("|")[0] for x in _FOUND]}[k] AS holder FROM c)
+h AS (SELECT doc_id AS id, trim(regexp_extract(substr({_NOTICES}[k] || chr(10) || text, 1, 20000), {_HOLDER}, 2), ' .,-') AS h FROM t),
+o AS (SELECT id, trim(regexp_replace(h, '(?i)(?:\\.\\s|\\s+(?:all rights|is\\s+licensed|licensed|under|released|published|\\d{{4}})).*$', ''), ' .,-') AS holder FROM h),
+p AS (SELECT doc_id, {[x.split("|")[-1] for x in _FOUND]}[k] AS planted, tag, cc, pd, arr, k, holder FROM c JOIN o ON id = doc_id)
 SELECT doc_id, CASE WHEN k IN (3, 8) THEN planted WHEN tag <> '' THEN tag WHEN k IN (4, 5) THEN planted
   WHEN cc <> '' THEN 'CC-' || upper(cc) || '-4.0' WHEN pd OR k = 7 THEN 'public-domain' WHEN arr OR k = 2 THEN 'all-rights-reserved' END AS licence,
-  CASE WHEN holder <> '' THEN holder END AS holder FROM p""")
+  CASE WHEN length(holder) >= 2 THEN holder END AS holder FROM p""")
 def licences(spark, d):
-    """Licences of the documents behind a notice each, and the holders that the notices name."""
+    """Licences of the documents behind a notice each, and the holders that they name."""
     notice = F.array(*map(F.lit, _NOTICES))[(F.col("doc_id") % 8).cast("int")]
     docs = table(spark, d, "documents").select("doc_id", T.detect_licence(F.concat(notice, F.lit("\n"), F.col("text"))).alias("f"))
-    holder = F.when((F.col("doc_id") % 8).isin(1, 5), F.col("f.holder"))
-    return docs.select("doc_id", "f.licence", holder.alias("holder"))
+    return docs.select("doc_id", "f.licence", "f.holder")
 
 
 @R.query("""

@@ -75,7 +75,7 @@ def test_answers_equal_plain_python(spark, mode):
     n, s = table("nation"), table("supplier")
     tables = answer_tables(s.join(n, s.s_nationkey == n.n_nationkey), table("part"), table("lineitem"))
     got = {}
-    for r in answers.answer(*tables, [], 6, mode).collect():
+    for r in answers.answer(*tables, None, 6, mode).collect():
         got.setdefault(r.query_id, []).append(r)
     asked, hits, nodes, edges, cards, support = map(rows, tables)
     understood = {r["query_id"]: r for r in rows(answers.understand(tables[0]))}
@@ -94,7 +94,7 @@ def test_an_unfounded_question_has_one_row(spark):
     table = lambda n: spark.read.parquet(f"{SMALL}/{n}.parquet")
     n, s = table("nation"), table("supplier")
     asked, hits, *rest = answer_tables(s.join(n, s.s_nationkey == n.n_nationkey), table("part"), table("lineitem"))
-    out = answers.answer(asked, hits.limit(0), *rest, [])
+    out = answers.answer(asked, hits.limit(0), *rest, None)
     assert {(r.band, r.tier, r.kind) for r in out.collect()} == {("none", 4, None)} and out.count() == asked.count()
     assert answers.gap_questions(out, asked).count() == asked.select(F.lower("query")).distinct().count()
 
