@@ -164,7 +164,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     own = docs.select(F.col(id_col).alias("id"), F.struct(F.xxhash64(text_col).alias("text_hash"), sampling.size_of(text_col)).alias("text")).groupBy("id").agg(F.min("text").alias("text"))
-    known = marked.where(~sampling.held_out("id")).join(own, "id").select("id", "label", "text.*")
+    known = saved(marked.where(~sampling.held_out("id")).join(own, "id").select("id", "label", "text.*"))
     chosen = saved(sampling.sample_by_hash(known, "label", training_docs))
     keys = saved(sampling.within_bytes(chosen, "label", sampling.SAMPLE_BYTES, each=False).drop("size", "place"))
     rows = sampling.texts_of(docs, keys, id_col, text_col).select(F.coalesce("text", F.lit("")).alias("text"), "label").orderBy("text", "label").collect()

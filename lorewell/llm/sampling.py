@@ -18,8 +18,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def sample_by_hash(labelled: DataFrame, label: str, most: int) -> DataFrame:
     """Of rows (id, text_hash, size, a label) ``most`` and the first of each label, those of the smallest hash of the id: the same whatever the partitions."""
-    by_hash = Window.partitionBy(label).orderBy(F.xxhash64("id"), "id")
-    firsts = labelled.withColumn("place", F.row_number().over(by_hash)).where("place = 1").drop("place")
+    rest = [c for c in labelled.columns if c != label]
+    first = F.min(F.struct(F.xxhash64("id").alias("_h"), *rest)).alias("_r")
+    firsts = labelled.groupBy(label).agg(first).select(label, *[F.col(f"_r.{c}") for c in rest]).select(labelled.columns)
     return labelled.orderBy(F.xxhash64("id"), "id").limit(most).union(firsts).distinct()
 
 
