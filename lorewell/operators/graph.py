@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
 from lorewell.operators import closure
+from lorewell.operators.blocks import ANY, near_in_blocks
 
 SAME_SIM, NEAR_SIM, STRONG_SIM = 0.86, 0.72, 0.93
 CLAIM = ("src", "dst", "family", "type", "polarity", "regime")
@@ -104,13 +105,6 @@ def resolve_queue(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.withColumn("decision", decision).select("a", "b", "decision", F.when(F.col("decision") == "same", F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b"))).alias("survivor"))
 
 
-def link_policy(pairs: DataFrame) -> DataFrame:
-    """Adds action to (label stems a and b, similarity): same, is_a, candidate or new."""
-    overlap = F.size(F.array_intersect("a", "b")) > 0
-    subset = (F.size(F.array_intersect("a", "b")) == F.size("a")) & (F.size("a") < F.size("b"))
-    return pairs.withColumn("action", F.when((F.col("similarity") >= SAME_SIM) & overlap, "same").when((F.col("similarity") >= NEAR_SIM) & subset, "is_a").when(F.col("similarity") >= NEAR_SIM, "candidate").otherwise("new"))
-
-
 def merge_nodes(edges: DataFrame, merged: DataFrame) -> DataFrame:
     """Edges (src, dst, family, type, polarity, regime, doc_id, trust_weight) re-pointed to where (loser, survivor) end, without self-loops, equal claims as one."""
     merged = closure.settle(merged)
@@ -125,20 +119,17 @@ def merge_nodes(edges: DataFrame, merged: DataFrame) -> DataFrame:
 def knn_pairs(vectors: DataFrame, anchors: DataFrame, k: int = 3, floor: float = 0.5, known: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity): each anchor's k nearest other vectors above a floor, without pairs known already.
 
-    Every vector meets every anchor (a stated query set, taken in blocks); a task keeps as many
-    candidates of an anchor as the k, itself and the known pairs of one anchor can be.
+    Vectors and anchors (whole numbers as ids) meet in bounded blocks; a block keeps k rows of an anchor and
+    as many more as it has known pairs of its own.
     """
-    from lorewell.operators.search import scored_vectors
-
-    asked = anchors.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    asked = anchors.select("id", "vec").withColumn("more", F.lit(0))
     pair = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
-    more = 1
     if known is not None:
         known = known.select(*pair).distinct()
-        ends = known.select(F.col("x").alias("id")).unionAll(known.select("y")).join(anchors.select("id"), "id", "left_semi")
-        more += ends.groupBy("id").count().agg(F.max("count").alias("m")).first()["m"] or 0
-    rows = scored_vectors(vectors.select("id", "vec"), asked, k + more, floor)
-    near = rows.select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("similarity")).where("a <> b")
+        own = known.select(F.col("x").alias("id")).unionAll(known.select("y")).groupBy("id").agg(F.count("*").alias("own"))
+        asked = asked.join(own, "id", "left").select("id", "vec", F.coalesce("own", F.lit(0)).alias("more"))
+    rows = near_in_blocks(asked.select("id", "vec", (F.col("more") + k).alias("keep"), F.lit(floor).alias("floor"), F.lit(ANY).alias("tie")), vectors)
+    near = rows.select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("similarity"))
     if known is not None:
         near = near.select("*", *pair).join(known, ["x", "y"], "left_anti").drop("x", "y")
     w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.operators.context import content_version
+
 #: Concepts of a salient set, and the fewest cards of a pair.
 K_COOC, MIN_COOC = 20, 3
 
@@ -72,35 +70,27 @@ def check_params(k_cooc: int, min_cooc: int) -> None:
             raise ValueError(f"E_BAD_PARAM: {name} is a whole number of {least} or more, not {value!r}")
 
 
-def _quoted(c: str):
-    return F.regexp_replace(F.to_json(F.array(F.col(c).cast("string"))), r"^\[|\]$", "")
-
-
-def stats_version(postings: DataFrame, k_cooc: int = K_COOC, min_cooc: int = MIN_COOC, algorithm: str = ALGORITHM) -> str:
-    """SHA-256 over algorithm, parameters and the postings in order, a JSON line each.
-
-    Rows are sorted by range on the executors and pass the driver one at a time.
-    """
+def stats_version(postings: DataFrame, k_cooc: int = K_COOC, min_cooc: int = MIN_COOC, algorithm: str = ALGORITHM) -> DataFrame:
+    """(postings, version): SHA-256 over algorithm, parameters and a digest of the postings, whatever their order."""
     check_params(k_cooc, min_cooc)
-    line = F.concat(F.lit("["), _quoted("card_id"), F.lit(","), _quoted("concept_id"), F.lit(","), F.col("local_count").cast("long").cast("string"), F.lit("]"))
-    rows = postings.select(F.col("card_id").cast("string").alias("a"), F.col("concept_id").cast("string").alias("b"), line.alias("line")).orderBy("a", "b").select("line")
-    digest = hashlib.sha256(f'{algorithm}{PARTS}{{"K_COOC":{k_cooc},"MIN_COOC":{min_cooc}}}{PARTS}'.encode())
-    for i, r in enumerate(rows.toLocalIterator()):
-        digest.update((("\n" if i else "") + r["line"]).encode())
-    return digest.hexdigest()
-
-
-def report(postings: DataFrame, k_cooc: int = K_COOC, min_cooc: int = MIN_COOC, algorithm: str = ALGORITHM) -> Iterator[str]:
-    """The report as canonical JSON, piece by piece: version, parameters, corpus, salience and kept pairs in order."""
-    version = stats_version(postings, k_cooc, min_cooc, algorithm)
-    compact = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
-    n = postings.agg(F.countDistinct("card_id")).first()[0]
-    yield compact({"stats_version": version, "algo_version": algorithm, "params": {"K_COOC": k_cooc, "MIN_COOC": min_cooc}, "corpus": {"N": n}})[:-1]
-    weights = salience(postings).orderBy("card_id", "concept_id").select("card_id", "concept_id", "weight")
-    pairs = cooccurrence(postings, k_cooc, min_cooc).where("outcome = 'kept'").orderBy("concept_a", "concept_b").select("concept_a", "concept_b", F.col("pmi").alias("ppmi"), "cooc_count")
-    for name, rows in (("salience", weights), ("cooccurrence", pairs)):
-        yield f',"{name}":['
-        for i, r in enumerate(rows.toLocalIterator()):
-            yield ("," if i else "") + compact(r.asDict())
-        yield "]"
-    yield "}"
+    params = f'{{"K_COOC":{k_cooc},"MIN_COOC":{min_cooc}}}'
+    content = content_version(postings, ["card_id", "concept_id", "local_count"])
+    return content.select(F.col("rows").alias("postings"), F.sha2(F.concat_ws(PARTS, F.lit(algorithm), F.lit(params), F.col("version")), 256).alias("version"))
+
+
+def report(postings: DataFrame, k_cooc: int = K_COOC, min_cooc: int = MIN_COOC, algorithm: str = ALGORITHM) -> DataFrame:
+    """(section, a, b, line): JSON lines of the head (version, parameters, cards), the salience and the kept pairs, in the order of these columns."""
+    n = postings.agg(F.countDistinct("card_id").alias("n"))
+    params = F.struct(F.lit(k_cooc).alias("K_COOC"), F.lit(min_cooc).alias("MIN_COOC"))
+    head = stats_version(postings, k_cooc, min_cooc, algorithm).join(n).select(F.struct(F.col("version").alias("stats_version"), F.lit(algorithm).alias("algo_version"), params.alias("params"), F.struct(F.col("n").alias("N")).alias("corpus")).alias("r"))
+    weights = salience(postings).select("card_id", "concept_id", F.struct("card_id", "concept_id", "weight").alias("r"))
+    pairs = cooccurrence(postings, k_cooc, min_cooc).where("outcome = 'kept'").select("concept_a", "concept_b", F.struct("concept_a", "concept_b", F.col("pmi").alias("ppmi"), "cooc_count").alias("r"))
+    rows = head.select(F.lit("head").alias("section"), F.lit("").alias("a"), F.lit("").alias("b"), F.to_json("r").alias("line"))
+    for name, frame, a, b in (("salience", weights, "card_id", "concept_id"), ("pairs", pairs, "concept_a", "concept_b")):
+        rows = rows.unionAll(frame.select(F.lit(name), F.col(a).cast("string"), F.col(b).cast("string"), F.to_json("r")))
+    return rows
+
+
+def write_report(rows: DataFrame, folder: str) -> None:
+    """The lines as text files that are in order one after the other: the head, pairs, salience."""
+    rows.orderBy("section", "a", "b").select("line").write.text(folder)

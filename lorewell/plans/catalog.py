@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lorewell.plans import answer_queries, graph_queries, library_queries, record_queries, search_queries, text_queries
+from lorewell.plans import answer_queries, graph_queries, library_queries, linking_queries, record_queries, search_queries, text_queries
 from lorewell.plans.registry import Query
 
-AREAS = (search_queries.R, text_queries.R, graph_queries.R, record_queries.R, library_queries.R, answer_queries.R)
+AREAS = (search_queries.R, text_queries.R, graph_queries.R, record_queries.R, library_queries.R, answer_queries.R, linking_queries.R)
 
 
 def queries() -> dict[str, Query]:
