@@ -35,12 +35,24 @@ def tier(band: Column) -> Column:
     return F.when(band == "high", 1).when(band == "medium", 2).when(band == "low", 3).otherwise(4)
 
 
+def _same_sets(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, set) and (set, feature, value): equal sets of features are one, named by their hash."""
+    sets = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("feature", "value"))).alias("s")).withColumn("set", F.sha2(F.to_json("s"), 256))
+    content = sets.groupBy("set").agg(F.first("s").alias("s")).select("set", F.explode("s").alias("f")).select("set", "f.feature", "f.value")
+    return sets.select(key, "set"), content
+
+
 def feature_overlap(wanted: DataFrame, has: DataFrame) -> DataFrame:
-    """(query_id, id, overlap) of features (query_id, feature, value) and (id, feature, value): a clash costs half a match."""
-    n = wanted.groupBy("query_id").agg(F.countDistinct("feature").alias("n"))
-    match = wanted.join(has.withColumnRenamed("value", "own"), "feature").groupBy("query_id", "id", "feature").agg(F.max((F.col("value") == F.col("own")).cast("int")).alias("m"))
-    sums = match.groupBy("query_id", "id").agg(F.sum("m").alias("hits"), F.sum(1 - F.col("m")).alias("misses")).join(n, "query_id")
-    return sums.select("query_id", "id", F.round(F.greatest(F.lit(0.0), (F.col("hits") - 0.5 * F.col("misses")) / (F.col("n") + 1e-6)), 6).alias("overlap"))
+    """(query_id, id, overlap) of features (query_id, feature, value) and (id, feature, value): a clash costs half a match.
+
+    Sets of features are scored against sets, once for all that have equal ones; ids meet by their sets alone.
+    """
+    (asked, want), (held, own) = _same_sets(wanted, "query_id"), _same_sets(has, "id")
+    n = want.groupBy("set").agg(F.countDistinct("feature").alias("n"))
+    match = want.join(own.select(F.col("set").alias("other"), "feature", F.col("value").alias("own")), "feature").groupBy("set", "other", "feature").agg(F.max((F.col("value") == F.col("own")).cast("int")).alias("m"))
+    sums = match.groupBy("set", "other").agg(F.sum("m").alias("hits"), F.sum(1 - F.col("m")).alias("misses")).join(n, "set")
+    scored = sums.select("set", "other", F.round(F.greatest(F.lit(0.0), (F.col("hits") - 0.5 * F.col("misses")) / (F.col("n") + 1e-6)), 6).alias("overlap"))
+    return scored.join(asked, "set").join(held.withColumnRenamed("set", "other"), "other").select("query_id", "id", "overlap")
 
 
 def facet_filter(items: DataFrame, facets: DataFrame, required: dict[str, list], exclude: dict[str, list] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -98,32 +99,82 @@ def shingle_rows(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
     return at.where((F.col("pos") == 0) | (F.col("pos") + k <= F.size("w"))).select("text_hash", "id", gram.alias("h")).distinct()
 
 
-def near_pairs(chunks: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(first, later, similarity) of all pairs that reach the threshold, to four digits.
+def _near_sets(chunks: DataFrame, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Shared shingles of each text (id, n, s), rarest first, and the index (id, n, k) of those by which texts meet.
 
-    Equal texts are paired through their first id alone, so that a large group of copies makes
-    a row each instead of all pairs; only first ids are compared.  Two sets that reach the
-    threshold share one of the rarest shingles of both: those up to so many that the others
+    Two sets that reach the threshold share one of the rarest shingles of both: those up to so many that the others
     could not reach it.  Shingles of one text alone count among them, but lead nowhere.
     """
-    texts = distinct_texts(chunks, id_col, text_col)
-    grams = saved(shingle_rows(texts).select("id", "h"))
+    grams = saved(shingle_rows(distinct_texts(chunks, id_col, text_col)).select("id", "h"))
     often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     shared = grams.join(often, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    least = threshold - 1e-4
     sets = grams.groupBy("id").agg(F.count("*").alias("n")).join(shared, "id")
     need = F.col("n") - F.ceil(F.col("n") * least) + 1 - (F.col("n") - F.size("s"))
     sets = saved(sets.select("id", "n", F.col("s.h").alias("s"), need.cast("int").alias("need"))).where("need > 0")
-    index = sets.select("id", "n", F.explode(F.slice("s", F.lit(1), F.col("need"))).alias("k"))
+    return sets, sets.select("id", "n", F.explode(F.slice("s", F.lit(1), F.col("need"))).alias("k"))
+
+
+def _met(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(first, later): texts of two indices with a key in common, of sizes that can reach the threshold."""
     sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least
-    pairs = index.alias("a").join(index.alias("b"), "k").where((F.col("a.id") < F.col("b.id")) & sized).select(F.col("a.id").alias("first"), F.col("b.id").alias("later")).distinct()
+    return a.alias("a").join(b.alias("b"), "k").where((F.col("a.id") < F.col("b.id")) & sized).select(F.col("a.id").alias("first"), F.col("b.id").alias("later")).distinct()
+
+
+def _near(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     side = lambda end: sets.select(F.col("id").alias(end), F.col("s").alias(f"s_{end}"), F.col("n").alias(f"n_{end}"))
     both = pairs.join(side("first"), "first").join(side("later"), "later").withColumn("c", F.size(F.array_intersect("s_first", "s_later")))
-    near = both.select("first", "later", F.round(F.col("c") / (F.col("n_first") + F.col("n_later") - F.col("c")), 4).alias("similarity")).where(F.col("similarity") >= threshold)
+    return both.select("first", "later", F.round(F.col("c") / (F.col("n_first") + F.col("n_later") - F.col("c")), 4).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _copies(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     owners = exact_owners(chunks, id_col, text_col).where("is_dupe")
-    empty = T.text_hash(F.lit(""))
-    copies = owners.where(F.col("text_hash") != empty).select(F.col("owner").alias("first"), F.col(id_col).alias("later"), F.lit(1.0).alias("similarity"))
-    return near.unionByName(copies)
+    return owners.where(F.col("text_hash") != T.text_hash(F.lit(""))).select(F.col("owner").alias("first"), F.col(id_col).alias("later"), F.lit(1.0).alias("similarity"))
+
+
+def near_pairs(chunks: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(first, later, similarity) of all pairs that reach the threshold, to four digits.
+
+    Equal texts are paired through their first id alone, so that a large group of copies makes
+    a row each instead of all pairs; only first ids are compared.  Pairs are what this yields, all of them;
+    ``near_owners`` has a row a text.
+    """
+    sets, index = _near_sets(chunks, threshold - 1e-4, id_col, text_col)
+    return _near(_met(index, index, threshold - 1e-4), sets, threshold).unionByName(_copies(chunks, id_col, text_col))
+
+
+#: Members of a key that a text meets in the first round, and how many times as many in each one after it.
+FIRST_MEMBERS, MORE_MEMBERS = 8, 8
+
+
+def near_owners(chunks: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(first, later, similarity): the smallest id whose text reaches the threshold, for each text that has an earlier one.
+
+    Equal to the first of each text's ``near_pairs``, without them.  Members of a key are ranked by id, and texts
+    meet the first few of each of their keys.  A text is done when its keys hold no unmet id below the
+    smallest partner that it found; the others meet further members, of which there are eight times as many a round.
+    Near copies of one text meet it in the first round, so that a group of n makes rows in proportion to n; many
+    rounds are left to texts that share their rarest shingles with many that they are no copies of.
+    """
+    least = threshold - 1e-4
+    sets, index = _near_sets(chunks, least, id_col, text_col)
+    ranked = saved(index.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("id"))))
+    undone, found, low, high = ranked.select("id").distinct(), None, 0, FIRST_MEMBERS
+    out: list[DataFrame] = []
+    while True:
+        asked = ranked.join(undone, "id", "left_semi")
+        near = _near(_met(ranked.where((F.col("r") > low) & (F.col("r") <= high)), asked, least), sets, threshold)
+        near = near if found is None else near.unionByName(found)
+        best = near.groupBy("later").agg(F.min(F.struct("first", "similarity")).alias("m")).select("later", "m.first", "m.similarity")
+        unmet = ranked.where(F.col("r") == high + 1).select("k", F.col("id").alias("cut"))
+        ahead = asked.join(unmet, "k").where("cut < id").groupBy("id").agg(F.min("cut").alias("cut"))
+        state = saved(undone.join(best.withColumnRenamed("later", "id"), "id", "left").join(ahead, "id", "left").withColumn("open", F.col("cut").isNotNull() & (F.col("first").isNull() | (F.col("cut") < F.col("first")))))
+        rows = state.select("first", F.col("id").alias("later"), "similarity", "open").where("first is not null")
+        out.append(rows.where("not open").drop("open"))
+        undone, found = state.where("open").select("id"), rows.where("open").drop("open")
+        if undone.isEmpty():
+            break
+        low, high = high, high * MORE_MEMBERS
+    return reduce(DataFrame.unionByName, [*out, _copies(chunks, id_col, text_col)])
 
 
 def near_marks(pairs: DataFrame, marked: DataFrame | None = None) -> DataFrame:

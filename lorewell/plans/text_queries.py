@@ -164,8 +164,8 @@ p AS (SELECT first, later, round(c / (x.n + y.n - c), 4) AS similarity FROM c JO
   UNION ALL SELECT first, id, 1.0 FROM t JOIN f USING (t) WHERE id <> first)
 SELECT first, later, similarity FROM p WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY later ORDER BY first) = 1""")
 def near_duplicates(spark, d):
-    """The first text that each near copy is one of, by exact similarities of candidate pairs."""
-    return dedupe.near_marks(dedupe.near_pairs(table(spark, d, "documents"), 0.8))
+    """The first text that each near copy is one of, by exact similarities."""
+    return dedupe.near_owners(table(spark, d, "documents"), 0.8)
 
 
 @R.query("SELECT coalesce(source, '?') AS source_type, count(*) AS n FROM documents GROUP BY 1")

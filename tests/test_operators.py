@@ -25,6 +25,24 @@ def test_near_pairs(spark):
     assert got == {(1, 2), (1, 4)}
 
 
+def test_near_owners_are_the_first_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "FIRST_MEMBERS", 1)
+    monkeypatch.setattr(dedupe, "MORE_MEMBERS", 2)
+    rng, rows = random.Random(9), []
+    bases = [[f"w{rng.randrange(40)}" for _ in range(40)] for _ in range(4)]
+    for i in range(160):
+        words = list(bases[i % 4])
+        at = rng.randrange(36)
+        words[at : at + rng.choice((1, 1, 3, 6))] = [f"u{rng.randrange(9)}"]
+        rows.append((i, " ".join(words)))
+    rng.shuffle(rows)
+    rows += [(500, rows[0][1]), (501, None), (502, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = dedupe.near_marks(dedupe.near_pairs(frame, 0.7)).collect()
+    assert sorted(map(tuple, dedupe.near_owners(frame, 0.7).collect())) == sorted((r["first"], r.later, r.similarity) for r in pairs)
+    assert 30 < len(pairs) < 159
+
+
 def test_chunking():
     long = " ".join(f"This is sentence number {i} of the text." for i in range(200))
     blocks = [("A", "one"), ("A", "two"), ("B", long), ("B", ""), (None, "x" * 5000)]
