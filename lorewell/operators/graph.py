@@ -46,13 +46,20 @@ def comparable_edges(edges: DataFrame) -> DataFrame:
     return edges.where("status = 'active' and family <> 'meta'").join(first, ["src", "dst", "regime"]).where("id <> first").select("first", "id")
 
 
-def neighbours(edges: DataFrame, limit: int = 8) -> DataFrame:
-    """(node, other, updated_at): the latest distinct neighbours of each node in both directions."""
+def neighbours(edges: DataFrame, limit: int = 8, cards: DataFrame | None = None) -> DataFrame:
+    """(node, other, updated_at): the latest distinct neighbours of each node in both directions.
+
+    With cards (node_id, status), has_card too: whether the neighbour has an active one.
+    """
     live = edges.where("status = 'active' and family <> 'meta'")
     both = live.select(F.col("src").alias("node"), F.col("dst").alias("other"), "updated_at").unionAll(live.select("dst", "src", "updated_at"))
     latest = both.groupBy("node", "other").agg(F.max("updated_at").alias("updated_at"))
     w = Window.partitionBy("node").orderBy(F.desc("updated_at"), "other")
-    return latest.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
+    near = latest.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
+    if cards is None:
+        return near
+    holders = cards.where("status = 'active'").select(F.col("node_id").alias("other"), F.lit(True).alias("has_card")).distinct()
+    return near.join(holders, "other", "left").select("node", "other", "updated_at", F.coalesce("has_card", F.lit(False)).alias("has_card"))
 
 
 def edges_from(edges: DataFrame, limit: int = 20, families: list[str] | None = None) -> DataFrame:

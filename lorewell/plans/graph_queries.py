@@ -46,6 +46,15 @@ def node_neighbours(spark, d):
     return graph.neighbours(_edges(spark, d), 8)
 
 
+@R.query(f"""WITH {_EDGES}, b AS (SELECT src AS node, dst AS other, updated_at FROM e UNION ALL SELECT dst, src, updated_at FROM e),
+l AS (SELECT node, other, max(updated_at) AS updated_at FROM b GROUP BY 1, 2), c AS (SELECT DISTINCT 100000 + p_partkey AS other FROM part WHERE p_size > 25)
+SELECT node, other, updated_at, other IN (SELECT other FROM c) AS has_card FROM l QUALIFY row_number() OVER (PARTITION BY node ORDER BY updated_at DESC, other) <= 8""")
+def neighbours_with_cards(spark, d):
+    """The latest neighbours, and whether they have an active card."""
+    held = table(spark, d, "part").select((F.col("p_partkey") + 100000).alias("node_id"), F.when(F.col("p_size") > 25, "active").otherwise("stale").alias("status"))
+    return graph.neighbours(_edges(spark, d), 8, held)
+
+
 @R.query(f"WITH {_EDGES} SELECT id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY updated_at DESC, id) AS n FROM e) WHERE n <= 20")
 def latest_claims(spark, d):
     return graph.edges_from(_edges(spark, d), 20).select("id", "src", "dst")
@@ -342,6 +351,14 @@ def pruned_samples(spark, d):
     return telemetry.prune(s, _NOW, 7).select("event_id")
 
 
+@R.query("""SELECT * FROM (SELECT l_orderkey * 10 + l_linenumber AS ts, unnest(['l_quantity', 'l_discount', 'l_tax']) AS series, unnest([l_quantity, l_discount, CASE WHEN l_linenumber <> 3 THEN l_tax END]::DOUBLE[]) AS value
+FROM lineitem) WHERE value IS NOT NULL""")
+def long_samples(spark, d):
+    """Wide rows as one row a series; nulls are left out."""
+    li = table(spark, d, "lineitem")
+    return telemetry.long_samples(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ts"), "l_quantity", "l_discount", F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("l_tax")))
+
+
 @R.query("""WITH s AS (SELECT user_id AS job, event_id AS ts, value > 50 AS running FROM events), l AS (SELECT *, coalesce(lag(running) OVER (PARTITION BY job
   ORDER BY ts), false) AS was FROM s)
 SELECT job, ts, CASE WHEN running THEN 'start' ELSE 'end' END AS kind FROM l WHERE running <> was""")

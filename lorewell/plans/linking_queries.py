@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.operators import digests, linking
+from lorewell.operators import digests, linking, search
 from lorewell.plans.registry import Registry, table
 
 R = Registry()
@@ -36,6 +36,15 @@ def linker_candidates(spark, d):
     return linking.linker_candidates(v, v.where("label = 0"), judged, 8, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
+@R.query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN vec_id % 9 = 0 THEN 0.0 ELSE x::DOUBLE * (vec_id % 5 + 1) END) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM v)
+SELECT vec_id, CASE WHEN size > 0 THEN round(v[1] / size, 6) END AS first, CASE WHEN size > 0 THEN round(list_sum(list_transform(v, lambda x: x / size * x / size)), 6) END AS length FROM n""")
+def unit_vectors(spark, d):
+    """Scaled vectors brought back to length one; the zero vector has none."""
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(F.col("vec_id") % 9 == 0, 0.0).otherwise(x.cast("double") * (F.col("vec_id") % 5 + 1))).alias("v"))
+    return v.select("vec_id", search.unit(F.col("v")).alias("u")).select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(search.dot(F.col("u"), F.col("u")), 6).alias("length"))
+
+
 # Tables, the label of a row, and what its digest reads.
 _TABLES = {
     "region": ("r_name", ["r_regionkey", "r_name"]),

@@ -8,7 +8,7 @@ from lorewell.functions import text as T
 from lorewell.operators import ann, ask, evaluate, ingest, provenance, records, search, stats
 from lorewell.plans.registry import Registry, table
 from lorewell.plans.text_queries import NORM
-from lorewell.sources import importers
+from lorewell.sources import importers, payloads
 
 R = Registry()
 
@@ -230,3 +230,18 @@ def ivf_top10(spark, d):
     """Approximate neighbours over all vectors for those whose id 50 divides; tests measure its recall."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return ann.ivf_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")))
+
+
+@R.query("""WITH i AS (SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_linenumber = 2 THEN '' ELSE 'part ' || l_partkey END AS name,
+  CASE WHEN l_returnflag = 'N' THEN '' ELSE '=' || l_returnflag END AS note FROM lineitem),
+g AS (SELECT id, string_agg(name || note, ';' ORDER BY n, name, note) AS members, count(*) AS count FROM i WHERE name <> '' GROUP BY id)
+SELECT id, o_orderstatus AS relation, members, count, id % 3 = 0 AS complete FROM g JOIN orders ON o_orderkey = id WHERE id % 4 <> 0""")
+def enumerated_parts(spark, d):
+    """Enumerations from JSON, one an order: lines without a name and orders without a relation go."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    item = F.struct("l_linenumber", F.when(F.col("l_linenumber") == 2, " ").otherwise(F.concat(F.lit(" part "), F.col("l_partkey").cast("string"))).alias("name"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("note"))
+    lists = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    rows = lists.join(o, F.col("id") == F.col("o_orderkey")).select("id", F.to_json(F.struct(F.when(F.col("id") % 4 != 0, F.col("o_orderstatus")).alias("relation"), "items", F.when(F.col("id") % 3 == 0, True).alias("complete"))).alias("j"))
+    cards = rows.select("id", payloads.enumeration(F.col("j")).alias("e")).where("e is not null").select("id", "e.*")
+    members = F.array_join(F.transform("items", lambda x: F.concat(x["name"], F.coalesce(F.concat(F.lit("="), x["note"]), F.lit("")))), ";")
+    return cards.select("id", "relation", members.alias("members"), F.col("count").cast("long").alias("count"), "complete")

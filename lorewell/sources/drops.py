@@ -140,8 +140,8 @@ DESIGNS = ("meta_analysis", "rct", "cohort", "case_control", "case_series", "exp
 FEW = 12
 GRADE = "strength string, evidence_quality string, statement string, population string"
 FINDING = "direction string, study_design string, certainty string, effect_size string, population string, n string"
-_FEATURES = "array<struct<feature: string, value: string>>"
-CRITERIA = f"required {_FEATURES}, supportive {_FEATURES}, exclusion {_FEATURES}, threshold string, gold_standard string, differentials array<struct<condition: string, discriminator: string>>, levels array<struct<level: string, label: string, features: {_FEATURES}>>"
+FEATURES_SCHEMA = "array<struct<feature: string, value: string>>"
+CRITERIA = f"required {FEATURES_SCHEMA}, supportive {FEATURES_SCHEMA}, exclusion {FEATURES_SCHEMA}, threshold string, gold_standard string, differentials array<struct<condition: string, discriminator: string>>, levels array<struct<level: string, label: string, features: {FEATURES_SCHEMA}>>"
 
 
 def _one_of(value: Column, words: tuple[str, ...]) -> Column:
