@@ -44,7 +44,7 @@ def prometheus(lines: DataFrame, names: dict[str, tuple[str, float]]) -> DataFra
 def gpu_rows(lines: DataFrame) -> DataFrame:
     """(gpu, metric, value) of comma-separated GPU lines; values that are no numbers are left out."""
     names = ["util", "mem_used", "mem_total", "power", "temp"]
-    parts = F.transform(F.split("line", ","), F.trim)
+    parts = F.transform(F.split("line", ","), lambda x: F.trim(x))
     pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.get(parts, F.lit(i + 1)).alias("v")) for i, n in enumerate(names)])
     rows = lines.select(F.get(parts, F.lit(0)).alias("gpu"), F.explode(pairs).alias("p"))
     return rows.select("gpu", "p.metric", F.expr("try_cast(p.v as double)").alias("value")).where("value is not null")

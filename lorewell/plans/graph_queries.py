@@ -359,6 +359,15 @@ def long_samples(spark, d):
     return telemetry.long_samples(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ts"), "l_quantity", "l_discount", F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("l_tax")))
 
 
+@R.query("""SELECT * FROM (SELECT event_id::VARCHAR AS gpu, unnest(['util', 'mem_used', 'mem_total', 'power', 'temp']) AS metric,
+  unnest([user_id % 100, CASE WHEN user_id % 3 <> 0 THEN user_id END, 24000, 70, CASE WHEN event_id % 2 = 0 THEN 40 END]::DOUBLE[]) AS value FROM events) WHERE value IS NOT NULL""")
+def gpu_samples(spark, d):
+    """Comma-separated lines of devices; values that are no numbers, or missing, are left out."""
+    e, text = table(spark, d, "events"), lambda c: F.col(c).cast("string")
+    fields = [text("event_id"), (F.col("user_id") % 100).cast("string"), F.when(F.col("user_id") % 3 == 0, "[N/A]").otherwise(text("user_id")), F.lit("24000"), F.lit("70"), F.when(F.col("event_id") % 2 == 0, "40")]
+    return telemetry.gpu_rows(e.select(F.concat_ws(", ", *[F.coalesce(f, F.lit("")) for f in fields]).alias("line")))
+
+
 @R.query("""WITH s AS (SELECT user_id AS job, event_id AS ts, value > 50 AS running FROM events), l AS (SELECT *, coalesce(lag(running) OVER (PARTITION BY job
   ORDER BY ts), false) AS was FROM s)
 SELECT job, ts, CASE WHEN running THEN 'start' ELSE 'end' END AS kind FROM l WHERE running <> was""")
