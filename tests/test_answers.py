@@ -158,3 +158,19 @@ def test_readers_scan_files(spark, tmp_path):
     assert found == {"u1": ("taxonomic", "is_a", "cat", "kept"), "u2": ("lexical", "has_context", "cat", "lexical"), "u3": (None, None, "a", "unknown"), "u4": ("taxonomic", "is_a", "chat", "language")}
     both = importers.assertions(importers.read_tsv(spark, str(tmp_path / "a.tsv")), exclude=["HasContext"], lexical=True)
     assert both.where("uri = 'u2'").first().outcome == "excluded"
+
+
+def test_edges_of_many_ends_are_not_taken_for_each_other(spark, tmp_path):
+    """Removal and closure where the ends (1, 1000001) and (2, 1) make one number."""
+    from lorewell.plans import catalog
+
+    from .oracle import compare
+
+    lines = [(1, 1, 1000001), (2, 2, 1), (2, 1, 1000001), (3, 2, 1), (3, 5, 6), (4, 2, 7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long").coalesce(1).write.parquet(str(tmp_path / "l"))
+    orders = [(i, i, "O", "1-URGENT") for i in range(1, 5)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").coalesce(1).write.parquet(str(tmp_path / "o"))
+    for short, name in (("l", "lineitem"), ("o", "orders")):
+        next((tmp_path / short).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    for name in ("removed_documents", "bundle_closure"):
+        compare(spark, str(tmp_path), catalog.queries()[name], catalog.oracle_sql()[name])
