@@ -85,3 +85,18 @@ def test_empty_tables_ties_and_copies(spark):
         assert [(r.query_id, r.score) for r in found.collect()] == [(1, 1.0)] * 5
     for found in (ann.graph_search(ann.build_graph(v.limit(0)), q, 5), ann.ivf_search(v.limit(0), q, 5), ann.graph_search(ann.build_graph(v), q.limit(0), 5), ann.ivf_search(v, q.limit(0), 5)):
         assert found.count() == 0
+
+
+def test_graph_query_is_exact_where_beams_miss(spark, tmp_path):
+    """Twelve groups of vectors without a link between them, more than the beams have entries."""
+    from lorewell.plans import catalog
+
+    from .oracle import compare
+
+    rng = np.random.default_rng(2)
+    x = np.repeat(np.eye(12, 16), 40, axis=0) + rng.normal(size=(480, 16)) * 0.05
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "e"))
+    next((tmp_path / "e").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    compare(spark, str(tmp_path), catalog.queries()["graph_top10"], catalog.oracle_sql()["graph_top10"])
