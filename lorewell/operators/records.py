@@ -113,12 +113,13 @@ def page_furniture(pages: DataFrame) -> DataFrame:
 
 
 def pending_chunks(chunks: DataFrame, distilled: DataFrame, bundle: str | None = None, skipped_zones: tuple[str, ...] = ("references", "toc", "index", "boilerplate"), dedupe: bool = True) -> DataFrame:
-    """Chunks (id, bundle, section, text) with zone, owner and fate, the first that holds: outside, done, zone, duplicate or pending.
+    """Chunks (id, bundle, section, text [, zone]) with zone, owner and fate, the first that holds: outside, done, zone, duplicate or pending.
 
+    Chunks that carry a zone keep it; others get theirs by heading and text.
     A text is owned by the chunk of the smallest id that has it: among distilled ones, else among
     those that are neither outside nor in a skipped zone.  Counting fates gives the four counters.
     """
-    rows = chunks.withColumn("zone", T.zone(F.col("section"), F.col("text"))).withColumn("_hash", T.text_hash(F.col("text")))
+    rows = (chunks if "zone" in chunks.columns else chunks.withColumn("zone", T.zone(F.col("section"), F.col("text")))).withColumn("_hash", T.text_hash(F.col("text")))
     rows = rows.join(distilled.select("id", F.lit(True).alias("_done")).distinct(), "id", "left").withColumn("_done", F.coalesce("_done", F.lit(False)))
     outside = F.lit(False) if bundle is None else ~F.col("bundle").eqNullSafe(bundle)
     rows = rows.withColumn("_out", outside).withColumn("_skip", F.col("zone").isin(list(skipped_zones)))
@@ -128,7 +129,7 @@ def pending_chunks(chunks: DataFrame, distilled: DataFrame, bundle: str | None =
     fate = F.when(F.col("_out"), "outside").when(F.col("_done"), "done").when(F.col("_skip"), "zone")
     if dedupe:
         fate = fate.when(F.col("owner") != F.col("id"), "duplicate")
-    return rows.withColumn("fate", fate.otherwise("pending")).select(*chunks.columns, "zone", F.when(F.col("fate") == "duplicate", F.col("owner")).alias("owner"), "fate")
+    return rows.withColumn("fate", fate.otherwise("pending")).select(*[c for c in chunks.columns if c != "zone"], "zone", F.when(F.col("fate") == "duplicate", F.col("owner")).alias("owner"), "fate")
 
 
 def slices(sections: DataFrame, chars: int, least: int = 40, most: int | None = None) -> DataFrame:

@@ -174,3 +174,17 @@ def test_edges_of_many_ends_are_not_taken_for_each_other(spark, tmp_path):
         next((tmp_path / short).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
     for name in ("removed_documents", "bundle_closure"):
         compare(spark, str(tmp_path), catalog.queries()[name], catalog.oracle_sql()[name])
+
+
+def test_zones_of_pending_chunks_are_their_headings(spark, tmp_path):
+    """Texts that look like references or a table of contents under a plain heading are no references."""
+    from lorewell.plans import catalog
+
+    from .oracle import compare
+
+    cited = "\n".join(f"Smith, J., and Jones, K., Some Title, Press, {1990 + i}." for i in range(8))
+    toc = "\n".join(f"Chapter {i} .......... {i}" for i in range(1, 12))
+    rows = [(i, (cited, toc, "A plain text.", None)[i % 4 if i % 3 else 2], "en", "s") for i in range(1, 60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    compare(spark, str(tmp_path), catalog.queries()["pending_chunks"], catalog.oracle_sql()["pending_chunks"])
