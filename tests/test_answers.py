@@ -188,3 +188,16 @@ def test_zones_of_pending_chunks_are_their_headings(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "d"))
     next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
     compare(spark, str(tmp_path), catalog.queries()["pending_chunks"], catalog.oracle_sql()["pending_chunks"])
+
+
+def test_ids_of_one_set_of_features_are_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from lorewell.operators import ask
+
+    has = spark.range(4000).select("id", F.lit("f").alias("feature"), F.lit(1).alias("value")).unionAll(spark.createDataFrame([(5000, "f", 2), (5001, "f", None), (5002, "g", 1)], "id long, feature string, value int"))
+    out = ask.feature_overlap(has.where("id % 100 = 0 or id > 4000").withColumnRenamed("id", "query_id"), has)
+    rows = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in rows) == 42 * 4002 + 1 and max(r["count"] for r in rows) < 21 * 4002
+    got = {(r.query_id, r.id): r.overlap for r in out.where("query_id in (0, 5000, 5001) and id in (7, 5000, 5001)").collect()}
+    assert got == {(0, 7): 0.999999, (0, 5000): 0.0, (5000, 7): 0.0, (5000, 5000): 0.999999} | {k: got[k] for k in got if 5001 in k}
