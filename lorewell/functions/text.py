@@ -21,10 +21,12 @@ FOLD_TO = "''\"\"-- "
 
 def clean(text: Column, max_len: int = 0) -> Column:
     """Control characters and chat markers to blanks, white space collapsed, cut at max_len with an ellipsis."""
-    s = F.coalesce(text, F.lit(""))
-    s = F.regexp_replace(F.regexp_replace(s, CONTROL, " "), MARKERS, " ")
+    raw = F.coalesce(text, F.lit(""))
+    s = F.regexp_replace(F.regexp_replace(raw, CONTROL, " "), MARKERS, " ")
     s = F.regexp_replace(s, r"[ \t\f\x0b]+", " ")
-    s = F.btrim(F.regexp_replace(s, r"\s*\n\s*", "\n"), F.lit(" \t\n\r\f\u000b"))
+    s = F.regexp_replace(s, r"\s*\n\s*", "\n")
+    # Most short texts have nothing that any of these touches.
+    s = F.btrim(F.when(raw.rlike(r"[\x00-\x1f\x7f-\x9f<\[#]|  "), s).otherwise(raw), F.lit(" \t\n\r\f\u000b"))
     return F.when(F.char_length(s) > max_len, F.concat(F.rtrim(F.substring(s, 1, max_len)), F.lit("…"))).otherwise(s) if max_len else s
 
 

@@ -151,8 +151,8 @@ def _one_of(value: Column, words: tuple[str, ...]) -> Column:
 
 def _said(value: Column, most: int) -> Column:
     """A cleaned text of a bounded length, or null where nothing is left."""
-    s = F.btrim(T.clean(value, most))
-    return F.when(s != "", s)
+    # By a filter, not by a condition on the text, which would clean it twice.
+    return F.get(F.filter(F.array(F.btrim(T.clean(value, most))), lambda s: s != ""), F.lit(0))
 
 
 def _filled(fields: dict[str, Column]) -> Column:

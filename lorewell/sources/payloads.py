@@ -23,7 +23,12 @@ def _all(*conditions: Column) -> Column:
 
 
 def _kept(a: Column) -> Column:
-    return F.when(F.size(a) > 0, a)
+    return F.get(F.filter(F.array(a), lambda x: F.size(x) > 0), F.lit(0))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _items(a: Column, fields: Callable[[Column], dict[str, Column]], needed: tuple[str, ...], most: int, cut_first: bool = False) -> Column:
@@ -73,9 +78,9 @@ def misconception(text: Column) -> Column:
 def enumeration(text: Column) -> Column:
     """Named members of a whole, of the first 24 given; their count is taken from them, complete holds only if it is said."""
     e = F.from_json(text, "relation string, items array<struct<name: string, note: string>>, complete boolean")
-    relation = _said(e["relation"], 80)
-    items = _items(e["items"], lambda x: {"name": _said(x["name"], 120), "note": _said(x["note"], 200)}, ("name",), 24, cut_first=True)
-    return _card({"relation": relation, "items": items, "count": F.size(items), "complete": F.coalesce(e["complete"], F.lit(False))}, relation.isNotNull() & items.isNotNull())
+    items = lambda x: _items(x, lambda i: {"name": _said(i["name"], 120), "note": _said(i["note"], 200)}, ("name",), 24, cut_first=True)
+    fields = _once(e, lambda e: F.struct(_said(e["relation"], 80).alias("relation"), items(e["items"]).alias("items"), F.coalesce(e["complete"], F.lit(False)).alias("complete")))
+    return _once(fields, lambda c: _card({"relation": c["relation"], "items": c["items"], "count": F.size(c["items"]), "complete": c["complete"]}, c["relation"].isNotNull() & c["items"].isNotNull()))
 
 
 _COMMON = f"title string, concept string, evidence string, discriminators {FEATURES_SCHEMA}"

@@ -52,3 +52,11 @@ def test_typed(spark):
 @pytest.mark.parametrize("name", ["branch", "troubleshooting", "expectation", "misconception", "enumeration", "requirements", "decision", "playbook", "case"])
 def test_what_is_no_card(spark, name):
     assert read(spark, getattr(payloads, name), None, "", "no json", "[]", "{}", {"options": "x", "causes": 3, "items": "y", "title": ["z"]}) == [None] * 6
+
+
+def test_enumerations_are_parsed_once(spark):
+    """A card's filter and its fields share one parse."""
+    from lorewell.plans import catalog
+
+    plan = catalog.queries()["enumerated_parts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
