@@ -8,3 +8,22 @@ def test_flagship_has_rows_and_confidence(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_shuffle_partitions_follow_the_tables(spark, monkeypatch):
+    from lorewell.plans import registry
+
+    key, data = "spark.sql.shuffle.partitions", "/root/testdata/sf0.001"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(registry, "PARTITION_BYTES", 1000, raising=False)
+    try:
+        registry.table(spark, data, "lineitem")
+        assert int(spark.conf.get(key)) > 100
+        registry.table(spark, data, "region")
+        assert int(spark.conf.get(key)) > 100
+        spark.conf.set(registry.ADVISORY, "8m")
+        registry.table(spark, data, "documents")
+        assert spark.conf.get(registry.ADVISORY) == "8m"
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
