@@ -27,3 +27,19 @@ def test_shuffle_partitions_follow_the_tables(spark, monkeypatch):
     finally:
         spark.conf.set(key, before)
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_shuffled_rows_are_joined_up_to_a_fixed_size_in_a_session_of_many_partitions(spark):
+    """Where the session's own number of partitions was enough, tasks were joined up to Spark's 64 MB and grew with the tables up to there."""
+    from lorewell.plans import registry
+
+    key = "spark.sql.shuffle.partitions"
+    before, advice = spark.conf.get(key), spark.conf.get(registry.ADVISORY, None)
+    try:
+        spark.conf.set(key, "200")
+        spark.conf.unset(registry.ADVISORY)
+        registry.table(spark, "/root/testdata/sf0.001", "lineitem")
+        assert (spark.conf.get(key), spark.conf.get(registry.ADVISORY)) == ("200", registry.ADVISED)
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset(registry.ADVISORY) if advice is None else spark.conf.set(registry.ADVISORY, advice)
