@@ -1,9 +1,12 @@
 """The lexicon: tokens, compilation, spans and canonical JSON, by their acceptance cases."""
 
 import json
+import random
+import unicodedata
 
 import pytest
 
+from lorewell.operators import lexicon
 from lorewell.operators.lexicon import Alias, Matcher, compile_lexicon, findings, match_texts, match_tokens, norm_token, pieces, report, tokenize
 
 ROWS = [
@@ -106,3 +109,41 @@ def test_token_windows_of_any_size(spark):
     assert sorted((r.id, r.pos, r.alias_id) for r in match_tokens(tokens, aliases).collect()) == [(1, 1, n) for n in range(1, 9)]
     with pytest.raises(ValueError, match="tokens"):
         match_tokens(tokens, spark.createDataFrame([(1, list("abcdefghi"))], "alias_id long, seq array<string>"))
+
+
+def plain_osa(a, b):
+    two, one = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            best = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
+            row.append(min(best, two[j - 2] + 1) if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y else best)
+        two, one = one, row
+    return one[-1]
+
+
+def test_edits_equal_the_table_of_distances():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(0, 10)))
+    for a, b in [("", ""), ("", "ab"), ("ab", ""), *((word(), word()) for _ in range(5000))]:
+        assert lexicon.osa(a, b) == plain_osa(a, b), (a, b)
+
+
+def test_tokens_are_runs_of_letters_numbers_and_apostrophes():
+    inside = lambda t, i: t[i] in "'’" or unicodedata.category(t[i])[0] in "LN" or t[i] in ".," and all(0 <= k < len(t) and unicodedata.category(t[k]) == "Nd" for k in (i - 1, i + 1))
+    rng = random.Random(6)
+    for _ in range(5000):
+        t = "".join(rng.choice("a1.,'’ _é٣½²一-…Ⅷ\n\u0301") for _ in range(rng.randint(0, 12)))
+        on = [i for i in range(len(t)) if inside(t, i)]
+        starts, ends = [i for i in on if i - 1 not in on], [i + 1 for i in on if i + 1 not in on]
+        assert lexicon.tokenize(t) == [(t[a:b], a, b) for a, b in zip(starts, ends, strict=True)], t
+
+
+def test_words_that_differ_too_much_in_length_are_not_compared(monkeypatch):
+    """A new word is held against few words of the lexicon, and a form is not looked for beyond the last token."""
+    matcher = lexicon.Matcher(lexicon.compile_lexicon([lexicon.Alias(1, "a", "station"), lexicon.Alias(2, "b", "station house"), lexicon.Alias(3, "c", "stationmaster")])[1])
+    seen = []
+    monkeypatch.setattr(lexicon, "osa", lambda a, b, own=lexicon.osa: seen.append((a, b)) or own(a, b))
+    assert matcher.match("the statoin") == [(4, 11, "a", 1, 0.8)]
+    assert seen == [("statoin", "station")]
+    assert matcher.match("the station") == [(4, 11, "a", 1, 1.0)]
