@@ -66,11 +66,12 @@ def ancestors(is_a: DataFrame, start: DataFrame) -> DataFrame:
     """(node, ancestor) of start (node), itself included, however far up; safe on cycles.
 
     Each step's new rows are written to the shared folder; steps go on until there are none.
+    Both joins are by shuffles: a step's rows, small as they may be, would be broadcast through the driver each time.
     """
     out = saved(start.select("node", F.col("node").alias("ancestor")).distinct())
     step, up = out, is_a.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
     while True:
-        new = saved(step.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct().join(out, ["node", "ancestor"], "left_anti"))
+        new = saved(step.join(up.hint("merge"), "ancestor").select("node", F.col("next").alias("ancestor")).distinct().join(out.hint("merge"), ["node", "ancestor"], "left_anti"))
         if not new.limit(1).count():
             return out
         out, step = out.unionAll(new), new
