@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +12,8 @@ from lorewell.functions import text as T
 
 #: Tokens (a quarter of the characters) that a chunk aims at, has at most, and shares with the next.
 TARGET, MOST, OVERLAP = 320, 512, 48
+#: Documents of a batch that are Python objects at once.
+SLICE = 128
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -133,14 +135,17 @@ def chunk_documents(blocks: DataFrame, key: str, target: int = TARGET, most: int
     kind = blocks.schema[key].dataType.simpleString()
 
     def run(batches):
-        for rows in batches:
-            out = []
-            for k, path, own in zip(rows[key], rows["path"], rows["blocks"], strict=True):
-                for i, (section, text, n) in enumerate(chunk_blocks([(b["section"], b["text"]) for b in own], target, most, overlap)):
-                    out.append((k, path, i, section, text, n))
-            yield pd.DataFrame(out, columns=[key, "path", "seq", "section", "raw", "tokens"])
-
-    pieces = blocks.select(key, "path", "blocks").mapInPandas(run, f"{key} {kind}, path string, seq int, section string, raw string, tokens int")
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(at, SLICE)
+                cut = [chunk_blocks([(b["section"], b["text"]) for b in own or ()], target, most, overlap) for own in rows.column(2).to_pylist()]
+                of = pa.array([i for i, own in enumerate(cut) for _ in own], pa.int64())
+                flat = [(i, *piece) for own in cut for i, piece in enumerate(own)]
+                column = lambda k, kind: pa.array([r[k] for r in flat], kind)
+                made = [column(0, pa.int32()), column(1, pa.string()), column(2, pa.string()), column(3, pa.int32())]
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(of), rows.column(1).take(of), *made], [key, "path", "seq", "section", "raw", "tokens"])
+
+    pieces = blocks.select(key, "path", "blocks").mapInArrow(run, f"{key} {kind}, path string, seq int, section string, raw string, tokens int")
     cleaned = pieces.withColumn("text", T.clean(F.col("raw"))).where("text <> ''")
     return cleaned.select(key, "seq", T.chunk_id(F.col("path"), F.col("section"), F.col("text")).alias("id"), "section", "text", "tokens")
 
