@@ -51,6 +51,53 @@ def test_stemmed_search_equals_plain_python(spark):
     assert got == want
 
 
+def test_stems_that_are_asked_for_alone_make_rows(spark):
+    """The size counts every document with a word, and chunks of one id are added up by the search."""
+    rows = [(1, "Running runs; ran", "the run"), (2, "cats", None), (3, None, ""), (4, " .. ", "x"), (5, "the CAT runs a cat", "run")]
+    docs = spark.createDataFrame(rows, "id long, text string, title string").repartition(3)
+    asked = spark.createDataFrame([(7, "runner running"), (8, "a cat")], "query_id long, query string")
+    columns = {"text": 1.0, "title": 4.0}
+    index, size = search.stem_postings(docs, columns, asked, "id")
+    full = search.postings(docs, columns, "id", stems=True)
+    terms = ["runner", "run", "a", "cat"]
+    read = lambda frame: sorted(tuple(r) for r in frame.select("id", "len", "term", "wtf", "tf").collect())
+    assert read(index) == read(full.where(F.col("term").isin(terms))) and len(read(index)) < len(read(full))
+    assert size.first() == search.corpus_size(docs, columns, "id", stems=True).first()
+    best = lambda frame, **more: sorted(tuple(r) for r in search.bm25(frame, asked, 3, size=size, stems=True, **more).collect())
+    assert best(index, parts=True) == best(full) != []
+    halves = index.withColumn("wtf", F.col("wtf") / 2)
+    assert best(halves.unionAll(halves), parts=True) == best(full)
+
+
+def test_documents_are_scored_in_blocks_where_their_words_are(spark, monkeypatch):
+    """No row of a query and a document is shuffled but the best of each task; blocks of documents, words and queries change nothing."""
+    rng = np.random.default_rng(2)
+    rows = [(i, int(n), f"w{t}", float(1 + t % 3)) for i in range(300) for n in [rng.integers(1, 90)] for t in sorted(set(rng.integers(0, 40, 9).tolist()))]
+    rows += [(1000 + i, n, t, w) for i, n, t, w in rows if i < 50]  # equal scores
+    index = spark.createDataFrame(rows, "id long, len long, term string, wtf double").repartition(6)
+    words = {q: [f"w{(q * 7 + j * j) % 45}" for j in range(6)] for q in range(11)}
+    asked = spark.createDataFrame([(q, " ".join(w)) for q, w in words.items()], "query_id long, query string")
+    sizes = {r[0]: r[1] for r in rows}
+    n, mean = len(sizes), sum(sizes.values()) / len(sizes)
+    df = Counter(r[2] for r in rows)
+    want = set()
+    for q, own in words.items():
+        score = Counter()
+        for i, length, t, w in rows:
+            if t in own:
+                idf = math.log((n - df[t] + 0.5) / (df[t] + 0.5))
+                score[i] += (idf if idf > 0 else 1e-6) * w * 2.2 / (w + 1.2 * (0.25 + 0.75 * length / mean))
+        want |= {(q, i, round(s, 6), k) for k, (i, s) in enumerate(sorted(((d, round(s, 9)) for d, s in score.items()), key=lambda x: (-x[1], x[0]))[:5])}
+    read = lambda frame: {(r.query_id, r.id, round(r.score, 6), r.rank) for r in frame.collect()}
+    out = search.bm25(index, asked, 5)
+    assert read(out) == want
+    assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(search, "SCORE_CELLS", 20)
+    assert read(search.bm25(index, asked, 5)) == want
+    assert search.bm25(index, asked.limit(0), 5).count() == 0 == search.bm25(index.limit(0), asked, 5).count()
+
+
 def test_vectors_in_blocks_and_ties(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 8)).round(1)
