@@ -43,3 +43,19 @@ def test_shuffled_rows_are_joined_up_to_a_fixed_size_in_a_session_of_many_partit
     finally:
         spark.conf.set(key, before)
         spark.conf.unset(registry.ADVISORY) if advice is None else spark.conf.set(registry.ADVISORY, advice)
+
+
+def test_files_are_read_in_pieces_of_a_fixed_size(spark):
+    """A task's share of a scan grew with the table up to Spark's 128 MB."""
+    from lorewell.plans import registry
+
+    before = spark.conf.get(registry.SPLIT, None)
+    try:
+        spark.conf.unset(registry.SPLIT)
+        registry.table(spark, "/root/testdata/sf0.001", "lineitem")
+        assert spark.conf.get(registry.SPLIT) == registry.ADVISED
+        spark.conf.set(registry.SPLIT, "3m")
+        registry.table(spark, "/root/testdata/sf0.001", "lineitem")
+        assert spark.conf.get(registry.SPLIT) == "3m"
+    finally:
+        spark.conf.unset(registry.SPLIT) if before is None else spark.conf.set(registry.SPLIT, before)
