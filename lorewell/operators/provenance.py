@@ -42,11 +42,19 @@ def remove_docs(edges: DataFrame, edge_support: DataFrame, node_support: DataFra
 
 def closure(edges: DataFrame, edge_support: DataFrame, node_support: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, borrowed): nodes the documents support, and those that only their edges name."""
-    mine = node_support.join(docs.select("doc_id"), "doc_id", "left_semi").select("node").distinct()
-    own = edges.join(edge_support.join(docs.select("doc_id"), "doc_id", "left_semi").select("edge_id").distinct(), "edge_id", "left_semi")
-    named = own.select(F.col("src").alias("node")).union(own.select("dst")).distinct()
-    borrowed = named.join(mine, "node", "left_anti").select("node", F.lit(True).alias("borrowed"))
-    return mine.select("node", F.lit(False).alias("borrowed")).unionAll(borrowed)
+    ids = docs.select("doc_id")
+    own = _supported(edges, edge_support.join(ids, "doc_id", "left_semi"))
+    return _nodes(own, node_support.join(ids, "doc_id", "left_semi"))
+
+
+def _supported(edges: DataFrame, support: DataFrame) -> DataFrame:
+    return edges.join(support.select("edge_id").distinct(), "edge_id", "left_semi")
+
+
+def _nodes(edges: DataFrame, node_support: DataFrame) -> DataFrame:
+    """(node, borrowed): one grouping says which are borrowed, so that neither side is made twice."""
+    named = edges.select(F.explode(F.array("src", "dst")).alias("node"), F.lit(True).alias("borrowed"))
+    return node_support.select("node", F.lit(False).alias("borrowed")).unionAll(named).groupBy("node").agg(F.bool_and("borrowed").alias("borrowed"))
 
 
 def merge_tables(own: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -75,8 +83,10 @@ def assemble(sources: DataFrame, edges: DataFrame, edge_support: DataFrame, node
     """
     chosen = select_sources(sources, include, exclude, unloaded)
     docs = chosen.select("doc_id")
-    support = edge_support.join(docs, "doc_id", "left_semi")
-    return {"sources": chosen, "edges": edges.join(support.select("edge_id").distinct(), "edge_id", "left_semi"), "edge_support": support, "nodes": closure(edges, edge_support, node_support, docs)}
+    # Support that names no edge is apart, so that the rest is the same rows wherever it is joined and is shuffled once.
+    support, other = (edge_support.where(c).join(docs, "doc_id", "left_semi") for c in ("edge_id is not null", "edge_id is null"))
+    own = _supported(edges, support)
+    return {"sources": chosen, "edges": own, "edge_support": support.unionAll(other), "nodes": _nodes(own, node_support.join(docs, "doc_id", "left_semi"))}
 
 
 def eject(sources: DataFrame, edges: DataFrame, edge_support: DataFrame, node_support: DataFrame, bundle: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:

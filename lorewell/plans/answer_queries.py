@@ -244,8 +244,10 @@ def _graph(spark, d):
     li = table(spark, d, "lineitem")
     edge = F.col("l_suppkey") * 1000000 + F.col("l_partkey")
     sources = table(spark, d, "orders").selectExpr("o_orderkey doc_id", "o_orderstatus bundle", "o_orderpriority title", "'active' status")
-    edges = li.select(edge.alias("edge_id"), (-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    return sources, edges, li.select(edge.alias("edge_id"), F.col("l_orderkey").alias("doc_id")).distinct(), li.select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("doc_id")).distinct()
+    # Lines are dealt by the key that they are joined by, so that equal ones go where they are then joined.
+    edges = li.select("l_suppkey", "l_partkey").repartition(edge).select(edge.alias("edge_id"), (-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    dealt = lambda what: li.select(what, F.col("l_orderkey").alias("doc_id")).repartition("doc_id").distinct()
+    return sources, edges, dealt(edge.alias("edge_id")), dealt(F.col("l_partkey").alias("node"))
 
 
 @R.query(f"""WITH {_GRAPH}, mine AS (SELECT DISTINCT bundle, node FROM ns JOIN s USING (doc_id)), own AS (SELECT DISTINCT bundle, src, dst FROM es
