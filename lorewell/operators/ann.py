@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.operators.search import _matrix, dot, scored_vectors, top_k
+from lorewell.operators.search import DIGITS, _matrix, dot, scored_vectors, top_k
 from lorewell.session import saved, written
 
 #: Vectors that centroids and codes are fitted on, at most; every vector is indexed.
@@ -285,17 +285,19 @@ def graph_search(graph: DataFrame, queries: DataFrame, k: int = 10, width: int |
     return top_k(exact, k).join(counted, "query_id")
 
 
-def exact_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def exact_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = DIGITS) -> DataFrame:
     """(query_id, id, score, rank): what ``graph_search`` finds, completed by the rows that its beams missed.
 
     The k-th score of a query's beams is one that its k best reach; a pass over the vectors keeps
-    the rows above it, which are few where the beams found most.
+    the rows above it, which are few where the beams found most.  Rows are ranked by scores of
+    ``digits``, then by id.
     """
     near = graph_search(graph, queries, k).where(F.col("rank") == k - 1)
-    # Beams are scored by another sum, whose ninth digit may differ.
-    least = saved(near.select("query_id", (F.col("score") - 2e-9).alias("least")))
+    # Beams are scored by another sum, whose ninth digit may differ; fewer digits may take half of the last one off the k-th score.
+    slack = 2e-9 + (10.0**-digits if digits < DIGITS else 0.0)
+    least = saved(near.select("query_id", (F.col("score") - slack).alias("least")))
     asked = queries.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    return top_k(scored_vectors(vectors.select("id", "vec"), asked, k), k)
+    return top_k(scored_vectors(vectors.select("id", "vec"), asked, k, digits=digits), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
