@@ -11,7 +11,7 @@ from lorewell.plans import catalog
 from .oracle import compare
 
 
-@pytest.mark.parametrize("name", ["graph_top10", "vector_prefiltered"])
+@pytest.mark.parametrize("name", ["graph_top10", "vector_prefiltered", "vector_top10", "vector_postfiltered"])
 def test_equal_scores_of_six_digits_go_to_the_smaller_id(spark, tmp_path, name):
     """Two hundred near copies, the nearer the larger their id, so that nine digits would choose others."""
     step = np.arange(200) * 2.0**-23
