@@ -147,3 +147,33 @@ def test_words_that_differ_too_much_in_length_are_not_compared(monkeypatch):
     assert matcher.match("the statoin") == [(4, 11, "a", 1, 0.8)]
     assert seen == [("statoin", "station")]
     assert matcher.match("the station") == [(4, 11, "a", 1, 1.0)]
+
+
+def test_passages_are_found_by_all_their_words(spark, tmp_path):
+    """A document with the end of a passage alone has its runs of three words; short passages are aliases, too, where a lexicon takes them."""
+    from lorewell.plans import catalog
+
+    passages = [(1, "some ordinary beginning then rusting harbour cranes"), (2, "Bo's"), (3, "Lantern glass"), (4, None), (5, "the"), (6, "one two three, one two three")]
+    texts = [(10, "old rusting harbour cranes"), (11, "then rusting harbuor cranes"), (12, "lantern  glass, bo the"), (13, None), (14, "two three one two three")]
+    for name, rows, columns in (("benchmark", passages, "item_id long, text string"), ("documents", texts, "doc_id long, text string")):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / f"{name}_rows"))
+        next((tmp_path / f"{name}_rows").glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    text = dict(texts)
+    found = catalog.queries()["lexicon_spans"](spark, str(tmp_path)).collect()
+    got = sorted((r.doc_id, text[r.doc_id][r.start : r.end], r.node_id, r.score) for r in found)
+    assert got == [(10, "rusting harbour cranes", "n1", 1.0), (11, "then rusting harbuor", "n1", 0.8), (12, "lantern  glass", "n3", 1.0), (14, "two three one", "n6", 1.0)]
+    assert lexicon.runs("one two three, one two three", 3) == ["one two three", "two three one", "three one two"] and lexicon.runs(" ' ", 3) == []
+
+
+def test_nearest_words_equal_brute_force():
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 11))) for _ in range(400)})
+    matcher = lexicon.Matcher(compile_lexicon([Alias(i, "n", w) for i, w in enumerate(words) if len(w) > 2])[1])
+    for _ in range(600):
+        w = "".join(rng.choice("abc") for _ in range(rng.randint(4, 11)))
+        most = 1 if len(w) <= 6 else 2
+        far = {x: plain_osa(w, x) for x in words if len(x) >= 4}
+        least = min(far.values())
+        want = (least, {x for x in far if far[x] == least}) if least <= most else (0, set())
+        got = matcher._nearest(w)
+        assert (got[0], set(got[1])) == want, w
